@@ -4,17 +4,131 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm.common import table
+from factloom.llm.mixing import curriculum
 from factloom.llm.neardup import near_duplicates
+from factloom.llm.packing import pack_documents
+from factloom.llm.urlfilter import judge_captures, keys_of
+
+PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), PACKING_TOKENIZER, limit=4096, last_id=1)
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, similarity=80)
 
 
+def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes")
+
+
+OP6_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS h,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+  FROM documents),
+by_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS number
+  FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, CASE number % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2.0::DOUBLE * source_size AS cap
+  FROM by_source),
+levels AS (
+  SELECT *, cap / weight AS ratio, row_number() OVER o AS place,
+         (1.5::DOUBLE * sum(source_size) OVER ()
+          - coalesce(sum(cap) OVER (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+         / sum(weight) OVER (ORDER BY cap / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW o AS (ORDER BY cap / weight, number)),
+targets AS (
+  SELECT source, source_size,
+         least(cap, coalesce((SELECT arg_min(level, place) FROM levels WHERE level <= ratio) * weight, cap)) AS target
+  FROM levels),
+placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2.0 AS middle
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       size * ((middle < target)::INT + (middle + source_size < target)::INT) AS taken,
+       (middle < target)::INT + (middle + source_size < target)::INT AS passes
+FROM placed
+"""
+
+
+def _dated(seed: F.Column, days: int) -> F.Column:
+    return F.date_add(F.lit("2024-01-01").cast("date"), (seed % days).cast("int"))
+
+
+def _number(text: F.Column) -> F.Column:
+    return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("long")
+
+
+def op7_url_list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures of ``pages``, dated by page_id, against lists whose entries and dates follow from the keys of all pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_on", _dated(F.col("page_id") * 37, 366))
+    keys = pages.select(F.explode(keys_of(F.col("url"))).alias("key")).distinct().withColumn("n", _number(F.col("key")))
+    listed = keys.where("n % 3 < 2").withColumn("list", F.expr("CASE WHEN n % 3 = 0 THEN 'deny' ELSE 'allow' END"))
+    added = _dated(F.expr("n div 3"), 300)
+    removed = F.date_add(added, (F.lit(20) + F.col("n") % 90).cast("int"))
+    entries = (
+        listed.select("key", "list", F.lit("add").alias("action"), added.alias("dated"))
+        .unionByName(listed.where("n % 2 = 0").select("key", "list", F.lit("remove").alias("action"), removed.alias("dated")))
+        .unionByName(listed.where("n % 4 = 0").select("key", "list", F.lit("add").alias("action"), F.date_add(removed, 45).alias("dated")))
+    )
+    return judge_captures(captures, entries)
+
+
+OP7_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, DATE '2024-01-01' + ((page_id * 37) % 366)::INT AS fetched_on,
+         nullif(lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '') AS host,
+         nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)', 1), '') AS segment
+  FROM pages),
+labelled AS (SELECT *, string_split(host, '.') AS labels FROM captures WHERE host IS NOT NULL),
+keyed AS (
+  SELECT DISTINCT page_id, fetched_on, key FROM (
+    SELECT page_id, fetched_on, host || '/' || segment AS key FROM labelled WHERE segment IS NOT NULL
+    UNION ALL SELECT page_id, fetched_on, host FROM labelled
+    UNION ALL SELECT page_id, fetched_on, array_to_string(labels[i:], '.')
+              FROM labelled, unnest(range(2, len(labels))) AS r(i))),
+numbered AS (
+  SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS n FROM (SELECT DISTINCT key FROM keyed)),
+listed AS (
+  SELECT key, n, CASE WHEN n % 3 = 0 THEN 'deny' ELSE 'allow' END AS list,
+         DATE '2024-01-01' + ((n // 3) % 300)::INT AS added,
+         DATE '2024-01-01' + ((n // 3) % 300)::INT + (20 + n % 90)::INT AS removed
+  FROM numbered WHERE n % 3 < 2),
+entries AS (
+  SELECT key, list, 'add' AS action, added AS dated FROM listed
+  UNION SELECT key, list, 'remove', removed FROM listed WHERE n % 2 = 0
+  UNION SELECT key, list, 'add', removed + 45 FROM listed WHERE n % 4 = 0),
+spans AS (
+  SELECT *, coalesce(lead(dated) OVER (PARTITION BY key, list ORDER BY dated, action), DATE '9999-12-31') AS active_to
+  FROM entries),
+best AS (
+  SELECT k.page_id, s.key, s.list, s.dated AS active_from, s.active_to,
+         row_number() OVER (PARTITION BY k.page_id ORDER BY length(s.key) DESC, s.dated DESC, s.list = 'deny' DESC) AS rn
+  FROM keyed k JOIN spans s ON k.key = s.key AND s.action = 'add'
+   AND s.dated <= k.fetched_on AND k.fetched_on < s.active_to)
+SELECT c.page_id, c.url, c.fetched_on, c.host, coalesce(b.list, 'none') AS decision, b.key AS matched_key,
+       b.active_from, b.active_to
+FROM captures c LEFT JOIN best b ON c.page_id = b.page_id AND b.rn = 1
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_near_duplicates": op3_near_duplicates,
+    "op6_source_mixture": op6_source_mixture,
+    "op7_url_list_filter": op7_url_list_filter,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_source_mixture": OP6_SQL, "op7_url_list_filter": OP7_SQL}
