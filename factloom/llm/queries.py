@@ -5,18 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.llm.ann import nearest_neighbours
 from factloom.llm.common import table
 from factloom.llm.mixing import curriculum
 from factloom.llm.neardup import near_duplicates
 from factloom.llm.packing import pack_documents
+from factloom.llm.pii import KINDS, find_personal_data
+from factloom.llm.topk import top_k_products
 from factloom.llm.urlfilter import judge_captures, keys_of
 
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_products(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5, scale=256)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.w, c.w) DESC, c.vec_id)::INTEGER AS rank
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+WHERE rank <= 5
+"""
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), PACKING_TOKENIZER, limit=4096, last_id=1)
 
@@ -25,6 +45,25 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, similarity=80)
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+
+    def count(kind: str, base: bool = True) -> Column:
+        return F.size(F.filter("spans", lambda s: (s["kind"] == kind) & (s["base"] | F.lit(not base)))).cast("long")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = joined(F.filter("spans", lambda s: s["base"]))
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(base, 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        *[count(kind, base=False).alias(f"n_{kind}_all") for kind in KINDS],
+    )
+
+
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes")
@@ -64,11 +103,11 @@ FROM placed
 """
 
 
-def _dated(seed: F.Column, days: int) -> F.Column:
+def _dated(seed: Column, days: int) -> Column:
     return F.date_add(F.lit("2024-01-01").cast("date"), (seed % days).cast("int"))
 
 
-def _number(text: F.Column) -> F.Column:
+def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("long")
 
 
@@ -125,10 +164,30 @@ SELECT c.page_id, c.url, c.fetched_on, c.host, coalesce(b.list, 'none') AS decis
 FROM captures c LEFT JOIN best b ON c.page_id = b.page_id AND b.rn = 1
 """
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND list_max([abs(x) FOR x IN embedding]) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.w, c.w) AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.w, c.w) DESC, c.vec_id)::INTEGER AS rank
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+WHERE rank <= 5
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_top_k": op1_exact_top_k,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_personal_data": op4_personal_data,
     "op6_source_mixture": op6_source_mixture,
     "op7_url_list_filter": op7_url_list_filter,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
-ORACLES: dict[str, str] = {"op6_source_mixture": OP6_SQL, "op7_url_list_filter": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op10_nearest_neighbours": OP10_SQL, "op6_source_mixture": OP6_SQL, "op7_url_list_filter": OP7_SQL}
