@@ -3,10 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.llm.common import materialize, table
+from factloom.llm.langid import fit_languages, keep_labelled
+from factloom.llm.mixing import mixed_documents
+from factloom.llm.neardup import without_near_duplicates
+from factloom.llm.packing import pack_documents
+from factloom.llm.pii import redact
+from factloom.llm.queries import PACKING_TOKENIZER
 
-STAGES: list = []
+#: The least mean probability of a document's language; four equally likely languages have 0.25 each.
+LEAST_LANGUAGE_SCORE = 0.3
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any letter, or in none of the learned languages with enough certainty, go."""
+    model = fit_languages(docs, F.expr("crc32(cast(doc_id AS string)) % 4 <> 2"))
+    return keep_labelled(docs, model, LEAST_LANGUAGE_SCORE)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five words, similarity 0.8)."""
+    return without_near_duplicates(docs, width=5, similarity=80)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Placeholders take the place of personal data."""
+    return redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture reads them, by training position."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return pack_documents(docs, PACKING_TOKENIZER, limit=4096, last_id=1)
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+    ("packing", packing),
+]
+#: No SQL: language models, near-duplicates and packing are held against brute force in the tests.
 ORACLE_SQL: str | None = None
 
 

@@ -279,3 +279,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> Da
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component the document with the least doc_id, once."""
+    kept = near_duplicates(docs, width, similarity).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))

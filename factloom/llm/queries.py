@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from factloom.llm.ann import nearest_neighbours
 from factloom.llm.common import table
+from factloom.llm.langid import identify_languages
 from factloom.llm.mixing import curriculum
 from factloom.llm.neardup import near_duplicates
 from factloom.llm.packing import pack_documents
 from factloom.llm.pii import KINDS, find_personal_data
+from factloom.llm.quality import classify_quality
+from factloom.llm.tokencount import counts_after_edits
 from factloom.llm.topk import top_k_products
 from factloom.llm.urlfilter import judge_captures, keys_of
 
+COUNTING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PACKING_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -64,6 +68,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"), F.expr("crc32(cast(doc_id AS string)) % 4 = 2"))
+
+
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes")
@@ -164,6 +172,28 @@ SELECT c.page_id, c.url, c.fetched_on, c.host, coalesce(b.list, 'none') AS decis
 FROM captures c LEFT JOIN best b ON c.page_id = b.page_id AND b.rn = 1
 """
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return classify_quality(table(spark, sf_dir, "documents"), labels, F.expr("crc32(cast(doc_id AS string)) % 3 = 1"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits each, which follow from the document itself."""
+    docs = table(spark, sf_dir, "documents")
+    size = F.coalesce(F.length("text"), F.lit(0))
+    edits = docs.select(
+        "doc_id",
+        F.explode(
+            F.array(
+                F.struct(F.lit(1).alias("edit_no"), F.floor(size / 4).alias("at"), F.lit(7).alias("removed"), F.lit(" revised").alias("inserted")),
+                F.struct(F.lit(2).alias("edit_no"), F.floor(size / 2).alias("at"), F.lit(0).alias("removed"), F.concat_ws(" ", F.lit("\n"), "source", "lang", F.lit("\n")).alias("inserted")),
+                F.struct(F.lit(3).alias("edit_no"), F.floor(size * 3 / 4).alias("at"), F.lit(40).alias("removed"), F.lit("").alias("inserted")),
+            )
+        ).alias("e"),
+    ).select("doc_id", "e.*")
+    return counts_after_edits(docs, edits, COUNTING_TOKENIZER, public_tokenizers.PATTERN)
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
@@ -186,8 +216,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_personal_data": op4_personal_data,
+    "op5_language_id": op5_language_id,
     "op6_source_mixture": op6_source_mixture,
     "op7_url_list_filter": op7_url_list_filter,
+    "op8_quality": op8_quality,
+    "op9_token_counts": op9_token_counts,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op10_nearest_neighbours": OP10_SQL, "op6_source_mixture": OP6_SQL, "op7_url_list_filter": OP7_SQL}

@@ -40,28 +40,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the rows, and n+1 offsets of the rows in them."""
-    low, high = int(offsets[0]), int(offsets[-1])
-    data = raw[low:high]
-    rows = offsets - low
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    ink = ~_SPACE[data]
+def spans(data: np.ndarray, rows: np.ndarray, ink: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes marked in ``ink`` that lie within a row, and the rows' n+1 offsets in them."""
     first = ink.copy()
     first[1:] &= ~ink[:-1]
-    edges = rows[(rows > 0) & (rows < len(data))]
-    first[edges] = ink[edges]
     last = ink.copy()
     last[:-1] &= ~ink[1:]
+    edges = rows[(rows > 0) & (rows < len(data))]
+    first[edges] = ink[edges]
     last[edges - 1] = ink[edges - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _table(len(data) + 1)
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_LOWER[data] * up[: len(data)], out=sums[1:])
-    values = (sums[ends] - sums[starts]) * down[starts]
-    return mix(values), np.searchsorted(starts, rows).astype(np.int64)
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, rows).astype(np.int64)
+
+
+class Substrings:
+    """Hashes of any substrings of a buffer, from prefix sums of its polynomial."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        up, self.down = _table(len(values) + 1)
+        self.sums = np.empty(len(values) + 1, dtype=np.uint64)
+        self.sums[0] = 0
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+
+    def hashed(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the rows, and n+1 offsets of the rows in them."""
+    data, rows = raw[int(offsets[0]) : int(offsets[-1])], offsets - offsets[0]
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    starts, ends, at = spans(data, rows, ~_SPACE[data])
+    return Substrings(_LOWER[data]).hashed(starts, ends), at
+
+
+#: How a byte looks: capital, small or other letter, digit, or itself.
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:], _SHAPE[48:58] = ord("A"), ord("a"), ord("a"), ord("0")
+
+
+def shape_hashes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Hashes of the words' shapes: runs of bytes that look alike count once. One for each of word_hashes."""
+    data, rows = _SHAPE[raw[int(offsets[0]) : int(offsets[-1])]], offsets - offsets[0]
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    kept = np.ones(len(data), dtype=bool)
+    kept[1:] = (data[1:] != data[:-1]) | _SPACE[data[1:]]
+    kept[rows[rows < len(data)]] = True
+    ends = np.concatenate(([0], np.cumsum(kept)))
+    short, rows = data[kept], ends[rows]
+    starts, ends, _ = spans(short, rows, ~_SPACE[short])
+    return Substrings(short.astype(np.uint64) + np.uint64(1)).hashed(starts, ends)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
