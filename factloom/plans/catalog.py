@@ -4,7 +4,624 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from factloom.config import DEFAULTS
+from factloom.functions import numbers as n
+from factloom.functions import text as t
+from factloom.functions.periods import parse_period
+from factloom.operators import chunking, facts, pairs, reconcile, serving, stateful, vectors
+from factloom.plans import mirror as m
+from factloom.plans.inputs import CANDIDATES, ORDER_FACTS, REVENUE_FACTS, both
+from factloom.sources.tables import html_text, replaced_by_key, table, without_documents, without_facts
+from factloom.streaming import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with the SQL it is held against."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Text and chunks.
+
+
+@query(f"SELECT doc_id, md5({m.collapse_space('text')}) AS text_md5, length({m.collapse_space('text')}) AS n_chars_tidy FROM documents")
+def page_normalize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tidy = t.collapse_space(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tidy).alias("text_md5"), F.length(tidy).cast("long").alias("n_chars_tidy"))
+
+
+def chunk_sql(most: int) -> str:
+    head = f"""CASE WHEN length(rest) <= {most} THEN rest WHEN contains(substr(rest, 1, {most + 1}), ' ')
+               THEN regexp_extract(substr(rest, 1, {most + 1}), '^(.*) ', 1) ELSE split_part(rest, ' ', 1) END"""
+    return f"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, -1 AS chunk_index, '' AS text, {m.collapse_space(m.text_('text'))} AS rest FROM documents
+  UNION ALL
+  SELECT doc_id, chunk_index + 1, {head}, substr(rest, length({head}) + 2) FROM cut WHERE rest <> '')
+SELECT doc_id AS document_id, 1 AS page_number, chunk_index, 'chunk_' || doc_id || '_1_' || chunk_index AS chunk_id, md5(text) AS text_md5, length(text)::INTEGER AS n_chars,
+  len(string_split(text, ' '))::INTEGER AS token_count,
+  CASE WHEN length(text) < {DEFAULTS.min_extraction_characters} AND NOT regexp_matches(text, '[0-9]') THEN 'skipped' ELSE 'pending' END AS status
+FROM cut WHERE chunk_index >= 0"""
+
+
+def _chunked(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    pages = table(spark, sf_dir, "documents").withColumn("page_number", F.lit(1))
+    return chunking.chunks(pages, "doc_id", "page_number", "text", most)
+
+
+def _digest(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text_md5", F.md5("text")).drop("text")
+
+
+@query(chunk_sql(8000))
+def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(_chunked(spark, sf_dir, 8000))
+
+
+@query(chunk_sql(1200))
+def chunk_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(_chunked(spark, sf_dir, 1200))
+
+
+@query(f"SELECT document_id, status, count(*) AS n, sum(token_count)::BIGINT AS tokens FROM ({chunk_sql(1200)}) GROUP BY ALL")
+def chunk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir, 1200).groupBy("document_id", "status").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
+
+
+@query("SELECT source, sum(ceil(length(coalesce(text, '')) / 4.0) + 8)::BIGINT AS tokens, count(*) AS items FROM documents GROUP BY source")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.token_totals(table(spark, sf_dir, "documents"), "source", "text")
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT document_id, chunk_index, (ceil(n_chars / 4.0) + 8)::BIGINT AS cost FROM ({chunk_sql(400)})),
+f AS (
+  SELECT document_id, chunk_index, cost, 0 AS batch, 1 AS items, cost AS tokens FROM c WHERE chunk_index = 0
+  UNION ALL
+  SELECT c.document_id, c.chunk_index, c.cost, f.batch + (f.items >= 64 OR f.tokens + c.cost > 40000)::INT,
+    CASE WHEN f.items >= 64 OR f.tokens + c.cost > 40000 THEN 1 ELSE f.items + 1 END,
+    CASE WHEN f.items >= 64 OR f.tokens + c.cost > 40000 THEN c.cost ELSE f.tokens + c.cost END
+  FROM f JOIN c ON c.document_id = f.document_id AND c.chunk_index = f.chunk_index + 1)
+SELECT document_id, chunk_index, cost, batch FROM f""")
+def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.token_batches(table(spark, sf_dir, "documents"), "doc_id", "text", 400)
+
+
+@query("SELECT vec_id, label, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 20)::INTEGER AS batch FROM embeddings")
+def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.numbered_batches(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id", DEFAULTS.adjudication_batch)
+
+
+_HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\s\x{0b}]+', ' ', 'g'))"""
+
+
+@query(f"SELECT page_id, md5({_HTML}) AS text_md5, length({_HTML}) AS n_chars FROM pages")
+def web_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(text).alias("text_md5"), F.length(text).cast("long").alias("n_chars"))
+
+
+# Scalar rules over all derived facts.
+
+
+def _order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return both(spark, sf_dir, ORDER_FACTS)
+
+
+@query(f"SELECT fact_id, {m.normalize_subject('subject')} AS s FROM ({ORDER_FACTS})")
+def subject_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_facts(spark, sf_dir).select("fact_id", t.normalize_subject(F.col("subject")).alias("s"))
+
+
+@query(f"SELECT fact_id, {m.normalize_predicate('predicate')} AS p FROM ({ORDER_FACTS})")
+def predicate_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_facts(spark, sf_dir).select("fact_id", t.normalize_predicate(F.col("predicate")).alias("p"))
+
+
+@query(f"SELECT fact_id, {m.normalize_scope('scope')} AS s FROM ({ORDER_FACTS})")
+def scope_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_facts(spark, sf_dir).select("fact_id", t.normalize_scope(F.col("scope")).alias("s"))
+
+
+@query(f"SELECT fact_id, {m.magnitude_label('value_text')} AS label, {m.magnitude('value_text')} AS scale FROM ({ORDER_FACTS})")
+def magnitude_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("value_text")
+    return _order_facts(spark, sf_dir).select("fact_id", n.magnitude_label(text).alias("label"), n.magnitude(text).alias("scale"))
+
+
+_NUMBER_SQL = f"SELECT *, {m.normalize_number('value_num', 'value_text', 'unit')} AS number FROM ({ORDER_FACTS})"
+
+
+@query(f"SELECT fact_id, round(number, 4) AS number, {m.is_numeric_text('value_text')} AS is_numeric FROM ({_NUMBER_SQL})")
+def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = n.normalize_number(F.col("value_num"), F.col("value_text"), F.col("unit"))
+    return _order_facts(spark, sf_dir).select("fact_id", F.round(number, 4).alias("number"), n.is_numeric_text(F.col("value_text")).alias("is_numeric"))
+
+
+_SHARE_SQL = f"""SELECT *, CASE WHEN {m.is_percentage('value_num', 'value_text', 'unit', m.normalize_predicate('predicate'), 'value_type')}
+  THEN CASE WHEN number > 1 THEN number / 100 ELSE number END END AS share FROM ({_NUMBER_SQL})"""
+
+
+@query(f"SELECT fact_id, round(share, 4) AS share FROM ({_SHARE_SQL})")
+def percent_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = n.normalize_percentage(F.col("value_num"), F.col("value_text"), F.col("unit"), t.normalize_predicate(F.col("predicate")), F.col("value_type"))
+    return _order_facts(spark, sf_dir).select("fact_id", F.round(share, 4).alias("share"))
+
+
+@query(f"SELECT fact_id, {m.normalize_currency('currency', 'value_text')} AS code FROM ({ORDER_FACTS})")
+def currency_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_facts(spark, sf_dir).select("fact_id", n.normalize_currency(F.col("currency"), F.col("value_text")).alias("code"))
+
+
+@query(f"SELECT fact_id, {m.normalize_unit('unit', 'value_text')} AS u FROM ({ORDER_FACTS})")
+def unit_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_facts(spark, sf_dir).select("fact_id", n.normalize_unit(F.col("unit"), F.col("value_text")).alias("u"))
+
+
+@query(f"SELECT fact_id, {m.period_columns('period')} FROM ({ORDER_FACTS})")
+def period_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_facts(spark, sf_dir).select("fact_id", parse_period(F.col("period")).alias("p")).select("fact_id", "p.*")
+
+
+NORMALIZED = f"""
+SELECT *, coalesce(normalized_percentage, number) AS normalized_value FROM (
+SELECT *, CASE WHEN {m.is_percentage('value_num', 'value_text', 'unit', 'normalized_predicate', 'value_type')}
+    THEN CASE WHEN number > 1 THEN number / 100 ELSE number END END AS normalized_percentage FROM (
+SELECT *, {m.normalize_subject('subject')} AS normalized_subject, {m.normalize_predicate('predicate')} AS normalized_predicate,
+  CASE WHEN object IS NOT NULL THEN {m.normalize_text('object')} END AS normalized_object,
+  {m.normalize_number('value_num', 'value_text', 'unit')} AS number, {m.normalize_unit('unit', 'value_text')} AS normalized_unit,
+  {m.normalize_currency('currency', "coalesce(value_text, '') || ' ' || coalesce(unit, '') || ' ' || coalesce(source_text, '')")} AS normalized_currency,
+  {m.normalize_scope('scope')} AS normalized_scope, {m.period_columns('period')}
+FROM (%s)))"""
+_NORMAL_COLUMNS = ["fact_id", "normalized_subject", "normalized_predicate", "normalized_object", "normalized_unit", "normalized_currency", "normalized_scope", "period_type", "period_start", "period_end", "period_label"]
+
+
+@query(f"SELECT {', '.join(_NORMAL_COLUMNS)}, round(normalized_value, 4) AS normalized_value, round(normalized_percentage, 4) AS normalized_percentage FROM ({m.filled(NORMALIZED, ORDER_FACTS)})")
+def normalize_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts.normalize_facts(_order_facts(spark, sf_dir))
+    return rows.select(*_NORMAL_COLUMNS, *[F.round(c, 4).alias(c) for c in ("normalized_value", "normalized_percentage")])
+
+
+_MATCH_TEXT = """array_to_string([x FOR x IN [trim(coalesce(nullif(normalized_subject, ''), subject, '')), trim(coalesce(nullif(normalized_predicate, ''), predicate, '')),
+  trim(coalesce(nullif(period_label, ''), period, '')), trim(coalesce(nullif(normalized_scope, ''), scope, ''))] IF x <> ''], ' | ')"""
+
+
+@query(f"SELECT fact_id, {_MATCH_TEXT} AS match_text FROM ({m.filled(NORMALIZED, ORDER_FACTS)})")
+def match_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.normalize_facts(_order_facts(spark, sf_dir)).select("fact_id", facts.match_text().alias("match_text"))
+
+
+@query(f"""SELECT fact_id, concat_ws(' ', nullif(subject, ''), nullif(predicate, ''), '= ' || nullif(coalesce(value_text, object), ''), nullif(unit, ''), nullif(currency, ''),
+  '(' || nullif(period, '') || ')', '[' || nullif(scope, '') || ']') AS statement FROM ({ORDER_FACTS})""")
+def fact_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.coalesce("value_text", "object")
+    line = t.describe_fact(F.col("subject"), F.col("predicate"), value, F.col("unit"), F.col("currency"), F.col("period"), F.col("scope"))
+    return _order_facts(spark, sf_dir).select("fact_id", line.alias("statement"))
+
+
+@query(rf"""SELECT c_custkey, CASE WHEN regexp_matches(w, '^[a-z0-9][a-z0-9 ._-]*$') THEN w END AS workspace
+FROM (SELECT c_custkey, substr({m.collapse_space("lower(raw)")}, 1, 40) AS w FROM (
+  SELECT c_custkey, '  ' || c_name || CASE c_custkey % 4 WHEN 0 THEN ' / x' WHEN 1 THEN '   TEAM_' || c_mktsegment WHEN 2 THEN repeat('x', 60) ELSE '' END AS raw FROM customer))""")
+def workspace_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.expr("'  ' || c_name || CASE c_custkey % 4 WHEN 0 THEN ' / x' WHEN 1 THEN '   TEAM_' || c_mktsegment WHEN 2 THEN repeat('x', 60) ELSE '' END")
+    return table(spark, sf_dir, "customer").select("c_custkey", t.workspace_name(raw).alias("workspace"))
+
+
+# Evidence and validation.
+
+
+_E, _C = m.normalize_evidence("b.text"), "d.large"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {m.normalize_evidence('text')} AS large FROM documents)
+SELECT b.item_id, d.doc_id FROM benchmark b JOIN d ON {_E} <> '' AND d.large <> ''
+  AND (contains({_C}, {_E}) OR (length(replace({_E}, ' ', '')) >= 12 AND contains(replace({_C}, ' ', ''), replace({_E}, ' ', ''))))""")
+def evidence_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage in every document that contains it: candidates share the passage's first words without spaces."""
+    small, width = t.normalize_evidence(F.col("text")), 12
+    tight = F.replace(small, F.lit(" "), F.lit(""))
+    items = table(spark, sf_dir, "benchmark").select("item_id", small.alias("e"), tight.alias("es")).where("e <> ''")
+    docs = table(spark, sf_dir, "documents").select("doc_id", small.alias("c"), tight.alias("cs")).where("c <> ''")
+    # A passage's first 12 characters, spaces left out, stand in each document that contains it; keys keep the join an equi-join.
+    keyed = items.where(F.length("es") >= width).withColumn("key", F.substring("es", 1, width))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("cs") - width + 1))
+    wanted = keyed.select("key").distinct()
+    spots = docs.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("cs"), i, F.lit(width))))).alias("key"))
+    near = spots.join(wanted, "key", "left_semi").join(keyed.select("key", "item_id", "e", "es"), "key").select("doc_id", "item_id", "e", "es").distinct()
+    long = near.join(docs, "doc_id").where(F.contains("c", "e") | F.contains("cs", "es")).select("item_id", "doc_id")
+    short = items.where(F.length("es") < width)
+    few = docs.join(short, F.contains("c", "e")).select("item_id", "doc_id")  # passages of under 12 characters only
+    return long.unionByName(few)
+
+
+_ISSUE_SQL = f"""
+SELECT *, CASE WHEN trim(coalesce(subject, '')) = '' THEN 'missing_field' WHEN trim(coalesce(predicate, '')) = '' THEN 'missing_field' WHEN trim(coalesce(source_text, '')) = '' THEN 'missing_field'
+  WHEN NOT (contains(c, e) OR (length(replace(e, ' ', '')) >= 12 AND contains(replace(c, ' ', ''), replace(e, ' ', '')))) THEN 'ungrounded_evidence'
+  WHEN confidence IS NULL OR NOT confidence BETWEEN 0 AND 1 THEN 'invalid_confidence'
+  WHEN value_num IS NULL AND trim(coalesce(value_text, '')) = '' AND trim(coalesce(object, '')) = '' THEN 'no_value' END AS issue_type
+FROM (SELECT *, {m.normalize_evidence('source_text')} AS e, {m.normalize_evidence('chunk_text')} AS c FROM ({CANDIDATES}))"""
+
+
+@query(f"SELECT fact_id, issue_type FROM ({_ISSUE_SQL})")
+def fact_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.validated(both(spark, sf_dir, CANDIDATES)).select("fact_id", "issue_type")
+
+
+@query(f"SELECT issue_type, count(*) AS n FROM ({_ISSUE_SQL}) WHERE issue_type IS NOT NULL GROUP BY issue_type")
+def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, issues = facts.split_candidates(both(spark, sf_dir, CANDIDATES))
+    return serving.class_totals(issues, "issue_type")
+
+
+@query(f"""SELECT issue_type, fact_id, place FROM (SELECT issue_type, fact_id, row_number() OVER (PARTITION BY issue_type ORDER BY created_at DESC, fact_id DESC)::INTEGER AS place
+  FROM ({_ISSUE_SQL}) WHERE issue_type IS NOT NULL) WHERE place <= 2""")
+def showcase_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = facts.validated(both(spark, sf_dir, CANDIDATES)).where("issue_type IS NOT NULL")
+    return serving.latest_per_type(marked, "created_at", "fact_id").select("issue_type", "fact_id", "place")
+
+
+_REPLY = """SELECT conv_id, turn, CASE (conv_id + turn) % 4
+  WHEN 0 THEN '<think>' || substr(role, 1, 4) || ' {x}</think>{"facts": [{"subject": "' || role || '", "turn": ' || CAST(turn AS STRING) || '}]}'
+  WHEN 1 THEN '```json\n{"facts": [{"subject": "' || role || '"}]}\n```'
+  WHEN 2 THEN 'Here you are: {"facts": []} as asked.' ELSE 'no facts for turn ' || CAST(turn AS STRING) END AS reply FROM conversations"""
+
+
+@query(f"""WITH r AS (SELECT *, trim(regexp_replace(regexp_replace(trim(regexp_replace(reply, '(?is)<think>.*?</think>', '', 'g')), '(?is)^```(?:json)?\\s*', ''), '\\s*```$', '')) AS bare FROM ({_REPLY}))
+SELECT conv_id, turn, CASE WHEN regexp_matches(bare, '^[\\[{{]') THEN bare WHEN regexp_extract(bare, '(?s)([\\[{{].*[\\]}}])', 1) <> '' THEN regexp_extract(bare, '(?s)([\\[{{].*[\\]}}])', 1) ELSE bare END AS payload,
+  CASE (conv_id + turn) % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS n_facts FROM r""")
+def json_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = t.json_payload(F.col("reply"))
+    parsed = F.from_json(payload, "facts array<struct<subject string, turn int>>")
+    rows = both(spark, sf_dir, _REPLY)
+    return rows.select("conv_id", "turn", payload.alias("payload"), F.when(parsed["facts"].isNotNull(), F.size(parsed["facts"])).alias("n_facts"))
+
+
+# Reconciliation.
+
+
+def revenue_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.normalize_facts(both(spark, sf_dir, REVENUE_FACTS))
+
+
+def _book_pairs(spark: SparkSession, sf_dir: str, same_year: bool) -> DataFrame:
+    """Facts of the two books on one subject and metric, of the same year or of a year and the one before."""
+    rows = revenue_facts(spark, sf_dir)
+    left, right = (reconcile.fact_struct(rows, x) for x in ("a", "b"))
+    years = "b.page_number = a.page_number" if same_year else "b.page_number = a.page_number - 1"
+    return left.join(right, F.expr(f"a.normalized_subject = b.normalized_subject AND a.normalized_predicate = b.normalized_predicate AND {years} AND a.document_id = 'orders-book' AND b.document_id = 'lines-book'"))
+
+
+def _book_sql(same_year: bool) -> str:
+    years = "b.page_number = a.page_number" if same_year else "b.page_number = a.page_number - 1"
+    return f"""
+WITH f AS ({m.filled(NORMALIZED, REVENUE_FACTS)}),
+p AS (SELECT a.fact_id AS fact_a, b.fact_id AS fact_b, a.normalized_subject AS subject, least(a.confidence, b.confidence, 1.0) AS confidence, a.period_label AS pa, b.period_label AS pb,
+    a.normalized_value AS va, b.normalized_value AS vb, a.page_number AS year_a, a.period_label = b.period_label AS same_period,
+    abs(a.normalized_value - b.normalized_value) / greatest(abs(a.normalized_value), abs(b.normalized_value), 1.0) AS percentage_difference
+  FROM f a JOIN f b ON a.normalized_subject = b.normalized_subject AND a.normalized_predicate = b.normalized_predicate AND {years}
+  AND a.document_id = 'orders-book' AND b.document_id = 'lines-book'),
+r AS (SELECT *, CASE WHEN NOT same_period THEN 'contextual_difference' WHEN percentage_difference <= 0.01 THEN 'corroborated' WHEN same_period THEN 'contradiction' ELSE 'uncertain' END AS relationship_type,
+  CASE WHEN NOT same_period THEN 'period differs' END AS context FROM p)
+SELECT * FROM r"""
+
+
+@query(f"SELECT fact_a, fact_b, relationship_type, context, round(percentage_difference, 6) AS percentage_difference, confidence FROM ({_book_sql(True)})")
+def reconcile_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Do the order book and the shipped lines agree on a nation's yearly revenue?"""
+    rows = reconcile.reconciled(_book_pairs(spark, sf_dir, True))
+    return rows.select(F.col("a.fact_id").alias("fact_a"), F.col("b.fact_id").alias("fact_b"), "relationship_type", "context", F.round("percentage_difference", 6).alias("percentage_difference"), "confidence")
+
+
+@query(f"SELECT relationship_type, count(*) AS n FROM ({_book_sql(True)}) GROUP BY relationship_type")
+def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.class_totals(reconcile.reconciled(_book_pairs(spark, sf_dir, True)))
+
+
+@query(f"SELECT fact_a, fact_b, relationship_type, context FROM ({_book_sql(False)})")
+def reconcile_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reconcile.reconciled(_book_pairs(spark, sf_dir, False))
+    return rows.select(F.col("a.fact_id").alias("fact_a"), F.col("b.fact_id").alias("fact_b"), "relationship_type", "context")
+
+
+_SEGMENTS = """SELECT 'seg-' || CAST(c_custkey AS STRING) || '-' || book AS fact_id, book AS document_id, 'p' AS page_id, 'c' AS chunk_id, 1 AS page_number, c_name AS subject,
+  'market segment' AS predicate, CASE WHEN book = 'b' AND c_custkey % 3 = 0 THEN 'OTHER' ELSE c_mktsegment END AS object, CAST(NULL AS DOUBLE) AS value_num, CAST(NULL AS STRING) AS value_text,
+  'text' AS value_type, CAST(NULL AS STRING) AS unit, CAST(NULL AS STRING) AS currency, CASE WHEN c_custkey % 2 = 0 THEN 'FY2024' END AS period, CAST(NULL AS STRING) AS scope,
+  c_name || ' segment' AS source_text, 0.7 AS confidence
+FROM customer JOIN (SELECT 'a' AS book UNION ALL SELECT 'b' AS book) AS books ON 1 = 1"""
+
+
+@query("""SELECT 'seg-' || c_custkey || '-a' AS fact_a, CASE WHEN c_custkey % 3 <> 0 THEN 'corroborated' WHEN c_custkey % 2 = 0 THEN 'contradiction' ELSE 'uncertain' END AS relationship_type FROM customer""")
+def reconcile_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts.normalize_facts(both(spark, sf_dir, _SEGMENTS))
+    left, right = (reconcile.fact_struct(rows, x) for x in ("a", "b"))
+    pairs_ = left.where("a.document_id = 'a'").join(right.where("b.document_id = 'b'"), F.expr("a.normalized_subject = b.normalized_subject"))
+    return reconcile.reconciled(pairs_).select(F.col("a.fact_id").alias("fact_a"), "relationship_type")
+
+
+@query(f"""SELECT fact_a, fact_b, relationship_type || ': ' || because AS summary, len(sims)::INTEGER AS n_similar, array_to_string(sims, ' ') AS similar, diff FROM (
+SELECT *, CASE relationship_type {' '.join(f"WHEN {m.quoted(k)} THEN {m.quoted(v)}" for k, v in reconcile.CLASS_REASONS.items())} ELSE {m.quoted(reconcile.NO_METADATA)} END AS because,
+  [x FOR x IN ['Both describe subject ''' || subject || '''.', 'Both describe metric ''revenue''.', CASE WHEN same_period THEN 'Both refer to period ''' || pa || '''.' END,
+   'Both refer to scope ''consolidated''.', 'Currency is compatible: USD.'] IF x IS NOT NULL] AS sims,
+  CASE WHEN NOT same_period THEN 'Periods differ: Fact A is ''' || pa || '''; Fact B is ''' || pb || '''.' END AS diff
+FROM ({_book_sql(False)}))""")
+def explain_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reconcile.explained(reconcile.reconciled(_book_pairs(spark, sf_dir, False)))
+    return rows.select(
+        F.col("a.fact_id").alias("fact_a"), F.col("b.fact_id").alias("fact_b"), "summary", F.size("key_similarities").alias("n_similar"),
+        F.array_join("key_similarities", " ").alias("similar"), 
+        F.get(F.filter("key_differences", lambda x: x.startswith("Periods")), F.lit(0)).alias("diff"),
+    )
+
+
+# Vectors and candidate pairs.
+
+
+def vector_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as facts: the label is the document, three workspaces, six subjects and five metrics."""
+    rows = vectors.usable(table(spark, sf_dir, "embeddings"))
+    return rows.select(
+        F.concat(F.lit("v"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("fact_id"), F.concat(F.lit("w"), (F.col("vec_id") % 3).cast("string")).alias("owner"),
+        F.concat(F.lit("d"), F.col("label").cast("string")).alias("document_id"), "embedding",
+        F.concat(F.lit("subject "), (F.col("vec_id") % 2).cast("string")).alias("normalized_subject"), F.concat(F.lit("metric_"), (F.col("vec_id") % 5 % 2).cast("string")).alias("normalized_predicate"),
+        F.expr("CASE vec_id % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'currency' WHEN 2 THEN 'percentage' END").alias("value_type"), F.expr("'FY' || CAST(2020 + vec_id % 3 AS STRING)").alias("period_label"),
+        F.expr("CAST(vec_id % 101 AS DOUBLE) / 100").alias("confidence"),
+    )
+
+
+VECTOR_FACTS = """SELECT 'v' || lpad(vec_id::VARCHAR, 9, '0') AS fact_id, 'w' || (vec_id % 3) AS owner, 'd' || label AS document_id, embedding::DOUBLE[] AS e, 'subject ' || (vec_id % 2) AS s, 'metric_' || (vec_id % 5 % 2) AS p,
+  CASE vec_id % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'currency' WHEN 2 THEN 'percentage' END AS value_type, 'FY' || (2020 + vec_id % 3) AS period_label, (vec_id % 101)::DOUBLE / 100 AS confidence
+FROM embeddings WHERE list_max([abs(x) FOR x IN embedding]) > 0"""
+MATCHES = f"""SELECT * FROM (SELECT q.fact_id, c.fact_id AS candidate_id, q.document_id AS qd, c.document_id AS cd, round(list_cosine_similarity(q.e, c.e), 6) AS similarity,
+  row_number() OVER (PARTITION BY q.fact_id ORDER BY round(list_cosine_similarity(q.e, c.e), 6) DESC, c.fact_id)::INTEGER AS rank
+  FROM ({VECTOR_FACTS}) q JOIN ({VECTOR_FACTS}) c ON q.owner = c.owner) WHERE rank <= 20"""
+
+
+@query(f"SELECT fact_id, candidate_id, similarity, rank FROM ({MATCHES})")
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector_facts(spark, sf_dir)
+    return vectors.similar(rows, rows).select("fact_id", "candidate_id", "similarity", "rank")
+
+
+@query(f"SELECT fact_id, candidate_id, similarity, rank FROM ({MATCHES}) WHERE qd <> cd")
+def knn_cross_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.document_matches(vector_facts(spark, sf_dir)).select("fact_id", "candidate_id", "similarity", "rank")
+
+
+#: The vectors of the tables are far apart, so their thresholds are low.
+NEAR = DEFAULTS.__class__(similarity_threshold=0.2, adjudication_similarity=0.25, match_confidence_threshold=0.15)
+_FIRST = f"""SELECT *, least(fact_id, candidate_id) AS fact_a, greatest(fact_id, candidate_id) AS fact_b FROM ({MATCHES}) WHERE qd <> cd AND fact_id <> candidate_id AND similarity >= %s
+  QUALIFY row_number() OVER (PARTITION BY least(fact_id, candidate_id), greatest(fact_id, candidate_id) ORDER BY fact_id, rank) = 1"""
+_COMPARED = f"""SELECT m.*, a.s = b.s AS same_subject, a.p = b.p AS same_predicate, a.value_type IS NULL OR b.value_type IS NULL OR
+    CASE a.value_type WHEN 'percentage' THEN 0 ELSE 1 END = CASE b.value_type WHEN 'percentage' THEN 0 ELSE 1 END AS same_type, a.period_label = b.period_label AS same_period, least(a.confidence, b.confidence) AS sure
+  FROM ({_FIRST}) m JOIN ({VECTOR_FACTS}) a ON a.fact_id = m.fact_a JOIN ({VECTOR_FACTS}) b ON b.fact_id = m.fact_b"""
+_KEPT = "'; value type compatible; object compatible; unit compatible; currency compatible' || CASE WHEN same_period THEN '' ELSE '; period differs; preserved for later analysis' END"
+
+
+@query(f"""SELECT fact_a, fact_b, similarity, least(similarity, sure) AS confidence, 'subject matches; predicate matches' || {_KEPT} AS reason
+FROM ({m.filled(_COMPARED, NEAR.similarity_threshold)}) WHERE same_subject AND same_predicate AND same_type AND similarity >= {NEAR.match_confidence_threshold}""")
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector_facts(spark, sf_dir)
+    found = pairs.candidate_pairs(vectors.document_matches(rows).select("fact_id", "candidate_id", "similarity", "rank"), rows, NEAR)
+    return found.select("fact_a", "fact_b", "similarity", "confidence", "reason")
+
+
+_POOL = f"""SELECT *, row_number() OVER (PARTITION BY qd ORDER BY fact_id, rank)::INTEGER AS encounter
+FROM ({m.filled(_COMPARED, NEAR.adjudication_similarity)}) WHERE NOT (same_subject AND same_predicate) QUALIFY encounter <= 400"""
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector_facts(spark, sf_dir)
+    return pairs.adjudication_pool(vectors.document_matches(rows).select("fact_id", "candidate_id", "similarity", "rank"), rows, NEAR)
+
+
+@query(f"SELECT qd AS document_id, encounter, fact_a, fact_b, CASE WHEN NOT same_subject THEN 'subject differs' ELSE 'predicate differs' END AS reason FROM ({_POOL})")
+def adjudication_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pool(spark, sf_dir).select("document_id", "encounter", "fact_a", "fact_b", "reason")
+
+
+@query(f"""SELECT fact_a, fact_b, similarity, similarity * 0.9 AS matching_score, 'subject and metric judged equivalent by adjudicator (same metric)' || {_KEPT} AS reason
+FROM ({_POOL}) WHERE same_predicate AND same_type AND similarity * 0.9 >= {NEAR.match_confidence_threshold}""")
+def adjudicated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge stands in that calls pairs with one metric the same."""
+    pool = _pool(spark, sf_dir)
+    verdicts = pool.select("pair_key", F.expr("a.normalized_predicate = b.normalized_predicate").alias("same"), F.lit("same metric").alias("reason"))
+    return pairs.adjudicated_pairs(pool, verdicts, NEAR).select("fact_a", "fact_b", "similarity", "matching_score", "reason")
+
+
+# Serving.
+
+
+@query(f"SELECT c.fact_id, c.document_id, m.similarity, m.rank FROM ({MATCHES}) m JOIN ({VECTOR_FACTS}) c ON c.fact_id = m.candidate_id WHERE m.fact_id = 'v000000000' AND m.rank <= 10")
+def fact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten facts nearest to fact 0 in its workspace."""
+    rows = vector_facts(spark, sf_dir)
+    found = vectors.similar(rows.where("fact_id = 'v000000000'"), rows, serving.checked_k(10)).select("candidate_id", "similarity", "rank")
+    return serving.hydrated(found, rows.select("fact_id", "document_id"), "candidate_id", "fact_id").select(F.col("candidate_id").alias("fact_id"), "document_id", "similarity", "rank")
+
+
+_RELATIONS = f"SELECT fact_a, fact_b, confidence FROM ({ORACLES['candidate_pairs']})"
+
+
+@query(f"""WITH r AS ({_RELATIONS}), d AS (SELECT fact_id FROM ({VECTOR_FACTS}) WHERE document_id = 'd1')
+SELECT fact_a, fact_b, confidence FROM r WHERE fact_a IN (FROM d) OR fact_b IN (FROM d)""")
+def relationships_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relations = candidate_pairs(spark, sf_dir).select("fact_a", "fact_b", "confidence")
+    return serving.relationships_touching(relations, vector_facts(spark, sf_dir).where("document_id = 'd1'"))
+
+
+@query(f"""WITH r AS ({_RELATIONS}), d AS (SELECT fact_id FROM ({VECTOR_FACTS}) WHERE document_id = 'd1')
+SELECT DISTINCT CASE WHEN fact_a IN (FROM d) THEN fact_b ELSE fact_a END AS fact_id FROM r WHERE (fact_a IN (FROM d)) <> (fact_b IN (FROM d))""")
+def ask_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relations = candidate_pairs(spark, sf_dir).select("fact_a", "fact_b", "confidence")
+    return serving.neighbours(relations, vector_facts(spark, sf_dir).where("document_id = 'd1'"))
+
+
+_CASES = f"""SELECT *, round(confidence + CASE relationship_type WHEN 'corroborated' THEN 0.5 WHEN 'contradiction' THEN least(0.5, percentage_difference) WHEN 'contextual_difference' THEN 0.25 ELSE 0 END + 0.05, 6) AS case_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY relationship_type ORDER BY confidence DESC, fact_a, fact_b) AS n FROM (SELECT * FROM ({_book_sql(True)}) UNION ALL SELECT * FROM ({_book_sql(False)}))) WHERE n <= 60"""
+
+
+def _book_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reconcile.reconciled(_book_pairs(spark, sf_dir, True).unionByName(_book_pairs(spark, sf_dir, False)))
+    return rows.withColumns({"fact_a": F.col("a.fact_id"), "fact_b": F.col("b.fact_id"), "adjudicated": F.lit(False)})
+
+
+@query(f"""SELECT relationship_type, place, fact_a, fact_b, case_score, place = 1 AS is_best FROM (
+  SELECT *, row_number() OVER (PARTITION BY relationship_type ORDER BY case_score DESC, confidence DESC, fact_a, fact_b)::INTEGER AS place FROM ({_CASES}))
+WHERE place <= CASE relationship_type WHEN 'uncertain' THEN 2 ELSE 3 END""")
+def showcase_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = serving.showcase_cases(_book_relationships(spark, sf_dir))
+    return rows.select("relationship_type", "place", "fact_a", "fact_b", F.round("case_score", 6).alias("case_score"), "is_best")
+
+
+@query(f"""SELECT 'relationships' AS part, relationship_type AS name, count(*) AS n FROM (SELECT * FROM ({_book_sql(True)}) UNION ALL SELECT * FROM ({_book_sql(False)})) GROUP BY ALL
+UNION ALL SELECT 'facts', document_id, count(*) FROM ({REVENUE_FACTS}) GROUP BY ALL""")
+def showcase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = serving.class_totals(_book_relationships(spark, sf_dir)).select(F.lit("relationships").alias("part"), F.col("relationship_type").alias("name"), "n")
+    books = serving.class_totals(revenue_facts(spark, sf_dir), "document_id").select(F.lit("facts").alias("part"), F.col("document_id").alias("name"), "n")
+    return kinds.unionByName(books)
+
+
+@query(f"""WITH f AS (SELECT c.fact_id, c.document_id, m.similarity, m.rank FROM ({MATCHES}) m JOIN ({VECTOR_FACTS}) c ON c.fact_id = m.candidate_id WHERE m.fact_id = 'v000000000' AND m.rank <= 8),
+p AS (SELECT 'p' || doc_id AS document_id, n_chars, md5(substr(text, 1, 1200)) AS quote, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 4)
+SELECT 'S' || row_number() OVER (ORDER BY k, rank) AS source_id, kind, fact_id, document_id, quote FROM (
+  SELECT 0 AS k, 'fact' AS kind, fact_id, document_id, rank, md5(fact_id) AS quote FROM f UNION ALL SELECT 1, 'passage', NULL, document_id, rank, quote FROM p)""")
+def ask_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of an answer about fact 0: its eight nearest facts, then four passages (of the longest texts, for want of a query vector)."""
+    rows = vector_facts(spark, sf_dir)
+    found = vectors.similar(rows.where("fact_id = 'v000000000'"), rows, serving.checked_k(8, 30)).select("candidate_id", "similarity", "rank")
+    near = serving.hydrated(found, rows.select("fact_id", "document_id"), "candidate_id", "fact_id").select(
+        F.col("candidate_id").alias("fact_id"), "document_id", F.col("rank").alias("order_in"), F.md5("candidate_id").alias("quote"), F.lit(None).cast("int").alias("page_number"),
+        F.lit(None).cast("string").alias("statement"), F.col("similarity").alias("score"))
+    longest = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(max(3, min(6, -(-8 // 2))))
+    passages = longest.select(
+        F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("document_id"), F.row_number().over(_longest()).alias("order_in"), F.md5(F.substring("text", 1, 1200)).alias("quote"),
+        F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("statement"), F.lit(None).cast("double").alias("score"))
+    return serving.numbered_sources(near, passages).select("source_id", "kind", "fact_id", "document_id", "quote")
+
+
+def _longest() -> Window:
+    return Window.orderBy(F.desc("n_chars"), "doc_id")
+
+
+_ANSWERS = """SELECT o_orderkey AS answer_id, 'Revenue rose [S' || CAST(o_orderkey % 5 + 1 AS STRING) || '] and fell [S' || CAST(o_custkey % 7 + 1 AS STRING) || '] [S99].' AS answer,
+  's' || CAST(o_orderkey % 3 + 1 AS STRING) AS cited FROM orders"""
+_SOURCES = "SELECT 'S' || CAST(n_nationkey + 1 AS STRING) AS source_id, n_name AS quote FROM nation"
+
+
+@query(f"""WITH a AS ({_ANSWERS}), s AS ({_SOURCES}), l AS (SELECT answer_id, upper(cited) AS source_id, true AS listed FROM a),
+g AS (SELECT DISTINCT answer_id, replace(replace(unnest(regexp_extract_all(answer, '\\[S\\d+\\]')), '[', ''), ']', '') AS source_id, false AS listed FROM a)
+SELECT u.answer_id, u.source_id, u.listed, s.quote FROM (FROM l UNION ALL SELECT * FROM g ANTI JOIN l USING (answer_id, source_id)) u JOIN s USING (source_id)""")
+def ask_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answers = both(spark, sf_dir, _ANSWERS).withColumn("cited", F.array("cited"))
+    return serving.resolved_citations(answers, both(spark, sf_dir, _SOURCES)).select("answer_id", "source_id", "listed", "quote")
+
+
+@query(f"""SELECT d.document_id, coalesce(f.n, 0) AS facts_count, coalesce(i.n, 0) AS issues_count FROM (SELECT DISTINCT document_id FROM ({ORDER_FACTS})) d
+LEFT JOIN (SELECT document_id, count(*) AS n FROM ({_ISSUE_SQL}) WHERE issue_type IS NULL GROUP BY ALL) f USING (document_id)
+LEFT JOIN (SELECT document_id, count(*) AS n FROM ({_ISSUE_SQL}) WHERE issue_type IS NOT NULL GROUP BY ALL) i USING (document_id)""")
+def document_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, issues = facts.split_candidates(both(spark, sf_dir, CANDIDATES))
+    return serving.document_counters(_order_facts(spark, sf_dir).select("document_id").distinct(), facts=valid, issues=issues)
+
+
+# Limits, leases, progress.
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS at FROM events),
+w AS (SELECT user_id, min(at) AS opened FROM e GROUP BY user_id
+  UNION ALL SELECT w.user_id, (SELECT min(at) FROM e WHERE e.user_id = w.user_id AND e.at >= w.opened + 86400000000) FROM w
+  WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = w.user_id AND e.at >= w.opened + 86400000000)),
+n AS (SELECT e.user_id, e.event_id, e.at, w.opened, row_number() OVER (PARTITION BY e.user_id, w.opened ORDER BY e.at, e.event_id) AS k
+  FROM e JOIN w ON e.user_id = w.user_id AND e.at >= w.opened AND e.at < w.opened + 86400000000)
+SELECT user_id, event_id, k <= 3 AS admitted, greatest(0, 3 - k)::INTEGER AS remaining, opened + 86400000000 - at AS reset_us FROM n""")
+def rate_limit_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 86_400, 3)
+
+
+@query("""SELECT event_id, user_id, sum(event_id % 500) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)::BIGINT AS spent FROM events""")
+def token_window_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("cost", F.col("event_id") % 500)
+    return stateful.window_spend(rows, "user_id", "ts", "cost", 86_400).select("event_id", "user_id", "spent")
+
+
+@query("SELECT user_id, max(ts) AS last_beat, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) > 120000000 AS stale FROM events GROUP BY user_id")
+def stale_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.leases(table(spark, sf_dir, "events"), "user_id", "ts")
+
+
+@query("""SELECT user_id, row_number() OVER (ORDER BY first_seen, user_id)::INTEGER AS place FROM (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_beat, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id)
+WHERE last_type <> 'purchase' AND epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_beat) > 120000000 QUALIFY place <= 100""")
+def resume_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred interrupted users by their start: last seen without a purchase, and silent for longer than a lease."""
+    events = table(spark, sf_dir, "events")
+    state = events.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+    waiting = state.where("last_type <> 'purchase'").join(stateful.leases(events, "user_id", "ts").where("stale"), "user_id")
+    first = waiting.orderBy("first_seen", "user_id").limit(100)
+    return first.select("user_id", F.row_number().over(Window.orderBy("first_seen", "user_id")).alias("place"))
+
+
+_STATUS = """SELECT o_orderkey AS document_id, CASE o_orderkey % 8 WHEN 0 THEN 'processed' WHEN 1 THEN 'failed' WHEN 2 THEN 'uploaded' ELSE 'processing' END AS status,
+  CASE o_orderkey % 7 WHEN 0 THEN 'waiting' WHEN 1 THEN 'parsing pages' WHEN 2 THEN 'embedding chunks ' || CAST(o_orderkey % 10 AS STRING) || '/10' WHEN 3 THEN 'extracting facts' WHEN 4 THEN 'matching 5/0'
+    WHEN 5 THEN 'matching 12/10' ELSE 'tidying up' END AS stage, CAST(o_custkey % 40 AS INT) AS chunk_count, CAST(o_custkey % 50 AS INT) AS processed, o_orderdate AS started_at, CAST(NULL AS TIMESTAMP) AS finished_at FROM orders"""
+
+
+@query(f"""WITH s AS (SELECT *, least(processed, chunk_count) AS done FROM ({_STATUS})),
+r AS (SELECT *, lower(stage) AS l, CASE WHEN nullif(regexp_extract(stage, '(\\d+)/(\\d+)', 2), '')::INT > 0 THEN least(1.0, regexp_extract(stage, '(\\d+)/(\\d+)', 1)::DOUBLE / regexp_extract(stage, '(\\d+)/(\\d+)', 2)::DOUBLE) ELSE 0.0 END AS f FROM s),
+k AS (SELECT *, CASE WHEN status = 'processed' THEN 'done' WHEN status = 'failed' THEN 'failed' WHEN status <> 'processing' THEN 'queued' WHEN contains(l, 'waiting') THEN 'queued' WHEN contains(l, 'parsing') THEN 'parsing'
+  WHEN contains(l, 'embedding chunks') THEN 'embedding' WHEN contains(l, 'extracting') THEN 'extracting' WHEN contains(l, 'matching') THEN 'matching' ELSE 'processing' END AS stage_key FROM r)
+SELECT document_id, stage_key, CASE WHEN status = 'processed' THEN 100 WHEN status = 'failed' THEN CASE WHEN chunk_count > 0 THEN floor(done * 86.0::DOUBLE / chunk_count + 0.5) ELSE 0 END WHEN status <> 'processing' THEN 0
+  ELSE CASE stage_key WHEN 'queued' THEN floor(0 + 2 * f + 0.5) WHEN 'parsing' THEN floor(2 + 4 * f + 0.5) WHEN 'embedding' THEN floor(6 + 6 * f + 0.5)
+    WHEN 'extracting' THEN floor(14 + 72 * CASE WHEN chunk_count > 0 THEN done::DOUBLE / chunk_count ELSE f END + 0.5) WHEN 'matching' THEN floor(91 + 8 * f + 0.5) ELSE 2 END END::INTEGER AS percent,
+  done AS processed_chunks, chunk_count - done AS remaining_chunks,
+  floor(epoch_us(TIMESTAMP '2002-01-01' - started_at) / 1e6 + 0.5)::BIGINT AS elapsed_seconds FROM (SELECT *, 0 AS z FROM k)""".replace("epoch_us(TIMESTAMP '2002-01-01' - started_at)", "(epoch_us(TIMESTAMP '2002-01-01') - epoch_us(started_at))"))
+def progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stateful.progress(both(spark, sf_dir, _STATUS), "2002-01-01 00:00:00")
+    return rows.select("document_id", "stage_key", "percent", "processed_chunks", "remaining_chunks", "elapsed_seconds")
+
+
+# Sinks and incremental ingest.
+
+
+@query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 3
+UNION ALL SELECT o_orderkey, 'X' AS o_orderstatus, o_totalprice + 1 FROM orders WHERE o_orderkey % 10 = 3""")
+def upsert_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    changed = orders.where("o_orderkey % 10 = 3").withColumns({"o_orderstatus": F.lit("X"), "o_totalprice": F.col("o_totalprice") + 1})
+    return replaced_by_key(orders, changed, ["o_orderkey"])
+
+
+@query(f"""WITH g AS (SELECT DISTINCT document_id FROM ({ORDER_FACTS}) WHERE CAST(substr(document_id, 5) AS INT) % 4 = 0)
+SELECT document_id, count(*) AS n FROM ({ORDER_FACTS}) WHERE document_id NOT IN (FROM g) GROUP BY document_id""")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _order_facts(spark, sf_dir)
+    gone = rows.select("document_id").where("CAST(substr(document_id, 5) AS INT) % 4 = 0").distinct()
+    return without_documents(rows, gone).groupBy("document_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH r AS ({_RELATIONS}), d AS (SELECT fact_id FROM ({VECTOR_FACTS}) WHERE document_id IN ('d1', 'd2'))
+SELECT fact_a, fact_b, confidence FROM r WHERE fact_a NOT IN (FROM d) AND fact_b NOT IN (FROM d)""")
+def relationships_without_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    relations = candidate_pairs(spark, sf_dir).select("fact_a", "fact_b", "confidence")
+    return without_facts(relations, vector_facts(spark, sf_dir).where("document_id IN ('d1', 'd2')"))
+
+
+@query(chunk_sql(8000))
+def pipeline_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages arrive as files; a stream cuts those it has not seen into chunks, twice, and the table holds each page's chunks once."""
+    return _digest(ingest.ingested_chunks(spark, f"{sf_dir}/documents.parquet", 8000))
