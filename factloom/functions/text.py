@@ -133,7 +133,8 @@ def citation_tags(answer: Column) -> Column:
 def stage_fraction(stage: Column) -> Column:
     """done/total in a stage's name, at most 1; null without them or with a total of 0."""
     done, total = (F.regexp_extract(stage, r"(\d+)/(\d+)", k).try_cast("double") for k in (1, 2))
-    return F.least(F.lit(1.0), F.try_divide(done, total))
+    share = F.try_divide(done, total)
+    return F.when(share > 1, 1.0).otherwise(share)
 
 
 def status_code(message: Column) -> Column:

@@ -14,7 +14,7 @@ from factloom.functions.periods import parse_period
 from factloom.operators import chunking, facts, pairs, reconcile, serving, stateful, vectors
 from factloom.plans import mirror as m
 from factloom.plans.inputs import CANDIDATES, ORDER_FACTS, REVENUE_FACTS, both
-from factloom.sources.tables import html_text, replaced_by_key, table, without_documents, without_facts
+from factloom.sources.tables import html_text, replaced_by_key, stored, table, without_documents, without_facts
 from factloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,7 +439,7 @@ def adjudication_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM ({_POOL}) WHERE same_predicate AND same_type AND similarity * 0.9 >= {NEAR.match_confidence_threshold}""")
 def adjudicated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A judge stands in that calls pairs with one metric the same."""
-    pool = _pool(spark, sf_dir)
+    pool = stored(_pool(spark, sf_dir), "pool")
     verdicts = pool.select("pair_key", F.expr("a.normalized_predicate = b.normalized_predicate").alias("same"), F.lit("same metric").alias("reason"))
     return pairs.adjudicated_pairs(pool, verdicts, NEAR).select("fact_a", "fact_b", "similarity", "matching_score", "reason")
 
@@ -543,13 +543,13 @@ def document_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Limits, leases, progress.
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS at FROM events),
-w AS (SELECT user_id, min(at) AS opened FROM e GROUP BY user_id
-  UNION ALL SELECT w.user_id, (SELECT min(at) FROM e WHERE e.user_id = w.user_id AND e.at >= w.opened + 86400000000) FROM w
-  WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = w.user_id AND e.at >= w.opened + 86400000000)),
-n AS (SELECT e.user_id, e.event_id, e.at, w.opened, row_number() OVER (PARTITION BY e.user_id, w.opened ORDER BY e.at, e.event_id) AS k
-  FROM e JOIN w ON e.user_id = w.user_id AND e.at >= w.opened AND e.at < w.opened + 86400000000)
-SELECT user_id, event_id, k <= 3 AS admitted, greatest(0, 3 - k)::INTEGER AS remaining, opened + 86400000000 - at AS reset_us FROM n""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t0 FROM events),
+w AS (SELECT user_id, min(t0) AS opened FROM e GROUP BY user_id
+  UNION ALL SELECT w.user_id, (SELECT min(t0) FROM e WHERE e.user_id = w.user_id AND e.t0 >= w.opened + 86400000000) FROM w
+  WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = w.user_id AND e.t0 >= w.opened + 86400000000)),
+n AS (SELECT e.user_id, e.event_id, e.t0, w.opened, row_number() OVER (PARTITION BY e.user_id, w.opened ORDER BY e.t0, e.event_id) AS k
+  FROM e JOIN w ON e.user_id = w.user_id AND e.t0 >= w.opened AND e.t0 < w.opened + 86400000000)
+SELECT user_id, event_id, k <= 3 AS admitted, greatest(0, 3 - k)::INTEGER AS remaining, opened + 86400000000 - t0 AS reset_us FROM n""")
 def rate_limit_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 86_400, 3)
 

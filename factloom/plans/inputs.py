@@ -13,6 +13,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def both(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of a portable SELECT over the folder's tables."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
     named = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", sql)}
     return spark.sql(re.sub(rf"\b({'|'.join(TABLES)})\b(?=\s|,|\)|$)", lambda m: "{" + m[1] + "}", sql), **named) if named else spark.sql(sql)
 
@@ -75,7 +76,7 @@ SELECT source || '-' || CAST(n_nationkey AS STRING) || '-' || y AS fact_id, sour
   CASE source WHEN 'orders' THEN 'Total Revenue' ELSE 'Net Sales' END AS predicate, CAST(NULL AS STRING) AS object, total AS value_num,
   CAST(NULL AS STRING) AS value_text, 'currency' AS value_type, CAST(NULL AS STRING) AS unit, 'USD' AS currency,
   CASE source WHEN 'orders' THEN 'FY' || y ELSE CASE WHEN n_nationkey % 5 = 4 THEN NULL ELSE 'fiscal year ' || y END END AS period, 'Consolidated' AS scope,
-  n_name || ' booked its revenue in ' || y AS source_text, CASE source WHEN 'orders' THEN 0.9 ELSE 0.8 END AS confidence
+  n_name || ' booked its revenue in ' || y AS source_text, CAST(CASE source WHEN 'orders' THEN 0.9 ELSE 0.8 END AS DOUBLE) AS confidence
 FROM (
   SELECT 'orders' AS source, n_nationkey, n_name, {_YEAR} AS y, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS total
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name, {_YEAR}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +19,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors share, under the session's spark.checkpoint.dir; a temporary one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """The rows written to a new shared folder and read back, so that what follows starts from a table."""
+    path = scratch(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def admitted_files(files: DataFrame) -> DataFrame:
     """PDF files of 1 byte to 200 MiB, by name and length (as binaryFile lists them)."""
     return files.where(F.lower("path").endswith(".pdf") & F.col("length").between(1, MOST_BYTES))

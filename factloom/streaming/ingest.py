@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators.chunking import chunks
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors share, under the session's spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from factloom.sources.tables import scratch
 
 
 def ingest_pages(spark: SparkSession, source: str, target: str, checkpoint: str, most: int) -> None:
@@ -24,12 +16,14 @@ def ingest_pages(spark: SparkSession, source: str, target: str, checkpoint: str,
     leaves its chunks once. The run ends when all files present are done.
     """
     schema = spark.read.parquet(source).schema
+    # A pattern, as a stream takes a single file only by one; it stands for a folder of files as well.
+    pattern = f"{source[:-1]}[{source[-1]}]"
 
     def write(batch: DataFrame, number: int) -> None:
         pages = batch.withColumn("page_number", F.lit(1))
         chunks(pages, "doc_id", "page_number", "text", most).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(pattern)
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
