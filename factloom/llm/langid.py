@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks_of, column_or
+from factloom.llm.common import blocks_of, column_or, materialize
 from factloom.llm.words import Substrings, mix, spans
 
 BITS = 18
@@ -156,6 +156,8 @@ def fit_languages(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Mode
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(usable)
     rows = rows.where(F.length("text") > 0)
     chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
+    # As a table of known size it need not drag all texts through a shuffle.
+    chosen = materialize(chosen.drop("k"), "chosen")
     taken = rows.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "text", F.md5(F.col("doc_id").cast("string")).alias("h"))
     data = taken.toPandas().sort_values(["h", "lang", "text"])
     labels = sorted(set(data.lang))
