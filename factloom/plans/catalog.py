@@ -11,10 +11,10 @@ from factloom.config import DEFAULTS
 from factloom.functions import numbers as n
 from factloom.functions import text as t
 from factloom.functions.periods import parse_period
-from factloom.operators import chunking, facts, pairs, reconcile, serving, stateful, vectors
+from factloom.operators import chunking, facts, grounding, pairs, reconcile, serving, stateful, vectors
 from factloom.plans import mirror as m
 from factloom.plans.inputs import CANDIDATES, ORDER_FACTS, REVENUE_FACTS, both
-from factloom.sources.tables import html_text, replaced_by_key, stored, table, without_documents, without_facts
+from factloom.sources.tables import html_text, replaced_by_key, spread, stored, table, without_documents, without_facts
 from factloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,7 +40,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 @query(f"SELECT doc_id, md5({m.collapse_space('text')}) AS text_md5, length({m.collapse_space('text')}) AS n_chars_tidy FROM documents")
 def page_normalize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
     tidy = t.collapse_space(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tidy).alias("text_md5"), F.length(tidy).cast("long").alias("n_chars_tidy"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(tidy).alias("text_md5"), F.length(tidy).cast("long").alias("n_chars_tidy"))
 
 
 def chunk_sql(most: int) -> str:
@@ -58,7 +58,7 @@ FROM cut WHERE chunk_index >= 0"""
 
 
 def _chunked(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
-    pages = table(spark, sf_dir, "documents").withColumn("page_number", F.lit(1))
+    pages = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("page_number", F.lit(1))
     return chunking.chunks(pages, "doc_id", "page_number", "text", most)
 
 
@@ -97,7 +97,7 @@ f AS (
   FROM f JOIN c ON c.document_id = f.document_id AND c.chunk_index = f.chunk_index + 1)
 SELECT document_id, chunk_index, cost, batch FROM f""")
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.token_batches(table(spark, sf_dir, "documents"), "doc_id", "text", 400)
+    return chunking.token_batches(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", 400)
 
 
 @query("SELECT vec_id, label, ((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 20)::INTEGER AS batch FROM embeddings")
@@ -233,21 +233,8 @@ WITH d AS (SELECT doc_id, {m.normalize_evidence('text')} AS large FROM documents
 SELECT b.item_id, d.doc_id FROM benchmark b JOIN d ON {_E} <> '' AND d.large <> ''
   AND (contains({_C}, {_E}) OR (length(replace({_E}, ' ', '')) >= 12 AND contains(replace({_C}, ' ', ''), replace({_E}, ' ', ''))))""")
 def evidence_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark passage in every document that contains it: candidates share the passage's first words without spaces."""
-    small, width = t.normalize_evidence(F.col("text")), 12
-    tight = F.replace(small, F.lit(" "), F.lit(""))
-    items = table(spark, sf_dir, "benchmark").select("item_id", small.alias("e"), tight.alias("es")).where("e <> ''")
-    docs = table(spark, sf_dir, "documents").select("doc_id", small.alias("c"), tight.alias("cs")).where("c <> ''")
-    # A passage's first 12 characters, spaces left out, stand in each document that contains it; keys keep the join an equi-join.
-    keyed = items.where(F.length("es") >= width).withColumn("key", F.substring("es", 1, width))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("cs") - width + 1))
-    wanted = keyed.select("key").distinct()
-    spots = docs.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("cs"), i, F.lit(width))))).alias("key"))
-    near = spots.join(wanted, "key", "left_semi").join(keyed.select("key", "item_id", "e", "es"), "key").select("doc_id", "item_id", "e", "es").distinct()
-    long = near.join(docs, "doc_id").where(F.contains("c", "e") | F.contains("cs", "es")).select("item_id", "doc_id")
-    short = items.where(F.length("es") < width)
-    few = docs.join(short, F.contains("c", "e")).select("item_id", "doc_id")  # passages of under 12 characters only
-    return long.unionByName(few)
+    """Every benchmark passage in every document that contains it."""
+    return grounding.occurrences(table(spark, sf_dir, "benchmark"), spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 _ISSUE_SQL = f"""

@@ -6,15 +6,17 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.sources.tables import table
+from factloom.sources.tables import spread, table
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+#: Tables whose rows get much work each.
+LONG = ("orders", "lineitem", "conversations")
 
 
 def both(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of a portable SELECT over the folder's tables."""
     sql = sql.replace("{", "{{").replace("}", "}}")
-    named = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", sql)}
+    named = {t: spread(table(spark, sf_dir, t)) if t in LONG else table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", sql)}
     return spark.sql(re.sub(rf"\b({'|'.join(TABLES)})\b(?=\s|,|\)|$)", lambda m: "{" + m[1] + "}", sql), **named) if named else spark.sql(sql)
 
 
