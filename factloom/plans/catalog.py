@@ -11,11 +11,12 @@ from factloom.config import DEFAULTS
 from factloom.functions import numbers as n
 from factloom.functions import text as t
 from factloom.functions.periods import parse_period
+from factloom.models import embed
 from factloom.operators import chunking, facts, grounding, pairs, reconcile, serving, stateful, vectors
 from factloom.plans import mirror as m
 from factloom.plans.inputs import CANDIDATES, ORDER_FACTS, REVENUE_FACTS, both
 from factloom.sources.tables import html_text, replaced_by_key, spread, stored, table, without_documents, without_facts
-from factloom.streaming import ingest
+from factloom.streaming import ingest, limits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -541,6 +542,12 @@ def rate_limit_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 86_400, 3)
 
 
+@query(ORACLES["rate_limit_fixed"])
+def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same limiter as a stateful stream over the event files."""
+    return limits.limited_files(spark, f"{sf_dir}/events.parquet", "user_id", "ts", "event_id", 86_400, 3)
+
+
 @query("""SELECT event_id, user_id, sum(event_id % 500) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)::BIGINT AS spent FROM events""")
 def token_window_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("cost", F.col("event_id") % 500)
@@ -582,6 +589,14 @@ def progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document_id", "stage_key", "percent", "processed_chunks", "remaining_chunks", "elapsed_seconds")
 
 
+@query("SELECT doc_id, 64 AS dimension, true AS is_unit FROM documents")
+def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's vector by the offline model, checked for its dimension and length."""
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", embed(F.col("text")).alias("v"))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
+    return rows.select("doc_id", F.size("v").alias("dimension"), (F.abs(size - 1) < 1e-9).alias("is_unit"))
+
+
 # Sinks and incremental ingest.
 
 
