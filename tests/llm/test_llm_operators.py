@@ -329,7 +329,12 @@ def test_mixture(spark):
     assert again == {(r.doc_id, r.taken) for r in mixed}
     order = [r.position for r in training_order(curriculum(docs)).collect()]
     assert order == sorted(order) and len(order) == sum(r.passes for r in mixed)
-    assert mixed_documents(docs).count() == len(order) and mixed_documents(docs).columns == docs.columns
+    assert mixed_documents(docs).columns == docs.columns
+    odd = docs.unionByName(docs.where("doc_id IN (5, 6)")).unionByName(docs.where("doc_id > 390").withColumn("doc_id", F.lit(None).cast("long")))
+    reads = {}
+    for r in mixed_documents(odd).collect():
+        reads[r.doc_id] = reads.get(r.doc_id, 0) + 1
+    assert reads[None] > 5 and all(n <= 2 or k in (None, 5, 6) for k, n in reads.items()) and reads.get(5, 0) in (0, 2, 4)
     assert curriculum(docs.limit(0)).collect() == []
 
 
