@@ -350,10 +350,10 @@ SELECT *, CASE relationship_type {' '.join(f"WHEN {m.quoted(k)} THEN {m.quoted(v
 FROM ({_book_sql(False)}))""")
 def explain_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reconcile.explained(reconcile.reconciled(_book_pairs(spark, sf_dir, False)))
+    periods = F.filter("key_differences", lambda x: x.startswith("Periods"))
     return rows.select(
         F.col("a.fact_id").alias("fact_a"), F.col("b.fact_id").alias("fact_b"), "summary", F.size("key_similarities").alias("n_similar"),
-        F.array_join("key_similarities", " ").alias("similar"), 
-        F.get(F.filter("key_differences", lambda x: x.startswith("Periods")), F.lit(0)).alias("diff"),
+        F.array_join("key_similarities", " ").alias("similar"), F.get(periods, F.lit(0)).alias("diff"),
     )
 
 
@@ -583,7 +583,7 @@ SELECT document_id, stage_key, CASE WHEN status = 'processed' THEN 100 WHEN stat
   ELSE CASE stage_key WHEN 'queued' THEN floor(0 + 2 * f + 0.5) WHEN 'parsing' THEN floor(2 + 4 * f + 0.5) WHEN 'embedding' THEN floor(6 + 6 * f + 0.5)
     WHEN 'extracting' THEN floor(14 + 72 * CASE WHEN chunk_count > 0 THEN done::DOUBLE / chunk_count ELSE f END + 0.5) WHEN 'matching' THEN floor(91 + 8 * f + 0.5) ELSE 2 END END::INTEGER AS percent,
   done AS processed_chunks, chunk_count - done AS remaining_chunks,
-  floor(epoch_us(TIMESTAMP '2002-01-01' - started_at) / 1e6 + 0.5)::BIGINT AS elapsed_seconds FROM (SELECT *, 0 AS z FROM k)""".replace("epoch_us(TIMESTAMP '2002-01-01' - started_at)", "(epoch_us(TIMESTAMP '2002-01-01') - epoch_us(started_at))"))
+  floor((epoch_us(TIMESTAMP '2002-01-01') - epoch_us(started_at)) / 1e6 + 0.5)::BIGINT AS elapsed_seconds FROM k""")
 def progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stateful.progress(both(spark, sf_dir, _STATUS), "2002-01-01 00:00:00")
     return rows.select("document_id", "stage_key", "percent", "processed_chunks", "remaining_chunks", "elapsed_seconds")
