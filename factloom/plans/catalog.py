@@ -12,7 +12,7 @@ from factloom.functions import numbers as n
 from factloom.functions import text as t
 from factloom.functions.periods import parse_period
 from factloom.models import embed
-from factloom.operators import chunking, facts, grounding, pairs, reconcile, serving, stateful, vectors
+from factloom.operators import chunking, documents, facts, grounding, pairs, reconcile, serving, stateful, vectors
 from factloom.plans import mirror as m
 from factloom.plans.inputs import CANDIDATES, ORDER_FACTS, REVENUE_FACTS, both
 from factloom.sources.tables import html_text, replaced_by_key, spread, stored, table, without_documents, without_facts
@@ -528,6 +528,53 @@ def document_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.document_counters(_order_facts(spark, sf_dir).select("document_id").distinct(), facts=valid, issues=issues)
 
 
+_META = f"SELECT DISTINCT document_id, 'Report ' || document_id AS title FROM ({ORDER_FACTS}) AS f WHERE CAST(substr(document_id, 5) AS INT) % 4 <> 0"
+
+
+@query(f"SELECT f.fact_id, f.document_id, d.title FROM ({ORDER_FACTS}) f LEFT JOIN ({_META}) d USING (document_id)")
+def populated_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents.populated(_order_facts(spark, sf_dir), document=both(spark, sf_dir, _META))
+    return rows.select("fact_id", "document_id", F.col("document.title").alias("title"))
+
+
+@query("""SELECT source AS document_id, md5(substr(string_agg(coalesce(text, ''), E'\\n\\n' ORDER BY doc_id), 1, 6000)) AS opening_md5
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 3 GROUP BY source""")
+def opening_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The opening of each source, as if its documents were the pages of one."""
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), "text")
+    return documents.opening_texts(pages).select("document_id", F.md5("opening").alias("opening_md5"))
+
+
+@query(f"""SELECT 'fact_' || fact_id AS vector_id, coalesce(normalized_subject, '') AS subject, coalesce(value_text, '') AS value, round(coalesce(normalized_value, 0), 4) AS normalized_value,
+  coalesce(normalized_unit, '') AS unit, coalesce(period_label, '') AS period FROM ({m.filled(NORMALIZED, ORDER_FACTS)})""")
+def vector_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents.vector_records(facts.normalize_facts(_order_facts(spark, sf_dir)))
+    return rows.select("vector_id", "subject", "value", F.round("normalized_value", 4).alias("normalized_value"), "unit", "period")
+
+
+_GIVEN = """SELECT conv_id, turn, '  ' || text || ' ' AS answer, CASE WHEN turn % 3 = 0 THEN NULL ELSE CAST(turn AS DOUBLE) / 2 - 1 END AS confidence,
+  CASE turn % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'none' WHEN 2 THEN 'all' END AS coverage FROM conversations"""
+
+
+@query(f"""SELECT conv_id, turn, md5(trim(coalesce(answer, ''))) AS answer_md5, greatest(0.0, least(1.0, coalesce(confidence, 0)))::DOUBLE AS confidence,
+  CASE WHEN coverage IN ('full', 'partial', 'none') THEN coverage ELSE 'partial' END AS coverage FROM ({_GIVEN})""")
+def sanitized_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents.sanitized_answers(both(spark, sf_dir, _GIVEN))
+    return rows.select("conv_id", "turn", F.md5("answer").alias("answer_md5"), "confidence", "coverage")
+
+
+@query(f"SELECT owner, count(*) AS n_facts, array_to_string(list_sort(list(DISTINCT document_id)), ',') AS documents FROM ({ORDER_FACTS}) GROUP BY owner")
+def workspace_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.workspace_totals(_order_facts(spark, sf_dir)).withColumn("documents", F.array_join("documents", ","))
+
+
+@query(f"""SELECT qd AS document_id, ((encounter - 1) // 20)::INTEGER AS request, (encounter - 1) % 20 + 1 AS place, fact_a || ':' || fact_b AS pair_key,
+  ((encounter - 1) % 20 + 1) || '. A: subject="unavailable", metric="unavailable", evidence="" B: subject="unavailable", metric="unavailable", evidence=""' AS line FROM ({_POOL})""")
+def judge_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector facts have no wording, so the lines show what stands for it."""
+    return documents.judge_listing(_pool(spark, sf_dir), DEFAULTS.adjudication_batch)
+
+
 # Limits, leases, progress.
 
 
