@@ -606,15 +606,14 @@ def stale_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.leases(table(spark, sf_dir, "events"), "user_id", "ts")
 
 
-@query("""SELECT user_id, row_number() OVER (ORDER BY first_seen, user_id)::INTEGER AS place FROM (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_beat, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id)
-WHERE last_type <> 'purchase' AND epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_beat) > 120000000 QUALIFY place <= 100""")
+@query("""SELECT user_id, first_seen, last_type FROM (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_beat, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id)
+WHERE last_type <> 'purchase' AND epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_beat) > 120000000""")
 def resume_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred interrupted users by their start: last seen without a purchase, and silent for longer than a lease."""
+    """Interrupted users by their start: last seen without a purchase, and silent for longer than a lease."""
     events = table(spark, sf_dir, "events")
     state = events.groupBy("user_id").agg(F.min("ts").alias("first_seen"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
     waiting = state.where("last_type <> 'purchase'").join(stateful.leases(events, "user_id", "ts").where("stale"), "user_id")
-    first = waiting.orderBy("first_seen", "user_id").limit(100)
-    return first.select("user_id", F.row_number().over(Window.orderBy("first_seen", "user_id")).alias("place"))
+    return waiting.select("user_id", "first_seen", "last_type").orderBy("first_seen", "user_id")
 
 
 _STATUS = """SELECT o_orderkey AS document_id, CASE o_orderkey % 8 WHEN 0 THEN 'processed' WHEN 1 THEN 'failed' WHEN 2 THEN 'uploaded' ELSE 'processing' END AS status,
