@@ -41,7 +41,8 @@ def extract_facts(chunks: DataFrame, extractor: Extractor = rule_extractor) -> D
                 for d, p, c, text in zip(batch.document_id, batch.page_number, batch.chunk_id, batch.text, strict=True)
                 for fact in extractor(text)
             ]
-            yield pd.DataFrame(rows, columns=names)
+            found = pd.DataFrame([[row.get(c) for c in names] for row in rows], columns=names, dtype=object)
+            yield found.astype({"page_number": "int32", "confidence": "float64"})
 
     pending = chunks.where("status <> 'skipped'").select(F.col("document_id").cast("string"), "page_number", "chunk_id", "text")
     return pending.mapInPandas(extract, CANDIDATE)

@@ -83,17 +83,18 @@ def html_text(column: Column) -> Column:
 
 def replaced_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``old`` without the keys that ``new`` has, and ``new``: an upsert, or a replacement of a key's rows."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+    kept = old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns)
+    return kept.unionByName(new, allowMissingColumns=True)
 
 
 def without_documents(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of documents that are not among ``gone`` (document_id)."""
-    return rows.join(gone.select("document_id").distinct(), "document_id", "left_anti")
+    return rows.join(gone.select("document_id").distinct(), "document_id", "left_anti").select(*rows.columns)
 
 
 def without_facts(relationships: DataFrame, gone: DataFrame) -> DataFrame:
     """Relationships with neither end among ``gone`` (fact_id)."""
-    ids = gone.select("fact_id").distinct()
+    ids, columns = gone.select("fact_id").distinct(), relationships.columns
     for end in ("fact_a", "fact_b"):
         relationships = relationships.join(ids.withColumnRenamed("fact_id", end), end, "left_anti")
-    return relationships
+    return relationships.select(*columns)
