@@ -167,15 +167,12 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
             for pattern, write in steps:
                 tracked = tracked.replaced(pattern, write)
             now = tracked.text
-    if tracked is None or not tracked.new.any():
+    if tracked is None:
         return []
     changed = np.concatenate(([0], np.cumsum(tracked.new)))
-    return [
-        (kind, int(tracked.start[a]), int(tracked.end[b - 1]))
-        for kind, find in FINDERS.items()
-        for a, b in find(tracked.text)
-        if changed[b] > changed[a]
-    ]
+    found = [(kind, a, b, int(tracked.start[a]), int(tracked.end[b - 1])) for kind, find in FINDERS.items() for a, b in find(tracked.text)]
+    # Nothing is written for a removed character, but the source's range is longer by it.
+    return [(kind, start, end) for kind, a, b, start, end in found if changed[b] > changed[a] or end - start > b - a]
 
 
 def personal_spans(text: str | None) -> list[tuple[str, int, int, bool]]:

@@ -246,6 +246,17 @@ def test_disguises_keep_offsets(spark):
     assert pii.find_personal_data(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("gone", ["\u00ad", "\u200b", "\u200c", "\u200d", "\u2060", "\ufeff"])
+def test_removed_characters_alone_are_a_disguise(spark, gone):
+    parts = [("card", f"4111{gone}1111{gone}1111{gone}1111"), ("email", f"john@exam{gone}ple.com"), ("ip", f"10.{gone}0.0.1"), ("phone", f"+49 30 {gone}1234567")]
+    for kind, part in parts:
+        text = f"so{gone}me {part}, then"
+        assert [(k, text[a:b], base) for k, a, b, base in pii.personal_spans(text)] == [(kind, part, False)]
+    assert pii.personal_spans(f"mail{gone} {gone}a@b.com{gone} and{gone}") == [("email", 7, 14, True)]
+    docs = make_docs(spark, [f"card {parts[0][1]}."])
+    assert [r.text for r in pii.redact(docs).collect()] == ["card [CARD]."]
+
+
 def test_languages(spark):
     draw = random.Random(4)
     vocabulary = {"xx": ["thun", "thor", "thalen", "othe"], "yy": ["éau", "queré", "leaux", "ment"], "zz": ["ción", "llado", "osque", "rrar"]}
