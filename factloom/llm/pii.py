@@ -97,9 +97,10 @@ _SPELLED = {
 _WORD = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
 _GLUE = r"(?:[\s,]+|\s*-\s*)"
 _UNIT = rf"(?:{_WORD}|[0-9]+)"
-#: At least three digits in words in a row, with digits, "plus" and "dot" among them.
+#: Digits in words, with digits, "plus" and "dot" among them; which of these count as a disguise, _spelled decides.
 _RUN = re.compile(rf"\b(?:plus{_GLUE})?{_UNIT}(?:{_GLUE}(?:dot{_GLUE})?{_UNIT})+\b", re.IGNORECASE)
-_HINT = re.compile(rf"\b{_WORD}{_GLUE}{_WORD}{_GLUE}{_WORD}\b", re.IGNORECASE)
+#: What every run that counts has: "plus" before a digit, or a digit in words beside another part of the run.
+_HINT = re.compile(rf"\bplus{_GLUE}{_UNIT}|\b{_WORD}{_GLUE}(?:dot\b|{_UNIT})|(?:[0-9]|\bdot){_GLUE}{_WORD}\b", re.IGNORECASE)
 
 _OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _AT = re.compile(rf"{_OPEN}(?:at|@|arroba|ät){_CLOSE}", re.IGNORECASE)
@@ -107,7 +108,7 @@ _DOT = re.compile(rf"{_OPEN}(?:dot|\.|punkt|punto|point){_CLOSE}", re.IGNORECASE
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.IGNORECASE)
 #: A bare "at" counts only before a host name that ends in a common top-level domain.
 _BARE_AT = re.compile(r"(?<=[A-Za-z0-9])\s+at\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|org|net|edu|gov|io|de|fr|es|info|co)\b)", re.IGNORECASE)
-_DISGUISE = re.compile(r"[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|punto|point)\s*[\])}>]|\sdot\s", re.IGNORECASE)
+_DISGUISE = re.compile(r"[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|punto|point)\s*[\])}>]|\s(?:at|dot)\s", re.IGNORECASE)
 
 
 class Tracked:
@@ -145,10 +146,12 @@ def _plain(m: re.Match) -> str:
 
 
 def _spelled(m: re.Match) -> str:
-    out = []
-    for unit in re.findall(r"\w+", m[0].lower()):
-        out.append({"plus": "+", "dot": "."}.get(unit) or _SPELLED.get(unit, unit))
-    return "".join(out) if sum(len(x) for x in out) >= 4 else m[0]
+    """A run written in digits if it begins with "plus" or has two words and more, one of them a digit: "one" alone is no disguise."""
+    units = re.findall(r"\w+", m[0].lower())
+    out = [{"plus": "+", "dot": "."}.get(unit) or _SPELLED.get(unit, unit) for unit in units]
+    words = sum(a != b for a, b in zip(units, out, strict=True))
+    counts = units[0] == "plus" or (words > 1 and any(unit in _SPELLED for unit in units))
+    return "".join(out) if counts and sum(len(x) for x in out) >= 4 else m[0]
 
 
 def disguised(text: str) -> list[tuple[str, int, int]]:

@@ -257,6 +257,32 @@ def test_removed_characters_alone_are_a_disguise(spark, gone):
     assert [r.text for r in pii.redact(docs).collect()] == ["card [CARD]."]
 
 
+def test_each_disguise_stands_alone():
+    cases = {
+        "mary at example.org": "email", "mary AT\tmail.example.org": "email", "mary[at]example.org": "email", "mary@example (dot) org": "email",
+        "mary@example dot org": "email", "mary <arroba> example.org": "email", "ten dot 10 dot 0 dot 1": None, "10 dot 10 dot 0 dot 1": "ip", "10[.]10.0.1": "ip",
+        "eight dot eight dot eight dot eight": "ip", "eight dot 8 dot eight dot 8": "ip", "8 dot 8 dot 8 dot eight": "ip",
+        "plus 49 30 1234567": "phone", "plus four nine 30 1234567": "phone", "+49 30 1234 five six 7": "phone",
+        "4111 1111 1111 one one one one": "card", "4111 one 111 1111 one 111": "card", "eins, zwei - drei": None, "one 2024 31": None,
+    }
+    other = " In four, five, six they [at] home looked , dot , on."
+    for part, kind in cases.items():
+        for text in (part, f"see {part}; ", f"see {part}; {other}"):
+            found = [(k, text[a:b], base) for k, a, b, base in pii.personal_spans(text)]
+            assert found == ([(kind, part, False)] if kind else []), text
+
+
+def test_hints_hold_wherever_a_step_writes():
+    draw = random.Random(12)
+    pieces = ["one", "Acht", "fünf", "two", "7", "4111", "dot", "at", "plus", "[at]", "(dot)", "x", "a.com", ",", "-", "[", "]", "@", "."]
+    for _ in range(20000):
+        text = "".join(draw.choice(pieces) + draw.choice([" ", "  ", "", "\n"]) for _ in range(draw.randrange(8)))
+        if pii.Tracked(text).replaced(pii._RUN, pii._spelled).text != text:
+            assert pii._HINT.search(text), text
+        for step in (pii._DOT, pii._AT, pii._BARE_DOT, pii._BARE_AT):
+            assert not step.search(text) or pii._DISGUISE.search(text), text
+
+
 def test_languages(spark):
     draw = random.Random(4)
     vocabulary = {"xx": ["thun", "thor", "thalen", "othe"], "yy": ["éau", "queré", "leaux", "ment"], "zz": ["ción", "llado", "osque", "rrar"]}
