@@ -179,13 +179,16 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
 
 
 def personal_spans(text: str | None) -> list[tuple[str, int, int, bool]]:
-    """(kind, start, end, base) in code points by start, then kind; those that only undoing shows are not base."""
+    """(kind, start, end, base) in code points by start, then kind; those that only undoing shows are not base.
+
+    Base spans stay; an undone span stands beside one that it overlaps unless the base span covers it.
+    """
     if not text:
         return []
     base = [(kind, a, b, True) for kind, find in FINDERS.items() for a, b in find(text)]
     more = []
     for kind, a, b in disguised(text):
-        if not any(k == kind and s < b and a < e for k, s, e, _ in base):
+        if not any(k == kind and s <= a and b <= e for k, s, e, _ in base):
             more.append((kind, a, b, False))
     return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

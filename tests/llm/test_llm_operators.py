@@ -272,6 +272,17 @@ def test_each_disguise_stands_alone():
             assert found == ([(kind, part, False)] if kind else []), text
 
 
+def test_undone_spans_stand_beside_shorter_base_spans(spark):
+    whole = {"mary [dot] jones@example.com": "email", "mary@mail.exam\u200bple.com": "email", "+49 30 123456788 five six": "phone"}
+    for part, kind in whole.items():
+        found = [(k, f"to {part}!"[a:b], base) for k, a, b, base in pii.personal_spans(f"to {part}!") if not base]
+        assert found == [(kind, part, False)], part
+    assert [s[1:] for s in pii.personal_spans("mary [dot] jones@example.com")] == [(0, 28, False), (11, 28, True)]
+    assert pii.personal_spans("a [at] b. jones@example.com, c@d.org") == [("email", 10, 27, True), ("email", 29, 36, True)]
+    docs = make_docs(spark, ["ask mary [dot] jones@example.com.", "at mary@mail.exam\u200bple.com or a@b.com"])
+    assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == ["ask [EMAIL].", "at [EMAIL] or [EMAIL]"]
+
+
 def test_hints_hold_wherever_a_step_writes():
     draw = random.Random(12)
     pieces = ["one", "Acht", "fünf", "two", "7", "4111", "dot", "at", "plus", "[at]", "(dot)", "x", "a.com", ",", "-", "[", "]", "@", "."]
