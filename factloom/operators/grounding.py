@@ -1,8 +1,8 @@
 """Where quoted evidence occurs: every document that contains a passage, without comparing all pairs.
 
-A passage's anchor is the hash of its first twelve characters, spaces left out (of the whole passage if it is
-shorter). Documents offer the hashes of all their windows; a bitmap of fixed size, made from the anchors, lets
-pass only windows that may be one. What passes is joined on the hash, and the texts themselves decide.
+A passage's anchor is the hash of its first twelve characters, spaces left out. If it has fewer without spaces,
+they count: such a passage occurs only as it stands. Documents offer the hashes of all their windows, with or without
+spaces as the anchors are; a bitmap of fixed size, made from the anchors, lets pass only windows that may be one. What passes is joined on the hash, and the texts themselves decide.
 """
 
 from __future__ import annotations
@@ -40,25 +40,27 @@ def occurrences(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     tight = F.replace(small, F.lit(" "), F.lit(""))
     items = evidence.select("item_id", small.alias("e"), tight.alias("es")).where("e <> ''")
     docs = documents.select("doc_id", small.alias("c"), tight.alias("cs")).where("c <> ''")
-    items = items.withColumn("anchor", F.when(F.length("es") >= WIDTH, F.substring("es", 1, WIDTH)).otherwise(F.col("e")))
+    items = items.withColumn("spaced", F.length("es") < WIDTH)
+    items = items.withColumn("anchor", F.substring(F.when(F.col("spaced"), F.col("e")).otherwise(F.col("es")), 1, WIDTH))
 
     @F.pandas_udf("long")
     def key(anchors):  # noqa: ANN001, ANN202
-        return anchors.map(lambda x: int(window_keys(x, min(len(x), WIDTH))[0]))
+        return anchors.map(lambda x: int(window_keys(x, len(x))[0]))
 
-    items = items.withColumn("width", F.least(F.length("anchor"), F.lit(WIDTH))).withColumn("key", key("anchor"))
-    found = items.select("width", (F.col("key") % (1 << BITS)).alias("slot")).distinct().collect()  # at most 2 ** BITS slots for each width
-    slots = {w: np.zeros(1 << BITS, dtype=bool) for w in {r["width"] for r in found}}
+    items = items.withColumn("width", F.length("anchor")).withColumn("key", key("anchor"))
+    # At most 2 ** BITS slots for each width with spaces and for the one without.
+    found = items.select("width", "spaced", (F.col("key") % (1 << BITS)).alias("slot")).distinct().collect()
+    slots = {form: np.zeros(1 << BITS, dtype=bool) for form in {(r["width"], r["spaced"]) for r in found}}
     for r in found:
-        slots[r["width"]][r["slot"]] = True
+        slots[r["width"], r["spaced"]][r["slot"]] = True
     shared = spark.sparkContext.broadcast(slots)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = [], []
-            for doc, spaced, strict in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for width, bits in shared.value.items():
-                    own = np.concatenate([window_keys(strict, width), window_keys(spaced, width)]) if width < WIDTH else window_keys(strict, width)
+            for doc, text, tight_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for (width, spaced), bits in shared.value.items():
+                    own = window_keys(text if spaced else tight_text, width)
                     own = np.unique(own[bits[own % (1 << BITS)]])
                     ids += [doc] * len(own)
                     keys += own.tolist()

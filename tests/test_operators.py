@@ -1,8 +1,11 @@
 """Validation, pairs, reconciliation, explanations, serving and ingest on small tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from factloom.operators import facts, pairs, reconcile, serving, vectors
+from factloom.functions.text import is_grounded, normalize_evidence
+from factloom.operators import facts, grounding, pairs, reconcile, serving, vectors
 from factloom.sources.tables import pages_from_files, plain_pdf_pages, replaced_by_key, without_facts
 from factloom.streaming import ingest
 
@@ -111,3 +114,20 @@ def test_pages_from_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("no")
     rows = pages_from_files(spark, str(tmp_path), plain_pdf_pages, "*").orderBy("page_number").collect()
     assert [(r.page_number, r.text) for r in rows] == [(1, "First page"), (2, "Second")]
+
+
+def test_short_evidence_by_force(spark):
+    draw = random.Random(3)
+    words = ["net", "sales", "up", "the", "cat", "sat", "on", "a", "Q4", "é"]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randrange(1, 40))) for _ in range(60)] + ["net  sales up", "thecatsaton", "x thecatsatonthe y", "", None]
+    passages = ["net sales up", "the cat sat on", "net sales", "a a a a a a a", "catsat"]
+    while len(passages) < 150:
+        text = draw.choice(texts[:60]) + " "
+        a, n = draw.randrange(len(text)), draw.randrange(8, 16)
+        passages.append(text[a : a + n])
+    evidence = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sorted(map(tuple, grounding.occurrences(evidence, documents).collect()))
+    pairs_of = evidence.withColumnRenamed("text", "e").crossJoin(documents.withColumnRenamed("text", "c"))
+    want = pairs_of.where(normalize_evidence(F.col("e")) != "").where(is_grounded(F.col("e"), F.col("c"))).select("item_id", "doc_id").collect()
+    assert found == sorted(map(tuple, want)) and len(found) > 300
