@@ -1,44 +1,93 @@
-"""The rate limiter as a stateful stream."""
+"""The rate limiter as a stream that keeps each key's open window."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factloom.operators.stateful import FixedWindow
 from factloom.sources.tables import scratch
 
+FOUND = ["admitted", "remaining", "reset_us", "opened", "hits", "limit_part"]
 
-def limited_stream(events: DataFrame, key: str, at: str, tie: str, width_seconds: int, most: int) -> DataFrame:
-    """A stream's events with admitted, remaining and reset_us; each key's open window is kept between micro-batches.
 
-    Within a micro-batch events go by ``at`` and ``tie``; across micro-batches in the order of arrival.
+def admitted_parts(batches: Iterator[pa.RecordBatch], width_us: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Events with their verdicts, and each key's window after its last event, for rows key, tie, at, opened, hits by key and ``at``.
+
+    A key's row without ``at`` comes first and holds the window that is open already. One part is written for each
+    one read, before the next is asked for; only one window is held.
+    """
+    window: FixedWindow | None = None
+    current, types = None, None
+
+    def part(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [*types, pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*names, *FOUND])
+
+    def kept() -> tuple:
+        return current, None, None, None, None, window.opened, window.hits, "window"
+
+    for batch in batches:
+        types, names = [batch.schema.field(0).type, batch.schema.field(1).type], batch.schema.names[:2]
+        rows = []
+        for key, tie, at, opened, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if window is None or key != current:
+                if window is not None:
+                    rows.append(kept())
+                current, window = key, FixedWindow(width_us, most)
+            if at is None:
+                window.opened, window.hits = opened, hits
+            else:
+                rows.append((key, tie, *window.hit(at), None, None, "event"))
+        yield part(rows)
+    if window is not None:
+        yield part([kept()])
+
+
+def limited_batch(target: str, key: str, at: str, tie: str, width_seconds: int, most: int) -> Callable[[DataFrame, int], None]:
+    """What writes one micro-batch: its events with admitted, remaining and reset_us, and all keys' windows after it.
+
+    Windows come from the folder of the micro-batch before, and a micro-batch repeated after a failure overwrites
+    its own. Spark sorts, and spills, the rows of a task; Python sees them in parts, however many a key has.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        types = dict(batch.dtypes)
+        rows = batch.select(key, tie, F.unix_micros(F.col(at).cast("timestamp")).alias("_at"), F.lit(None).cast("long").alias("opened"), F.lit(None).cast("int").alias("hits"))
+        rows = rows.where(F.col(key).isNotNull() & F.col("_at").isNotNull())
+        written = f"{key} {types[key]}, {tie} {types[tie]}, admitted boolean, remaining int, reset_us long, opened long, hits int, limit_part string"
+        if number:
+            before = batch.sparkSession.read.schema(written).parquet(f"{target}/limit_batch={number - 1}").where("limit_part = 'window'")
+            rows = rows.unionByName(before.select(key, tie, F.lit(None).cast("long").alias("_at"), "opened", "hits"))
+        rows = rows.repartition(F.col(key)).sortWithinPartitions(F.col(key), F.col("_at").asc_nulls_first(), F.col(tie))
+        out = rows.mapInArrow(lambda batches: admitted_parts(batches, width_seconds * 1_000_000, most), written)
+        out.write.mode("overwrite").partitionBy("limit_part").parquet(f"{target}/limit_batch={number}")
+
+    return write
+
+
+def limited_files(
+    spark: SparkSession, source: str, key: str, at: str, tie: str, width_seconds: int, most: int, most_bytes: int | None = None
+) -> DataFrame:
+    """The limiter over all event files under ``source``, as one available-now run.
+
+    Within a micro-batch events go by ``at`` and ``tie``, across micro-batches in the order of arrival. With
+    ``most_bytes`` a micro-batch takes files, oldest first, up to that size, which is right only if no event is
+    earlier than those of older files; without, one takes all files, whatever their order.
     """
-    types = dict(events.dtypes)
-
-    def admit(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, hits = state.get if state.exists else (-1, 0)
-        window = FixedWindow(width_seconds * 1_000_000, most, None if opened < 0 else opened, hits)
-        rows = pd.concat(list(parts)).sort_values(["_at", tie])
-        found = [window.hit(int(t)) for t in rows["_at"]]
-        state.update((window.opened, window.hits))
-        out = pd.DataFrame(found, columns=["admitted", "remaining", "reset_us"])
-        yield pd.DataFrame({key: group[0], tie: rows[tie].to_numpy(), "admitted": out.admitted, "remaining": out.remaining, "reset_us": out.reset_us})
-
-    rows = events.select(key, tie, F.unix_micros(F.col(at).cast("timestamp")).alias("_at")).where(F.col(key).isNotNull() & F.col(at).isNotNull())
-    schema = f"{key} {types[key]}, {tie} {types[tie]}, admitted boolean, remaining int, reset_us long"
-    return rows.groupBy(key).applyInPandasWithState(admit, schema, "opened long, hits int", "append", GroupStateTimeout.NoTimeout)
-
-
-def limited_files(spark: SparkSession, source: str, key: str, at: str, tie: str, width_seconds: int, most: int) -> DataFrame:
-    """The limiter over all event files under ``source``, as one available-now run."""
-    pattern = f"{source[:-1]}[{source[-1]}]"
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(pattern)
+    schema = spark.read.parquet(source).schema
+    reader = spark.readStream.schema(schema)
+    if most_bytes:
+        reader = reader.option("maxBytesPerTrigger", str(most_bytes))
+    stream = reader.parquet(f"{source[:-1]}[{source[-1]}]").select(key, at, tie)
     target, checkpoint = scratch(spark, "limited"), scratch(spark, "stream")
-    query = limited_stream(stream, key, at, tie, width_seconds, most).writeStream.format("parquet").option("path", target)
+    query = stream.writeStream.foreachBatch(limited_batch(target, key, at, tie, width_seconds, most))
     query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target)
+    types = dict(stream.dtypes)
+    written = f"{key} {types[key]}, {tie} {types[tie]}, admitted boolean, remaining int, reset_us long, limit_batch int, limit_part string"
+    found = spark.read.schema(written).parquet(target)
+    return found.where("limit_part = 'event'").select(key, tie, "admitted", "remaining", "reset_us")
