@@ -73,8 +73,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In training order: by the first position of each document, those that are not read last."""
     mixed = curriculum(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes")
+    return mixed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
 OP6_SQL = r"""

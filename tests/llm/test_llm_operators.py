@@ -17,6 +17,7 @@ from factloom.llm.mixing import curriculum, mixed_documents, training_order
 from factloom.llm.neardup import near_duplicates, without_near_duplicates
 from factloom.llm.packing import pack_documents, plan_packing, sequences
 from factloom.llm.quality import classify_quality
+from factloom.llm.queries import op6_source_mixture
 from factloom.llm.tokencount import CountTree, counts_after_edits, token_counter
 from factloom.llm.topk import top_k_products
 from factloom.llm.urlfilter import judge_captures
@@ -386,6 +387,15 @@ def test_mixture(spark):
     assert curriculum(docs.limit(0)).collect() == []
 
 
+def test_mixture_query_comes_in_training_order(spark):
+    folder = "/root/testdata/sf0.001"
+    first = {r.doc_id: r.positions[0] if r.positions else 2.0 for r in curriculum(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    found = op6_source_mixture(spark, folder)
+    assert found.columns == ["doc_id", "size", "source_size", "target", "taken", "passes"]
+    order = [first[r.doc_id] for r in found.collect()]
+    assert len(order) == len(first) and order == sorted(order)
+
+
 def test_url_lists(spark):
     captures = spark.createDataFrame(
         [(1, "http://a.b.example.com/x/y", "2024-03-01"), (2, "http://a.b.example.com/x/y", "2024-05-01"), (3, "https://u@B.example.com:80/z", "2024-03-01"),
