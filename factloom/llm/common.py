@@ -8,18 +8,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys with more rows than this are spread over several tasks.
+CROWD = 10_000
+#: The most rows of a list of crowded keys that is broadcast; a longer one is joined by a shuffle.
+LISTED = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session's ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Where the session names none, a local session (one machine, as in tests) gets a temporary folder; on a cluster it
+    is an error, as executors would each write to a disk of their own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.conf.get("factloom.shared.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("factloom.shared.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("factloom.shared.dir", named)
     return named.rstrip("/")
@@ -33,7 +40,39 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.stored_at = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` from which nothing will be read any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def crowded(rows: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+    """keys and ``salts``: the keys with more than ``most`` (CROWD) rows, and over how many parts to spread each.
+
+    It comes with a broadcast hint only if it was counted and found short.
+    """
+    most = most or CROWD
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("salts")).where(F.col("salts") > most)
+    hot = materialize(hot.select(*keys, F.ceil(F.col("salts") / most).cast("int").alias("salts")), "crowded")
+    return F.broadcast(hot) if hot.count() <= LISTED else hot
+
+
+def dealt(rows: DataFrame, hot: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    """``rows`` with ``_salt``: rows of a crowded key are dealt to its parts by ``spread`` (a long), others to part 0."""
+    salts = F.coalesce("salts", F.lit(1))
+    return rows.join(hot, keys, "left").withColumn("_salt", F.pmod(spread, salts).cast("int")).drop("salts")
+
+
+def copied(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows``, few to a key, once for each part of their key, as ``_salt``."""
+    parts = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
+    return rows.join(hot, keys, "left").withColumn("_salt", F.explode(parts)).drop("salts")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

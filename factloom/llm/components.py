@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize
+from factloom.llm.common import discard, materialize
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def small_star(edges: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """One row (node, component) for every node of ``links``; component is the least node reachable.
 
-    Each round writes its edges to the shared folder; the rounds end when the number of edges and the sum
+    Nodes may have any type that can be ordered. Each round writes its edges to the shared folder and deletes
+    those of the round before; the rounds end when the number of edges and the sum
     of their hashes no longer change. Links with a null end and self-links are left out; an empty input
     gives an empty result.
     """
@@ -35,7 +36,8 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
     edges = materialize(edges.distinct(), "edges")
     state = None
     while True:
-        edges = materialize(small_star(large_star(edges).distinct()).distinct(), "edges")
+        earlier, edges = edges, materialize(small_star(large_star(edges).distinct()).distinct(), "edges")
+        discard(earlier)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
