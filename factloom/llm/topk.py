@@ -1,9 +1,10 @@
 """Exact top-k search by inner product over whole numbers, with buckets by length.
 
 Candidates are grouped by length and, within a length bucket, dealt to tiles. A first score to beat comes for
-each query from the longest vectors. In each tile the score to beat turns into a cosine threshold: beyond 1
-the tile is skipped; if it is high, only candidates whose coordinate at the query's strongest position is
-near enough are verified (coordinate pruning); else all that are long enough (length pruning).
+each query from the longest vectors; buckets too short for it are never visited. In each tile the score to beat turns
+into a cosine threshold: beyond 1 the tile is skipped; if it is high, only candidates whose coordinates at the
+query's strongest positions are near enough are verified (coordinate pruning); else all that are long enough
+(length pruning).
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize
-from factloom.llm.tiles import finite_vectors, meet
+from factloom.llm.common import discard, materialize
+from factloom.llm.tiles import Bucket, finite_vectors, meet
 
 BUCKETS = 16
 #: The longest vectors from which queries get their first scores to beat.
 SEEDS = 2048
-#: Local cosine thresholds from which coordinates prune better than lengths.
-STEEP = 0.6
+#: Local cosine thresholds from which coordinates prune better than lengths, and the coordinates of a query that are looked at.
+STEEP, FOCUS = 0.5, 8
 
 
 def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -43,56 +44,73 @@ def best_rows(scores: np.ndarray, k: int) -> np.ndarray:
     return kept[np.argsort(-scores[kept], kind="stable")][:k]
 
 
-def _searched(k: int):  # noqa: ANN202
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        q, c = group[group.side == 0], group[group.side == 1].sort_values("vec_id")
-        out = {"query_id": [], "vec_id": [], "score": []}
-        for dim in set(q.vector.str.len()) & set(c.vector.str.len()) if len(q) and len(c) else ():
-            qd, cd = q[q.vector.str.len() == dim], c[c.vector.str.len() == dim]
-            qv, cv = np.stack(qd.vector.to_numpy()), np.stack(cd.vector.to_numpy())
-            ids = cd.vec_id.to_numpy()
-            new = np.ones(len(ids), dtype=bool)  # rows that repeat wholly count once
-            seen: set = set()
-            for i in np.flatnonzero(ids[1:] == ids[:-1]) if len(ids) > 1 else ():
-                seen |= {int(i), int(i) + 1}
-            rows = set()
-            for i in sorted(seen):
-                row = (int(ids[i]), cv[i].tobytes())
-                new[i] = row not in rows
-                rows.add(row)
-            ids, cv = ids[new], cv[new]
-            long_c, long_q = np.sqrt((cv * cv).sum(axis=1)), np.sqrt((qv * qv).sum(axis=1))
-            beat = qd.beat.to_numpy(dtype=float) - 0.5
-            longest = long_c.max()
-            with np.errstate(divide="ignore", invalid="ignore"):
-                local = np.where(long_q * longest > 0, beat / (long_q * longest), np.where(beat > 0, np.inf, -np.inf))
-            alive = local <= 1 + 1e-9
-            steep = alive & (local > STEEP)
-            flat = np.flatnonzero(alive & ~steep)
-            if len(flat):  # length pruning: only candidates that are long enough for any of these queries
-                least = np.where(beat[flat] > 0, beat[flat] / np.maximum(long_q[flat], 1e-300), -1.0).min()
-                kept = np.flatnonzero(long_c >= least * (1 - 1e-9))
-                scores = products(qv[flat], cv[kept])
-                for i, row in zip(flat, scores, strict=True):
-                    _take(out, int(qd.vec_id.iloc[i]), ids[kept], row, k)
-            if steep.any():  # coordinate pruning
-                unit = cv / np.maximum(long_c, 1e-300)[:, None]
-                order = np.argsort(unit, axis=0)
-                for i in np.flatnonzero(steep):
-                    direction = qv[i] / long_q[i]
-                    f = int(np.argmax(np.abs(direction)))
-                    t = min(1.0, float(local[i]))
-                    reach = np.sqrt(max(0.0, (1 - t * t) * (1 - direction[f] ** 2))) + 1e-9
-                    column = unit[order[:, f], f]
-                    a, b = np.searchsorted(column, [direction[f] * t - reach, 1 + 1e-9 if direction[f] > t else direction[f] * t + reach])
-                    if direction[f] < -t:
-                        a = 0
-                    kept = np.sort(order[a:b, f])
-                    if len(kept):
-                        _take(out, int(qd.vec_id.iloc[i]), ids[kept], products(qv[i : i + 1], cv[kept])[0], k)
-        return pd.DataFrame(out, dtype="int64")
-
-    return search
+def once(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Marks rows, sorted by id, of which rows that repeat wholly are marked once."""
+    new, rows = np.ones(len(ids), dtype=bool), set()
+    near = np.flatnonzero(ids[1:] == ids[:-1])
+    for i in sorted({*near.tolist(), *(near + 1).tolist()}):
+        row = (int(ids[i]), vectors[i].tobytes())
+        new[i] = row not in rows
+        rows.add(row)
+    return new
+
+
+def by_length(out: dict, asked: np.ndarray, queries: np.ndarray, beat: np.ndarray, ids: np.ndarray, tile: np.ndarray, lengths: np.ndarray, k: int) -> int:
+    """Length pruning: verifies the candidates that are long enough for any of these queries; gives the products made."""
+    long_q = np.sqrt((queries * queries).sum(axis=1))
+    least = np.where(beat > 0, beat / np.maximum(long_q, 1e-300), -1.0).min()
+    kept = np.flatnonzero(lengths >= least * (1 - 1e-9))
+    for query, row in zip(asked, products(queries, tile[kept]), strict=True):
+        _take(out, int(query), ids[kept], row, k)
+    return len(asked) * len(kept)
+
+
+def by_coordinates(out: dict, asked: np.ndarray, queries: np.ndarray, local: np.ndarray, ids: np.ndarray, tile: np.ndarray, lengths: np.ndarray, k: int) -> int:
+    """Coordinate pruning: of the candidates near enough at the query's strongest coordinate, verifies those whose
+    cosine can still reach the local threshold given all of its FOCUS strongest; gives the products made."""
+    unit = tile / np.maximum(lengths, 1e-300)[:, None]
+    made, sorted_by = 0, {}
+    for i, query in enumerate(asked):
+        direction = queries[i] / np.sqrt(queries[i] @ queries[i])
+        strong = np.argsort(-np.abs(direction))[:FOCUS]
+        f, t = int(strong[0]), min(1.0, float(local[i]))
+        if f not in sorted_by:
+            order = np.argsort(unit[:, f])
+            sorted_by[f] = order, unit[order, f]
+        order, column = sorted_by[f]
+        reach = np.sqrt(max(0.0, (1 - t * t) * (1 - direction[f] ** 2))) + 1e-9
+        low = -np.inf if direction[f] < -t else direction[f] * t - reach
+        high = np.inf if direction[f] > t else direction[f] * t + reach
+        kept = np.sort(order[np.searchsorted(column, low) : np.searchsorted(column, high, side="right")])
+        part = unit[kept][:, strong]
+        rest = np.sqrt(np.maximum(0.0, 1 - (part * part).sum(axis=1)) * max(0.0, 1 - (direction[strong] ** 2).sum()))
+        kept = kept[part @ direction[strong] + rest >= t - 1e-9]
+        made += len(kept)
+        if len(kept):
+            _take(out, int(query), ids[kept], products(queries[i : i + 1], tile[kept])[0], k)
+    return made
+
+
+def search_tile(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query_id, vec_id and score of a tile's k best for each query, without those that can't reach its score to beat."""
+    c = c.sort_values("vec_id")
+    out = {"query_id": [], "vec_id": [], "score": []}
+    for dim in set(q.vector.str.len()) & set(c.vector.str.len()) if len(q) and len(c) else ():
+        qd, cd = q[q.vector.str.len() == dim], c[c.vector.str.len() == dim]
+        asked, qv, cv, ids = qd.vec_id.to_numpy(), np.stack(qd.vector.to_numpy()), np.stack(cd.vector.to_numpy()), cd.vec_id.to_numpy()
+        new = once(ids, cv)
+        ids, cv = ids[new], cv[new]
+        long_c, long_q = np.sqrt((cv * cv).sum(axis=1)), np.sqrt((qv * qv).sum(axis=1))
+        beat, most = qd.beat.to_numpy(dtype=float) - 0.5, long_q * long_c.max()
+        local = np.where(most > 0, beat / np.where(most > 0, most, 1), np.where(beat > 0, np.inf, -np.inf))
+        alive = local <= 1 + 1e-9
+        steep = alive & (local > STEEP)
+        flat = alive & ~steep
+        if flat.any():
+            by_length(out, asked[flat], qv[flat], beat[flat], ids, cv, long_c, k)
+        if steep.any():
+            by_coordinates(out, asked[steep], qv[steep], local[steep], ids, cv, long_c, k)
+    return pd.DataFrame(out, dtype="int64")
 
 
 def _take(out: dict, query: int, ids: np.ndarray, scores: np.ndarray, k: int) -> None:
@@ -121,7 +139,8 @@ def top_k_products(table: DataFrame, is_query: str = "vec_id % 50 = 0", k: int =
     marks = rows.agg(F.percentile_approx("norm", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0]
     cuts = sorted(set(marks or []))
     bucket = sum((F.when(F.col("norm") >= x, 1).otherwise(0) for x in cuts), F.lit(0))
-    sizes = {r["b"]: r["n"] for r in rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()}
+    held = rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.max("norm").alias("longest"), F.max(F.size("vector")).alias("width")).collect()
+    buckets = {r["b"]: Bucket(r["n"], r["longest"]) for r in held}
 
     seeds = rows.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).dropDuplicates(["vec_id"]).toPandas()
     by_size = {n: (g.vec_id.to_numpy(), np.stack(g.vector.to_numpy())) for n, g in seeds.groupby(seeds.vector.str.len())} if len(seeds) else {}
@@ -138,12 +157,19 @@ def top_k_products(table: DataFrame, is_query: str = "vec_id % 50 = 0", k: int =
         return pd.Series(out)
 
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    queries = queries.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)))
     queries = materialize(queries.withColumn("beat", first_score("vec_id", "vector")), "queries")
     candidates = rows.withColumn("beat", F.lit(None).cast("long"))
     dealt = meet(
-        queries.withColumn("norm", F.lit(None).cast("double")), candidates.select("vec_id", "vector", "beat", "norm"), bucket, sizes, queries.count()
+        queries, candidates.select("vec_id", "vector", "beat", "norm"), bucket, buckets, queries.count(), max((r["width"] for r in held), default=0),
+        # A product is at most the product of the lengths; a bucket whose longest is too short is passed by.
+        worth=lambda longest: F.col("beat") - 0.5 <= F.col("norm") * longest * (1 + 1e-9),
     ).drop("norm")
-    found = dealt.groupBy("tile", "block").applyInPandas(_searched(k), "query_id long, vec_id long, score long")
+    found = dealt.groupBy("tile", "block").applyInPandas(
+        lambda g: search_tile(g[g.side == 0], g[g.side == 1], k), "query_id long, vec_id long, score long"
+    )
+    found = materialize(found, "found")
+    discard(rows, queries)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
