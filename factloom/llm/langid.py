@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks_of, column_or, materialize
+from factloom.llm.common import blocks_of, column_or, discard, materialize
 from factloom.llm.words import Substrings, mix, spans
 
 BITS = 18
 #: Documents of each language that a model is fitted on: those with the least hashes of their ids.
 SAMPLE = 150
+#: Stretches of these documents, of each language, that reach the driver.
+STRETCHES = 4000
 STRETCH = 256
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.3, 1e-5
 UNKNOWN = "und"
@@ -147,72 +149,107 @@ def forward_backward(scores: np.ndarray, move: np.ndarray, at: np.ndarray) -> tu
     return shares, before, hot, after
 
 
-def fit_languages(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
+def stretches_of(text: str, seed: int) -> list[str]:
+    """The words of a text in stretches of 8 to 64, whose lengths follow from ``seed``."""
+    words, draw, out, k = text.split(), np.random.default_rng(seed & (2**63 - 1)), [], 0
+    while k < len(words):
+        n = int(draw.integers(8, 65))
+        out.append(" ".join(words[k : k + n]))
+        k += n
+    return out
+
+
+def fit_languages(docs: DataFrame, usable: Column, sample: int = SAMPLE, stretches: int = STRETCHES) -> Model:
     """A model of the languages in ``lang``, from rows for which ``usable`` holds and text and lang are there.
 
-    Of each language at most ``sample`` documents are used, whole, those with the least md5 of their doc_id.
+    The sample is bounded: of each language at most ``sample`` distinct documents (rows that agree in doc_id, lang and
+    text count once), those with the least md5 of their doc_id, then the least hash of their text; of these, cut on
+    the executors into stretches of at most 64 words, at most ``stretches`` of each language, those with the least
+    hashes. Only these stretches reach the driver.
     """
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(usable)
-    rows = rows.where(F.length("text") > 0)
-    chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
+    rows = rows.where(F.length("text") > 0).select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    key = ["doc_id", "lang", "h"]
+    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "h")
+    chosen = rows.select(*key).distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
     # As a table of known size it need not drag all texts through a shuffle.
     chosen = materialize(chosen.drop("k"), "chosen")
-    taken = rows.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "text", F.md5(F.col("doc_id").cast("string")).alias("h"))
-    data = taken.toPandas().sort_values(["h", "lang", "text"])
+    taken = rows.join(chosen, key).dropDuplicates(key).select("lang", "h", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, h, text in zip(*(column_or(batch, c).to_pylist() for c in ("lang", "h", "text")), strict=True):
+                found = stretches_of(text, h)
+                columns = [pa.array([lang] * len(found), pa.string()), pa.array([h] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "h", "n", "piece"])
+
+    pieces = taken.mapInArrow(cut, "lang string, h long, n long, piece string")
+    least = Window.partitionBy("lang").orderBy(F.xxhash64("h", "n"), "h", "n")
+    pieces = pieces.withColumn("k", F.row_number().over(least)).where(F.col("k") <= stretches).drop("k")
+    data = pieces.toPandas().sort_values(["h", "lang", "n"])
+    discard(chosen)
     labels = sorted(set(data.lang))
-    return _fit(labels, data.text.tolist(), [labels.index(x) for x in data.lang])
+    return _fit(labels, data.piece.tolist(), [labels.index(x) for x in data.lang])
+
 
+def slopes(model: Model, group: list[tuple[str, int]], chained: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The slopes of the negative log-likelihood, a mean over chains of ``chained`` stretches (text, label) each.
 
-def _fit(labels: list[str], texts: list[str], tags: list[int]) -> Model:
+    Rows of ``emit`` with a slope, these slopes, and those of ``move``; None if no stretch has a word.
+    """
+    size = len(model.labels)
+    scores, at, found = emissions(model, [x for x, _ in group])
+    if not len(scores):
+        return None
+    truth = np.repeat([tag for _, tag in group], np.diff(at))
+    chain = np.append(at[:-1][::chained], at[-1])
+    shares, before, hot, after = forward_backward(scores, model.move, chain)
+    chains = len(chain) - 1
+    slope = shares.copy()
+    slope[np.arange(len(truth)), truth] -= 1
+    slope /= chains
+    grad = np.zeros(model.emit.shape)
+    for slots, first in found:
+        rows = slope if first is None else slope[np.repeat(np.arange(len(first)), np.diff(first, append=len(slots)))]
+        for label in range(size):
+            grad[:, label] += np.bincount(slots, rows[:, label], minlength=len(grad))
+    used = np.flatnonzero(grad.any(axis=1))
+    step = np.exp(model.move - model.move.max())
+    pair = before[:, :, None] * step * (hot * after)[:, None, :]
+    pair /= pair.sum(axis=(1, 2), keepdims=True)
+    # A chain's first word is entered from every label alike; given its label, from each by its share.
+    inner = np.ones(len(truth), dtype=bool)
+    inner[chain[:-1][chain[:-1] < len(truth)]] = False
+    real = np.zeros((size, size))
+    np.add.at(real, (truth[:-1][inner[1:]], truth[1:][inner[1:]]), 1)
+    enter = step / step.sum(axis=0)
+    for label, n in enumerate(np.bincount(truth[~inner], minlength=size)):
+        real[:, label] += n * enter[:, label]
+    return used, grad[used], (pair.sum(axis=0) - real) / chains
+
+
+def _fit(labels: list[str], pieces: list[str], tags: list[int]) -> Model:
     size = len(labels)
-    _, words, _ = word_features(texts)
+    _, words, _ = word_features(pieces)
     lexicon, seen = np.unique(words, return_counts=True)
     lexicon = lexicon[seen > 1]
     model = Model(labels, np.zeros(((1 << BITS) + len(lexicon) + 1, size), dtype=np.float32), np.zeros((size, size)), lexicon)
     if size < 2:
         return model
-    # Stretches of 8 to 64 words, in an order that mixes the languages.
-    draw = np.random.default_rng(7)
-    pieces: list[tuple[str, int]] = []
-    for text, tag in zip(texts, tags, strict=True):
-        own, k = text.split(), 0
-        while k < len(own):
-            n = int(draw.integers(8, 65))
-            pieces.append((" ".join(own[k : k + n]), tag))
-            k += n
+    # In an order that mixes the languages.
+    draw, tagged = np.random.default_rng(7), list(zip(pieces, tags, strict=True))
     seen_emit, seen_move = np.full(model.emit.shape, 1e-6, np.float32), np.full((size, size), 1e-6)
     for _ in range(EPOCHS):
-        draw.shuffle(pieces)
-        for low in range(0, len(pieces), BATCH * 8):
-            group = pieces[low : low + BATCH * 8]
-            scores, at, found = emissions(model, [x for x, _ in group])
-            if not len(scores):
+        draw.shuffle(tagged)
+        for low in range(0, len(tagged), BATCH * 8):
+            found = slopes(model, tagged[low : low + BATCH * 8])
+            if found is None:
                 continue
-            truth = np.repeat([tag for _, tag in group], np.diff(at))
-            chain = at[::8] if at[-1] == at[::8][-1] else np.append(at[::8], at[-1])
-            shares, before, hot, after = forward_backward(scores, model.move, chain)
-            slope = shares.copy()
-            slope[np.arange(len(truth)), truth] -= 1
-            slope /= len(chain) - 1
-            grad = np.zeros_like(model.emit)
-            for slots, first in found:
-                rows = slope if first is None else slope[np.repeat(np.arange(len(first)), np.diff(first, append=len(slots)))]
-                for label in range(size):
-                    grad[:, label] += np.bincount(slots, rows[:, label], minlength=len(grad))
-            used = np.flatnonzero(grad.any(axis=1))
-            g = grad[used] + DECAY * model.emit[used]
+            used, grad, grad_move = found
+            g = (grad + DECAY * model.emit[used]).astype(np.float32)
             seen_emit[used] += g * g
             model.emit[used] -= RATE * g / np.sqrt(seen_emit[used])
-            inner = np.ones(len(truth), dtype=bool)
-            inner[chain[:-1][chain[:-1] < len(truth)]] = False
-            step = np.exp(model.move - model.move.max())
-            pair = before[:, :, None] * step * (hot * after)[:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            expected = pair[inner].sum(axis=0)
-            real = np.zeros((size, size))
-            np.add.at(real, (truth[:-1][inner[1:]], truth[1:][inner[1:]]), 1)
-            g = (expected - real) / (len(chain) - 1) + DECAY * model.move
+            g = grad_move + DECAY * model.move
             seen_move += g * g
             model.move -= RATE * g / np.sqrt(seen_move)
     return model

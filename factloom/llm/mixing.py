@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize
+from factloom.llm.common import copied, crowded, dealt, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words of a range of training positions that one task sorts, and the most ranges.
+RANGE_WORDS, MOST_RANGES = 4_000_000, 100_000
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], total: float, most: float) -> DataFrame:
@@ -44,48 +46,59 @@ def curriculum(
     total: float = 1.5,
     most: int = 2,
 ) -> DataFrame:
-    """One row for each row of ``docs``, all its columns and size, source_size, target, passes, taken, positions.
+    """One row for each row of ``docs``: doc_id, source, size, source_size, target, passes, taken, positions.
 
     ``size`` counts words; sources take ``weights`` and ``slopes`` in turn by code point, null last. The mix
     reads a document ``passes`` times (at most ``most``): pass p is read if the middle of the document, p
     source sizes on, lies before the source's target. ``taken`` is size times passes, ``positions`` has the
-    position of each pass.
+    position of each pass, from 0 to 1.
 
-    Null, empty and blank texts have size 0 and are read with what stands around them. Rows that share a
-    doc_id stand next to each other. Columns of ``docs`` with the names of results are replaced. An empty
-    table gives an empty result.
+    Null, empty and blank texts have size 0 and are read with what stands around them. Rows that share a doc_id (or
+    have none) stand next to each other, the shorter ones first; rows that agree in doc_id, source and size take
+    places of their own, counted in the parts of the table that hold them, so that very many of them never meet in one
+    task. Further columns are ignored, also such with the names of results. An empty table gives an empty result.
     """
-    named = ["size", "source_size", "target", "passes", "taken", "positions"]
-    docs = docs.drop(*named)
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sized = sized.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    slim = materialize(sized.select("doc_id", "source", "size", "_order"), "sizes")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    slim = docs.select("doc_id", "source", size.alias("size"), order.alias("order"), F.spark_partition_id().alias("part"))
+    slim = materialize(slim, "sizes")
     targets = materialize(source_targets(slim, weights, total, most), "targets")
-    share = F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / float(1 << 32)
     few = F.greatest(F.lit(256), F.ceil(F.sum("rows").over(Window.partitionBy()) / 20_000))
     buckets = targets.withColumn("buckets", F.ceil(F.col("rows") / few)).withColumnRenamed("source", "_source").drop("rows")
-    placed = slim.join(buckets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = placed.withColumn("bucket", F.floor(share * F.col("buckets")))
-    before = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = placed.groupBy("number", "bucket").agg(F.sum("size").alias("n"))
-    ahead = ahead.select("number", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("number", "bucket").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ahead, ["number", "bucket"])
-    middle = F.col("ahead") + F.col("inside") + F.col("size") / 2
+    rows = slim.join(buckets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+    # Equal rows as one: how many there are in each part, and in the parts before it.
+    alike, earlier = ["number", "order", "size"], (Window.unboundedPreceding, -1)
+    runs = rows.groupBy(*alike, "buckets", "part").agg(F.count("*").alias("n"))
+    runs = runs.withColumn("prior", F.coalesce(F.sum("n").over(Window.partitionBy(*alike, "buckets").orderBy("part").rowsBetween(*earlier)), F.lit(0)))
+    # Words before each group of equal rows: of the buckets before its own (by the share of its hash), and in it.
+    share = F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    groups = runs.groupBy(*alike, "buckets").agg((F.sum("n") * F.col("size")).alias("words"))
+    groups = groups.withColumn("bucket", F.floor(share * F.col("buckets"))).drop("buckets")
+    ahead = groups.groupBy("number", "bucket").agg(F.sum("words").alias("w"))
+    ahead = ahead.select("number", "bucket", F.coalesce(F.sum("w").over(Window.partitionBy("number").orderBy("bucket").rowsBetween(*earlier)), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("number", "bucket").orderBy("order", "size").rowsBetween(*earlier)
+    groups = groups.withColumn("inside", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(ahead, ["number", "bucket"])
+    starts = runs.join(groups.select(*alike, (F.col("ahead") + F.col("inside")).alias("start")), alike)
+    starts = starts.select(*alike, "part", (F.col("start") + F.col("prior") * F.col("size")).alias("start"))
+
+    own = F.row_number().over(Window.partitionBy(*alike, "part").orderBy("doc_id")) - 1
+    placed = rows.withColumn("own", own).join(starts, [*alike, "part"])
+    placed = placed.withColumn("middle", F.col("start") + F.col("own") * F.col("size") + F.col("size") / 2)
     slope = F.element_at(F.array(*map(F.lit, slopes)), (F.col("number") % len(slopes) + 1).cast("int"))
-    placed = placed.withColumn("middle", middle).withColumn("slope", slope)
     reads = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: F.col("middle") + p * F.col("source_size")),
         lambda x: x < F.col("target"),
     )
+    placed = placed.withColumn("slope", slope).withColumn("reads", reads).withColumn("passes", F.size("reads"))
+    # The demand (1 - slope) * t + slope * t * t, solved for t without a division by a slope of 0.
     flat = 1 - F.col("slope")
-    placed = placed.withColumn("reads", reads).withColumn("passes", F.size("reads"))
     positions = F.transform(
         "reads",
         lambda x: 2 * (x / F.col("target")) / (flat + F.sqrt(flat * flat + 4 * F.col("slope") * (x / F.col("target")))),
     )
     return placed.select(
-        "doc_id", "source", "size", "_order", "source_size", "target", "passes",
+        "doc_id", "source", "size", "source_size", "target", "passes",
         (F.col("size") * F.col("passes")).alias("taken"), positions.alias("positions"),
     )
 
@@ -99,11 +112,19 @@ def training_order(mixed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **mixture: object) -> DataFrame:
     """The rows of ``docs``, all columns, once for each pass of the mixture, range-sorted by training position.
 
-    Rows are told apart by doc_id and text, so a null doc_id does no harm; rows that agree in both are all read
-    as the first of them is.
+    Rows that agree in all columns share the passes of all of them, so each is read as often as the mixture says; a null
+    doc_id does no harm. Positions lie in [0, 1] with nearly even density, so that partition p of the result holds the
+    p-th of equal ranges of positions, and its rows are sorted.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    reads = curriculum(keyed.select(F.col("_key").alias("doc_id"), "source", "text"), **mixture)
-    reads = reads.groupBy(F.col("doc_id").alias("_key")).agg(F.min("positions").alias("_positions"))
-    rows = keyed.join(reads, "_key").withColumn("_position", F.explode("_positions"))
-    return rows.orderBy("_position", "_key").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "source", "text").withColumn("key", F.xxhash64("row"))
+    mixed = curriculum(keyed.select(F.col("key").alias("doc_id"), "source", "text"), **mixture)
+    reads = materialize(mixed.select(F.col("doc_id").alias("key"), "size", F.explode("positions").alias("position")), "reads")
+    words = reads.agg(F.sum("size")).first()[0] or 0
+    hot = crowded(reads, ["key"])
+    one, keys = keyed.select("key", "row").dropDuplicates(["key"]), ["key"]
+    if hot.head(1):
+        one, reads, keys = copied(one, hot, keys), dealt(reads, hot, keys, F.xxhash64("position")), ["key", "_salt"]
+    ranges = max(1, min(MOST_RANGES, words // RANGE_WORDS))
+    rows = one.join(reads, keys).select("row", "key", "position")
+    at = F.least(F.floor(F.col("position") * ranges), F.lit(ranges - 1)).cast("int")
+    return rows.repartitionById(ranges, at).sortWithinPartitions("position", "key").select("row.*")

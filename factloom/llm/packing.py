@@ -9,6 +9,7 @@ executors number the pieces of each length and look their places up in it.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -18,25 +19,49 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import blocks_of, column_or, materialize, utf8_views
 
+#: Pieces of one length that one task numbers.
+ALIKE = 20_000
 #: Stands between words that are encoded together, and after a document's words for its last id.
 MARK = "\x01"
 #: Texts with these go through the tokenizer whole: white space to one side only, special tokens, MARK.
 _APART = (MARK, "\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
+def word_by_word(path: str) -> bool:
+    """Whether a tokenizer file encodes white-space delimited words one by one, whatever stands around them.
+
+    So it does if it composes, evens out white space and lowers, then drops white space and marks the ends of words;
+    of other files texts are encoded whole.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    kinds = [(x.get("type"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in cuts]
+    return (
+        spec["model"].get("type") == "BPE" and spec["model"].get("end_of_word_suffix") == "</w>" and steps == ["NFC", "Replace", "Lowercase"]
+        and kinds == [("Split", "Removed", True, None, None), ("ByteLevel", None, None, False, False)]
+    )
+
+
 class WordIds:
-    """The ids of white-space delimited words, each encoded once; valid as the tokenizer never joins two words."""
+    """The ids of white-space delimited words, each encoded once, if the tokenizer never joins two words; else of whole texts."""
 
     def __init__(self, path: str, last_id: int, most: int = 800_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.last_id, self.most = last_id, most
+        self.wordwise = word_by_word(path)
+        if not self.wordwise:
+            return
         # For words of letters only, lowered and composed: no more to normalise, each is one unit.
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = None
@@ -47,7 +72,6 @@ class WordIds:
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
-        self.last_id, self.most = last_id, most
         self.clear()
 
     def clear(self) -> None:
@@ -108,6 +132,8 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, and last_id after them."""
+        if not self.wordwise:
+            return [np.array([*x.ids, self.last_id], np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.index) > self.most:
             self.clear()
         words, apart, counts = [], {}, []
@@ -133,7 +159,11 @@ _encoders: dict[tuple[str, int], WordIds] = {}
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, last_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """Rows doc_id, piece, start, length, ids_crc32 (and ids): every document's ids, cut only where over ``limit``."""
+    """Rows doc_id, piece, start, length, ids_crc32 (and ids): every document's ids, cut only where over ``limit``.
+
+    A column ``window`` (int) of ``docs`` goes with its pieces.
+    """
+    own = [c for c in docs.columns if c == "window"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (tokenizer, last_id) not in _encoders:
@@ -158,10 +188,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, last_id
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
                     columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+                for c in own:
+                    columns, names = [*columns, column_or(batch, c).take(pa.array(rows, pa.int64()))], [*names, c]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", window int" * len(own)
+    return docs.select("doc_id", "text", *own).mapInArrow(cut, schema)
 
 
 @dataclass
@@ -254,31 +286,47 @@ def plan_packing(counts: dict[int, int], limit: int) -> PackingPlan:
 
 
 def placed(pieces: DataFrame, limit: int = 4096) -> DataFrame:
-    """``pieces`` (doc_id, piece, start, length, ...) with sequence_id and offset; it is read twice."""
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = plan_packing(counts, limit)
-    total = sum(counts.values())
-    salts = max(64, total // 20_000)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    offsets = offsets.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "start")
-    ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(offsets, ["length", "salt"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("ahead")).drop("salt", "ahead")
-    keys, names = plan.length * (1 << 44) + plan.first, pieces.columns
+    """``pieces`` (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset; it is read twice.
+
+    Pieces of one ``window`` (if there is such a column, of few values) share sequences only with each other, and the
+    sequences of an earlier window come first. ``spread`` (a long, if there is such a column) deals pieces of equal
+    length to tasks, else a hash of the piece does.
+    """
+    extra = {"window": F.lit(0), "spread": F.xxhash64("doc_id", "start", "ids_crc32")}
+    names = [c for c in pieces.columns if c not in extra]
+    held = pieces.select(*names, *[(F.col(c) if c in pieces.columns else x).alias(c) for c, x in extra.items()])
+    counts: dict[int, dict[int, int]] = {}
+    for r in held.groupBy("window", "length").agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["window"], {})[r["length"]] = r["n"]
+    plans, first = {}, 0
+    for window in sorted(counts):
+        plans[window] = plan_packing(counts[window], limit)
+        plans[window].base += first
+        first += plans[window].sequences
+    # Only a length of very many pieces needs more than one task.
+    salts = max([1, *(-(-n // ALIKE) for by in counts.values() for n in by.values())])
+    salted = held.withColumn("salt", F.pmod("spread", F.lit(salts)).cast("int"))
+    before = Window.partitionBy("window", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = salted.groupBy("window", "length", "salt").agg(F.count("*").alias("n"))
+    offsets = offsets.select("window", "length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    own = Window.partitionBy("window", "length", "salt").orderBy("doc_id", "start", "spread")
+    ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(offsets, ["window", "length", "salt"])
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("ahead"))
+    keys = {w: p.length * (1 << 44) + p.first for w, p in plans.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (column_or(batch, c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            r = np.searchsorted(keys, length * (1 << 44) + rank, side="right") - 1
-            n = rank - plan.first[r]
-            columns = {x: column_or(batch, x) for x in names}
-            columns |= {"sequence_id": plan.base[r] + n // plan.each[r], "offset": plan.offset[r] + n % plan.each[r] * length}
-            yield pa.RecordBatch.from_pydict(columns)
+            length, rank, window = (column_or(batch, c).to_numpy(zero_copy_only=False) for c in ("length", "rank", "window"))
+            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            for w in np.unique(window):
+                at, plan = np.flatnonzero(window == w), plans[int(w)]
+                r = np.searchsorted(keys[int(w)], length[at] * (1 << 44) + rank[at], side="right") - 1
+                n = rank[at] - plan.first[r]
+                sequence[at], offset[at] = plan.base[r] + n // plan.each[r], plan.offset[r] + n % plan.each[r] * length[at]
+            yield pa.RecordBatch.from_pydict({x: column_or(batch, x) for x in names} | {"sequence_id": sequence, "offset": offset})
 
-    fields = ", ".join(f"{c} {t}" for c, t in pieces.dtypes)
-    return ranked.select(*names, "rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    fields = ", ".join(f"{c} {t}" for c, t in pieces.dtypes if c in names)
+    return ranked.select(*names, "window", "rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 4096, last_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -286,9 +334,26 @@ def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 4096, last_id:
 
     Columns: doc_id, piece, start, length, ids_crc32 (and ids, if asked for), sequence_id, offset. A sequence
     is gapless from offset 0. A null or empty text is the piece of ``last_id`` alone. Repeated rows and repeated
-    or null doc_ids are packed row by row. Further columns are ignored; an empty table gives an empty result.
+    or null doc_ids are packed row by row, and very many of one length are dealt to several tasks. With a column
+    ``window`` (int, of few values) sequences hold pieces of one window only and follow the windows' order. Further
+    columns are ignored; an empty table gives an empty result.
+    """
+    pieces = tokenized_pieces(docs, tokenizer, limit, last_id, with_ids)
+    pieces = pieces.withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))  # stored, so it is read alike twice
+    return placed(materialize(pieces, "pieces"), limit)
+
+
+def windows_of_files(docs: DataFrame, windows: int) -> DataFrame:
+    """``docs``, read from files in whose numbers their order lies, with ``window``: which of so many runs of files a row is in.
+
+    Rows that come from no file are all in window 0.
     """
-    return placed(materialize(tokenized_pieces(docs, tokenizer, limit, last_id, with_ids), "pieces"), limit)
+    try:
+        parts = docs.withColumn("window", F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).try_cast("int"))
+    except AnalysisException:
+        return docs.withColumn("window", F.lit(0))
+    last = parts.agg(F.max("window")).first()[0] or 0
+    return parts.withColumn("window", F.floor(F.coalesce("window", F.lit(0)) * windows / (last + 1)).cast("int"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:

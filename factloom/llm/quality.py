@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks_of, column_or, utf8_views
+from factloom.llm.common import blocks_of, column_or, discard, materialize, utf8_views
 from factloom.llm.words import mix, shape_hashes, word_hashes
 
 BITS = 20
 #: The labelled rows that a model is fitted on: those with the least hashes of their ids.
 SAMPLE = 8000
+#: The most features (a slot and its value) of all these rows together that reach the driver.
+FEATURES = 16_000_000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 
@@ -34,10 +36,12 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         shapes = shape_hashes(raw, part)
         kinds = [words, shapes]
         for k, hashes in enumerate((words, shapes)):
-            before = np.concatenate(([0], hashes[:-1])).astype(np.uint64)
+            before = np.roll(hashes, 1)
             before[rows[:-1][rows[:-1] < len(words)]] = 0
             kinds.append(mix(hashes * np.uint64(0xD6E8FEB86659FD93) + before + np.uint64(k)))
-        same = np.where(words == np.concatenate(([0], words[:-1])).astype(np.uint64), np.uint64(1), np.uint64(2))
+        again = words == np.roll(words, 1)
+        again[rows[:-1][rows[:-1] < len(words)]] = False
+        same = np.where(again, np.uint64(1), np.uint64(2))
         kinds.append(mix(same))  # a word said twice in a row
         slots = (np.stack(kinds, axis=1).ravel() >> shift).astype(np.int32)
         yield slots, rows * len(kinds)
@@ -63,37 +67,49 @@ class FollowTheLeader:
         self.n[at] = n + g * g
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> np.ndarray:
+def counted_features(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Each text's slots, once each, and their values: counts over the square root of all counts."""
+    slots, values = [], []
+    for flat, rows in features(column):
+        for a, b in zip(rows[:-1], rows[1:], strict=True):
+            s, c = np.unique(flat[a:b], return_counts=True)
+            slots.append(s)
+            values.append((c / np.sqrt(max(1, b - a))).astype(np.float32))
+    return slots, values
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE, most: int = FEATURES) -> np.ndarray:
     """Weights (2 ** BITS and a bias) from ``labels`` (doc_id, label) of rows of ``docs`` for which ``usable`` holds.
 
-    At most ``sample`` rows are used, those with the least md5 of their doc_id; their features are made on the
-    executors and only these reach the driver. Without any usable row all weights are 0.
+    The sample is bounded: of the ``sample`` labels with the least md5 of their doc_id, at most ``sample`` labelled texts
+    in the same order (rows that agree in doc_id, label and text count once), and of these as many as have
+    ``most`` features together. Features are made on the executors and only these reach the driver. Without any
+    usable row all weights are 0.
     """
-    order = F.md5(F.col("doc_id").cast("string"))
-    chosen = labels.where("label IN (0, 1)").where(usable).select("doc_id", "label").distinct().orderBy(order, "label").limit(sample)
+    order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("label")]
+    picked = labels.where("label IN (0, 1)").where(usable).select("doc_id", F.col("label").cast("int").alias("label")).distinct().orderBy(*order).limit(sample)
+    rows = docs.select("doc_id", "text").join(picked, "doc_id").select("doc_id", "label", "text", F.xxhash64("text").alias("h"))
+    key = ["doc_id", "label", "h"]
+    chosen = materialize(rows.select(*key).distinct().orderBy(*order, "h").limit(sample), "chosen")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots, counts = [], []
-            for flat, rows in features(column_or(batch, "text")):
-                for a, b in zip(rows[:-1], rows[1:], strict=True):
-                    s, c = np.unique(flat[a:b], return_counts=True)
-                    slots.append(s)
-                    counts.append((c / np.sqrt(max(1, b - a))).astype(np.float32))
-            yield pa.RecordBatch.from_arrays(
-                [column_or(batch, "doc_id"), column_or(batch, "label"), pa.array(slots, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))],
-                names=["doc_id", "label", "slots", "counts"],
-            )
-
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    counted = rows.mapInArrow(count, "doc_id long, label int, slots array<int>, counts array<float>").toArrow()
+            slots, values = counted_features(column_or(batch, "text"))
+            columns = [column_or(batch, c) for c in key] + [pa.array([len(x) for x in slots], pa.int64()), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*key, "n", "slots", "vals"])
+
+    rows = rows.join(chosen, key).dropDuplicates(key).select(*key, "text")
+    counted = materialize(rows.mapInArrow(count, "doc_id long, label int, h long, n long, slots array<int>, vals array<float>"), "features")
+    sizes = np.array([r["n"] for r in counted.select(*key, "n").orderBy(*order, "h").collect()], dtype=np.int64)
+    enough = int(np.searchsorted(np.cumsum(sizes), most, side="right"))
+    data = counted.orderBy(*order, "h").limit(enough).toArrow()
+    discard(chosen, counted)
     model = FollowTheLeader(1 << BITS)
-    order = np.argsort(mix(counted.column("doc_id").to_numpy().astype(np.uint64)), kind="stable")
-    label, slots, counts = (counted.column(c).combine_chunks() for c in ("label", "slots", "counts"))
+    label, h, slots, values = (data.column(c).combine_chunks() for c in ("label", "h", "slots", "vals"))
+    passes = np.lexsort((h.to_numpy(), label.to_numpy(), mix(data.column("doc_id").to_numpy().astype(np.uint64))))
     for _ in range(EPOCHS):
-        for k in order:
-            at, x = slots[k].values.to_numpy(), counts[k].values.to_numpy()
-            model.update(np.append(at, 1 << BITS), np.append(x, 1.0), label[k].as_py())
+        for k in passes:
+            model.update(np.append(slots[k].values.to_numpy(), 1 << BITS), np.append(values[k].values.to_numpy(), 1.0), label[k].as_py())
     return model.weights().astype(np.float32)
 
 

@@ -73,9 +73,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In training order: by the first position of each document, those that are not read last."""
+    """In training order: by the position of the first pass, documents that are not read last."""
     mixed = curriculum(table(spark, sf_dir, "documents"))
-    return mixed.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id").select("doc_id", "size", "source_size", "target", "taken", "passes")
+    first, second = (F.get("positions", F.lit(p)).alias(c) for p, c in ((0, "position"), (1, "position_again")))
+    rows = mixed.select("doc_id", "size", "source_size", "target", "taken", "passes", first, second)
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 OP6_SQL = r"""
@@ -97,18 +99,23 @@ levels AS (
          / sum(weight) OVER (ORDER BY cap / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed WINDOW o AS (ORDER BY cap / weight, number)),
 targets AS (
-  SELECT source, source_size,
+  SELECT source, source_size, (CASE number % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.5 ELSE -0.5 END)::DOUBLE AS slope,
          least(cap, coalesce((SELECT arg_min(level, place) FROM levels WHERE level <= ratio) * weight, cap)) AS target
   FROM levels),
 placed AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.slope,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size
-                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2.0 AS middle
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       size * ((middle < target)::INT + (middle + source_size < target)::INT) AS taken,
-       (middle < target)::INT + (middle + source_size < target)::INT AS passes
-FROM placed
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + d.size / 2.0::DOUBLE AS middle
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+demanded AS (
+  SELECT *, 1 - slope AS flat, CASE WHEN middle < target THEN middle / target END AS x,
+         CASE WHEN middle + source_size < target THEN (middle + source_size) / target END AS y
+  FROM placed)
+SELECT doc_id, size, source_size, target, size * ((x IS NOT NULL)::INT + (y IS NOT NULL)::INT) AS taken,
+       (x IS NOT NULL)::INT + (y IS NOT NULL)::INT AS passes,
+       2 * x / (flat + sqrt(flat * flat + 4 * slope * x)) AS position,
+       2 * y / (flat + sqrt(flat * flat + 4 * slope * y)) AS position_again
+FROM demanded
 """
 
 
@@ -148,7 +155,7 @@ keyed AS (
     SELECT page_id, fetched_on, host || '/' || segment AS key FROM labelled WHERE segment IS NOT NULL
     UNION ALL SELECT page_id, fetched_on, host FROM labelled
     UNION ALL SELECT page_id, fetched_on, array_to_string(labels[i:], '.')
-              FROM labelled, unnest(range(2, len(labels))) AS r(i))),
+              FROM labelled, unnest(range(2, len(labels))) AS r(i) WHERE NOT regexp_matches(host, '^[0-9.]+$|^\['))),
 numbered AS (
   SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS n FROM (SELECT DISTINCT key FROM keyed)),
 listed AS (

@@ -2,8 +2,9 @@
 
 A document is cut into leaves of some hundred characters where a white-space character follows another one. At
 such a place the tokenizer's pattern always ends a unit, whatever stands around it, so the leaves' counts add
-up to the document's. Sums over a binary tree of the leaves find an edit's leaves and give the total. An edit
-encodes its leaves again, one more where it touches a cut, and updates the sums above them.
+up to the document's. Sums over a balanced tree of the leaves find an edit's leaves and give the total. An edit
+takes its leaves out, one more where it touches a cut, encodes what stands in their place, and puts that in; only
+the sums above them are made anew, however much is inserted.
 """
 
 from __future__ import annotations
@@ -16,87 +17,125 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import column_or
+from factloom.llm.common import CROWD, LISTED, column_or, copied, dealt, materialize
 
 LEAF = 512
 #: Python counts \x1c to \x1f as white space, tokenizers' patterns don't.
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[^\S\x1c-\x1f])")
 
 
+class Node:
+    """A leaf with its text, or an inner node; with the characters and tokens below it."""
+
+    __slots__ = ("left", "right", "text", "chars", "tokens", "height")
+
+    def __init__(self, left: Node | None, right: Node | None, text: str = "", tokens: int = 0) -> None:
+        self.left, self.right, self.text = left, right, text
+        if left is None:
+            self.chars, self.tokens, self.height = len(text), tokens, 0
+        else:
+            self.chars, self.tokens = left.chars + right.chars, left.tokens + right.tokens
+            self.height = 1 + max(left.height, right.height)
+
+
+def _over(left: Node, right: Node) -> Node:
+    """A node over both, whose heights differ by 2 at most; turned where they do."""
+    if left.height > right.height + 1:
+        if left.left.height >= left.right.height:
+            return Node(left.left, Node(left.right, right))
+        return Node(Node(left.left, left.right.left), Node(left.right.right, right))
+    if right.height > left.height + 1:
+        if right.right.height >= right.left.height:
+            return Node(Node(left, right.left), right.right)
+        return Node(Node(left, right.left.left), Node(right.left.right, right.right))
+    return Node(left, right)
+
+
+def joined(left: Node | None, right: Node | None) -> Node | None:
+    """The leaves of both, in order, as one balanced tree; the work depends on the heights alone."""
+    if left is None or right is None:
+        return left or right
+    if left.height > right.height + 1:
+        return _over(left.left, joined(left.right, right))
+    if right.height > left.height + 1:
+        return _over(joined(left, right.left), right.right)
+    return Node(left, right)
+
+
+def parted(node: Node | None, at: int) -> tuple[Node | None, Node | None]:
+    """The leaves before the one that holds the character ``at``, and that one with all after it."""
+    if node is None or node.left is None:
+        return None, node
+    if at < node.left.chars:
+        before, rest = parted(node.left, at)
+        return before, joined(rest, node.right)
+    before, rest = parted(node.right, at - node.left.chars)
+    return joined(node.left, before), rest
+
+
+def _leaves_of(node: Node | None) -> Iterator[Node]:
+    if node is not None:
+        if node.left is None:
+            yield node
+        else:
+            yield from _leaves_of(node.left)
+            yield from _leaves_of(node.right)
+
+
 class CountTree:
-    """A text's token count under edits."""
+    """A text's token count under edits: a balanced tree of leaves, of which an edit takes some out and puts others in."""
 
     def __init__(self, text: str, count: Callable[[str], int]) -> None:
         self.count, self.encoded = count, 0
-        self._build(text)
-
-    def _build(self, text: str) -> None:
-        self.texts = _leaves(text, LEAF)
-        width = 1
-        while width < len(self.texts):
-            width *= 2
-        self.texts += [""] * (width - len(self.texts))
-        self.width = width
-        self.chars, self.tokens = [0] * (2 * width), [0] * (2 * width)
-        for k, leaf in enumerate(self.texts):
-            self.chars[width + k], self.tokens[width + k] = len(leaf), self._tokens(leaf)
-        for node in range(width - 1, 0, -1):
-            self._sum(node)
-
-    def _tokens(self, leaf: str) -> int:
-        self.encoded += len(leaf)
-        return self.count(leaf) if leaf else 0
-
-    def _sum(self, node: int) -> None:
-        self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-        self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
+        self.root = self._tree(_leaves(text, LEAF), {})
+
+    def _tree(self, texts: list[str], known: dict[str, int]) -> Node | None:
+        """A tree of these leaves; only those not among the ``known`` are encoded."""
+        level = []
+        for text in texts:
+            if text:
+                if text not in known:
+                    self.encoded += len(text)
+                level.append(Node(None, None, text, known[text] if text in known else self.count(text)))
+        while len(level) > 1:
+            level = [Node(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+            if len(level) > 1 and level[-1].height < level[-2].height - 1:  # a short end is joined where it fits
+                level[-2:] = [joined(level[-2], level[-1])]
+        return level[0] if level else None
 
     @property
     def total(self) -> int:
-        return self.tokens[1]
+        return self.root.tokens if self.root else 0
 
     @property
     def text(self) -> str:
-        return "".join(self.texts)
-
-    def _find(self, at: int) -> tuple[int, int]:
-        """The leaf that holds the character ``at`` and the characters before the leaf."""
-        node, before = 1, 0
-        while node < self.width:
-            node *= 2
-            if at >= before + self.chars[node] and self.chars[node + 1]:
-                before += self.chars[node]
-                node += 1
-        return node - self.width, before
+        return "".join(leaf.text for leaf in _leaves_of(self.root))
 
     def edit(self, at: int, removed: int, inserted: str) -> None:
         """Takes ``removed`` characters away from position ``at`` and puts ``inserted`` there, both held to the text."""
-        size = self.chars[1]
+        size = self.root.chars if self.root else 0
         at = min(max(at, 0), size)
         end = min(at + max(removed, 0), size)
         if end == at and not inserted:
             return
-        first, before = self._find(max(at - 1, 0))
-        last, ahead = self._find(min(end, max(size - 1, 0)))
-        part = "".join(self.texts[first : last + 1])
-        new = part[: at - before] + inserted + part[end - before :]
-        leaves = _leaves(new, LEAF)
-        slots = last - first + 1
-        if len(leaves) > 4 * slots + 4:
-            self._build("".join([*self.texts[:first], new, *self.texts[last + 1 :]]))
-            return
-        leaves = leaves[: slots - 1] + ["".join(leaves[slots - 1 :])] if len(leaves) > slots else leaves + [""] * (slots - len(leaves))
-        nodes = set()
-        for k, leaf in enumerate(leaves, first):
-            if leaf != self.texts[k]:
-                node = self.width + k
-                self.texts[k], self.chars[node], self.tokens[node] = leaf, len(leaf), self._tokens(leaf)
-                nodes.add(node // 2)
-        while nodes:
-            for node in nodes:
-                if node:
-                    self._sum(node)
-            nodes = {node // 2 for node in nodes if node > 1}
+        # From the leaf of the character before the edit to that of the one after it.
+        before, rest = parted(self.root, max(at - 1, 0))
+        start = before.chars if before else 0
+        touched, after = rest, None
+        if rest is not None and end < size:
+            ahead, last = parted(rest, end - start)
+            if last.left is None:
+                touched, after = joined(ahead, last), None
+            else:
+                first = last
+                while first.left is not None:
+                    first = first.left
+                one, after = parted(last, first.chars)
+                touched = joined(ahead, one)
+        old = list(_leaves_of(touched))
+        part = "".join(leaf.text for leaf in old)
+        new = part[: at - start] + inserted + part[end - start :]
+        self.root = joined(joined(before, self._tree(_leaves(new, LEAF), {leaf.text: leaf.tokens for leaf in old})), after)
 
 
 def _leaves(text: str, size: int) -> list[str]:
@@ -135,49 +174,60 @@ def counts_after_edits(docs: DataFrame, edits: DataFrame, ranks_file: str, patte
     ``chars_again`` those encoded for the edits.
 
     A null text is empty; edits of unknown documents and of null doc_ids do nothing; edits apply to each row of
-    a repeated doc_id. The edits of a document pass through its task one by one, they are never gathered.
-    Further columns are ignored; empty tables give empty results or counts without edits.
+    a repeated doc_id. Rows that agree in doc_id and text share one tree, and very many of them are dealt to several
+    tasks; other texts of a doc_id are worked on for themselves. The edits of a text pass through its task one
+    by one, they are never gathered. Rows without a doc_id are counted where they are. Further columns are ignored;
+    empty tables give empty results or counts without edits.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("edit_no"), F.lit(0).cast("long").alias("at"),
-        F.lit(0).cast("long").alias("removed"), F.coalesce("text", F.lit("")).alias("body"),
-    ).unionByName(
-        edits.where("doc_id IS NOT NULL").select(
-            F.col("doc_id").cast("long"), F.lit(1).alias("kind"), F.coalesce("edit_no", F.lit(0)).cast("long").alias("edit_no"),
-            F.coalesce("at", F.lit(0)).cast("long").alias("at"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed"),
-            F.coalesce("inserted", F.lit("")).alias("body"),
-        )
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("body"))
+    named = texts.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("body"))
+    keys = ["doc_id", "h"]
+    slim = materialize(named.groupBy(*keys).agg(F.count("*").alias("n")), "texts")
+    hot = materialize(slim.where(F.col("n") > CROWD).select(*keys, F.ceil(F.col("n") / CROWD).cast("int").alias("salts")), "crowded")
+    hot = F.broadcast(hot) if hot.count() <= LISTED else hot
+    none = F.lit(0).cast("long")
+    rows = dealt(named, hot, keys, F.monotonically_increasing_id()).select(*keys, "_salt", F.lit(0).alias("kind"), none.alias("edit_no"), none.alias("at"), none.alias("removed"), "body")
+    changes = edits.where("doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("long"), F.lit(1).alias("kind"), F.coalesce("edit_no", F.lit(0)).cast("long").alias("edit_no"),
+        F.coalesce("at", F.lit(0)).cast("long").alias("at"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed"),
+        F.coalesce("inserted", F.lit("")).alias("body"),
     )
-    spread = F.coalesce("doc_id", F.xxhash64("body"))
-    rows = rows.repartition(spread).sortWithinPartitions("doc_id", "kind", "edit_no", "at", "removed", "body")
+    rows = rows.unionByName(copied(changes.join(slim.select(*keys), "doc_id"), hot, keys).select(*rows.columns))
+    rows = rows.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt", "kind", "edit_no", "at", "removed", "body")
+    kinds = [pa.int64()] * 6
+    names = ["doc_id", "tokens_before", "tokens_after", "n_edits", "chars_encoded", "chars_again"]
+    schema = ", ".join(f"{c} long" for c in names)
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = token_counter(ranks_file, pattern)
-        names = ["doc_id", "tokens_before", "tokens_after", "n_edits", "chars_encoded", "chars_again"]
-        kinds = [pa.int64()] * 6
-        current, trees, out, edited = None, [], [], 0
-
-        def close() -> None:
-            out.extend((current, before, tree.total, edited, first, tree.encoded - first) for tree, before, first in trees)
-
+        current, tree, before, first, copies, edited, out = None, None, 0, 0, 0, 0, []
         for batch in batches:
-            for doc_id, kind, at, removed, body in zip(*(column_or(batch, c).to_pylist() for c in ("doc_id", "kind", "at", "removed", "body")), strict=True):
+            for doc_id, h, salt, kind, at, removed, body in zip(*(column_or(batch, c).to_pylist() for c in (*keys, "_salt", "kind", "at", "removed", "body")), strict=True):
+                if current != (doc_id, h, salt):
+                    out += [(current[0], before, tree.total, edited, first, tree.encoded - first)] * copies if current else []
+                    current, copies, edited = (doc_id, h, salt), 0, 0
+                    tree = CountTree(body if kind == 0 else "", count)
+                    before, first = tree.total, tree.encoded
                 if kind == 0:
-                    if not trees or current != doc_id or doc_id is None:
-                        close()
-                        current, trees, edited = doc_id, [], 0
-                    tree = CountTree(body, count)
-                    trees.append((tree, tree.total, tree.encoded))
-                elif trees and current == doc_id:
+                    copies += 1
+                elif copies:
                     edited += 1
-                    for tree, _, _ in trees:
-                        tree.edit(at, removed, body)
+                    tree.edit(at, removed, body)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    schema = "doc_id long, tokens_before long, tokens_after long, n_edits long, chars_encoded long, chars_again long"
-    return rows.select("doc_id", "kind", "at", "removed", "body").mapInArrow(follow, schema)
+                yield packed(out)
+                out = []
+        if current and copies:
+            yield packed([(current[0], before, tree.total, edited, first, tree.encoded - first)] * copies)
+
+    def only_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = token_counter(ranks_file, pattern)
+        for batch in batches:
+            found = [(None, n, n, 0, len(x), 0) for x in column_or(batch, "body").to_pylist() for n in (count(x),)]
+            if found:
+                yield packed(found)
+
+    counted = rows.select(*keys, "_salt", "kind", "at", "removed", "body").mapInArrow(follow, schema)
+    return counted.unionByName(texts.where("doc_id IS NULL").mapInArrow(only_count, schema))

@@ -24,13 +24,14 @@ def host_of(url: Column) -> Column:
 
 
 def keys_of(url: Column) -> Column:
-    """The keys an entry may name: host/segment, host, and the parent domains of two labels and more."""
+    """The keys an entry may name: host/segment, host, and the parent domains of two labels and more; an address has no parents."""
     host, labels = host_of(url), F.split(host_of(url), r"\.")
     segment = F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)", 1), F.lit(""))
     parents = F.transform(
         F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(labels) - 1)), lambda i: (i == 1) | (i <= F.size(labels) - 1)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
+    parents = F.when(host.rlike(r"^[0-9.]+$|^\["), F.array(host)).otherwise(parents)
     return F.array_distinct(F.array_compact(F.concat(F.array(F.concat(host, F.lit("/"), segment)), parents)))
 
 
@@ -57,10 +58,12 @@ def judge_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """
     captures = captures.drop("host", "decision", "matched_key", "active_from", "active_to")
     spans = validity_intervals(entries)
-    last = F.lit(captures.agg(F.max("fetched_on")).first()[0]).cast("date")
-    ends = F.trunc(F.least(F.date_sub("active_to", 1), last), "month")
-    months = F.sequence(F.trunc("active_from", "month"), ends, F.expr("interval 1 month"))
-    spans = spans.where(F.col("active_from") <= last).withColumn("month", F.explode(months))
+    # Only months with captures, of which there are few, whatever single days lie far off.
+    months = captures.where("fetched_on IS NOT NULL").select(F.trunc("fetched_on", "month").alias("m")).distinct().orderBy("m").collect()
+    touched = F.filter(
+        F.array(*[F.lit(r["m"]) for r in months]).cast("array<date>"), lambda m: (m >= F.trunc("active_from", "month")) & (m < F.col("active_to"))
+    )
+    spans = spans.withColumn("month", F.explode(touched))
     asked = captures.select("url", "fetched_on").where("url IS NOT NULL AND fetched_on IS NOT NULL").distinct()
     asked = asked.withColumn("key", F.explode(keys_of(F.col("url")))).withColumn("month", F.trunc("fetched_on", "month"))
     met = asked.join(spans, ["key", "month"]).where("active_from <= fetched_on AND fetched_on < active_to")

@@ -391,7 +391,7 @@ def test_mixture_query_comes_in_training_order(spark):
     folder = "/root/testdata/sf0.001"
     first = {r.doc_id: r.positions[0] if r.positions else 2.0 for r in curriculum(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
     found = op6_source_mixture(spark, folder)
-    assert found.columns == ["doc_id", "size", "source_size", "target", "taken", "passes"]
+    assert found.columns == ["doc_id", "size", "source_size", "target", "taken", "passes", "position", "position_again"]
     order = [first[r.doc_id] for r in found.collect()]
     assert len(order) == len(first) and order == sorted(order)
 
