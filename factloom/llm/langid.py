@@ -30,6 +30,8 @@ STRETCHES = 4000
 STRETCH = 256
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.3, 1e-5
 UNKNOWN = "und"
+#: Texts of fewer words are not judged by the evidence for their language.
+FEW_WORDS = 20
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
@@ -42,6 +44,8 @@ class Model:
     emit: np.ndarray
     move: np.ndarray
     lexicon: np.ndarray
+    #: For each label the median, over the stretches learned, of the mean points of their words' best labels.
+    usual: np.ndarray | None = None
 
 
 def _text_buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +237,7 @@ def _fit(labels: list[str], pieces: list[str], tags: list[int]) -> Model:
     _, words, _ = word_features(pieces)
     lexicon, seen = np.unique(words, return_counts=True)
     lexicon = lexicon[seen > 1]
-    model = Model(labels, np.zeros(((1 << BITS) + len(lexicon) + 1, size), dtype=np.float32), np.zeros((size, size)), lexicon)
+    model = Model(labels, np.zeros(((1 << BITS) + len(lexicon) + 1, size), dtype=np.float32), np.zeros((size, size)), lexicon, np.ones(size))
     if size < 2:
         return model
     # In an order that mixes the languages.
@@ -252,59 +256,78 @@ def _fit(labels: list[str], pieces: list[str], tags: list[int]) -> Model:
             g = grad_move + DECAY * model.move
             seen_move += g * g
             model.move -= RATE * g / np.sqrt(seen_move)
+    means, tags = np.full(len(pieces), np.nan), np.array(tags)
+    for low in range(0, len(pieces), 1000):
+        points, at, _ = emissions(model, pieces[low : low + 1000])
+        if len(points):
+            sums, some = np.concatenate(([0.0], np.cumsum(points.max(axis=1), dtype=np.float64))), np.diff(at) > 0
+            means[low + np.flatnonzero(some)] = (sums[at[1:][some]] - sums[at[:-1][some]]) / np.diff(at)[some]
+    own = [means[(tags == k) & ~np.isnan(means)] for k in range(size)]
+    model.usual = np.array([max(1e-6, float(np.median(x))) if len(x) else 1.0 for x in own])
     return model
 
 
-def labelled(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
-    """Each text's label and score; 'und' and 0 for texts without a letter."""
-    names, scores = [], []
+def labelled(model: Model, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+    """Each text's label, score and evidence; 'und', 0 and 0 for texts without a letter.
+
+    The evidence is the mean, over the words, of the best label's points by the word's own features, relative to
+    the median of the stretches of the label that were learned. Words of a language that was not learned leave it low,
+    whatever their neighbours, and mixed texts of learned ones don't. Too few words tell nothing: they have 1.
+    """
+    names, scores, evidence = [], [], []
     sizes = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
     for i, j in blocks_of(sizes, 1 << 19):
         part = texts[i:j]
         points, at, _ = emissions(model, part)
-        shares = forward_backward(points, model.move, at)[0] if len(points) and len(model.labels) else None
-        sums = None if shares is None else np.concatenate((np.zeros((1, shares.shape[1])), np.cumsum(shares, axis=0)))
+        if not len(points) or not len(model.labels):
+            points, sums = None, None
+        else:
+            shares = forward_backward(points, model.move, at)[0]
+            sums = np.concatenate((np.zeros((1, shares.shape[1])), np.cumsum(shares, axis=0)))
+            alone = np.concatenate(([0.0], np.cumsum(points.max(axis=1), dtype=np.float64)))
         for k, text in enumerate(part):
             if sums is None or at[k] == at[k + 1] or not any(map(str.isalpha, text)):
                 names.append(UNKNOWN)
                 scores.append(0.0)
+                evidence.append(0.0)
                 continue
             mean = (sums[at[k + 1]] - sums[at[k]]) / (at[k + 1] - at[k])
             best = int(mean.argmax())
             names.append(model.labels[best])
             scores.append(float(min(1.0, max(0.0, mean[best]))))
-    return names, scores
+            mean = (alone[at[k + 1]] - alone[at[k]]) / (at[k + 1] - at[k]) / model.usual[best]
+            evidence.append(1.0 if at[k + 1] - at[k] < FEW_WORDS else float(max(0.0, mean)))
+    return names, scores, evidence
 
 
 def label_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred and score of every row; null texts and such without a letter are 'und' with score 0."""
+    """doc_id, lang_pred, score and evidence of every row; null texts and such without a letter are 'und' with 0 and 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = labelled(shared.value, [x or "" for x in column_or(batch, "text").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [column_or(batch, "doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"]
-            )
+            names, scores, evidence = labelled(shared.value, [x or "" for x in column_or(batch, "text").to_pylist()])
+            columns = [column_or(batch, "doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(evidence, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(label, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(label, "doc_id long, lang_pred string, score double, evidence double")
 
 
 def keep_labelled(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text gets a label with a score of ``least`` and more."""
+    """The rows of ``docs``, all columns, whose text gets a label with evidence of ``least`` and more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it was fitted on
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = labelled(shared.value, [x or "" for x in column_or(batch, "text").to_pylist()])
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+            names, _, evidence = labelled(shared.value, [x or "" for x in column_or(batch, "text").to_pylist()])
+            yield batch.filter(pa.array([n != UNKNOWN and e >= least for n, e in zip(names, evidence, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
 
 def identify_languages(docs: DataFrame, held_out: Column, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text, lang).
+    """doc_id, held_out, lang_pred, score and evidence of every row of ``docs`` (doc_id, text, lang).
 
     The model is fitted on rows for which ``held_out`` (a column over doc_id) is not true and text and lang are
     there. ``lang_pred`` is one of their languages, or 'und' (score 0) if text is null or has no letter, as it
@@ -313,4 +336,4 @@ def identify_languages(docs: DataFrame, held_out: Column, sample: int = SAMPLE)
     """
     model = fit_languages(docs, ~F.coalesce(held_out, F.lit(False)), sample)
     out = label_texts(docs, model)
-    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "evidence")

@@ -3,8 +3,11 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from factloom.llm import pii
 from factloom.llm.common import materialize
+from factloom.llm.langid import fit_languages, keep_labelled
 from tests.llm.test_llm_operators import components_by_force
 
 
@@ -37,4 +40,22 @@ def test_stages(spark, tmp_path):
     assert all(not pii.personal_spans(r.text) for r in clean) and {r.doc_id for r in clean} == {r.doc_id for r in unique}
     assert {r.doc_id for r in mixed} <= {r.doc_id for r in clean} and len(mixed) > len(clean)
     assert sorted(r.doc_id for r in packed if r.piece == 0) == sorted(r.doc_id for r in mixed)
+    assert all(len(r.ids) == r.length for r in packed)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_a_language_that_was_not_learned_goes_and_clean_documents_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL AND size(split(text, ' ')) >= 40")
+    known = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    model = fit_languages(known, F.expr("crc32(cast(doc_id AS string)) % 4 <> 2"))
+    kept = keep_labelled(docs.where("crc32(cast(doc_id AS string)) % 4 = 2"), model, corpus_pipeline.LEAST_EVIDENCE)
+    have = {r.lang: r["n"] for r in docs.where("crc32(cast(doc_id AS string)) % 4 = 2").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    stay = {r.lang: r["n"] for r in kept.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert stay.get("de", 0) <= 0.1 * have["de"]
+    assert all(stay[x] == have[x] for x in ("en", "es", "fr"))
