@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import SPACE, blank_to_null
+from factloom.functions.text import SPACE, blank_to_null, let
 
 # Magnitude words, currency names and number words, in the order that breaks ties of length.
 MAGNITUDES = {
@@ -38,22 +39,32 @@ def _text(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+#: A magnitude word that stands alone or after a digit, wherever it does.
+_ANY_MAGNITUDE = rf"(?<=^|{SPACE}|[0-9])(?:{'|'.join(LONGEST_MAGNITUDES)})(?=$|{SPACE}|[,.])"
+
+
+def _pairs(table: dict[str, object]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+
 def magnitude_label(text: Column) -> Column:
     """The longest magnitude word that stands alone or after a digit; null if there is none."""
-    low = F.lower(_text(text))
-    return F.coalesce(*[F.when(low.rlike(rf"(?:^|{SPACE}|[0-9]){m}(?:$|{SPACE}|[,.])"), m) for m in LONGEST_MAGNITUDES])
+    places = _pairs({name: k for k, name in enumerate(LONGEST_MAGNITUDES, 1)})
+    found = F.regexp_extract_all(F.lower(_text(text)), F.lit(_ANY_MAGNITUDE), F.lit(0))
+    names = F.array(*map(F.lit, LONGEST_MAGNITUDES))
+    return let(found, lambda x: F.when(F.size(x) > 0, F.element_at(names, F.array_min(F.transform(x, lambda y: places[y])))))
 
 
 def magnitude(text: Column) -> Column:
     """What a number with this text is multiplied by."""
-    table = F.create_map(*[F.lit(x) for pair in MAGNITUDES.items() for x in pair])
-    return F.coalesce(table[magnitude_label(text)], F.lit(1.0))
+    return F.coalesce(_pairs(MAGNITUDES)[magnitude_label(text)], F.lit(1.0))
 
 
 def normalize_currency(value: Column, context: Column | None = None) -> Column:
     """ISO code of the longest currency name contained in value or context."""
-    low = F.trim(F.regexp_replace(F.lower(F.concat(_text(value), F.lit(" "), _text(context if context is not None else F.lit("")))), SPACE + "+", " "))
-    return F.coalesce(*[F.when(F.contains(low, F.lit(name)), CURRENCIES[name]) for name in LONGEST_CURRENCIES])
+    both = F.lower(F.concat(_text(value), F.lit(" "), _text(context if context is not None else F.lit(""))))
+    low = F.trim(F.regexp_replace(both, SPACE + "+", " "))
+    return let(low, lambda x: F.coalesce(*[F.when(F.contains(x, F.lit(name)), CURRENCIES[name]) for name in LONGEST_CURRENCIES]))
 
 
 def number_words(text: Column) -> Column:
@@ -65,31 +76,48 @@ def number_words(text: Column) -> Column:
 
 def is_numeric_text(text: Column) -> Column:
     """Whether nothing is left but one plain number once currencies, magnitudes and fillers are taken away."""
-    low = F.lower(_text(text))
-    low = reduce(lambda x, name: F.replace(x, F.lit(name), F.lit(" ")), LONGEST_CURRENCIES, low)
-    low = reduce(lambda x, name: F.regexp_replace(x, f"(^|[^a-z]){name}([^a-z]|$)", "$1 $2"), LONGEST_MAGNITUDES, low)
-    low = F.regexp_replace(F.regexp_replace(low, rf"\b({FILLERS})\b", " "), f"[%,()]|{SPACE}", "")
-    return low.rlike(rf"^{NUMBER}$")
+
+    def without_currencies(x: Column) -> Column:
+        bare = reduce(lambda y, name: F.replace(y, F.lit(name), F.lit(" ")), LONGEST_CURRENCIES, x)
+        return F.when(x.rlike("|".join(map(re.escape, CURRENCIES))), bare).otherwise(x)
+
+    def without_magnitudes(x: Column) -> Column:
+        bare = reduce(lambda y, name: F.regexp_replace(y, f"(^|[^a-z]){name}([^a-z]|$)", "$1 $2"), LONGEST_MAGNITUDES, x)
+        return F.when(x.rlike(f"(^|[^a-z])({'|'.join(LONGEST_MAGNITUDES)})([^a-z]|$)"), bare).otherwise(x)
+
+    def plain(x: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(x, rf"\b({FILLERS})\b", " "), f"[%,()]|{SPACE}", "")
+        return bare.rlike(rf"^{NUMBER}$")
+
+    # What holds no digit leaves no number; what holds no such word is not searched for each of them.
+    checked = let(F.lower(_text(text)), lambda x: F.when(x.rlike("[0-9]"), let(without_currencies(x), lambda y: plain(without_magnitudes(y)))))
+    return F.coalesce(checked, F.lit(False))
 
 
 def normalize_number(number: Column, text: Column, unit: Column) -> Column:
     """A tagged value (number, or text where that is null) in units of one; null for texts that are no quantity."""
-    trimmed = F.trim(_text(text))
-    words = number_words(F.trim(F.regexp_replace(trimmed, r"(?i)\b(percent|percentage)\b", "")))
-    found = F.regexp_extract(F.replace(trimmed, F.lit(","), F.lit("")), f"({NUMBER})", 1).try_cast("double")
-    scale = magnitude(F.concat(trimmed, F.lit(" "), _text(unit)))
-    parsed = F.when((trimmed != "") & (words.isNotNull() | is_numeric_text(trimmed)), F.coalesce(found, words) * scale)
-    return F.when(number.isNotNull(), number * magnitude(unit)).otherwise(parsed)
 
+    def parsed(trimmed: Column) -> Column:
+        words = number_words(F.trim(F.regexp_replace(trimmed, r"(?i)\b(percent|percentage)\b", "")))
+        found = F.regexp_extract(F.replace(trimmed, F.lit(","), F.lit("")), f"({NUMBER})", 1).try_cast("double")
+        scale = magnitude(F.concat(trimmed, F.lit(" "), _text(unit)))
+        quantity = let(words, lambda w: F.when(w.isNotNull() | is_numeric_text(trimmed), F.coalesce(found, w) * scale))
+        return F.when(trimmed != "", quantity)
+
+    return F.when(number.isNotNull(), number * magnitude(unit)).otherwise(let(F.trim(_text(text)), parsed))
+
+
+def normalize_percentage(number: Column, text: Column, unit: Column, predicate: Column, value_type: Column, parsed: Column | None = None) -> Column:
+    """A share as a fraction, for values that a sign, the metric or the type marks as such; else null.
 
-def normalize_percentage(number: Column, text: Column, unit: Column, predicate: Column, value_type: Column) -> Column:
-    """A share as a fraction, for values that a sign, the metric or the type marks as such; else null."""
+    ``parsed`` is the value's normalize_number, where that is at hand.
+    """
     marked = F.lower(F.concat(_text(text), F.lit(" "), _text(unit))).rlike("%|percent")
     by_metric = F.lower(_text(predicate)).rlike(PERCENT_METRICS)
     by_type = F.lower(_text(value_type)) == "percentage"
     bare = (_text(predicate) == "") & F.coalesce(number.between(0, 1), F.lit(False))
-    parsed = normalize_number(number, text, unit)
-    return F.when(marked | by_metric | by_type | bare, F.when(parsed > 1, parsed / 100).otherwise(parsed))
+    parsed = normalize_number(number, text, unit) if parsed is None else parsed
+    return F.when(marked | by_metric | by_type | bare, let(parsed, lambda x: F.when(x > 1, x / 100).otherwise(x)))
 
 
 def normalize_unit(unit: Column, text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.text import blank_to_null
+from factloom.functions.text import blank_to_null, let
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
@@ -29,8 +29,10 @@ def _group(text: Column, pattern: str, *groups: int) -> Column:
 
 def parse_period(period: Column) -> Column:
     """period_type, period_start, period_end and period_label of a period as written."""
-    text = F.trim(F.coalesce(period, F.lit("")))
-    low = F.lower(text)
+    return let(F.trim(F.coalesce(period, F.lit(""))), lambda text: let(F.lower(text), lambda low: _parsed(text, low)))
+
+
+def _parsed(text: Column, low: Column) -> Column:
 
     def result(kind: Column | str | None, start: Column, end: Column, label: Column) -> Column:
         kind = kind if isinstance(kind, Column) else F.lit(kind).cast("string")

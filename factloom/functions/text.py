@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ SCOPE_ALIASES = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
@@ -81,6 +88,27 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4) + 8
 
 
+def written_number(value: Column) -> Column:
+    """A number as people write it: all its digits, no exponent, no zeros at the end."""
+    plain = F.regexp_replace(value.cast("decimal(38,15)").cast("string"), r"\.?0+$", "")
+    return F.when(value == F.floor(value), value.cast("decimal(38,0)").cast("string")).otherwise(plain)
+
+
+def stated_value(number: Column, text: Column) -> Column:
+    """A fact's value, a number or a text, as text."""
+    return F.coalesce(written_number(number), text)
+
+
+def namespace(kind: str, owner: Column) -> Column:
+    """The part of a vector store that holds a workspace's vectors of a kind ('chunks' or 'facts')."""
+    return F.concat(F.lit(f"{kind}__"), owner)
+
+
+def is_record_id(value: Column) -> Column:
+    """Whether a text is a record's id: 24 hexadecimal digits."""
+    return F.coalesce(value.rlike("^[0-9a-fA-F]{24}$"), F.lit(False))
+
+
 def describe_fact(subject: Column, predicate: Column, value: Column, unit: Column, currency: Column, period: Column, scope: Column) -> Column:
     """One line that states a fact; blank parts are left out."""
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,11 +12,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import collapse_space
+
 #: From a chunk's text to candidate facts (subject, predicate, value_text, unit, source_text, confidence).
 Extractor = Callable[[str], list[dict]]
 
 CANDIDATE = "document_id string, page_number int, chunk_id string, subject string, predicate string, value_text string, unit string, source_text string, confidence double"
+FACT = "subject string, predicate string, value_text string, unit string, source_text string, confidence double"
+ISSUE = "issue_type string, message string, preview string"
 MOST_FACTS = 15
+#: What a model is told whose reply was no JSON.
+AGAIN = 'Your previous reply was not valid JSON. Reply with exactly one JSON object of the form {"facts": [...]} and nothing else.'
 RETRYABLE = (408, 429, 500, 502, 503, 504)
 _STATEMENT = re.compile(r"([A-Z][\w&' ]{1,60}?) (?:was|were|is|are|reached|totalled) ((?:[$€£₹] ?)?[-+]?\d[\d,]*(?:\.\d+)?)\s*(%|percent|crore|lakh|thousand|million|billion)?")
 
@@ -48,24 +54,113 @@ def extract_facts(chunks: DataFrame, extractor: Extractor = rule_extractor) -> D
     return pending.mapInPandas(extract, CANDIDATE)
 
 
+def repaired(model: Callable[[str], str], prompt: Callable[[str], str] = str) -> Callable[[str], tuple[list[dict], list[dict]]]:
+    """Facts and issues of a text by a model that writes JSON; a reply that is no JSON is asked for again, once."""
+
+    def facts_in(reply: str) -> list[dict]:
+        found = json.loads(plain_json(reply))
+        if not isinstance(found, dict) or not isinstance(found.get("facts"), list):
+            raise ValueError("a reply must hold an array of facts")
+        return found["facts"][:MOST_FACTS]
+
+    def extract(text: str) -> tuple[list[dict], list[dict]]:
+        first = model(prompt(text))
+        try:
+            return facts_in(first), []
+        except json.JSONDecodeError as error:
+            preview = re.sub(r"\s+", " ", first[:200])
+            issue = {"issue_type": "malformed_json", "message": str(error), "preview": preview}
+        return facts_in(model(f"{prompt(text)}\n\n{AGAIN}")), [issue]
+
+    return extract
+
+
+def plain_json(reply: str) -> str:
+    """The JSON text of a reply, as ``functions.text.json_payload`` finds it."""
+    spoken = re.sub(r"<think>.*?</think>", "", reply, flags=re.IGNORECASE | re.DOTALL).strip()
+    bare = re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", spoken, flags=re.IGNORECASE)).strip()
+    if bare.startswith(("{", "[")):
+        return bare
+    inner = re.search(r"[\[{].*[\]}]", bare, re.DOTALL)
+    return inner[0] if inner else bare
+
+
+def extraction_round(chunks: DataFrame, extract: Callable[[str], tuple[list[dict], list[dict]]]) -> DataFrame:
+    """One row for each chunk that is 'pending' or 'failed': document_id, page_number, chunk_id, status, facts, issues.
+
+    ``extract`` gives a text's facts and issues. If it raises, the chunk is 'failed' with an issue that has the message's
+    first line, and all others go on; else it is 'done'. So a further round sees failed chunks only.
+    """
+    names = [x.split()[0] for x in FACT.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for d, p, c, text in zip(batch.document_id, batch.page_number, batch.chunk_id, batch.text, strict=True):
+                try:
+                    facts, issues = extract(text)
+                    status = "done"
+                except Exception as error:
+                    message = str(error).split("\n")[0]
+                    status, facts, issues = "failed", [], [{"issue_type": "chunk_failed", "message": message, "preview": None}]
+                rows.append((d, p, c, status, [{x: f.get(x) for x in names} for f in facts], issues))
+            yield pd.DataFrame(rows, columns=["document_id", "page_number", "chunk_id", "status", "facts", "issues"])
+
+    due = chunks.where(F.col("status").isin("pending", "failed")).select(F.col("document_id").cast("string"), "page_number", "chunk_id", "text")
+    return due.mapInPandas(run, f"document_id string, page_number int, chunk_id string, status string, facts array<struct<{FACT}>>, issues array<struct<{ISSUE}>>")
+
+
+def after_round(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """``chunks`` with the status that a round left; its n_facts is 0 where the round had none, as before where it did not look."""
+    now = found.select("chunk_id", F.col("status").alias("_status"), F.size("facts").alias("_facts"))
+    before = F.col("n_facts") if "n_facts" in chunks.columns else F.lit(0)
+    rows = chunks.join(now, "chunk_id", "left")
+    return rows.withColumns({"status": F.coalesce("_status", "status"), "n_facts": F.coalesce("_facts", before)}).drop("_status", "_facts")
+
+
+def document_runs(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """document_id, status and error of a run: it fails only if each of the chunks it tried failed."""
+    tried = found.groupBy("document_id").agg(F.count("*").alias("tried"), F.count_if(F.col("status") == "failed").alias("failed"))
+    rows = chunks.groupBy(F.col("document_id").cast("string").alias("document_id")).agg(F.count("*").alias("total")).join(tried, "document_id", "left")
+    rows = rows.fillna(0, ["tried", "failed"])
+    whole = (F.col("tried") > 0) & (F.col("failed") == F.col("tried"))
+    error = F.when(whole, F.concat(F.lit("Fact extraction failed for all "), "tried", F.lit(" pending chunks"))).when(
+        F.col("failed") > 0, F.concat(F.lit("Fact extraction skipped "), "failed", F.lit(" of "), "total", F.lit(" chunks"))
+    )
+    return rows.select("document_id", F.when(whole, "failed").otherwise("processed").alias("status"), error.alias("error"))
+
+
+def hashed_vectors(texts: list[str | None], dimension: int = 64) -> np.ndarray:
+    """A unit vector of each text's hashed character trigrams, for all texts at once; blank texts count as one space."""
+    padded = [f" {x} " if x else "   " for x in ((t or "").strip().lower() for t in texts)]
+    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(x) for x in padded], dtype=np.int64)
+    owner = np.repeat(np.arange(len(padded)), sizes - 2)
+    at = np.arange(len(owner)) + 2 * owner  # a text has two trigrams fewer than characters
+    key = code[at] * np.uint64(961) + code[at + 1] * np.uint64(31) + code[at + 2] if len(owner) else code[:0]
+    mixed = (key * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)
+    slots = (mixed >> np.uint64(16)).astype(np.int64) % dimension
+    signs = np.where((mixed >> np.uint64(8)) & np.uint64(1), 1.0, -1.0)
+    out = np.bincount(owner * dimension + slots, signs, minlength=len(padded) * dimension).reshape(-1, dimension)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    out[length[:, 0] == 0, 0] = 1.0
+    return out / np.where(length == 0, 1.0, length)
+
+
 def hashed_vector(text: str | None, dimension: int = 64) -> list[float]:
-    """A unit vector of the text's hashed character trigrams; blank texts count as one space."""
-    padded = f" {(text or '').strip().lower()} "
-    slots = np.array([zlib.crc32(padded[i : i + 3].encode()) for i in range(max(1, len(padded) - 2))], dtype=np.int64)
-    vector = np.bincount(slots % dimension, np.where(slots // dimension % 2, 1.0, -1.0), minlength=dimension)
-    size = np.linalg.norm(vector)
-    return (vector / size if size else np.eye(1, dimension)[0]).tolist()
+    return hashed_vectors([text], dimension)[0].tolist()
 
 
-def embed(text: Column, model: Callable[[str | None], list[float]] = hashed_vector) -> Column:
-    """An ``array<double>`` column of each text's vector."""
+def embed(text: Column, model: Callable[[list[str | None]], np.ndarray] = hashed_vectors) -> Column:
+    """An ``array<double>`` column of each text's vector; the model sees tidy texts, some at a time."""
 
     @F.pandas_udf("array<double>")
     def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            yield part.map(model)
+            found = [model(part.iloc[k : k + 256].tolist()) for k in range(0, len(part), 256)]
+            yield pd.Series([row for block in found for row in block])
 
-    return vectors(text)
+    return vectors(F.lower(collapse_space(F.coalesce(text, F.lit("")))))
 
 
 def delay_seconds(attempt: int, message: str = "", base: float = 2.0, cap: float = 60.0) -> float:

@@ -63,8 +63,9 @@ def split_candidates(candidates: DataFrame, chunk_text: str = "chunk_text") -> t
 def normalize_facts(facts: DataFrame) -> DataFrame:
     """Facts with raw_* copies and normalized_*, period_* columns; applying it again changes nothing.
 
-    One select of Column expressions. ``facts`` has subject, predicate, object, value_num, value_text, value_type,
-    unit, currency, period, scope and source_text.
+    Selects of Column expressions. ``facts`` has subject, predicate, object, value_num, value_text, value_type,
+    unit, currency, period, scope and source_text. period_start and period_end that ``facts`` has already stay where the
+    period as written gives none; normalized_period_start and _end have only what it gives.
     """
     raw = {}
     for name in ("subject", "predicate", "value_num", "value_text", "unit", "currency", "period", "scope"):
@@ -72,22 +73,29 @@ def normalize_facts(facts: DataFrame) -> DataFrame:
         raw[kept] = F.coalesce(kept, name) if kept in facts.columns else F.col(name)
     facts = facts.withColumns(raw)
     number, text, unit = F.col("raw_value_num"), F.col("raw_value_text"), F.col("raw_unit")
-    predicate = t.normalize_predicate(F.col("raw_predicate"))
     value = F.coalesce(text, F.lit(""))
     context = F.concat_ws(" ", value, F.coalesce(unit, F.lit("")), F.coalesce("source_text", F.lit("")))
     facts = facts.withColumns({
         "normalized_subject": t.normalize_subject(F.col("raw_subject")),
-        "normalized_predicate": predicate,
+        "normalized_predicate": t.normalize_predicate(F.col("raw_predicate")),
         "normalized_object": F.when(F.col("object").isNotNull(), t.normalize_text(F.col("object"))),
-        "normalized_percentage": n.normalize_percentage(number, text, unit, predicate, F.col("value_type")),
-        "normalized_number": n.normalize_number(number, text, unit),
+        "_number": n.normalize_number(number, text, unit),
         "normalized_unit": n.normalize_unit(unit, text),
         "normalized_currency": n.normalize_currency(F.col("raw_currency"), context),
         "normalized_scope": t.normalize_scope(F.col("raw_scope")),
         "_period": parse_period(F.col("raw_period")),
     })
-    facts = facts.withColumn("normalized_value", F.coalesce("normalized_percentage", "normalized_number")).drop("normalized_number")
-    return facts.withColumns({c: F.col(f"_period.{c}") for c in ("period_type", "period_start", "period_end", "period_label")}).drop("_period")
+    share = n.normalize_percentage(number, text, unit, F.col("normalized_predicate"), F.col("value_type"), F.col("_number"))
+    facts = facts.withColumn("normalized_percentage", share)
+    bounds = {c: F.coalesce(f"_period.{c}", F.col(c).cast("date")) if c in facts.columns else F.col(f"_period.{c}") for c in ("period_start", "period_end")}
+    return facts.withColumns({
+        "normalized_value": F.coalesce("normalized_percentage", "_number"),
+        "period_type": F.col("_period.period_type"),
+        **bounds,
+        "period_label": F.col("_period.period_label"),
+        "normalized_period_start": F.col("_period.period_start"),
+        "normalized_period_end": F.col("_period.period_end"),
+    }).drop("_number", "_period")
 
 
 def match_text() -> Column:

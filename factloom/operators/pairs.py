@@ -108,3 +108,9 @@ def adjudicated_pairs(pool: DataFrame, verdicts: DataFrame, config: Config = DEF
     """Of the pool, the pairs that ``verdicts`` (pair_key, same, reason) call the same, as accepted candidates."""
     agreed = verdicts.where("same").select("pair_key", F.col("same").alias("adjudicated_same"), F.col("reason").alias("adjudicated_reason"))
     return _accepted(compared(pool.drop("compatible", "score", "reason").join(agreed, "pair_key")), config)
+
+
+def united(deterministic: DataFrame, adjudicated: DataFrame) -> DataFrame:
+    """Both sets of accepted pairs, each pair once: by the identity rules where these accept it, else by the judge's word."""
+    also = adjudicated.join(deterministic.select("pair_key"), "pair_key", "left_anti")
+    return deterministic.unionByName(also, allowMissingColumns=True)

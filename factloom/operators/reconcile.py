@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from factloom.config import DEFAULTS, Config
 from factloom.functions.numbers import clamped, relative_difference
-from factloom.functions.text import blank_to_null, display, display_number, display_percent
+from factloom.functions.text import blank_to_null, display, display_number, display_percent, stated_value
 
 FACT_COLUMNS = (
     "fact_id", "document_id", "page_id", "chunk_id", "page_number", "subject", "predicate", "object", "value_num", "value_text", "value_type",
-    "unit", "currency", "source_text", "confidence", "normalized_subject", "normalized_predicate", "normalized_object", "normalized_value",
+    "unit", "currency", "period", "scope", "source_text", "confidence", "normalized_subject", "normalized_predicate", "normalized_object", "normalized_value",
     "normalized_percentage", "normalized_unit", "normalized_currency", "normalized_scope", "period_label",
 )
 
@@ -51,7 +51,8 @@ def surely_same(name: str) -> Column:
 
 def fact_struct(facts: DataFrame, alias: str) -> DataFrame:
     """The facts as one struct column; columns a table lacks are null."""
-    columns = [F.col(c) if c in facts.columns else F.lit(None).cast("string").alias(c) for c in FACT_COLUMNS]
+    kinds = {"page_number": "int", "value_num": "double", "confidence": "double", "normalized_value": "double", "normalized_percentage": "double"}
+    columns = [F.col(c) if c in facts.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in FACT_COLUMNS]
     return facts.select(F.struct(*columns).alias(alias))
 
 
@@ -115,6 +116,11 @@ def reconciled(pairs: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     })
 
 
+def reviewed(pairs: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """Candidate pairs reconciled in one go, with the judge's word for those it called the same; their status becomes 'reviewed'."""
+    return reconciled(pairs, config).withColumn("status", F.lit("reviewed"))
+
+
 def has_evidence(side: str) -> Column:
     def there(name: str) -> Column:
         return F.coalesce(F.col(f"{side}.{name}").cast("string"), F.lit("")) != ""
@@ -135,8 +141,7 @@ def explained(pairs: DataFrame) -> DataFrame:
         return F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
 
     def value(side: str) -> Column:
-        number = F.col(f"{side}.value_num").cast("string")
-        return display(F.coalesce(F.col(f"{side}.object"), number, F.col(f"{side}.value_text")))
+        return display(F.coalesce(F.col(f"{side}.object"), stated_value(F.col(f"{side}.value_num"), F.col(f"{side}.value_text"))))
 
     judged = F.coalesce(F.col("adjudicated_same"), F.lit(False)) if "adjudicated_same" in pairs.columns else F.lit(False)
     why = F.coalesce(F.concat(F.lit(": "), blank_to_null(F.col("adjudicated_reason"))), F.lit(".")) if "adjudicated_reason" in pairs.columns else F.lit(".")

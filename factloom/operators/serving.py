@@ -38,8 +38,8 @@ def neighbours(relationships: DataFrame, fact_ids: DataFrame) -> DataFrame:
 
 
 def numbered_sources(facts: DataFrame, passages: DataFrame) -> DataFrame:
-    """Facts, then passages, numbered S1, S2, ...; both have order_in, document_id, page_number, statement, quote, score."""
-    columns = ["kind", "fact_id", "document_id", "page_number", "statement", "quote", "score"]
+    """Facts, then passages, numbered S1, S2, ...; both have order_in, chunk_id, document_id, page_number, statement, quote, score."""
+    columns = ["kind", "fact_id", "chunk_id", "document_id", "page_number", "statement", "quote", "score"]
     both = facts.withColumns({"kind": F.lit("fact"), "_k": F.lit(0)}).select("_k", "order_in", *columns).unionByName(
         passages.withColumns({"kind": F.lit("passage"), "_k": F.lit(1), "fact_id": F.lit(None).cast("string")}).select("_k", "order_in", *columns)
     )
@@ -102,3 +102,50 @@ def document_counters(documents: DataFrame, **tables: DataFrame) -> DataFrame:
         counted = rows.groupBy("document_id").agg(F.count("*").alias(f"{name}_count"))
         documents = documents.join(counted, "document_id", "left").withColumn(f"{name}_count", F.coalesce(f"{name}_count", F.lit(0)))
     return documents
+
+
+def surest_touching(relationships: DataFrame, fact_ids: DataFrame, most: int = 8) -> DataFrame:
+    """Of the relationships that touch any of ``fact_ids``, the ``most`` surest: what an answer is told of."""
+    return relationships_touching(relationships, fact_ids).orderBy(F.desc("confidence"), "fact_a", "fact_b").limit(most)
+
+
+def answer_facts(retrieved: DataFrame, relationships: DataFrame) -> DataFrame:
+    """fact_id and order_in: the ``retrieved`` facts (fact_id, rank), then those that only ``relationships`` name."""
+    ends = relationships.select(F.explode(F.array("fact_a", "fact_b")).alias("fact_id")).distinct()
+    more = ends.join(retrieved.select("fact_id"), "fact_id", "left_anti")
+    order = F.struct(F.lit(1).alias("k"), F.lit(0).alias("rank"), F.col("fact_id").alias("id"))
+    return retrieved.select("fact_id", F.struct(F.lit(0).alias("k"), F.col("rank").cast("int").alias("rank"), F.col("fact_id").alias("id")).alias("order_in")).unionByName(
+        more.select("fact_id", order.alias("order_in"))
+    )
+
+
+def relationship_notes(relationships: DataFrame, sources: DataFrame) -> DataFrame:
+    """``relationships`` with source_a and source_b, the ids of their facts' sources; those with an end that is no source are left out."""
+    ids = sources.where("fact_id IS NOT NULL").select("fact_id", "source_id")
+    left, right = (ids.select(F.col("fact_id").alias(f"fact_{x}"), F.col("source_id").alias(f"source_{x}")) for x in ("a", "b"))
+    return relationships.join(left, "fact_a").join(right, "fact_b")
+
+
+def in_reading_order(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with ``place``, from 0, by page and index within their document."""
+    order = Window.partitionBy("document_id").orderBy("page_number", "chunk_index")
+    return chunks.withColumn("place", F.row_number().over(order) - 1)
+
+
+def by_creation(rows: DataFrame, tie: str) -> DataFrame:
+    """``rows`` of one listing, oldest first."""
+    return rows.orderBy("created_at", tie)
+
+
+def folded(totals: DataFrame, group: str, name: str, value: str = "n") -> DataFrame:
+    """One map of names to values for each group."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(name).cast("string").alias("k"), F.col(value).alias("v"))))
+    return totals.groupBy(group).agg(F.map_from_entries(pairs).alias("totals"))
+
+
+def chunk_counters(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``documents`` (document_id) with their pages, chunks and the chunks that need no work (any more)."""
+    n_pages = pages.groupBy("document_id").agg(F.count("*").alias("page_count"))
+    by = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"), F.count_if(F.col("status").isin("skipped", "done")).alias("processed_chunk_count"))
+    rows = documents.join(n_pages, "document_id", "left").join(by, "document_id", "left")
+    return rows.fillna(0, ["page_count", "chunk_count", "processed_chunk_count"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,6 +59,51 @@ def window_spend(events: DataFrame, key: str, at: str, cost: str, seconds: int =
     return events.withColumn("_at", micros).withColumn("spent", F.sum(cost).over(span)).drop("_at")
 
 
+class TokenWindow:
+    """A budget of ``most`` tokens in any ``width_us``; what does not fit waits, and what is too large waits for an empty window."""
+
+    def __init__(self, width_us: int, most: int, least_wait_us: int = 250_000) -> None:
+        self.width, self.most, self.least = width_us, most, least_wait_us
+        self.spent: deque[tuple[int, int]] = deque()
+        self.used, self.last = 0, 0
+
+    def reserve(self, at: int, tokens: int) -> int:
+        """The moment at which a request that comes ``at`` a moment is let through, after those before it."""
+        now = max(at, self.last)
+        while True:
+            while self.spent and self.spent[0][0] <= now - self.width:
+                self.used -= self.spent.popleft()[1]
+            if self.used + tokens <= self.most or not self.spent:
+                self.spent.append((now, tokens))
+                self.used, self.last = self.used + tokens, now
+                return now
+            now += max(self.least, self.spent[0][0] + self.width - now)
+
+
+def token_limited(requests: DataFrame, key: str, at: str, tie: str, cost: str, most: int, seconds: int = 60, least_wait_us: int = 250_000) -> DataFrame:
+    """Rows key, tie, admitted_us, waited_us of every request, in the order of ``at`` and ``tie`` for each key.
+
+    Keys are dealt to tasks and sorted there; a task holds what one key spent in one window.
+    """
+    rows = requests.select(key, tie, F.unix_micros(F.col(at).cast("timestamp")).alias("_at"), F.col(cost).cast("long").alias("_cost"))
+    rows = rows.where(F.col(key).isNotNull() & F.col("_at").isNotNull() & F.col("_cost").isNotNull()).repartition(key).sortWithinPartitions(key, "_at", tie)
+
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, window = object(), TokenWindow(0, 0)
+        for batch in batches:
+            keys, times, costs = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            out = []
+            for k, t, c in zip(keys, times, costs, strict=True):
+                if k != current:
+                    current, window = k, TokenWindow(seconds * 1_000_000, most, least_wait_us)
+                out.append(window.reserve(t, c))
+            waited = [a - t for a, t in zip(out, times, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64()), pa.array(waited, pa.int64())], names=[key, tie, "admitted_us", "waited_us"])
+
+    types = dict(requests.dtypes)
+    return rows.mapInArrow(admit, f"{key} {types[key]}, {tie} {types[tie]}, admitted_us long, waited_us long")
+
+
 def leases(heartbeats: DataFrame, key: str, at: str, now: str | None = None, config: Config = DEFAULTS) -> DataFrame:
     """Rows key, last_beat, stale: whether a lease's last heartbeat is older than the lease (as of ``now`` or the last beat of all)."""
     moment = F.lit(now if now else heartbeats.agg(F.max(at)).first()[0]).cast("timestamp")

@@ -20,6 +20,13 @@ def usable(vectors: DataFrame, dimension: int | None = None) -> DataFrame:
     return rows.where(F.size("embedding") == dimension) if dimension else rows
 
 
+def checked_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
+    """``vectors`` as they are; reading one of another dimension than the index has fails."""
+    wrong = F.concat(F.lit(f"the index has dimension {dimension}, a vector "), F.size("embedding").cast("string"))
+    kept = F.when((F.size("embedding") == dimension) | F.col("embedding").isNull(), F.col("embedding")).otherwise(F.raise_error(wrong).cast(vectors.schema["embedding"].dataType))
+    return vectors.withColumn("embedding", kept)
+
+
 def similar(queries: DataFrame, candidates: DataFrame, k: int = DEFAULTS.match_top_k) -> DataFrame:
     """Rows fact_id, candidate_id, similarity (6 decimals), rank: the k nearest candidates of each query, itself included.
 

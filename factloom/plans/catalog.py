@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom import models
 from factloom.config import DEFAULTS
 from factloom.functions import numbers as n
 from factloom.functions import text as t
@@ -207,12 +209,38 @@ def match_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.normalize_facts(_order_facts(spark, sf_dir)).select("fact_id", facts.match_text().alias("match_text"))
 
 
-@query(f"""SELECT fact_id, concat_ws(' ', nullif(subject, ''), nullif(predicate, ''), '= ' || nullif(coalesce(value_text, object), ''), nullif(unit, ''), nullif(currency, ''),
+_VALUE = r"coalesce(regexp_replace(value_num::VARCHAR, '\.0$', ''), value_text)"
+
+
+@query(f"""SELECT fact_id, concat_ws(' ', nullif(subject, ''), nullif(predicate, ''), '= ' || nullif(coalesce({_VALUE}, object), ''), nullif(unit, ''), nullif(currency, ''),
   '(' || nullif(period, '') || ')', '[' || nullif(scope, '') || ']') AS statement FROM ({ORDER_FACTS})""")
 def fact_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.coalesce("value_text", "object")
-    line = t.describe_fact(F.col("subject"), F.col("predicate"), value, F.col("unit"), F.col("currency"), F.col("period"), F.col("scope"))
-    return _order_facts(spark, sf_dir).select("fact_id", line.alias("statement"))
+    return _order_facts(spark, sf_dir).select("fact_id", _statement().alias("statement"))
+
+
+def _statement() -> Column:
+    value = F.coalesce(t.stated_value(F.col("value_num"), F.col("value_text")), "object")
+    return t.describe_fact(F.col("subject"), F.col("predicate"), value, F.col("unit"), F.col("currency"), F.col("period"), F.col("scope"))
+
+
+_BOUNDED = f"""SELECT *, CASE WHEN page_number % 3 > 0 THEN CAST(created_at AS DATE) END AS period_start, CASE WHEN page_number % 4 > 0 THEN CAST(created_at AS DATE) END AS period_end FROM ({ORDER_FACTS}) AS o"""
+
+
+@query(f"""SELECT fact_id, coalesce(p.period_start, g.period_start) AS period_start, coalesce(p.period_end, g.period_end) AS period_end,
+  p.period_start AS normalized_period_start, p.period_end AS normalized_period_end
+FROM ({_BOUNDED}) g JOIN (SELECT fact_id, {m.period_columns('period')} FROM ({ORDER_FACTS})) p USING (fact_id)""")
+def fact_period_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds that came with a fact stay where its period as written gives none."""
+    rows = facts.normalize_facts(both(spark, sf_dir, _BOUNDED))
+    return rows.select("fact_id", "period_start", "period_end", "normalized_period_start", "normalized_period_end")
+
+
+@query(f"""SELECT fact_id, 'facts__' || owner AS facts_space, 'chunks__' || owner AS chunks_space, regexp_matches(md5(fact_id)[:20 + page_number % 10], '^[0-9a-fA-F]{{24}}$') AS is_id FROM ({ORDER_FACTS})""")
+def record_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a workspace's vectors lie, and which of some would-be ids are ids."""
+    owner = F.col("owner")
+    given = F.md5("fact_id").substr(F.lit(1), 20 + F.col("page_number") % 10)
+    return _order_facts(spark, sf_dir).select("fact_id", t.namespace("facts", owner).alias("facts_space"), t.namespace("chunks", owner).alias("chunks_space"), t.is_record_id(given).alias("is_id"))
 
 
 @query(rf"""SELECT c_custkey, CASE WHEN regexp_matches(w, '^[a-z0-9][a-z0-9 ._-]*$') THEN w END AS workspace
@@ -280,16 +308,30 @@ def json_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", payload.alias("payload"), F.when(parsed["facts"].isNotNull(), F.size(parsed["facts"])).alias("n_facts"))
 
 
+_ENVELOPES = """SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN '{"choices": [{"message": {"content": "```json\\\\n{\\\\"facts\\\\": [{\\\\"subject\\\\": \\\\"' || role || '\\\\"}]}\\\\n```"}}]}'
+  WHEN 1 THEN '{"text": "{\\\\"facts\\\\": [{}, {}]}", "model": "m' || CAST(turn AS STRING) || '"}' WHEN 2 THEN '{"content": "{\\\\"facts\\\\": []}"}' WHEN 3 THEN '{"facts": "none"}'
+  WHEN 4 THEN 'Sorry, { no facts of ' || role ELSE '<think>hm</think>{"facts": [{"subject": "s"}]} indeed' END AS reply FROM conversations"""
+
+
+@query(f"""SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 3 THEN 'no_facts_array' WHEN 4 THEN 'malformed_json' ELSE 'ok' END AS outcome,
+  CASE (conv_id + turn) % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 5 THEN 1 END AS n_facts, CASE (conv_id + turn) % 6 WHEN 1 THEN 'm' || turn END AS model,
+  CASE (conv_id + turn) % 6 WHEN 4 THEN {m.collapse_space("substr(reply, 1, 200)")} END AS preview FROM ({_ENVELOPES.replace(chr(92) * 2, chr(92))})""")
+def reply_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies as strings, envelopes and objects: what they hold, and what is logged where they hold nothing."""
+    rows = documents.replied_facts(both(spark, sf_dir, _ENVELOPES))
+    return rows.select("conv_id", "turn", "outcome", F.when(F.col("outcome") == "ok", F.size("facts")).alias("n_facts"), "model", "preview")
+
+
 # Reconciliation.
 
 
 def revenue_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.normalize_facts(both(spark, sf_dir, REVENUE_FACTS))
+    """A nation's yearly revenue by both books, some hundred facts: added up and normalised once, then read as a table."""
+    return stored(facts.normalize_facts(stored(both(spark, sf_dir, REVENUE_FACTS), "books")), "revenue")
 
 
-def _book_pairs(spark: SparkSession, sf_dir: str, same_year: bool) -> DataFrame:
+def _book_pairs(rows: DataFrame, same_year: bool) -> DataFrame:
     """Facts of the two books on one subject and metric, of the same year or of a year and the one before."""
-    rows = revenue_facts(spark, sf_dir)
     left, right = (reconcile.fact_struct(rows, x) for x in ("a", "b"))
     years = "b.page_number = a.page_number" if same_year else "b.page_number = a.page_number - 1"
     return left.join(right, F.expr(f"a.normalized_subject = b.normalized_subject AND a.normalized_predicate = b.normalized_predicate AND {years} AND a.document_id = 'orders-book' AND b.document_id = 'lines-book'"))
@@ -300,7 +342,7 @@ def _book_sql(same_year: bool) -> str:
     return f"""
 WITH f AS ({m.filled(NORMALIZED, REVENUE_FACTS)}),
 p AS (SELECT a.fact_id AS fact_a, b.fact_id AS fact_b, a.normalized_subject AS subject, least(a.confidence, b.confidence, 1.0) AS confidence, a.period_label AS pa, b.period_label AS pb,
-    a.normalized_value AS va, b.normalized_value AS vb, a.page_number AS year_a, a.period_label = b.period_label AS same_period,
+    a.normalized_value AS va, b.normalized_value AS vb, a.page_number AS year_a, a.source_text AS ta, b.source_text AS tb, a.period_label = b.period_label AS same_period,
     abs(a.normalized_value - b.normalized_value) / greatest(abs(a.normalized_value), abs(b.normalized_value), 1.0) AS percentage_difference
   FROM f a JOIN f b ON a.normalized_subject = b.normalized_subject AND a.normalized_predicate = b.normalized_predicate AND {years}
   AND a.document_id = 'orders-book' AND b.document_id = 'lines-book'),
@@ -312,18 +354,18 @@ SELECT * FROM r"""
 @query(f"SELECT fact_a, fact_b, relationship_type, context, round(percentage_difference, 6) AS percentage_difference, confidence FROM ({_book_sql(True)})")
 def reconcile_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Do the order book and the shipped lines agree on a nation's yearly revenue?"""
-    rows = reconcile.reconciled(_book_pairs(spark, sf_dir, True))
+    rows = reconcile.reconciled(_book_pairs(revenue_facts(spark, sf_dir), True))
     return rows.select(F.col("a.fact_id").alias("fact_a"), F.col("b.fact_id").alias("fact_b"), "relationship_type", "context", F.round("percentage_difference", 6).alias("percentage_difference"), "confidence")
 
 
 @query(f"SELECT relationship_type, count(*) AS n FROM ({_book_sql(True)}) GROUP BY relationship_type")
 def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.class_totals(reconcile.reconciled(_book_pairs(spark, sf_dir, True)))
+    return serving.class_totals(reconcile.reconciled(_book_pairs(revenue_facts(spark, sf_dir), True)))
 
 
 @query(f"SELECT fact_a, fact_b, relationship_type, context FROM ({_book_sql(False)})")
 def reconcile_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reconcile.reconciled(_book_pairs(spark, sf_dir, False))
+    rows = reconcile.reconciled(_book_pairs(revenue_facts(spark, sf_dir), False))
     return rows.select(F.col("a.fact_id").alias("fact_a"), F.col("b.fact_id").alias("fact_b"), "relationship_type", "context")
 
 
@@ -342,18 +384,26 @@ def reconcile_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.reconciled(pairs_).select(F.col("a.fact_id").alias("fact_a"), "relationship_type")
 
 
-@query(f"""SELECT fact_a, fact_b, relationship_type || ': ' || because AS summary, len(sims)::INTEGER AS n_similar, array_to_string(sims, ' ') AS similar, diff FROM (
-SELECT *, CASE relationship_type {' '.join(f"WHEN {m.quoted(k)} THEN {m.quoted(v)}" for k, v in reconcile.CLASS_REASONS.items())} ELSE {m.quoted(reconcile.NO_METADATA)} END AS because,
-  [x FOR x IN ['Both describe subject ''' || subject || '''.', 'Both describe metric ''revenue''.', CASE WHEN same_period THEN 'Both refer to period ''' || pa || '''.' END,
-   'Both refer to scope ''consolidated''.', 'Currency is compatible: USD.'] IF x IS NOT NULL] AS sims,
-  CASE WHEN NOT same_period THEN 'Periods differ: Fact A is ''' || pa || '''; Fact B is ''' || pb || '''.' END AS diff
+_APART = "abs(va - vb)"
+
+
+@query(f"""SELECT fact_a, fact_b, relationship_type || ': ' || because AS summary, array_to_string([x FOR x IN sims IF x IS NOT NULL], ' ') AS similar, array_to_string([x FOR x IN diffs IF x IS NOT NULL], ' ') AS differ,
+  'Fact A states: ''' || ta || ''' Fact B states: ''' || tb || '''. ' || because AS detailed_reason, 'Fact A ' || fact_a_page || ', Fact B ' || fact_b_page AS evidence FROM (
+SELECT *, 'orders-page-' || year_a AS fact_a_page, 'lines-page-' || (year_a - 1) AS fact_b_page,
+  CASE relationship_type {' '.join(f"WHEN {m.quoted(k)} THEN {m.quoted(v)}" for k, v in reconcile.CLASS_REASONS.items())} ELSE {m.quoted(reconcile.NO_METADATA)} END AS because,
+  ['Both describe subject ''' || subject || '''.', 'Both describe metric ''revenue''.', CASE WHEN same_period THEN 'Both refer to period ''' || pa || '''.' END, 'Both refer to scope ''consolidated''.', 'Currency is compatible: USD.'] AS sims,
+  [CASE WHEN NOT same_period THEN 'Periods differ: Fact A is ''' || pa || '''; Fact B is ''' || pb || '''.' END,
+   CASE WHEN percentage_difference > 0.01 THEN 'Values differ by ' || CASE WHEN {_APART} >= 1e9 THEN printf('%.2f billion', {_APART} / 1e9) WHEN {_APART} >= 1e6 THEN printf('%.2f million', {_APART} / 1e6)
+     WHEN {_APART} >= 1000 THEN regexp_replace(regexp_replace(printf('%,.2f', {_APART}), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') ELSE regexp_replace(regexp_replace(printf('%.4f', {_APART}), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') END
+     || ', a ' || printf('%.1f%%', percentage_difference * 100) || ' relative difference.' END] AS diffs
 FROM ({_book_sql(False)}))""")
 def explain_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reconcile.explained(reconcile.reconciled(_book_pairs(spark, sf_dir, False)))
-    periods = F.filter("key_differences", lambda x: x.startswith("Periods"))
+    """Everything that is said of two neighbouring years: what agrees, what differs and by how much, and where it stands."""
+    rows = reconcile.explained(reconcile.reconciled(_book_pairs(revenue_facts(spark, sf_dir), False)))
+    where = F.array_join(F.transform("evidence", lambda x: F.concat_ws(" ", x["fact"], F.when(x["evidence_available"], x["page_id"]))), ", ")
     return rows.select(
-        F.col("a.fact_id").alias("fact_a"), F.col("b.fact_id").alias("fact_b"), "summary", F.size("key_similarities").alias("n_similar"),
-        F.array_join("key_similarities", " ").alias("similar"), F.get(periods, F.lit(0)).alias("diff"),
+        F.col("a.fact_id").alias("fact_a"), F.col("b.fact_id").alias("fact_b"), "summary", F.array_join("key_similarities", " ").alias("similar"),
+        F.array_join("key_differences", " ").alias("differ"), "detailed_reason", where.alias("evidence"),
     )
 
 
@@ -369,11 +419,16 @@ def vector_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("subject "), (F.col("vec_id") % 2).cast("string")).alias("normalized_subject"), F.concat(F.lit("metric_"), (F.col("vec_id") % 5 % 2).cast("string")).alias("normalized_predicate"),
         F.expr("CASE vec_id % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'currency' WHEN 2 THEN 'percentage' END").alias("value_type"), F.expr("'FY' || CAST(2020 + vec_id % 3 AS STRING)").alias("period_label"),
         F.expr("CAST(vec_id % 101 AS DOUBLE) / 100").alias("confidence"),
+        F.expr("CAST(100 + vec_id % 4 AS DOUBLE)").alias("normalized_value"), F.expr("'Company ' || CAST(vec_id % 7 AS STRING)").alias("subject"), F.expr("'Metric No. ' || CAST(vec_id % 11 AS STRING)").alias("predicate"),
+        F.expr("CASE WHEN vec_id % 3 > 0 THEN 'fiscal ' || CAST(2020 + vec_id % 3 AS STRING) END").alias("period"), F.lit(None).cast("string").alias("scope"),
+        F.expr("'As reported by vector ' || CAST(vec_id AS STRING) || repeat(' again', CAST(vec_id % 60 AS INT))").alias("source_text"),
     )
 
 
 VECTOR_FACTS = """SELECT 'v' || lpad(vec_id::VARCHAR, 9, '0') AS fact_id, 'w' || (vec_id % 3) AS owner, 'd' || label AS document_id, embedding::DOUBLE[] AS e, 'subject ' || (vec_id % 2) AS s, 'metric_' || (vec_id % 5 % 2) AS p,
-  CASE vec_id % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'currency' WHEN 2 THEN 'percentage' END AS value_type, 'FY' || (2020 + vec_id % 3) AS period_label, (vec_id % 101)::DOUBLE / 100 AS confidence
+  CASE vec_id % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'currency' WHEN 2 THEN 'percentage' END AS value_type, 'FY' || (2020 + vec_id % 3) AS period_label, (vec_id % 101)::DOUBLE / 100 AS confidence, (100 + vec_id % 4)::DOUBLE AS v,
+  'subject="Company ' || (vec_id % 7) || '", metric="Metric No. ' || (vec_id % 11) || '", period="' || CASE WHEN vec_id % 3 > 0 THEN 'fiscal ' || (2020 + vec_id % 3) ELSE '' END || '", scope="", evidence="'
+  || substr('As reported by vector ' || vec_id || repeat(' again', (vec_id % 60)::INT), 1, 220) || '"' AS told
 FROM embeddings WHERE list_max([abs(x) FOR x IN embedding]) > 0"""
 MATCHES = f"""SELECT * FROM (SELECT q.fact_id, c.fact_id AS candidate_id, q.document_id AS qd, c.document_id AS cd, round(list_cosine_similarity(q.e, c.e), 6) AS similarity,
   row_number() OVER (PARTITION BY q.fact_id ORDER BY round(list_cosine_similarity(q.e, c.e), 6) DESC, c.fact_id)::INTEGER AS rank
@@ -396,7 +451,8 @@ NEAR = DEFAULTS.__class__(similarity_threshold=0.2, adjudication_similarity=0.25
 _FIRST = f"""SELECT *, least(fact_id, candidate_id) AS fact_a, greatest(fact_id, candidate_id) AS fact_b FROM ({MATCHES}) WHERE qd <> cd AND fact_id <> candidate_id AND similarity >= %s
   QUALIFY row_number() OVER (PARTITION BY least(fact_id, candidate_id), greatest(fact_id, candidate_id) ORDER BY fact_id, rank) = 1"""
 _COMPARED = f"""SELECT m.*, a.s = b.s AS same_subject, a.p = b.p AS same_predicate, a.value_type IS NULL OR b.value_type IS NULL OR
-    CASE a.value_type WHEN 'percentage' THEN 0 ELSE 1 END = CASE b.value_type WHEN 'percentage' THEN 0 ELSE 1 END AS same_type, a.period_label = b.period_label AS same_period, least(a.confidence, b.confidence) AS sure
+    CASE a.value_type WHEN 'percentage' THEN 0 ELSE 1 END = CASE b.value_type WHEN 'percentage' THEN 0 ELSE 1 END AS same_type, a.period_label = b.period_label AS same_period, least(a.confidence, b.confidence) AS sure, a.told AS told_a, b.told AS told_b,
+    abs(a.v - b.v) / greatest(abs(a.v), abs(b.v), 1.0) AS apart
   FROM ({_FIRST}) m JOIN ({VECTOR_FACTS}) a ON a.fact_id = m.fact_a JOIN ({VECTOR_FACTS}) b ON b.fact_id = m.fact_b"""
 _KEPT = "'; value type compatible; object compatible; unit compatible; currency compatible' || CASE WHEN same_period THEN '' ELSE '; period differs; preserved for later analysis' END"
 
@@ -432,6 +488,27 @@ def adjudicated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.adjudicated_pairs(pool, verdicts, NEAR).select("fact_a", "fact_b", "similarity", "matching_score", "reason")
 
 
+_REVIEWED = f"""SELECT fact_a, fact_b, adjudicated, least(sure, similarity) AS confidence,
+  CASE WHEN NOT same_period THEN 'contextual_difference' WHEN apart <= 0.01 THEN 'corroborated' ELSE 'contradiction' END AS relationship_type FROM (
+  SELECT *, false AS adjudicated FROM ({m.filled(_COMPARED, NEAR.similarity_threshold)}) WHERE same_subject AND same_predicate AND same_type AND similarity >= {NEAR.match_confidence_threshold}
+  UNION ALL BY NAME SELECT * EXCLUDE (encounter), true AS adjudicated FROM ({_POOL}) WHERE same_predicate AND same_type AND similarity * 0.9 >= {NEAR.match_confidence_threshold})"""
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by the identity rules and pairs that a judge calls the same, reconciled together."""
+    rows = stored(vector_facts(spark, sf_dir), "facts")
+    matches = stored(vectors.document_matches(rows).select("fact_id", "candidate_id", "similarity", "rank"), "matches")
+    pool = stored(pairs.adjudication_pool(matches, rows, NEAR), "pool")
+    verdicts = pool.select("pair_key", F.expr("a.normalized_predicate = b.normalized_predicate").alias("same"), F.lit("same metric").alias("reason"))
+    found = pairs.united(pairs.candidate_pairs(matches, rows, NEAR), pairs.adjudicated_pairs(pool, verdicts, NEAR))
+    return stored(reconcile.reviewed(found).withColumn("adjudicated", F.coalesce("adjudicated_same", F.lit(False))), "reviewed")
+
+
+@query(f"SELECT fact_a, fact_b, adjudicated, confidence, relationship_type, 'reviewed' AS status FROM ({_REVIEWED})")
+def reviewed_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reviewed(spark, sf_dir).select("fact_a", "fact_b", "adjudicated", "confidence", "relationship_type", "status")
+
+
 # Serving.
 
 
@@ -464,8 +541,8 @@ _CASES = f"""SELECT *, round(confidence + CASE relationship_type WHEN 'corrobora
   SELECT *, row_number() OVER (PARTITION BY relationship_type ORDER BY confidence DESC, fact_a, fact_b) AS n FROM (SELECT * FROM ({_book_sql(True)}) UNION ALL SELECT * FROM ({_book_sql(False)}))) WHERE n <= 60"""
 
 
-def _book_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reconcile.reconciled(_book_pairs(spark, sf_dir, True).unionByName(_book_pairs(spark, sf_dir, False)))
+def _book_relationships(books: DataFrame) -> DataFrame:
+    rows = reconcile.reconciled(_book_pairs(books, True).unionByName(_book_pairs(books, False)))
     return rows.withColumns({"fact_a": F.col("a.fact_id"), "fact_b": F.col("b.fact_id"), "adjudicated": F.lit(False)})
 
 
@@ -473,38 +550,119 @@ def _book_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, row_number() OVER (PARTITION BY relationship_type ORDER BY case_score DESC, confidence DESC, fact_a, fact_b)::INTEGER AS place FROM ({_CASES}))
 WHERE place <= CASE relationship_type WHEN 'uncertain' THEN 2 ELSE 3 END""")
 def showcase_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = serving.showcase_cases(_book_relationships(spark, sf_dir))
+    rows = serving.showcase_cases(_book_relationships(revenue_facts(spark, sf_dir)))
     return rows.select("relationship_type", "place", "fact_a", "fact_b", F.round("case_score", 6).alias("case_score"), "is_best")
 
 
 @query(f"""SELECT 'relationships' AS part, relationship_type AS name, count(*) AS n FROM (SELECT * FROM ({_book_sql(True)}) UNION ALL SELECT * FROM ({_book_sql(False)})) GROUP BY ALL
 UNION ALL SELECT 'facts', document_id, count(*) FROM ({REVENUE_FACTS}) GROUP BY ALL""")
 def showcase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = serving.class_totals(_book_relationships(spark, sf_dir)).select(F.lit("relationships").alias("part"), F.col("relationship_type").alias("name"), "n")
-    books = serving.class_totals(revenue_facts(spark, sf_dir), "document_id").select(F.lit("facts").alias("part"), F.col("document_id").alias("name"), "n")
+    found = revenue_facts(spark, sf_dir)
+    kinds = serving.class_totals(_book_relationships(found)).select(F.lit("relationships").alias("part"), F.col("relationship_type").alias("name"), "n")
+    books = serving.class_totals(found, "document_id").select(F.lit("facts").alias("part"), F.col("document_id").alias("name"), "n")
     return kinds.unionByName(books)
 
 
-@query(f"""WITH f AS (SELECT c.fact_id, c.document_id, m.similarity, m.rank FROM ({MATCHES}) m JOIN ({VECTOR_FACTS}) c ON c.fact_id = m.candidate_id WHERE m.fact_id = 'v000000000' AND m.rank <= 8),
-p AS (SELECT 'p' || doc_id AS document_id, n_chars, md5(substr(text, 1, 1200)) AS quote, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 4)
-SELECT 'S' || row_number() OVER (ORDER BY k, rank) AS source_id, kind, fact_id, document_id, quote FROM (
-  SELECT 0 AS k, 'fact' AS kind, fact_id, document_id, rank, md5(fact_id) AS quote FROM f UNION ALL SELECT 1, 'passage', NULL, document_id, rank, quote FROM p)""")
-def ask_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of an answer about fact 0: its eight nearest facts, then four passages (of the longest texts, for want of a query vector)."""
+@query(f"""SELECT part, map_from_entries(list((name, n) ORDER BY name))::VARCHAR AS totals FROM ({ORACLES["showcase_totals"]}) GROUP BY part""")
+def showcase_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals as one map for each part, as a reader gets them."""
+    rows = serving.folded(showcase_totals(spark, sf_dir), "part", "name")
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("totals"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ", "), F.lit("}"))
+    return rows.select("part", text.alias("totals"))
+
+
+#: The query vector of a question, and the chunks it is compared with.
+QUESTION = "What did the company report as its revenue for the year?"
+
+
+def vectors_sql(source: str, key: str, text: str) -> str:
+    """key and e: the offline model's vector of each row's text."""
+    tidy = m.collapse_space(f"lower({m.text_(text)})")
+    return f"""SELECT {key}, [x / sqrt(list_sum([y * y FOR y IN s])) FOR x IN s] AS e FROM (
+  SELECT {key}, [coalesce(element_at(sums, k)[1], 0)::DOUBLE FOR k IN range(64)] AS s FROM (
+    SELECT {key}, map_from_entries(list((slot, n))) AS sums FROM (
+      SELECT {key}, (h >> 16) % 64 AS slot, sum(CASE WHEN (h >> 8) % 2 = 1 THEN 1 ELSE -1 END) AS n FROM (
+        SELECT {key}, ((unicode(g[1])::BIGINT * 961 + unicode(g[2]) * 31 + unicode(g[3])) * 2654435761) % 4294967296 AS h FROM (
+          SELECT {key}, unnest(list_zip(l, l[2:], l[3:])) AS g FROM (
+            SELECT {key}, string_split(CASE WHEN w = '' THEN '   ' ELSE ' ' || w || ' ' END, '') AS l FROM (SELECT {key}, {tidy} AS w FROM {source}))) WHERE g[3] IS NOT NULL)
+      GROUP BY ALL) GROUP BY ALL))"""
+
+
+_CHUNKS = chunk_sql(1200).replace("md5(text) AS text_md5", "text AS text")
+_PASSAGES = f"""SELECT q.item_id, c.chunk_id, round(list_cosine_similarity(q.e, c.e), 6) AS similarity,
+  row_number() OVER (PARTITION BY q.item_id ORDER BY round(list_cosine_similarity(q.e, c.e), 6) DESC, c.chunk_id)::INTEGER AS rank
+FROM (%s) q CROSS JOIN ({vectors_sql(f"(SELECT * FROM ({_CHUNKS}) WHERE status <> 'skipped')", "chunk_id", "text")}) c"""
+
+
+def _chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = stored(documents.chunk_records(_chunked(spark, sf_dir, 1200), embed(F.col("text"))), "chunk_vectors")
+    return vectors.checked_dimension(chunks, 64).withColumns({"owner": F.lit("demo"), "fact_id": F.col("chunk_id")})
+
+
+@query(f"""SELECT p.item_id, p.chunk_id, k.document_id::VARCHAR AS document_id, p.similarity, p.rank, md5(substr(k.text, 1, 1200)) AS quote
+FROM ({m.filled(_PASSAGES, vectors_sql("benchmark", "item_id", "text"))}) p JOIN ({_CHUNKS}) k USING (chunk_id) WHERE p.rank <= 6""")
+def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six chunks nearest to each benchmark passage, with their documents and the start of their text."""
+    chunks = _chunk_vectors(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("fact_id"), F.lit("demo").alias("owner"), embed(F.col("text")).alias("embedding"))
+    found = vectors.similar(asked, chunks.select("fact_id", "owner", "embedding"), serving.checked_k(6)).withColumnRenamed("candidate_id", "chunk_id")
+    rows = serving.hydrated(found, chunks.select("chunk_id", "document_id", F.md5(F.substring("text", 1, 1200)).alias("quote")), "chunk_id", "chunk_id")
+    return rows.select(F.col("fact_id").cast("long").alias("item_id"), "chunk_id", F.col("document_id").cast("string").alias("document_id"), "similarity", "rank", "quote")
+
+
+_TOUCHING = f"""SELECT * FROM ({_REVIEWED}) WHERE fact_a IN (FROM near) OR fact_b IN (FROM near) ORDER BY confidence DESC, fact_a, fact_b LIMIT 8"""
+_ASKED = f"""near AS (SELECT candidate_id FROM ({MATCHES}) WHERE fact_id = 'v000000000' AND rank <= 8),
+touching AS ({_TOUCHING}),
+used AS (SELECT candidate_id AS fact_id, 0 AS k, rank FROM ({MATCHES}) WHERE fact_id = 'v000000000' AND rank <= 8
+  UNION ALL SELECT DISTINCT f, 1, 0 FROM (SELECT unnest([fact_a, fact_b]) AS f FROM touching) WHERE f NOT IN (FROM near)),
+question AS (SELECT 0 AS item_id, {m.quoted(QUESTION)} AS text),
+passages AS (SELECT chunk_id, rank FROM ({m.filled(_PASSAGES, vectors_sql("question", "item_id", "text"))}) WHERE rank <= 4),
+sources AS (SELECT 'S' || row_number() OVER (ORDER BY k, rank, coalesce(fact_id, chunk_id)) AS source_id, * FROM (
+  SELECT 'fact' AS kind, fact_id, NULL AS chunk_id, k, rank FROM used UNION ALL SELECT 'passage', NULL, chunk_id, 2, rank FROM passages))"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The sources and relationships of an answer about fact 0: its eight nearest facts, the surest relationships that touch
+    them with the facts at their other ends, and the four passages nearest to a question."""
     rows = vector_facts(spark, sf_dir)
-    found = vectors.similar(rows.where("fact_id = 'v000000000'"), rows, serving.checked_k(8, 30)).select("candidate_id", "similarity", "rank")
-    near = serving.hydrated(found, rows.select("fact_id", "document_id"), "candidate_id", "fact_id").select(
-        F.col("candidate_id").alias("fact_id"), "document_id", F.col("rank").alias("order_in"), F.md5("candidate_id").alias("quote"), F.lit(None).cast("int").alias("page_number"),
-        F.lit(None).cast("string").alias("statement"), F.col("similarity").alias("score"))
-    longest = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(max(3, min(6, -(-8 // 2))))
-    passages = longest.select(
-        F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("document_id"), F.row_number().over(_longest()).alias("order_in"), F.md5(F.substring("text", 1, 1200)).alias("quote"),
-        F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("statement"), F.lit(None).cast("double").alias("score"))
-    return serving.numbered_sources(near, passages).select("source_id", "kind", "fact_id", "document_id", "quote")
+    near = stored(vectors.similar(rows.where("fact_id = 'v000000000'"), rows, serving.checked_k(8, 30)).select(F.col("candidate_id").alias("fact_id"), "rank", "similarity"), "near")
+    touching = stored(serving.surest_touching(_reviewed(spark, sf_dir).select("fact_a", "fact_b", "confidence", "relationship_type"), near), "touching")
+    chunks = _chunk_vectors(spark, sf_dir)
+    asked = spark.range(1).select(F.lit("question").alias("fact_id"), F.lit("demo").alias("owner"), embed(F.lit(QUESTION)).alias("embedding"))
+    passages = vectors.similar(asked, chunks.select("fact_id", "owner", "embedding"), max(3, min(6, -(-8 // 2)))).join(chunks.select(F.col("chunk_id").alias("candidate_id"), "document_id", "page_number", "text"), "candidate_id")
+    told = serving.answer_facts(near.select("fact_id", "rank"), touching).join(rows.select("fact_id", "document_id", "source_text"), "fact_id").join(near.select("fact_id", "similarity"), "fact_id", "left")
+    order = F.struct(F.lit(2).alias("k"), F.col("rank").cast("int").alias("rank"), F.col("candidate_id").alias("id"))
+    sources = serving.numbered_sources(
+        told.select("fact_id", "order_in", "document_id", F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("statement"), F.col("source_text").alias("quote"), F.col("similarity").alias("score"), F.lit(None).cast("string").alias("chunk_id")),
+        passages.select(order.alias("order_in"), F.col("document_id").cast("string").alias("document_id"), "page_number", F.lit(None).cast("string").alias("statement"), F.substring("text", 1, 1200).alias("quote"), F.col("similarity").alias("score"), F.col("candidate_id").alias("chunk_id")),
+    )
+    return stored(sources, "sources"), touching
+
+
+@query(f"WITH {_ASKED} SELECT source_id, kind, fact_id, chunk_id FROM sources")
+def ask_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir)[0].select("source_id", "kind", "fact_id", "chunk_id")
+
+
+@query(f"""WITH {_ASKED} SELECT t.fact_a, t.fact_b, t.relationship_type, t.confidence, a.source_id AS source_a, b.source_id AS source_b
+FROM touching t JOIN sources a ON a.fact_id = t.fact_a JOIN sources b ON b.fact_id = t.fact_b""")
+def ask_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an answer is told of how its facts agree, by the ids of their sources."""
+    sources, touching = _asked(spark, sf_dir)
+    return serving.relationship_notes(touching, sources).select("fact_a", "fact_b", "relationship_type", "confidence", "source_a", "source_b")
 
 
-def _longest() -> Window:
-    return Window.orderBy(F.desc("n_chars"), "doc_id")
+_REPLIES = """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '```json\\n{"answer": " Revenue rose [S1]. ", "confidence": ' || CAST(turn AS STRING) || '.5, "coverage": "full", "notes": ["first", "second"], "citations": [{"source": "s2", "quote": "q"}]}\\n```'
+  WHEN 1 THEN 'Plain words of ' || role WHEN 2 THEN '{"answer": "none", "coverage": "odd", "notes": "text"}' ELSE '{"answer": "low", "confidence": -3, "coverage": "none", "citations": []}' END AS reply FROM conversations"""
+
+
+@query(f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Revenue rose [S1].' WHEN 1 THEN trim(reply) WHEN 2 THEN 'none' ELSE 'low' END AS answer,
+  CASE turn % 4 WHEN 0 THEN least(1.0, turn + 0.5) WHEN 1 THEN 0.3 ELSE 0.0 END::DOUBLE AS confidence, CASE turn % 4 WHEN 0 THEN 'full' WHEN 3 THEN 'none' ELSE 'partial' END AS coverage,
+  CASE turn % 4 WHEN 0 THEN 'first; second' WHEN 1 THEN {m.quoted(documents.VERBATIM)} ELSE '' END AS notes, CASE turn % 4 WHEN 0 THEN 's2' ELSE '' END AS cited FROM ({_REPLIES.replace(chr(92) + "n", " ")})""")
+def answer_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a model that answers, as JSON or not, made fit to show."""
+    rows = documents.parsed_answers(both(spark, sf_dir, _REPLIES))
+    return rows.select("conv_id", "turn", "answer", "confidence", "coverage", F.array_join("notes", "; ").alias("notes"), F.array_join("cited", "; ").alias("cited"))
 
 
 _ANSWERS = """SELECT o_orderkey AS answer_id, 'Revenue rose [S' || CAST(o_orderkey % 5 + 1 AS STRING) || '] and fell [S' || CAST(o_custkey % 7 + 1 AS STRING) || '] [S99].' AS answer,
@@ -545,11 +703,12 @@ def opening_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.opening_texts(pages).select("document_id", F.md5("opening").alias("opening_md5"))
 
 
-@query(f"""SELECT 'fact_' || fact_id AS vector_id, coalesce(normalized_subject, '') AS subject, coalesce(value_text, '') AS value, round(coalesce(normalized_value, 0), 4) AS normalized_value,
-  coalesce(normalized_unit, '') AS unit, coalesce(period_label, '') AS period FROM ({m.filled(NORMALIZED, ORDER_FACTS)})""")
+@query(f"""SELECT 'fact_' || fact_id AS vector_id, subject, predicate, coalesce({_VALUE}, '') AS value, coalesce(period, '') AS period, coalesce(scope, '') AS scope, coalesce(normalized_subject, '') AS normalized_subject,
+  coalesce(normalized_predicate, '') AS normalized_predicate, round(coalesce(normalized_value, 0), 4) AS normalized_value, coalesce(normalized_currency, '') AS normalized_currency,
+  coalesce(period_label, '') AS period_label, coalesce(normalized_scope, '') AS normalized_scope FROM ({m.filled(NORMALIZED, ORDER_FACTS)})""")
 def vector_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents.vector_records(facts.normalize_facts(_order_facts(spark, sf_dir)))
-    return rows.select("vector_id", "subject", "value", F.round("normalized_value", 4).alias("normalized_value"), "unit", "period")
+    return rows.drop("fact_id", "document_id", "page_id", "chunk_id").withColumn("normalized_value", F.round("normalized_value", 4))
 
 
 _GIVEN = """SELECT conv_id, turn, '  ' || text || ' ' AS answer, CASE WHEN turn % 3 = 0 THEN NULL ELSE CAST(turn AS DOUBLE) / 2 - 1 END AS confidence,
@@ -569,12 +728,22 @@ def workspace_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT qd AS document_id, ((encounter - 1) // 20)::INTEGER AS request, (encounter - 1) % 20 + 1 AS place, fact_a || ':' || fact_b AS pair_key,
-  ((encounter - 1) % 20 + 1) || '. A: subject="unavailable", metric="unavailable", evidence="" B: subject="unavailable", metric="unavailable", evidence=""' AS line FROM ({_POOL})""")
+  ((encounter - 1) % 20 + 1) || '. A: ' || told_a || chr(10) || '   B: ' || told_b AS line FROM ({_POOL})""")
 def judge_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vector facts have no wording, so the lines show what stands for it."""
     return documents.judge_listing(_pool(spark, sf_dir), DEFAULTS.adjudication_batch)
 
 
+@query(f"""SELECT fact_a || ':' || fact_b AS pair_key, (encounter - 1) % 20 % 2 = 0 AS same, 'seen as ' || ((encounter - 1) % 20 + 1) AS reason FROM ({_POOL})
+WHERE ((encounter - 1) // 20) % 3 < 2""")
+def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a judge's replies say of the listing; every third reply is no JSON, so its pairs get no verdict."""
+    listing = stored(documents.judge_listing(_pool(spark, sf_dir), DEFAULTS.adjudication_batch), "listing")
+    said = F.format_string('{"pair": %d, "same": %s, "reason": "seen as %d"}', "place", F.when(F.col("place") % 2 == 1, "true").otherwise("false"), "place")
+    whole = F.concat(F.lit('```json\n{"verdicts": ['), F.array_join(F.collect_list(said), ", "), F.lit(', {"pair": 77, "same": true, "reason": "none"}]}\n```'))
+    replies = listing.groupBy("document_id", "request").agg(F.when(F.col("request") % 3 < 2, whole).otherwise("They all differ.").alias("reply"))
+    return documents.verdicts_of(replies, listing)
+
+
 # Limits, leases, progress.
 
 
@@ -601,6 +770,21 @@ def token_window_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.window_spend(rows, "user_id", "ts", "cost", 86_400).select("event_id", "user_id", "spent")
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_id % 500 + 1 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (
+  SELECT user_id, event_id, n, t, t AS admitted, [{'at': t, 'c': cost}] AS spent FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_id, n, t, admitted, list_append([s FOR s IN spent IF s['at'] > admitted - 86400000000], {'at': admitted, 'c': cost}) FROM (
+    SELECT *, list_min([c FOR c IN list_concat([now], [s['at'] + 86400000000 FOR s IN spent IF s['at'] + 86400000000 > now])
+      IF len([s FOR s IN spent IF s['at'] > c - 86400000000]) = 0 OR list_sum([s['c'] FOR s IN spent IF s['at'] > c - 86400000000]) + cost <= 400]) AS admitted FROM (
+      SELECT e.user_id, e.event_id, e.n, e.t, e.cost, f.spent, greatest(e.t, f.admitted) AS now FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)))
+SELECT user_id, event_id, admitted AS admitted_us, admitted - t AS waited_us FROM f""")
+def token_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When requests are let through that share a budget of 400 tokens a day, each user's in turn."""
+    rows = table(spark, sf_dir, "events").withColumn("cost", F.col("event_id") % 500 + 1)
+    return stateful.token_limited(rows, "user_id", "ts", "event_id", "cost", 400, 86_400, least_wait_us=0)
+
+
 @query("SELECT user_id, max(ts) AS last_beat, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) > 120000000 AS stale FROM events GROUP BY user_id")
 def stale_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.leases(table(spark, sf_dir, "events"), "user_id", "ts")
@@ -635,12 +819,69 @@ def progress_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document_id", "stage_key", "percent", "processed_chunks", "remaining_chunks", "elapsed_seconds")
 
 
-@query("SELECT doc_id, 64 AS dimension, true AS is_unit FROM documents")
+@query(f"""SELECT doc_id, len(e)::INTEGER AS dimension, round(list_sum([e[k] * k FOR k IN range(1, 65)]), 6) AS digest FROM ({vectors_sql("documents", "doc_id", "text")})""")
 def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's vector by the offline model, checked for its dimension and length."""
+    """Each document's vector by the offline model, as a weighed sum of its components."""
     rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", embed(F.col("text")).alias("v"))
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
-    return rows.select("doc_id", F.size("v").alias("dimension"), (F.abs(size - 1) < 1e-9).alias("is_unit"))
+    weighed = F.aggregate(F.transform("v", lambda x, k: x * (k + 1)), F.lit(0.0), lambda total, x: total + x)
+    return rows.select("doc_id", F.size("v").alias("dimension"), F.round(weighed, 6).alias("digest"))
+
+
+# Extraction by chunk status.
+
+
+def _numbers(text: str) -> list[dict]:
+    return [{"subject": "number", "value_text": x, "confidence": 1.0} for x in re.findall("[0-9]+", text)[: models.MOST_FACTS]]
+
+
+def _failing(every: int) -> Callable[[str], tuple[list[dict], list[dict]]]:
+    """A stand-in for a model that fails on texts of some lengths."""
+
+    def extract(text: str) -> tuple[list[dict], list[dict]]:
+        if len(text) % every == 0:
+            raise RuntimeError(f"no reply to {len(text)} characters\nsecond line")
+        return _numbers(text), []
+
+    return extract
+
+
+def _rounds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The chunks, a first run over them in which a third fails, the chunks after it, and a second run that sees the failed ones only."""
+    chunks = stored(_chunked(spark, sf_dir, 1200), "chunks")
+    first = stored(models.extraction_round(chunks, _failing(3)), "first")
+    after = models.after_round(chunks, first)
+    return chunks, first, after, stored(models.extraction_round(after, _failing(9)), "second")
+
+
+_RUNS = f"""SELECT *, CASE WHEN status = 'skipped' THEN 'skipped' WHEN n_chars % 3 = 0 THEN 'failed' ELSE 'done' END AS first_status,
+  CASE WHEN status = 'skipped' THEN 'skipped' WHEN n_chars % 9 = 0 THEN 'failed' ELSE 'done' END AS last_status FROM ({_CHUNKS})"""
+
+
+@query(f"""SELECT chunk_id, first_status, last_status AS status, CASE WHEN last_status = 'done' THEN least(15, len(regexp_extract_all(text, '[0-9]+'))) ELSE 0 END::INTEGER AS n_facts FROM ({_RUNS})""")
+def chunk_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of extraction: what is done or skipped is not read again, what failed is."""
+    _, _, after, second = _rounds(spark, sf_dir)
+    return models.after_round(after.withColumn("first_status", F.col("status")), second).select("chunk_id", "first_status", "status", "n_facts")
+
+
+@query(f"""SELECT document_id::VARCHAR AS document_id, CASE WHEN tried > 0 AND failed = tried THEN 'failed' ELSE 'processed' END AS status,
+  CASE WHEN tried > 0 AND failed = tried THEN 'Fact extraction failed for all ' || tried || ' pending chunks' WHEN failed > 0 THEN 'Fact extraction skipped ' || failed || ' of ' || total || ' chunks' END AS error,
+  total AS chunk_count, total - failed AS processed_chunk_count, 1 AS page_count
+FROM (SELECT document_id, count(*) AS total, count(*) FILTER (first_status <> 'skipped') AS tried, count(*) FILTER (first_status = 'failed') AS failed FROM ({_RUNS}) GROUP BY document_id)""")
+def document_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents after the first run: one fails only if all of its chunks did; and their counters."""
+    chunks, first, after, _ = _rounds(spark, sf_dir)
+    runs = models.document_runs(chunks, first)
+    named = after.withColumn("document_id", F.col("document_id").cast("string"))
+    return serving.chunk_counters(runs, named.select("document_id", "page_number").distinct(), named)
+
+
+@query(f"SELECT document_id, chunk_id, (row_number() OVER (PARTITION BY document_id ORDER BY page_number, chunk_index) - 1)::INTEGER AS place, lang, source FROM ({_CHUNKS}) JOIN documents ON doc_id = document_id")
+def chunk_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks in reading order, with their documents."""
+    named = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "lang", "source")
+    rows = documents.populated(serving.in_reading_order(_chunked(spark, sf_dir, 1200)), document=named)
+    return rows.select("document_id", "chunk_id", "place", F.col("document.lang").alias("lang"), F.col("document.source").alias("source"))
 
 
 # Sinks and incremental ingest.

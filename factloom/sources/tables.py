@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MOST_BYTES = 200 << 20
+MOST_BYTES, MOST_FILES = 200 << 20, 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,8 +26,12 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors share, under the session's spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-")
+    """A new folder that all executors share, under the session's spark.checkpoint.dir; a local session without it gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="factloom-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -39,8 +43,15 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
 
 
 def admitted_files(files: DataFrame) -> DataFrame:
-    """PDF files of 1 byte to 200 MiB, by name and length (as binaryFile lists them)."""
-    return files.where(F.lower("path").endswith(".pdf") & F.col("length").between(1, MOST_BYTES))
+    """PDF files of 1 byte to 200 MiB, by name, length and (where there is one) mimetype."""
+    rows = files.where(F.lower("path").endswith(".pdf") & F.col("length").between(1, MOST_BYTES))
+    return rows.where("mimetype = 'application/pdf'") if "mimetype" in files.columns else rows
+
+
+def admitted_requests(files: DataFrame) -> DataFrame:
+    """Admitted files of requests (request_id, path, length, mimetype) of at most 20 files; a larger request is refused whole."""
+    sizes = files.groupBy("request_id").agg(F.count("*").alias("_n")).where(F.col("_n") <= MOST_FILES)
+    return admitted_files(files.join(sizes.drop("_n"), "request_id", "left_semi"))
 
 
 def pages_from_files(spark: SparkSession, path: str, parse: Callable[[bytes], list[tuple[int, str]]], pattern: str = "*.pdf") -> DataFrame:

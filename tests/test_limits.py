@@ -56,3 +56,18 @@ def test_stream_equals_batch(spark, tmp_path):
     none = str(tmp_path / "none")
     events.limit(0).coalesce(1).write.parquet(none)
     assert limits.limited_files(spark, none, "user", "at", "event", 600, 3).collect() == []
+
+
+def test_tokens_wait_for_room_and_oversize_for_an_empty_window():
+    from factloom.operators.stateful import TokenWindow
+
+    window = TokenWindow(60_000_000, 100, 250_000)
+    assert window.reserve(0, 60) == 0 and window.reserve(1_000_000, 40) == 1_000_000
+    assert window.reserve(2_000_000, 50) == 60_000_000  # when the first 60 have left
+    assert window.reserve(60_500_000, 30) == 61_000_000  # the 40 leave a minute after they came
+    fresh = TokenWindow(60_000_000, 100, 250_000)
+    assert fresh.reserve(5, 500) == 5  # too large, but the window is empty
+    assert fresh.reserve(6, 1) == 60_000_005
+    near = TokenWindow(60_000_000, 100, 250_000)
+    near.reserve(0, 100)
+    assert near.reserve(59_900_000, 1) == 60_150_000  # never waits for less than a quarter of a second

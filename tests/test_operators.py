@@ -131,3 +131,47 @@ def test_short_evidence_by_force(spark):
     pairs_of = evidence.withColumnRenamed("text", "e").crossJoin(documents.withColumnRenamed("text", "c"))
     want = pairs_of.where(normalize_evidence(F.col("e")) != "").where(is_grounded(F.col("e"), F.col("c"))).select("item_id", "doc_id").collect()
     assert found == sorted(map(tuple, want)) and len(found) > 300
+
+
+def test_vectors_of_another_dimension_fail(spark):
+    import pytest
+
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None)], "fact_id string, embedding array<double>")
+    assert vectors.checked_dimension(rows, 2).count() == 2 and len(vectors.checked_dimension(rows, 2).collect()) == 2
+    with pytest.raises(Exception, match="the index has dimension 3, a vector 2"):
+        vectors.checked_dimension(rows, 3).collect()
+
+
+def test_pairs_of_rules_and_judge_are_united(spark):
+    rules = spark.createDataFrame([("a:b", 1.0)], "pair_key string, score double")
+    judged = spark.createDataFrame([("a:b", 0.9, True), ("a:c", 0.9, True)], "pair_key string, score double, adjudicated_same boolean")
+    assert sorted((r.pair_key, r.score, r.adjudicated_same) for r in pairs.united(rules, judged).collect()) == [("a:b", 1.0, None), ("a:c", 0.9, True)]
+
+
+def test_given_bounds_of_a_period_stay(spark):
+    rows = fact_rows(spark, {"period": "FY2024"}, {"period": "some time"}).drop("period_start", "period_end", "normalized_period_start", "normalized_period_end")
+    given = rows.withColumns({"period_start": F.lit("2020-02-03").cast("date"), "period_end": F.lit(None).cast("date")})
+    got = {r.fact_id: (str(r.period_start), str(r.period_end), str(r.normalized_period_start)) for r in facts.normalize_facts(given).collect()}
+    assert got == {"a": ("2024-01-01", "2024-12-31", "2024-01-01"), "b": ("2020-02-03", "None", "None")}
+    twice = facts.normalize_facts(facts.normalize_facts(given))
+    assert twice.select(*facts.normalize_facts(given).columns).collect() == facts.normalize_facts(given).collect()
+
+
+def test_chunks_are_cut_as_the_rule_says(spark):
+    from factloom.operators.chunking import chunks, cut_words
+
+    draw = random.Random(4)
+    texts = [" ".join("x" * draw.randrange(1, 30) for _ in range(draw.randrange(40))) + draw.choice(["", "é😀", " "]) for _ in range(200)]
+    rows = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "document_id long, page_number int, text string")
+    got = {}
+    for r in chunks(rows, most=25).orderBy("document_id", "chunk_index").collect():
+        got.setdefault(r.document_id, []).append(r.text)
+    assert got == {i: cut_words(t.strip(), 25) for i, t in enumerate(texts) if t.strip()}
+
+
+def test_requests_of_too_many_files_are_refused_whole(spark):
+    from factloom.sources.tables import admitted_requests
+
+    rows = [("r1", f"a{i}.pdf", 5, "application/pdf") for i in range(20)] + [("r1x", "a.PDF", 5, "application/pdf"), ("r1x", "b.pdf", 5, "text/plain"), ("r1x", "c.pdf", 0, "application/pdf")] + [("r2", f"b{i}.pdf", 5, "application/pdf") for i in range(21)]
+    found = admitted_requests(spark.createDataFrame(rows, "request_id string, path string, length long, mimetype string"))
+    assert {r.request_id: r["n"] for r in found.groupBy("request_id").agg(F.count("*").alias("n")).collect()} == {"r1": 20, "r1x": 1}
