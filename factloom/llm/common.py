@@ -96,7 +96,13 @@ def utf8_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def blocks_of(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def texts_of(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a string column (null: empty) in runs of rows with at most ``limit`` bytes together, and each run's first row."""
+    for i, j in blocks_of(utf8_views(column)[1], limit):
+        yield i, [x or "" for x in column.slice(i, j - i).to_pylist()]
+
+
+def blocks_of(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of rows with at most ``limit`` bytes together; a longer row stands alone."""
     n, i = len(offsets) - 1, 0
     while i < n:

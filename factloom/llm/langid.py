@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks_of, column_or, discard, materialize
+from factloom.llm.common import blocks_of, column_or, discard, materialize, texts_of
 from factloom.llm.words import Substrings, mix, spans
 
 BITS = 18
@@ -276,7 +276,7 @@ def labelled(model: Model, texts: list[str]) -> tuple[list[str], list[float], li
     """
     names, scores, evidence = [], [], []
     sizes = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
-    for i, j in blocks_of(sizes, 1 << 19):
+    for i, j in blocks_of(sizes, 1 << 18):
         part = texts[i:j]
         points, at, _ = emissions(model, part)
         if not len(points) or not len(model.labels):
@@ -306,7 +306,10 @@ def label_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, evidence = labelled(shared.value, [x or "" for x in column_or(batch, "text").to_pylist()])
+            names, scores, evidence = [], [], []
+            for _, texts in texts_of(column_or(batch, "text")):
+                for found, kept in zip(labelled(shared.value, texts), (names, scores, evidence), strict=True):
+                    kept += found
             columns = [column_or(batch, "doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(evidence, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "evidence"])
 
@@ -320,8 +323,11 @@ def keep_labelled(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, _, evidence = labelled(shared.value, [x or "" for x in column_or(batch, "text").to_pylist()])
-            yield batch.filter(pa.array([n != UNKNOWN and e >= least for n, e in zip(names, evidence, strict=True)], pa.bool_()))
+            good = []
+            for _, texts in texts_of(column_or(batch, "text")):
+                names, _, evidence = labelled(shared.value, texts)
+                good += [n != UNKNOWN and e >= least for n, e in zip(names, evidence, strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

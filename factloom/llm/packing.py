@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks_of, column_or, materialize, utf8_views
+from factloom.llm.common import column_or, materialize, texts_of
 
 #: Pieces of one length that one task numbers.
 ALIKE = 20_000
@@ -53,7 +53,7 @@ def word_by_word(path: str) -> bool:
 class WordIds:
     """The ids of white-space delimited words, each encoded once, if the tokenizer never joins two words; else of whole texts."""
 
-    def __init__(self, path: str, last_id: int, most: int = 800_000) -> None:
+    def __init__(self, path: str, last_id: int, most: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -171,8 +171,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, last_id
         encoder = _encoders[tokenizer, last_id]
         for batch in batches:
             doc_ids, column = column_or(batch, "doc_id").cast(pa.int64()), column_or(batch, "text")
-            for i, j in blocks_of(utf8_views(column)[1], 1 << 20):
-                texts = [x or "" for x in column.slice(i, j - i).to_pylist()]
+            for i, texts in texts_of(column, 1 << 19):
                 rows, pieces, starts, lengths, sums, kept = [], [], [], [], [], []
                 for k, ids in enumerate(encoder.encode(texts)):
                     for p, start in enumerate(range(0, len(ids), limit)):
@@ -183,11 +182,13 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, last_id
                         lengths.append(len(part))
                         sums.append(zlib.crc32(part.astype("<u4").tobytes()))
                         if with_ids:
-                            kept.append(part.astype(np.int32))
+                            kept.append(part)
                 columns = [doc_ids.take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
+                    flat = np.concatenate(kept).astype(np.int32) if kept else np.zeros(0, np.int32)
+                    ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+                    columns, names = [*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*names, "ids"]
                 for c in own:
                     columns, names = [*columns, column_or(batch, c).take(pa.array(rows, pa.int64()))], [*names, c]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
