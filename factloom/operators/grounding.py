@@ -2,7 +2,8 @@
 
 A passage's anchor is the hash of its first twelve characters, spaces left out. If it has fewer without spaces,
 they count: such a passage occurs only as it stands. Documents offer the hashes of all their windows, with or without
-spaces as the anchors are; a bitmap of fixed size, made from the anchors, lets pass only windows that may be one. What passes is joined on the hash, and the texts themselves decide.
+spaces as the anchors are; a bitmap of fixed size, put together by an aggregate, lets pass only windows that may be an
+anchor. What passes is joined on the hash, and the texts themselves decide.
 """
 
 from __future__ import annotations
@@ -11,63 +12,93 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import normalize_evidence
 
 WIDTH, BITS = 12, 20
+_BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be divided by
+_powers: dict[str, np.ndarray] = {}
 
 
-def window_keys(text: str, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` characters of an ASCII text."""
-    data = np.frombuffer(text.encode("ascii", "replace") + b"\0" * WIDTH, np.uint8)
-    n = len(text) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    out = np.full(n, width, dtype=np.uint64)
-    for k in range(width):
-        out = (out ^ data[k : k + n]) * np.uint64(0x100000001B3)
+def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least n of each."""
+    if len(_powers.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            out = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+            out[0] = 1
+            _powers[name] = np.cumprod(out, dtype=np.uint64)
+    return _powers["up"], _powers["down"]
+
+
+def window_keys(data: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``width`` bytes that lie within a row, and their rows; ``rows`` has the rows' n+1 offsets."""
+    ends = np.maximum(rows[1:] - width + 1, rows[:-1])
+    count = ends - rows[:-1]
+    owner = np.repeat(np.arange(len(count)), count)
+    starts = np.arange(len(owner)) + np.repeat(rows[:-1] - (np.cumsum(count) - count), count)
+    up, down = _table(len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(width)) * up[: len(data)], dtype=np.uint64)))
+    out = (sums[starts + width] - sums[starts]) * down[starts]
     out ^= out >> np.uint64(29)
-    out *= np.uint64(0x9E3779B97F4A7C15)
-    return (out >> np.uint64(1)).view(np.int64)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return (out >> np.uint64(1)).view(np.int64), owner
+
+
+def _bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """ASCII texts as one buffer, and their n+1 offsets in it."""
+    return np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in texts]))).astype(np.int64)
+
+
+def _tight(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buffer without spaces."""
+    kept = data != 32
+    return data[kept], np.concatenate(([0], np.cumsum(kept)))[rows]
 
 
 def occurrences(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     """Pairs (item_id, doc_id) of ``evidence`` (item_id, text) grounded in ``documents`` (doc_id, text); blank texts are in none."""
     spark = evidence.sparkSession
-    small = normalize_evidence(F.col("text"))
-    tight = F.replace(small, F.lit(" "), F.lit(""))
-    items = evidence.select("item_id", small.alias("e"), tight.alias("es")).where("e <> ''")
-    docs = documents.select("doc_id", small.alias("c"), tight.alias("cs")).where("c <> ''")
+
+    def tight(text: Column) -> Column:
+        return F.replace(text, F.lit(" "), F.lit(""))
+
+    items = evidence.select("item_id", normalize_evidence(F.col("text")).alias("e")).where("e <> ''").withColumn("es", tight(F.col("e")))
     items = items.withColumn("spaced", F.length("es") < WIDTH)
     items = items.withColumn("anchor", F.substring(F.when(F.col("spaced"), F.col("e")).otherwise(F.col("es")), 1, WIDTH))
 
     @F.pandas_udf("long")
     def key(anchors):  # noqa: ANN001, ANN202
-        return anchors.map(lambda x: int(window_keys(x, len(x))[0]))
+        return anchors.map(lambda x: int(window_keys(*_bytes([x]), len(x))[0][0]))
 
     items = items.withColumn("width", F.length("anchor")).withColumn("key", key("anchor"))
-    # At most 2 ** BITS slots for each width with spaces and for the one without.
-    found = items.select("width", "spaced", (F.col("key") % (1 << BITS)).alias("slot")).distinct().collect()
-    slots = {form: np.zeros(1 << BITS, dtype=bool) for form in {(r["width"], r["spaced"]) for r in found}}
-    for r in found:
-        slots[r["width"], r["spaced"]][r["slot"]] = True
-    shared = spark.sparkContext.broadcast(slots)
+    # 32 pieces of 4 KB for each width with spaces and for the one without.
+    slot = F.col("key") % (1 << BITS) + 1
+    pieces = items.groupBy("width", "spaced", F.bitmap_bucket_number(slot).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    marks: dict[tuple[int, bool], np.ndarray] = {}
+    for r in pieces.collect():
+        bits = marks.setdefault((r["width"], r["spaced"]), np.zeros(1 << BITS, dtype=bool))
+        found = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little").astype(bool)
+        bits[(r["piece"] - 1) * len(found) : r["piece"] * len(found)] = found
+    shared = spark.sparkContext.broadcast(marks)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [], []
-            for doc, text, tight_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for low in range(0, batch.num_rows, 256):
+                plain = _bytes(batch.column(1).slice(low, 256).to_pylist())
+                forms = {True: plain, False: _tight(*plain)}
                 for (width, spaced), bits in shared.value.items():
-                    own = window_keys(text if spaced else tight_text, width)
-                    own = np.unique(own[bits[own % (1 << BITS)]])
-                    ids += [doc] * len(own)
-                    keys += own.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "key"])
+                    keys, owner = window_keys(*forms[spaced], width)
+                    there = np.flatnonzero(bits[keys % (1 << BITS)])
+                    rows = pa.RecordBatch.from_arrays([pa.array(ids[low + owner[there]], pa.int64()), pa.array(keys[there])], names=["doc_id", "key"])
+                    yield rows
 
-    spots = docs.select(F.col("doc_id").cast("long"), "c", "cs").mapInArrow(anchors, "doc_id long, key long")
+    docs = documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), normalize_evidence(F.col("text")).alias("c")).where("c <> ''")
+    spots = docs.mapInArrow(anchors, "doc_id long, key long").distinct()
     near = spots.join(items.select("key", "item_id", "e", "es"), "key").drop("key").distinct()
-    near = near.join(documents.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", "e", "es", small.alias("c"))
-    loose = (F.length("es") >= WIDTH) & F.contains(F.replace("c", F.lit(" "), F.lit("")), F.col("es"))
+    near = near.join(documents.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", "e", "es", normalize_evidence(F.col("text")).alias("c"))
+    loose = (F.length("es") >= WIDTH) & F.contains(tight(F.col("c")), F.col("es"))
     return near.where(F.contains("c", "e") | loose).select("item_id", "doc_id").distinct()
