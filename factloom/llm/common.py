@@ -75,6 +75,26 @@ def copied(rows: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(hot, keys, "left").withColumn("_salt", F.explode(parts)).drop("salts")
 
 
+#: Slots of a filter by hashes; it is a table of at most 2 ** (SLOTS - 6) words of 64, whatever is put into it.
+SLOTS = 24
+
+
+def hash_filter(hashes: DataFrame) -> DataFrame:
+    """``_word`` and ``_bits`` of a filter that all hashes of ``hashes`` (one long column) pass; of bounded size, so it is broadcast."""
+    slot = F.pmod(F.col(hashes.columns[0]), F.lit(1 << SLOTS))
+    words = hashes.select(F.shiftright(slot, 6).cast("int").alias("_word"), F.expr("1L").alias("one"), F.pmod(slot, F.lit(64)).cast("int").alias("place"))
+    return materialize(words.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(one, place)")).alias("_bits")), "filter")
+
+
+def passing(rows: DataFrame, words: DataFrame, h: Column, pass_: bool = True) -> DataFrame:
+    """The rows whose hash ``h`` may be in the filter; or (not ``pass_``) those whose hash is surely not."""
+    slot = F.pmod(h, F.lit(1 << SLOTS))
+    marked = rows.withColumn("_word", F.shiftright(slot, 6).cast("int")).join(F.broadcast(words), "_word", "left")
+    there = F.coalesce(F.expr("bit_get(_bits, _place)"), F.lit(0).cast("tinyint")) == 1
+    marked = marked.withColumn("_place", F.pmod(slot, F.lit(64)).cast("int")).where(there if pass_ else ~there)
+    return marked.drop("_word", "_bits", "_place")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks_of, column_or, copied, crowded, dealt, discard, materialize, utf8_views
+from factloom.llm.common import blocks_of, column_or, copied, crowded, dealt, discard, hash_filter, materialize, passing, utf8_views
 from factloom.llm.components import connected_components
 from factloom.llm.words import mix, shingle_hashes, word_hashes
 
@@ -115,7 +115,9 @@ def _distinct_sets(docs: DataFrame, needed: DataFrame, hot: DataFrame | None, wi
             found = [x.tobytes() for x in shingle_sets(column_or(batch, "text"), width)]
             yield pa.RecordBatch.from_arrays([column_or(batch, "node"), pa.array(found, pa.binary())], names=["node", "shingles"])
 
-    rows, keys = docs.select(_node(F.col("doc_id"), F.col("text")).alias("node"), "text"), ["node"]
+    words = hash_filter(needed.select("node.h"))
+    # Most documents stand in no pair: their texts need not move.
+    rows, keys = passing(docs.select(_node(F.col("doc_id"), F.col("text")).alias("node"), "text"), words, F.col("node.h")), ["node"]
     if hot is not None:
         rows, needed, keys = dealt(rows, hot, keys, F.monotonically_increasing_id()), copied(needed, hot, keys), ["node", "_salt"]
     rows = rows.join(needed, keys, "left_semi").dropDuplicates(keys)
@@ -343,13 +345,22 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 8
     hash of its text, of rows that agree in both the one with the least hash of all columns.
     """
     grouped, hot = _grouped(docs, width, similarity)
-    kept = grouped.where("node = component").select("node").distinct()
+    grouped = materialize(grouped.where("n_shingles > 0").select("node", "component"), "grouped")
+    # Documents that share their component with nothing stay where they are; only the others' rows meet.
+    crowds = grouped.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    met = materialize(grouped.join(crowds, "component", "left_semi").select("node", "component"), "met")
+    kept = met.where("node = component").select("node").distinct()
+    words = hash_filter(met.select("node.h"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), "text", _node(F.col("doc_id"), F.col("text")).alias("node"))
     blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows, keys = keyed.where(~blank).drop("text"), ["node"]
+    worded = keyed.where(~blank).drop("text")
+    rows, keys = passing(worded, words, F.col("node.h")), ["node"]
+    # What the filter passes by chance is in no crowd.
+    chance = rows.join(met.select("node").distinct(), "node", "left_anti")
+    alone = passing(worded, words, F.col("node.h"), pass_=False)
     if hot is not None:
         rows, kept, keys = dealt(rows, hot, keys, F.monotonically_increasing_id()), copied(kept, hot, keys), ["node", "_salt"]
     least = F.min_by("row", F.xxhash64("row")).alias("row")
     one = rows.join(kept, keys, "left_semi").groupBy(*keys).agg(least)
     one = one if hot is None else one.groupBy("node").agg(least)
-    return one.select("row.*").unionByName(keyed.where(blank).select("row.*"))
+    return one.select("row.*").unionByName(chance.select("row.*")).unionByName(alone.select("row.*")).unionByName(keyed.where(blank).select("row.*"))
