@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from factloom.llm.common import column_or, materialize, texts_of
 
 #: Pieces of one length that one task numbers.
-ALIKE = 20_000
+ALIKE = 4_000
 #: Stands between words that are encoded together, and after a document's words for its last id.
 MARK = "\x01"
 #: Texts with these go through the tokenizer whole: white space to one side only, special tokens, MARK.
