@@ -5,6 +5,7 @@ import random
 import pytest
 
 from factloom.llm import common, neardup
+from factloom.llm.components import connected_components
 from tests.llm.test_llm_operators import components_by_force, make_docs, sample_texts
 
 
@@ -47,3 +48,22 @@ def test_both_ways_to_compare_a_bucket_find_the_same(spark, monkeypatch, few):
     monkeypatch.setattr(neardup, "FEW", few)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(make_docs(spark, texts), 2, 80).collect()}
     assert got == components_by_force(texts, 2, 80)
+
+
+def test_components_of_crowded_nodes(spark, monkeypatch):
+    """Hubs that are the least, the largest and a middle node of their component, chains and random links."""
+    draw = random.Random(4)
+    links = [(1, k) for k in range(2, 90)] + [(500, k) for k in range(100, 190)] + [(250, k) for k in range(200, 300)]
+    links += [(k, k + 1) for k in range(600, 640)] + [(draw.randrange(700, 900), draw.randrange(700, 900)) for _ in range(120)] + [(90, 89), (600, 189)]
+    least = {x: x for pair in links for x in pair}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            low = min(least[a], least[b])
+            moved = moved or (least[a], least[b]) != (low, low)
+            least[a] = least[b] = low
+    alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    monkeypatch.setattr(common, "CROWD", 25)
+    got = connected_components(spark.createDataFrame(links, "src long, dst long")).collect()
+    assert len(got) == len(least) - len(alone) and {r.node: r.component for r in got} == {k: v for k, v in least.items() if k not in alone}
