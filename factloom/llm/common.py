@@ -95,6 +95,26 @@ def passing(rows: DataFrame, words: DataFrame, h: Column, pass_: bool = True) ->
     return marked.drop("_word", "_bits", "_place")
 
 
+def hash_bits(hashes: DataFrame, log2: int) -> np.ndarray:
+    """A bitmap of ``2 ** log2`` slots in which all hashes of ``hashes`` (one long column) are marked.
+
+    It is put together by an aggregate in pieces of 4 KB; its size is fixed, whatever is put into it.
+    """
+    slot = F.pmod(F.col(hashes.columns[0]), F.lit(1 << log2)) + 1
+    pieces = hashes.groupBy(F.bitmap_bucket_number(slot).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(max(4096, 1 << (log2 - 3)), dtype=np.uint8)
+    for r in pieces.toLocalIterator():
+        at = (r["piece"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def has_bits(bits: np.ndarray, hashes: np.ndarray, log2: int) -> np.ndarray:
+    """Which of the hashes (as unsigned) may be in a bitmap of ``hash_bits``; all that are in it, and some others."""
+    slot = hashes & np.uint64((1 << log2) - 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

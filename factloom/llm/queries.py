@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.ann import nearest_neighbours
+from factloom.llm.collocations import collocations
 from factloom.llm.common import table
 from factloom.llm.langid import identify_languages
+from factloom.llm.lexical import ranked_documents
 from factloom.llm.mixing import curriculum
 from factloom.llm.neardup import near_duplicates
 from factloom.llm.packing import pack_documents
 from factloom.llm.pii import KINDS, find_personal_data
 from factloom.llm.quality import classify_quality
+from factloom.llm.substrings import without_repeats
 from factloom.llm.tokencount import counts_after_edits
 from factloom.llm.topk import top_k_products
 from factloom.llm.urlfilter import judge_captures, keys_of
@@ -219,6 +222,75 @@ WHERE rank <= 5
 """
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = without_repeats(table(spark, sf_dir, "documents"), window=35)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+starts AS (SELECT r, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS k FROM d, unnest(range(1, len(ws) - 33)) AS u(i)),
+again AS (SELECT r, i FROM starts QUALIFY count(*) OVER (PARTITION BY k) > 1),
+words AS (SELECT r, p, ws[p] AS w FROM d, unnest(range(1, len(ws) + 1)) AS u(p)),
+judged AS (
+  SELECT w.r, w.p, w.w, coalesce(w.p - max(a.i) OVER (PARTITION BY w.r ORDER BY w.p) < 35, false) AS gone
+  FROM words w LEFT JOIN again a ON a.r = w.r AND a.i = w.p),
+kept AS (SELECT r, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, covered=50, shown=2000)
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP12_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM worded, (VALUES (1), (2), (3)) AS o(m), unnest(range(1, len(ws) - m + 2)) AS u(i)),
+counts AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE m = 1 GROUP BY lang),
+frequent AS (SELECT *, string_split(phrase, ' ') AS ws FROM counts WHERE f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, h.f AS l, t.f AS r, k, (1000000::HUGEINT * c.f::HUGEINT * c.f::HUGEINT) // (h.f::HUGEINT * t.f::HUGEINT) AS score
+  FROM frequent c, unnest(range(1, m)) AS u(k)
+  JOIN frequent h ON h.lang = c.lang AND h.phrase = array_to_string(c.ws[1:k], ' ')
+  JOIN frequent t ON t.lang = c.lang AND t.phrase = array_to_string(c.ws[k + 1:], ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, part, max(f) AS longer FROM (
+    SELECT lang, f, array_to_string(ws[1:m - 1], ' ') AS part FROM frequent WHERE m = 3
+    UNION ALL SELECT lang, f, array_to_string(ws[2:], ' ') FROM frequent WHERE m = 3) GROUP BY lang, part),
+ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.part = s.phrase WHERE coalesce(100 * longer < 50 * a, true))
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=50)
+
+
+OP13_SQL = rf"""
+WITH terms AS (
+  SELECT row_number() OVER () AS d, doc_id, unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tfs AS (SELECT d, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT d, sum(tf)::BIGINT AS n FROM tfs GROUP BY d),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, corpus GROUP BY term, docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (d), corpus GROUP BY item_id, d, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -230,5 +302,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_substring_dedup": op11_substring_dedup,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_ranked_search": op13_ranked_search,
+}
+ORACLES: dict[str, str] = {
+    "op1_exact_top_k": OP1_SQL,
+    "op6_source_mixture": OP6_SQL,
+    "op7_url_list_filter": OP7_SQL,
+    "op10_nearest_neighbours": OP10_SQL,
+    "op11_substring_dedup": OP11_SQL,
+    "op12_phrase_collocations": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
-ORACLES: dict[str, str] = {"op1_exact_top_k": OP1_SQL, "op10_nearest_neighbours": OP10_SQL, "op6_source_mixture": OP6_SQL, "op7_url_list_filter": OP7_SQL}

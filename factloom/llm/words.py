@@ -66,13 +66,28 @@ class Substrings:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the rows, and n+1 offsets of the rows in them."""
+_AS_IS = np.arange(1, 257, dtype=np.uint64)
+#: Bytes of words.
+WORD = ~_SPACE
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray, ink: np.ndarray = WORD, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends (from the first row's first byte) of all words of the rows, and n+1 offsets of the rows in them.
+
+    ``ink`` marks the bytes that words are made of; without ``lower`` letters keep their case.
+    """
     data, rows = raw[int(offsets[0]) : int(offsets[-1])], offsets - offsets[0]
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    starts, ends, at = spans(data, rows, ~_SPACE[data])
-    return Substrings(_LOWER[data]).hashed(starts, ends), at
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
+    starts, ends, at = spans(data, rows, ink[data])
+    return Substrings((_LOWER if lower else _AS_IS)[data]).hashed(starts, ends), starts, ends, at
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the rows, and n+1 offsets of the rows in them."""
+    words, _, _, at = word_spans(raw, offsets)
+    return words, at
 
 
 #: How a byte looks: capital, small or other letter, digit, or itself.
