@@ -30,7 +30,7 @@ def test_query_gives_the_rows_of_its_sql(spark, name):
     found = queries.QUERIES[name](spark, FOLDER)
     got = sorted((tuple(plain(r[c]) for c in sorted(found.columns)) for r in found.collect()), key=repr)
     connection = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("benchmark", "documents", "embeddings", "pages"):
         connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     result = connection.sql(queries.ORACLES[name])
     columns = sorted(result.columns)
