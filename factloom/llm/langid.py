@@ -30,8 +30,8 @@ STRETCHES = 4000
 STRETCH = 256
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.3, 1e-5
 UNKNOWN = "und"
-#: Texts of fewer words are not judged by the evidence for their language.
-FEW_WORDS = 20
+#: Standard errors that are added to a text's mean evidence: few words prove little against a language.
+DOUBT = 2.0
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
@@ -46,6 +46,8 @@ class Model:
     lexicon: np.ndarray
     #: For each label the median, over the stretches learned, of the mean points of their words' best labels.
     usual: np.ndarray | None = None
+    #: For each label the standard deviation of its words' points within a stretch, relative to ``usual``.
+    spread: np.ndarray | None = None
 
 
 def _text_buffer(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +239,7 @@ def _fit(labels: list[str], pieces: list[str], tags: list[int]) -> Model:
     _, words, _ = word_features(pieces)
     lexicon, seen = np.unique(words, return_counts=True)
     lexicon = lexicon[seen > 1]
-    model = Model(labels, np.zeros(((1 << BITS) + len(lexicon) + 1, size), dtype=np.float32), np.zeros((size, size)), lexicon, np.ones(size))
+    model = Model(labels, np.zeros(((1 << BITS) + len(lexicon) + 1, size), dtype=np.float32), np.zeros((size, size)), lexicon, np.ones(size), np.zeros(size))
     if size < 2:
         return model
     # In an order that mixes the languages.
@@ -256,23 +258,34 @@ def _fit(labels: list[str], pieces: list[str], tags: list[int]) -> Model:
             g = grad_move + DECAY * model.move
             seen_move += g * g
             model.move -= RATE * g / np.sqrt(seen_move)
-    means, tags = np.full(len(pieces), np.nan), np.array(tags)
+    model.usual, model.spread = _usual(model, pieces, tags)
+    return model
+
+
+def _usual(model: Model, pieces: list[str], tags: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The labels' ``usual`` and ``spread``, in one more pass over the stretches."""
+    means, widths, tags = np.full(len(pieces), np.nan), np.full(len(pieces), np.nan), np.array(tags)
     for low in range(0, len(pieces), 1000):
         points, at, _ = emissions(model, pieces[low : low + 1000])
         if len(points):
-            sums, some = np.concatenate(([0.0], np.cumsum(points.max(axis=1), dtype=np.float64))), np.diff(at) > 0
-            means[low + np.flatnonzero(some)] = (sums[at[1:][some]] - sums[at[:-1][some]]) / np.diff(at)[some]
-    own = [means[(tags == k) & ~np.isnan(means)] for k in range(size)]
-    model.usual = np.array([max(1e-6, float(np.median(x))) if len(x) else 1.0 for x in own])
-    return model
+            best, some = points.max(axis=1).astype(np.float64), np.diff(at) > 0
+            sums, squares = (np.concatenate(([0.0], np.cumsum(x))) for x in (best, best * best))
+            first, last, n = at[:-1][some], at[1:][some], np.diff(at)[some]
+            mean = (sums[last] - sums[first]) / n
+            means[low + np.flatnonzero(some)] = mean
+            widths[low + np.flatnonzero(some)] = np.sqrt(np.maximum(0.0, (squares[last] - squares[first]) / n - mean * mean))
+    own = [(tags == k) & ~np.isnan(means) for k in range(len(model.labels))]
+    usual = np.array([max(1e-6, float(np.median(means[x]))) if x.any() else 1.0 for x in own])
+    return usual, np.array([float(np.median(widths[x])) if x.any() else 0.0 for x in own]) / usual
 
 
 def labelled(model: Model, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
     """Each text's label, score and evidence; 'und', 0 and 0 for texts without a letter.
 
     The evidence is the mean, over the words, of the best label's points by the word's own features, relative to
-    the median of the stretches of the label that were learned. Words of a language that was not learned leave it low,
-    whatever their neighbours, and mixed texts of learned ones don't. Too few words tell nothing: they have 1.
+    the median of the stretches of the label that were learned, and DOUBT standard errors of such a mean. Words of a
+    language that was not learned leave it low, whatever their neighbours, and mixed texts of learned ones don't. The
+    fewer words there are, the larger the error and so the benefit of the doubt.
     """
     names, scores, evidence = [], [], []
     sizes = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
@@ -295,8 +308,9 @@ def labelled(model: Model, texts: list[str]) -> tuple[list[str], list[float], li
             best = int(mean.argmax())
             names.append(model.labels[best])
             scores.append(float(min(1.0, max(0.0, mean[best]))))
-            mean = (alone[at[k + 1]] - alone[at[k]]) / (at[k + 1] - at[k]) / model.usual[best]
-            evidence.append(1.0 if at[k + 1] - at[k] < FEW_WORDS else float(max(0.0, mean)))
+            n = at[k + 1] - at[k]
+            mean = (alone[at[k + 1]] - alone[at[k]]) / n / model.usual[best]
+            evidence.append(float(max(0.0, mean + DOUBT * model.spread[best] / n**0.5)))
     return names, scores, evidence
 
 
