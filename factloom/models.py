@@ -20,17 +20,16 @@ Extractor = Callable[[str], list[dict]]
 CANDIDATE = "document_id string, page_number int, chunk_id string, subject string, predicate string, value_text string, unit string, source_text string, confidence double"
 FACT = "subject string, predicate string, value_text string, unit string, source_text string, confidence double"
 ISSUE = "issue_type string, message string, preview string"
-MOST_FACTS = 15
 #: What a model is told whose reply was no JSON.
-AGAIN = 'Your previous reply was not valid JSON. Reply with exactly one JSON object of the form {"facts": [...]} and nothing else.'
+AGAIN = 'That could not be read as JSON. Send the facts again as {"facts": [...]}, without any text around it.'
 RETRYABLE = (408, 429, 500, 502, 503, 504)
 _STATEMENT = re.compile(r"([A-Z][\w&' ]{1,60}?) (?:was|were|is|are|reached|totalled) ((?:[$€£₹] ?)?[-+]?\d[\d,]*(?:\.\d+)?)\s*(%|percent|crore|lakh|thousand|million|billion)?")
 
 
 def rule_extractor(text: str) -> list[dict]:
-    """Statements of the form "<subject> was <number> [unit]", at most fifteen for a chunk."""
+    """Statements of the form "<subject> was <number> [unit]"."""
     found = []
-    for m in list(_STATEMENT.finditer(text))[:MOST_FACTS]:
+    for m in _STATEMENT.finditer(text):
         subject, _, predicate = m[1].rpartition(" ")
         found.append({"subject": subject or m[1], "predicate": predicate, "value_text": m[2], "unit": m[3], "source_text": m[0], "confidence": 0.5})
     return found
@@ -61,7 +60,7 @@ def repaired(model: Callable[[str], str], prompt: Callable[[str], str] = str) ->
         found = json.loads(plain_json(reply))
         if not isinstance(found, dict) or not isinstance(found.get("facts"), list):
             raise ValueError("a reply must hold an array of facts")
-        return found["facts"][:MOST_FACTS]
+        return found["facts"]
 
     def extract(text: str) -> tuple[list[dict], list[dict]]:
         first = model(prompt(text))

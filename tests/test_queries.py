@@ -43,15 +43,17 @@ def test_entry_point_without_the_training_data_part(tmp_path, gone):
     """Exactly these are deleted; what is left imports, registers its queries, and its other tests are collected."""
     shutil.copytree(REPO, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "spark-warehouse", *gone))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'reconcile_revenue' in q and not any(x[:2] == 'op' and x[2].isdigit() or x == 'pipeline' for x in q); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, timeout=120)
+    env = {**os.environ, "PYTHONPATH": str(tmp_path / "repo")}  # the copy, wherever the session's own path leads
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env=env, check=True, timeout=120)
     if "llm" in gone:
         left = [sys.executable, "-m", "pytest", "-q", "--collect-only", "tests"]
-        subprocess.run(left, cwd=tmp_path / "repo", check=True, timeout=120, stdout=subprocess.DEVNULL)
+        subprocess.run(left, cwd=tmp_path / "repo", env=env, check=True, timeout=120, stdout=subprocess.DEVNULL)
         few = [sys.executable, "-m", "pytest", "-q", "-x", "tests/test_functions.py", "tests/test_models.py"]
-        subprocess.run(few, cwd=tmp_path / "repo", check=True, timeout=600, stdout=subprocess.DEVNULL)
+        subprocess.run(few, cwd=tmp_path / "repo", env=env, check=True, timeout=600, stdout=subprocess.DEVNULL)
 
 
 def test_whatever_else_the_training_data_part_lacks_is_an_error(tmp_path):
     shutil.copytree(REPO, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "spark-warehouse", "packing.py"))
-    found = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path / "repo", timeout=120, capture_output=True, text=True)
+    env = {**os.environ, "PYTHONPATH": str(tmp_path / "repo")}
+    found = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path / "repo", env=env, timeout=120, capture_output=True, text=True)
     assert found.returncode and "factloom.llm.packing" in found.stderr
