@@ -1,42 +1,51 @@
-"""Token counts that follow edits: only what an edit touches is encoded again.
-
-A document is cut into leaves of some hundred characters where a white-space character follows another one. At
-such a place the tokenizer's pattern always ends a unit, whatever stands around it, so the leaves' counts add
-up to the document's. Sums over a balanced tree of the leaves find an edit's leaves and give the total. An edit
-takes its leaves out, one more where it touches a cut, encodes what stands in their place, and puts that in; only
-the sums above them are made anew, however much is inserted.
+"""Token counts that follow edits: only pre-tokens that an edit changes, with what stands around them, are encoded again.
+
+The tokenizer's pattern cuts a text into pre-tokens, which are encoded one by one, so their counts add up. A document is
+a balanced tree whose leaves are small runs of pre-tokens with the count of each; sums over the tree find the leaves of an
+edit and give the total. The pattern reads from left to right and looks ahead, but never back: so the leaves from a
+few characters before an edit, and from before any white space there, are cut anew, until a cut falls on the end of an
+old leaf behind the edit. From there on all is as it was. Of what was cut anew only pre-tokens that differ from the old ones are
+encoded, and only the sums above their leaves are made anew, however much is inserted.
 """
 
 from __future__ import annotations
 
 import base64
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import CROWD, LISTED, column_or, copied, dealt, materialize
 
-LEAF = 512
-#: Python counts \x1c to \x1f as white space, tokenizers' patterns don't.
-_CUT = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[^\S\x1c-\x1f])")
+#: Characters of the pre-tokens of a leaf (a longer pre-token stands alone).
+LEAF = 64
+#: Characters before an edit, and behind a cut, that the pattern may look at besides white space.
+CONTEXT = 4
+
+#: A pre-token and its number of tokens.
+Unit = tuple[str, int]
 
 
 class Node:
-    """A leaf with its text, or an inner node; with the characters and tokens below it."""
+    """A leaf with its pre-tokens, or an inner node; with the characters and tokens below it."""
 
-    __slots__ = ("left", "right", "text", "chars", "tokens", "height")
+    __slots__ = ("left", "right", "units", "chars", "tokens", "height")
 
-    def __init__(self, left: Node | None, right: Node | None, text: str = "", tokens: int = 0) -> None:
-        self.left, self.right, self.text = left, right, text
+    def __init__(self, left: Node | None, right: Node | None, units: list[Unit] | tuple = ()) -> None:
+        self.left, self.right, self.units = left, right, units
         if left is None:
-            self.chars, self.tokens, self.height = len(text), tokens, 0
+            self.chars, self.tokens, self.height = sum(len(u[0]) for u in units), sum(u[1] for u in units), 0
         else:
             self.chars, self.tokens = left.chars + right.chars, left.tokens + right.tokens
             self.height = 1 + max(left.height, right.height)
 
+    @property
+    def text(self) -> str:
+        return "".join(u[0] for u in self.units)
+
 
 def _over(left: Node, right: Node) -> Node:
     """A node over both, whose heights differ by 2 at most; turned where they do."""
@@ -82,26 +91,47 @@ def _leaves_of(node: Node | None) -> Iterator[Node]:
             yield from _leaves_of(node.right)
 
 
+class TokenCounter:
+    """Counts the ids of a text under a file of byte-pair ranks, whole or by pre-token."""
+
+    #: Pre-tokens whose counts are remembered.
+    KEPT = 200_000
+
+    def __init__(self, ranks_file: str, pattern: str) -> None:
+        import tiktoken
+
+        with open(ranks_file, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # White space as the tokenizer has it: Python's would take in the separators \x1c to \x1f.
+        self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"), regex.V0)
+        self.known: dict[str, Unit] = {}
+
+    def __call__(self, text: str) -> int:
+        return len(self.encoding.encode_ordinary(text))
+
+    def units(self, text: str) -> list[Unit]:
+        """The text's pre-tokens with their counts."""
+        pieces, known = self.cut.findall(text), self.known
+        if len(known) > self.KEPT:
+            known.clear()
+        out = []
+        for piece in pieces:
+            unit = known.get(piece)
+            if unit is None:
+                unit = known[piece] = (piece, self(piece))
+            out.append(unit)
+        if sum(map(len, pieces)) != len(text):
+            raise ValueError("the pattern must leave no character out")
+        return out
+
+
 class CountTree:
     """A text's token count under edits: a balanced tree of leaves, of which an edit takes some out and puts others in."""
 
-    def __init__(self, text: str, count: Callable[[str], int]) -> None:
-        self.count, self.encoded = count, 0
-        self.root = self._tree(_leaves(text, LEAF), {})
-
-    def _tree(self, texts: list[str], known: dict[str, int]) -> Node | None:
-        """A tree of these leaves; only those not among the ``known`` are encoded."""
-        level = []
-        for text in texts:
-            if text:
-                if text not in known:
-                    self.encoded += len(text)
-                level.append(Node(None, None, text, known[text] if text in known else self.count(text)))
-        while len(level) > 1:
-            level = [Node(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
-            if len(level) > 1 and level[-1].height < level[-2].height - 1:  # a short end is joined where it fits
-                level[-2:] = [joined(level[-2], level[-1])]
-        return level[0] if level else None
+    def __init__(self, text: str, count: TokenCounter) -> None:
+        self.count, self.encoded = count, len(text)
+        self.root = _tree(count.units(text))
 
     @property
     def total(self) -> int:
@@ -118,51 +148,88 @@ class CountTree:
         end = min(at + max(removed, 0), size)
         if end == at and not inserted:
             return
-        # From the leaf of the character before the edit to that of the one after it.
-        before, rest = parted(self.root, max(at - 1, 0))
+        before, rest = parted(self.root, max(at - CONTEXT, 0))
+        while before is not None:
+            last = before
+            while last.left is not None:
+                last = last.right
+            if not last.units[-1][0][-1].isspace():
+                break
+            before, tail = parted(before, before.chars - 1)
+            rest = joined(tail, rest)
         start = before.chars if before else 0
-        touched, after = rest, None
-        if rest is not None and end < size:
-            ahead, last = parted(rest, end - start)
-            if last.left is None:
-                touched, after = joined(ahead, last), None
-            else:
-                first = last
+        # The leaves up to the one behind the edit, and more if no cut falls on their end.
+        more = max(end - start, 0) + 1
+        while True:
+            touched, after = parted(rest, more)
+            if after is not None:
+                first = after
                 while first.left is not None:
                     first = first.left
-                one, after = parted(last, first.chars)
-                touched = joined(ahead, one)
-        old = list(_leaves_of(touched))
-        part = "".join(leaf.text for leaf in old)
-        new = part[: at - start] + inserted + part[end - start :]
-        self.root = joined(joined(before, self._tree(_leaves(new, LEAF), {leaf.text: leaf.tokens for leaf in old})), after)
-
-
-def _leaves(text: str, size: int) -> list[str]:
-    """The text cut at the first possible place after each ``size`` characters."""
-    out, done = [], 0
-    while len(text) - done > size:
-        m = _CUT.search(text, done + size)
-        if not m:
+                leaf, after = parted(after, first.chars)
+                leaf, after = (leaf, after) if leaf is not None else (first, None)
+                touched = joined(touched, leaf)
+            old = [u for leaf in _leaves_of(touched) for u in leaf.units]
+            part = "".join(u[0] for u in old)
+            part = part[: at - start] + inserted + part[end - start :]
+            units = self._cut(part, after)
+            if units is not None:
+                break
+            more = 2 * touched.chars
+        same = _shared(old, units)
+        behind = _shared(old[same:][::-1], units[same:][::-1])
+        self.encoded += sum(len(u[0]) for u in units[same : len(units) - behind])
+        self.root = joined(joined(before, _tree(units)), after)
+
+    def _cut(self, part: str, after: Node | None) -> list[Unit] | None:
+        """The pre-tokens of ``part`` where the leaves ``after`` follow it; none if no cut falls on its end."""
+        ahead = ""
+        for leaf in _leaves_of(after):
+            ahead += leaf.text
+            if len(ahead.lstrip()) > CONTEXT:
+                break
+        units, end, k = self.count.units(part + ahead), 0, 0
+        while end < len(part):
+            end += len(units[k][0])
+            k += 1
+        return units[:k] if end == len(part) else None
+
+
+def _shared(left: list[Unit], right: list[Unit]) -> int:
+    """How many units both begin with."""
+    n = 0
+    for a, b in zip(left, right, strict=False):
+        if a != b:
             break
-        out.append(text[done : m.start()])
-        done = m.start()
-    return [*out, text[done:]]
-
-
-_encodings: dict[tuple[str, str], Callable[[str], int]] = {}
-
-
-def token_counter(ranks_file: str, pattern: str) -> Callable[[str], int]:
-    """Counts the ids of a text under a file of byte-pair ranks."""
-    if (ranks_file, pattern) not in _encodings:
-        import tiktoken
-
-        with open(ranks_file, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _encodings[ranks_file, pattern] = lambda text: len(encoding.encode_ordinary(text))
-    return _encodings[ranks_file, pattern]
+        n += 1
+    return n
+
+
+def _tree(units: list[Unit]) -> Node | None:
+    """A balanced tree over leaves of these units."""
+    level, chars, first = [], 0, 0
+    for k, (piece, _) in enumerate(units):
+        if chars and chars + len(piece) > LEAF:
+            level.append(Node(None, None, tuple(units[first:k])))
+            chars, first = 0, k
+        chars += len(piece)
+    if first < len(units):
+        level.append(Node(None, None, tuple(units[first:])))
+    while len(level) > 1:
+        level = [Node(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+        if len(level) > 1 and level[-1].height < level[-2].height - 1:  # a short end is joined where it fits
+            level[-2:] = [joined(level[-2], level[-1])]
+    return level[0] if level else None
+
+
+_counters: dict[tuple[str, str], TokenCounter] = {}
+
+
+def token_counter(ranks_file: str, pattern: str) -> TokenCounter:
+    """The counter of a file of byte-pair ranks; one for each process."""
+    if (ranks_file, pattern) not in _counters:
+        _counters[ranks_file, pattern] = TokenCounter(ranks_file, pattern)
+    return _counters[ranks_file, pattern]
 
 
 def counts_after_edits(docs: DataFrame, edits: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
