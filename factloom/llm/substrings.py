@@ -90,11 +90,11 @@ def _positions(column: pa.Array, block: Block) -> np.ndarray:
     return np.concatenate(lists) if lists else np.zeros(0, np.int64)
 
 
-KEYS = ["ref_id", "ref_h"]
+KEYS = ["ref"]
 
 
 class Search:
-    """The steps of the search in one table with doc_id, ``ref_id``, ``ref_h`` and ``text``."""
+    """The steps of the search in one table with doc_id, ``ref`` and ``text``."""
 
     def __init__(self, docs: DataFrame, window: int) -> None:
         self.docs, self.window = docs, window
@@ -105,7 +105,7 @@ class Search:
             self.hot = hot
 
     def anchors(self, places: bool) -> DataFrame:
-        """``h`` of all anchors with ``n`` (equal ones of some rows counted together) or, with ``places``, ref_id, ref_h and at."""
+        """``h`` of all anchors with ``n`` (equal ones of some rows counted together) or, with ``places``, ref and at."""
         window, period, cover = self.window, self.period, self.cover
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ class Search:
                         keys, n = np.unique(keys, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
 
-        return self.docs.mapInArrow(found, "h long, ref_id long, ref_h long, at int" if places else "h long, n int")
+        return self.docs.mapInArrow(found, "h long, ref long, at int" if places else "h long, n int")
 
     def joined(self, rows: DataFrame, lists: DataFrame) -> DataFrame:
         """``rows`` with the columns of ``lists``, one row to a ref at most; refs with very many rows are dealt to several tasks."""
@@ -166,14 +166,14 @@ def without_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id"
 
     Null, empty and blank texts have no words and an empty kept_text; texts of fewer words than a window keep all. A null
     doc_id stays null, rows that share a doc_id are texts of their own, further columns are ignored, and an empty table gives
-    an empty result. Windows are told apart by 128-bit hashes.
+    an empty result. Windows are told apart by 96-bit hashes, texts by 64-bit hashes of doc_id and text.
 
     Up to ``most_shared`` anchors that occur more than once are broadcast as a bitmap of fixed size; more are joined.
     """
     if window < 1:
         raise ValueError("a window has at least one word")
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    search = Search(named.withColumns({"ref_id": F.coalesce("doc_id", F.lit(-1)), "ref_h": F.xxhash64("doc_id", "text")}), window)
+    search = Search(named.withColumn("ref", F.xxhash64("doc_id", "text")), window)
     shared = materialize(search.anchors(places=False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "shared")
     search.mark(shared, most_shared)
     starts = search.starts()
@@ -182,18 +182,18 @@ def without_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id"
         for batch in batches:
             for rows, block in _blocks(batch):
                 at = starts(rows, block)
-                keys = [pa.array(block.runs(at, window, seed).view(np.int64)) for seed in (1, 2)]
+                keys = [pa.array(block.runs(at, window, 1).view(np.int64)), pa.array((block.runs(at, window, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32))]
                 own = [column_or(rows, c).take(pa.array(block.owner[at])) for c in KEYS]
                 yield pa.RecordBatch.from_arrays([*keys, *own, pa.array(block.place[at].astype(np.int32))], names=["k1", "k2", *KEYS, "at"])
 
-    held = search.docs.mapInArrow(windows, "k1 long, k2 long, ref_id long, ref_h long, at int")
+    held = search.docs.mapInArrow(windows, "k1 long, k2 int, ref long, at int")
     once = held.groupBy("k1", "k2").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in (*KEYS, "at")]).where("n = 1")
     lone = materialize(once.groupBy(*KEYS).agg(F.collect_list("at").alias("lone")), "lone")
     discard(shared)
     # Texts with windows that only share an anchor meet the lists of these; most others stay where they are.
-    refs = hash_filter(lone.select("ref_h"))
-    met = search.joined(passing(search.docs, refs, F.col("ref_h")), lone)
-    rest = passing(search.docs, refs, F.col("ref_h"), pass_=False).withColumn("lone", F.lit(None).cast("array<int>"))
+    refs = hash_filter(lone.select("ref"))
+    met = search.joined(passing(search.docs, refs, F.col("ref")), lone)
+    rest = passing(search.docs, refs, F.col("ref"), pass_=False).withColumn("lone", F.lit(None).cast("array<int>"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
