@@ -24,6 +24,8 @@ from factloom.llm.common import blocks_of, column_or, copied, crowded, dealt, di
 from factloom.llm.words import mix, word_spans
 
 BITS = 27
+#: Bytes of text whose phrases are counted together before they leave a task, and phrases written at a time.
+BLOCK, SLICE = 1 << 21, 1 << 15
 #: Parts of a language among which its phrases are ranked before the whole language is.
 PARTS = 64
 
@@ -94,7 +96,7 @@ def counted(docs: DataFrame, length: int, least: int, bits: object = None) -> Da
             names = column_or(batch, "lang").dictionary_encode()
             langs, own = names.dictionary.to_pylist(), names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             keys = _group_keys(langs)
-            for i, j in blocks_of(offsets, 1 << 22):
+            for i, j in blocks_of(offsets, BLOCK):
                 pieces = Pieces(raw, offsets[i : j + 1])
                 last = np.flatnonzero(pieces.before >= length - 1)
                 group = own[i:j][pieces.owner]
@@ -109,8 +111,11 @@ def counted(docs: DataFrame, length: int, least: int, bits: object = None) -> Da
                 for k in range(length - 1, -1, -1):
                     number = np.unique(number * (int(ids.max()) + 1) + ids[last - k], return_inverse=True)[1].astype(np.int64)
                 _, at, n = np.unique(number, return_index=True, return_counts=True)
-                phrases = pieces.joined(last[at], length)
-                yield pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(group[last[at]])), phrases.cast(pa.string()), pa.array(n)], names=["lang", "phrase", "f"])
+                last, group = last[at], group[last[at]]
+                for low in range(0, len(last), SLICE):
+                    some = slice(low, low + SLICE)
+                    phrases = pieces.joined(last[some], length).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(group[some])), phrases, pa.array(n[some])], names=["lang", "phrase", "f"])
 
     rows = docs.mapInArrow(count, "lang string, phrase string, f long")
     return rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= (least if length > 1 else 1))
