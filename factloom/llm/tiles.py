@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Components of the candidates of a tile and of the queries of a block.
 TILE_VALUES, QUERY_VALUES = 1 << 21, 1 << 20
+#: The most candidates of a tile and queries of a block, however few components they have.
+MOST_ROWS = 1 << 14
 #: Tiles are made smaller than that, down to so many candidates, to have some for each core.
 TILE_LEAST, TILES_LEAST = 4096, 64
 
@@ -45,8 +47,8 @@ def meet(queries: DataFrame, candidates: DataFrame, bucket: Column, buckets: dic
     if not buckets:
         return queries.select(F.lit(0).alias("tile"), F.lit(0).alias("block"), F.lit(0).alias("side"), "*").limit(0)
     total = sum(b.rows for b in buckets.values())
-    size = max(1, min(TILE_VALUES // max(width, 1), max(TILE_LEAST, -(-total // TILES_LEAST))))
-    blocks = max(1, -(-query_count // max(1, QUERY_VALUES // max(width, 1))))
+    size = max(1, min(MOST_ROWS, TILE_VALUES // max(width, 1), max(TILE_LEAST, -(-total // TILES_LEAST))))
+    blocks = max(1, -(-query_count // max(1, min(MOST_ROWS, QUERY_VALUES // max(width, 1)))))
     tiles, places = 0, {}
     for b, held in sorted(buckets.items()):
         places[b] = (tiles, -(-held.rows // size))

@@ -20,6 +20,8 @@ from factloom.llm.tiles import Bucket, finite_vectors, meet
 BUCKETS = 16
 #: The longest vectors from which queries get their first scores to beat.
 SEEDS = 2048
+#: Queries whose products with a tile are held at a time.
+RUN = 256
 #: Local cosine thresholds from which coordinates prune better than lengths, and the coordinates of a query that are looked at.
 STEEP, FOCUS = 0.5, 8
 
@@ -56,13 +58,17 @@ def once(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def by_length(out: dict, asked: np.ndarray, queries: np.ndarray, beat: np.ndarray, ids: np.ndarray, tile: np.ndarray, lengths: np.ndarray, k: int) -> int:
-    """Length pruning: verifies the candidates that are long enough for any of these queries; gives the products made."""
-    long_q = np.sqrt((queries * queries).sum(axis=1))
-    least = np.where(beat > 0, beat / np.maximum(long_q, 1e-300), -1.0).min()
-    kept = np.flatnonzero(lengths >= least * (1 - 1e-9))
-    for query, row in zip(asked, products(queries, tile[kept]), strict=True):
-        _take(out, int(query), ids[kept], row, k)
-    return len(asked) * len(kept)
+    """Length pruning: in runs of queries that ask for like lengths, verifies the candidates long enough for any of them; gives the products made."""
+    long_q, made = np.sqrt((queries * queries).sum(axis=1)), 0
+    least = np.where(beat > 0, beat / np.maximum(long_q, 1e-300), -1.0)
+    order = np.argsort(least, kind="stable")
+    for low in range(0, len(order), RUN):
+        own = order[low : low + RUN]
+        kept = np.flatnonzero(lengths >= least[own[0]] * (1 - 1e-9))
+        for query, row in zip(asked[own], products(queries[own], tile[kept]), strict=True):
+            _take(out, int(query), ids[kept], row, k)
+        made += len(own) * len(kept)
+    return made
 
 
 def by_coordinates(out: dict, asked: np.ndarray, queries: np.ndarray, local: np.ndarray, ids: np.ndarray, tile: np.ndarray, lengths: np.ndarray, k: int) -> int:

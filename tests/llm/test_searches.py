@@ -1,10 +1,13 @@
 """What the two searches prune, and that their bounds hold."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import ann, topk
+from factloom.llm import ann, tiles, topk
 from factloom.llm.tiles import Bucket, meet
 
 
@@ -79,3 +82,31 @@ def test_a_first_score_cuts_survivors_and_loses_nothing():
         score[q] = -2
         best = {int(v) for v in np.argsort(-score)[:k] if v >= 1000}
         assert best <= {int(v) for x, v, _ in found if x == q}
+
+
+@pytest.mark.parametrize("dim", [2, 8, 64])
+def test_a_full_group_stays_small(dim):
+    """As many rows as a group may have: neither search holds more than 500 MB beside them."""
+    rows, asked = (min(tiles.MOST_ROWS, values // dim) for values in (tiles.TILE_VALUES, tiles.QUERY_VALUES))
+    draw = np.random.default_rng(dim)
+    candidates, queries = draw.normal(size=(rows, dim)), draw.normal(size=(min(asked, 2000), dim))
+    c = frame(candidates, beat=np.nan)
+    tracemalloc.start()
+    ann.tile_best(frame(queries, ids=np.arange(len(queries)) + 10**6, beat=-2.0), c, 5)
+    topk.search_tile(frame(np.floor(256 * queries), ids=np.arange(len(queries)) + 10**6, beat=-(2**62)), frame(np.floor(256 * candidates), beat=0), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+
+
+def test_runs_of_queries_prune_by_their_own_lengths():
+    draw = np.random.default_rng(5)
+    tile = np.floor(draw.normal(size=(500, 4)) * np.linspace(1, 400, 500)[:, None])
+    queries = np.floor(draw.normal(size=(600, 4)) * 100)
+    lengths, whole = np.sqrt((tile * tile).sum(axis=1)), topk.products(queries, tile)
+    beat = np.sort(whole, axis=1)[:, -3].astype(float) - 0.5
+    beat[::2] = 1.0  # half of them ask for nearly nothing
+    out = {"query_id": [], "vec_id": [], "score": []}
+    made = topk.by_length(out, np.arange(600) + 1000, queries, beat, np.arange(500), tile, lengths, 3)
+    got = {(q, s) for q, s in zip(out["query_id"], out["score"], strict=True)}
+    assert {(q + 1000, int(s)) for q in range(600) for s in np.sort(whole[q])[-3:]} <= got and made < 600 * 500
