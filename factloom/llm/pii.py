@@ -102,7 +102,8 @@ _RUN = re.compile(rf"\b(?:plus{_GLUE})?{_UNIT}(?:{_GLUE}(?:dot{_GLUE})?{_UNIT})+
 #: What every run that counts has: "plus" before a digit, or a digit in words beside another part of the run.
 _HINT = re.compile(rf"\bplus{_GLUE}{_UNIT}|\b{_WORD}{_GLUE}(?:dot\b|{_UNIT})|(?:[0-9]|\bdot){_GLUE}{_WORD}\b", re.IGNORECASE)
 
-_OPEN, _CLOSE = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
+# White space is only taken from where it begins, which keeps long runs of it linear.
+_OPEN, _CLOSE = r"(?:(?<!\s)\s+)?[\[({<]\s*", r"\s*[\])}>]\s*"
 _AT = re.compile(rf"{_OPEN}(?:at|@|arroba|ät){_CLOSE}", re.IGNORECASE)
 _DOT = re.compile(rf"{_OPEN}(?:dot|\.|punkt|punto|point){_CLOSE}", re.IGNORECASE)
 _BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.IGNORECASE)
