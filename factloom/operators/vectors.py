@@ -1,15 +1,29 @@
-"""Similarity search by cosine within a workspace, exact, in blocks."""
+"""Similarity search by cosine within a workspace, exact.
+
+Small workspaces are searched whole, many of them in one task. In larger ones candidates are dealt to the nearest of some
+pivots, which gives clusters with a radius. A query first searches the cluster it falls into; from then on it visits
+only clusters that the triangle inequality of angles leaves: those whose pivot is no farther away than their radius and the
+angle to the query's k-th best so far together.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.config import DEFAULTS
+from factloom.sources.tables import stored
 
-BLOCK = 2048
+#: Queries and candidates that meet in one step; a workspace of at most WHOLE candidates is not clustered.
+BLOCK, WHOLE = 2048, 8192
+#: Candidates to a cluster, and the most clusters of a workspace.
+CLUSTER, MOST_CLUSTERS = 512, 4096
+#: By how much a rounded similarity and the angles computed from it may be off.
+MARGIN = 2e-6
 
 
 def usable(vectors: DataFrame, dimension: int | None = None) -> DataFrame:
@@ -27,40 +41,165 @@ def checked_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
     return vectors.withColumn("embedding", kept)
 
 
+def best_matches(left: np.ndarray, right: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score (6 decimals) of each row's k highest inner products, of equal ones the first columns; those below ``least`` may be left out."""
+    scores = np.round(left @ right.T, 6)
+    cut = np.full(len(left), -np.inf) if least is None else least
+    if right.shape[0] > k:
+        cut = np.maximum(cut, np.partition(scores, -k, axis=1)[:, -k])
+    rows, columns = np.nonzero(scores >= cut[:, None])
+    found = scores[rows, columns]
+    order = np.lexsort((columns, -found, rows))
+    rows, columns, found = rows[order], columns[order], found[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    kept = place < k
+    return rows[kept], columns[kept], found[kept]
+
+
+_FOUND = "owner string, fact_id string, candidate_id string, similarity double"
+
+
+def _searched(q: pd.DataFrame, c: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+    """The k best of ``c`` for each row of ``q``, within each owner; a ``beat`` that q has is the least score that counts."""
+    if q.empty or c.empty:
+        return
+    candidates = dict(iter(c.sort_values("fact_id").groupby("owner")))
+    for owner, mine in q.groupby("owner"):
+        theirs = candidates.get(owner)
+        if theirs is None:
+            continue
+        right, ids = np.stack(theirs.embedding.to_numpy()), theirs.fact_id.to_numpy()
+        for low in range(0, len(mine), 512):
+            some = mine.iloc[low : low + 512]
+            least = some.beat.to_numpy(dtype=float) if "beat" in some else None
+            rows, columns, scores = best_matches(np.stack(some.embedding.to_numpy()), right, k, least)
+            yield pd.DataFrame({"owner": owner, "fact_id": some.fact_id.to_numpy()[rows], "candidate_id": ids[columns], "similarity": scores})
+
+
+def _search(dealt: DataFrame, keys: list[str], k: int) -> DataFrame:
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        found = list(_searched(group[group.side == 0], group[group.side == 1], k))
+        return pd.concat(found) if found else pd.DataFrame({"owner": [], "fact_id": [], "candidate_id": [], "similarity": []}, dtype=object).astype({"similarity": float})
+
+    return dealt.groupBy(*keys).applyInPandas(search, _FOUND)
+
+
+def _unit(rows: DataFrame, side: int) -> DataFrame:
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    rows = rows.select("owner", F.lit(side).alias("side"), "fact_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.withColumn("embedding", F.transform("embedding", lambda x: x / length))
+
+
+def _dealt(rows: DataFrame, blocks: Column, tiles: Column, *keys: str) -> DataFrame:
+    """Rows dealt to groups (keys, block, tile): a query to one block and all tiles, a candidate to one tile and all blocks."""
+    block, tile = (F.pmod(F.xxhash64("fact_id", F.lit(x)), n).cast("int") for x, n in ((0, blocks), (1, tiles)))
+    query = F.col("side") == 0
+    rows = rows.withColumn("block", F.explode(F.when(query, F.array(block)).otherwise(F.sequence(F.lit(0), (blocks - 1).cast("int")))))
+    return rows.withColumn("tile", F.explode(F.when(query, F.sequence(F.lit(0), (tiles - 1).cast("int"))).otherwise(F.array(tile))))
+
+
+def _steps(n: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / BLOCK))
+
+
+class Clusters:
+    """The clusters of large workspaces: rows with their cluster, and each cluster's pivot, size and radius (an angle)."""
+
+    def __init__(self, rows: DataFrame, sizes: DataFrame) -> None:
+        n = F.least(F.ceil(F.col("candidates") / CLUSTER), F.lit(MOST_CLUSTERS))
+        placed = rows.join(sizes.select("owner", "candidates", n.alias("clusters"), F.ceil((F.col("candidates") + F.col("queries")) / (4 * BLOCK)).alias("parts")), "owner")
+        chosen = (F.col("side") == 1) & (F.pmod(F.xxhash64("fact_id", F.lit(2)), F.col("candidates")) < F.col("clusters"))
+        self.pivots = stored(placed.where(chosen).select("owner", "parts", "fact_id", "embedding"), "pivots")
+        self.rows = stored(self._by_part(placed.withColumn("beat", F.lit(None).cast("double")), self.pivots.withColumn("radius", F.lit(0.0)), self._assigned, "owner string, side int, fact_id string, embedding array<double>, cluster int, angle double"), "clustered")
+        held = self.rows.groupBy("owner", "cluster").agg(F.count_if(F.col("side") == 1).alias("candidates"), F.count_if(F.col("side") == 0).alias("queries"), F.max(F.when(F.col("side") == 1, F.col("angle"))).alias("radius"))
+        self.held = stored(held, "clusters")
+
+    @staticmethod
+    def _by_part(rows: DataFrame, pivots: DataFrame, step: object, schema: str) -> DataFrame:
+        """Applies ``step`` to parts of an owner's rows of bounded size, each with all of the owner's pivots (side 2)."""
+        columns = ["owner", "part", "side", "fact_id", "embedding", "beat", "radius"]
+        own = rows.withColumns({"part": F.pmod(F.xxhash64("fact_id", F.lit(3)), "parts").cast("int"), "radius": F.lit(None).cast("double")})
+        copies = pivots.withColumns({"side": F.lit(2), "part": F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)), "beat": F.lit(None).cast("double")})
+        return own.select(*columns).unionByName(copies.select(*columns)).groupBy("owner", "part").applyInPandas(step, schema)
+
+    @staticmethod
+    def _assigned(group: pd.DataFrame) -> pd.DataFrame:
+        rows, pivots = group[group.side < 2], group[group.side == 2].sort_values("fact_id")
+        cluster, angle = np.zeros(len(rows), np.int32), np.full(len(rows), np.pi)
+        if len(pivots) and len(rows):
+            right = np.stack(pivots.embedding.to_numpy())
+            for low in range(0, len(rows), 1024):
+                near = np.stack(rows.embedding.iloc[low : low + 1024].to_numpy()) @ right.T
+                cluster[low : low + 1024] = near.argmax(axis=1)
+                angle[low : low + 1024] = np.arccos(np.clip(near.max(axis=1), -1, 1))
+        return rows[["owner", "side", "fact_id", "embedding"]].assign(cluster=cluster, angle=angle)
+
+    def near(self, k: int) -> DataFrame:
+        """The k best of each query within its own cluster."""
+        sized = self.rows.join(self.held.select("owner", "cluster", "candidates", "queries"), ["owner", "cluster"])
+        return _search(_dealt(sized, _steps(F.col("queries")), _steps(F.col("candidates")), "owner", "cluster"), ["owner", "cluster", "block", "tile"], k)
+
+    def visits(self, found: DataFrame, k: int) -> DataFrame:
+        """Queries (owner, fact_id, embedding, beat) with the other clusters that may hold something at least as good as their k-th best of ``found``."""
+        order = Window.partitionBy("owner", "fact_id").orderBy(F.desc("similarity"), "candidate_id")
+        kth = found.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("owner", "fact_id", F.col("similarity").alias("beat"))
+        queries = self.rows.where("side = 0").join(kth, ["owner", "fact_id"], "left").withColumn("beat", F.coalesce("beat", F.lit(-1.0)))
+        queries = queries.join(self.pivots.select("owner", "parts").distinct(), "owner")
+        # A pivot's number in its owner's sorted list is its cluster.
+        number = F.row_number().over(Window.partitionBy("owner").orderBy("fact_id")) - 1
+        pivots = self.pivots.withColumn("cluster", number).join(self.held.select("owner", "cluster", "radius"), ["owner", "cluster"], "left").withColumn("radius", F.coalesce("radius", F.lit(-1.0)))
+
+        def visited(group: pd.DataFrame) -> pd.DataFrame:
+            rows, ours = group[group.side == 0], group[group.side == 2].sort_values("fact_id")
+            parts = []
+            if len(rows) and len(ours):
+                right, radius = np.stack(ours.embedding.to_numpy()), ours.radius.to_numpy()
+                for low in range(0, len(rows), 1024):
+                    some = rows.iloc[low : low + 1024]
+                    near = np.stack(some.embedding.to_numpy()) @ right.T
+                    reach = np.cos(np.maximum(0.0, np.arccos(np.clip(near, -1, 1)) - radius))
+                    open_ = (reach >= some.beat.to_numpy()[:, None] - MARGIN) & (radius >= 0)
+                    open_[np.arange(len(some)), near.argmax(axis=1)] = False
+                    i, cluster = np.nonzero(open_)
+                    parts.append(some.iloc[i][["owner", "fact_id", "embedding", "beat"]].assign(cluster=cluster.astype(np.int32)))
+            return pd.concat(parts) if parts else rows[["owner", "fact_id", "embedding", "beat"]].iloc[:0].assign(cluster=np.zeros(0, np.int32))
+
+        return self._by_part(queries.select("owner", "parts", "side", "fact_id", "embedding", "beat"), pivots, visited, "owner string, fact_id string, embedding array<double>, beat double, cluster int")
+
+    def visited(self, visits: DataFrame, k: int) -> DataFrame:
+        """The k best of each visit that reach its ``beat``."""
+        counts = visits.groupBy("owner", "cluster").agg(F.count("*").alias("queries"))
+        held = self.held.where("candidates > 0").select("owner", "cluster", "candidates").join(counts, ["owner", "cluster"])
+        own = self.rows.where("side = 1").select("owner", "cluster", F.lit(1).alias("side"), "fact_id", "embedding", F.lit(None).cast("double").alias("beat"))
+        both = own.unionByName(visits.withColumn("side", F.lit(0)).select(*own.columns)).join(held, ["owner", "cluster"])
+        return _search(_dealt(both, _steps(F.col("queries")), _steps(F.col("candidates")), "owner", "cluster"), ["owner", "cluster", "block", "tile"], k)
+
+
 def similar(queries: DataFrame, candidates: DataFrame, k: int = DEFAULTS.match_top_k) -> DataFrame:
     """Rows fact_id, candidate_id, similarity (6 decimals), rank: the k nearest candidates of each query, itself included.
 
-    Both sides have fact_id, owner and embedding; only rows of one owner meet. Tiles of candidates meet blocks of
-    queries in groups of bounded size, each of which leaves its own k best.
+    Both sides have fact_id, owner and embedding; only rows of one owner meet, in groups of bounded size, each of which leaves
+    its own k best. Owners of more than WHOLE candidates are clustered. An owner without a name is none.
     """
-    count = candidates.count()
-    tiles = max(1, -(-count // BLOCK))
-    blocks = max(1, -(-queries.count() // BLOCK))
-
-    def dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int, side: int) -> DataFrame:
-        return rows.select(
-            "owner", F.pmod(F.xxhash64("fact_id", F.lit(side)), F.lit(n_own)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other), F.lit(side).alias("side"), "fact_id", "embedding",
-        )
-
-    both = dealt(queries, "block", blocks, "tile", tiles, 0).unionByName(dealt(candidates, "tile", tiles, "block", blocks, 1))
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        q, c = group[group.side == 0], group[group.side == 1].sort_values("fact_id")
-        columns = ["fact_id", "candidate_id", "similarity"]
-        if q.empty or c.empty:
-            return pd.DataFrame({x: pd.Series(dtype="object" if x != "similarity" else "float64") for x in columns})
-        left, right = (np.stack(x.embedding.to_numpy()) for x in (q, c))
-        left, right = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (left, right))
-        scores = np.round(left @ right.T, 6)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        ids = c.fact_id.to_numpy()
-        rows = np.repeat(np.arange(len(q)), best.shape[1])
-        return pd.DataFrame({"fact_id": q.fact_id.to_numpy()[rows], "candidate_id": ids[best.ravel()], "similarity": scores[rows, best.ravel()]})
-
-    found = both.groupBy("owner", "tile", "block").applyInPandas(search, "fact_id string, candidate_id string, similarity double")
-    order = Window.partitionBy("fact_id").orderBy(F.desc("similarity"), "candidate_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    rows = _unit(queries, 0).unionByName(_unit(candidates, 1)).where("owner IS NOT NULL")
+    sizes = rows.groupBy("owner").agg(F.count_if(F.col("side") == 1).alias("candidates"), F.count_if(F.col("side") == 0).alias("queries"))
+    sizes = stored(sizes.where("candidates > 0 AND queries > 0"), "sizes")
+    small = sizes.where(F.col("candidates") <= WHOLE)
+    # Owners that fit together share a group; those of more than a block have groups of their own.
+    totals = sizes.agg(F.sum(F.when(F.col("candidates") <= BLOCK, F.col("candidates") + F.col("queries"))).alias("few"), F.max("candidates").alias("most")).first()
+    packs = max(1, -(-(totals["few"] or 0) // (2 * BLOCK)))
+    alone = (F.col("candidates") > BLOCK) | (F.col("queries") > BLOCK)
+    packed = rows.join(small, "owner").withColumn("pack", F.when(alone, F.col("owner")).otherwise(F.pmod(F.xxhash64("owner"), F.lit(packs)).cast("string")))
+    found = _search(_dealt(packed, _steps(F.col("queries")), _steps(F.col("candidates")), "pack"), ["pack", "block", "tile"], k)
+    if (totals["most"] or 0) > WHOLE:
+        large = sizes.where(F.col("candidates") > WHOLE)
+        clusters = Clusters(rows, large)
+        near = stored(clusters.near(k), "near")
+        far = clusters.visited(stored(clusters.visits(near, k), "visits"), k)
+        found = found.unionByName(near).unionByName(far)
+    order = Window.partitionBy("owner", "fact_id").orderBy(F.desc("similarity"), "candidate_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("fact_id", "candidate_id", "similarity", "rank")
 
 
 def document_matches(facts: DataFrame, k: int = DEFAULTS.match_top_k) -> DataFrame:
