@@ -6,8 +6,9 @@ W - P + 1 words that start at cover positions (anchors) are hashed and counted;
 an anchor that does. Around the anchors that occur more than once whole windows are hashed and counted in turn, which
 extends each anchor in all the ways that a match may lie around it.
 
-Nothing is paired. What is looked for after counting are the windows around shared anchors that occur only *once*:
-there is one row of each, however hot a passage is, and these alone go back to their documents.
+Nothing is paired. After counting, a bitmap of fixed size tells documents which of their windows repeat. It lets some
+windows pass that occur once: there is one row of each such window, however hot a passage is, and these alone go
+back to their documents.
 """
 
 from __future__ import annotations
@@ -93,13 +94,26 @@ def _positions(column: pa.Array, block: Block) -> np.ndarray:
 KEYS = ["ref"]
 
 
+def _keys(block: Block, starts: np.ndarray, window: int) -> tuple[pa.Array, pa.Array]:
+    """The 96 bits by which windows are told apart, as a long and an int."""
+    low = (block.runs(starts, window, 2) >> np.uint64(32)).astype(np.uint32)
+    return pa.array(block.runs(starts, window, 1).view(np.int64)), pa.array(low.view(np.int32))
+
+
+def _passing(held: np.ndarray, bits: int, k1: pa.Array, k2: pa.Array) -> np.ndarray:
+    """Which windows may be in a bitmap that has three slots of each."""
+    k1 = k1.to_numpy(zero_copy_only=False).view(np.uint64)
+    k2 = k2.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
+    return has_bits(held, k1, bits) & has_bits(held, k1 >> np.uint64(32), bits) & has_bits(held, k2, bits)
+
+
 class Search:
     """The steps of the search in one table with doc_id, ``ref`` and ``text``."""
 
-    def __init__(self, docs: DataFrame, window: int) -> None:
-        self.docs, self.window = docs, window
+    def __init__(self, docs: DataFrame, window: int, bits: int) -> None:
+        self.docs, self.window, self.bits = docs, window, bits
         self.period, self.cover = cover_of(window)
-        self.bits, self.hot = None, None
+        self.shared, self.hot = None, None
         hot = crowded(docs.where("text <> ''"), KEYS)
         if hot.head(1):
             self.hot = hot
@@ -133,7 +147,7 @@ class Search:
         """From now on the anchors among the hashes ``shared`` are known: by a bitmap, or as a column of the documents."""
         spark = self.docs.sparkSession
         if shared.count() <= most:
-            self.bits = spark.sparkContext.broadcast(hash_bits(shared, BITS))
+            self.shared = spark.sparkContext.broadcast(hash_bits(shared, self.bits))
             return
         places = materialize(self.anchors(places=True), "anchors")
         hot = crowded(places, ["h"])
@@ -143,20 +157,20 @@ class Search:
 
     def starts(self) -> object:
         """A function of rows and their block that gives the words at which windows with a shared anchor begin."""
-        window, period, cover, bits = self.window, self.period, self.cover, self.bits
+        window, period, cover, bits, shared = self.window, self.period, self.cover, self.bits, self.shared
 
         def of(rows: pa.RecordBatch, block: Block) -> np.ndarray:
-            if bits is None:
+            if shared is None:
                 at = _positions(column_or(rows, "shared"), block)
             else:
                 at = block.anchors(window, period, cover)
-                at = at[has_bits(bits.value, block.runs(at, window - period + 1), BITS)]
+                at = at[has_bits(shared.value, block.runs(at, window - period + 1), bits)]
             return block.around(at, window, period)
 
         return of
 
 
-def without_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id", text_column: str = "text", most_shared: int = 1 << (BITS - 2)) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id", text_column: str = "text", most_shared: int | None = None, bits: int = BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row of ``docs``: its text without words covered by a window that occurs elsewhere.
 
     A word is a run of characters other than white space (space, tab, LF, VT, FF, CR), kept as written; a window is ``window``
@@ -168,29 +182,40 @@ def without_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id"
     doc_id stays null, rows that share a doc_id are texts of their own, further columns are ignored, and an empty table gives
     an empty result. Windows are told apart by 96-bit hashes, texts by 64-bit hashes of doc_id and text.
 
-    Up to ``most_shared`` anchors that occur more than once are broadcast as a bitmap of fixed size; more are joined.
+    Up to ``most_shared`` anchors (a quarter of the slots) that occur more than once are broadcast as a bitmap of ``2 ** bits`` slots;
+    more are joined.
     """
     if window < 1:
         raise ValueError("a window has at least one word")
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    search = Search(named.withColumn("ref", F.xxhash64("doc_id", "text")), window)
+    search = Search(named.withColumn("ref", F.xxhash64("doc_id", "text")), window, bits)
     shared = materialize(search.anchors(places=False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "shared")
-    search.mark(shared, most_shared)
+    search.mark(shared, 1 << (bits - 2) if most_shared is None else most_shared)
     starts = search.starts()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, block in _blocks(batch):
                 at = starts(rows, block)
-                keys = [pa.array(block.runs(at, window, 1).view(np.int64)), pa.array((block.runs(at, window, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32))]
                 own = [column_or(rows, c).take(pa.array(block.owner[at])) for c in KEYS]
-                yield pa.RecordBatch.from_arrays([*keys, *own, pa.array(block.place[at].astype(np.int32))], names=["k1", "k2", *KEYS, "at"])
+                yield pa.RecordBatch.from_arrays([*_keys(block, at, window), *own, pa.array(block.place[at].astype(np.int32))], names=["k1", "k2", *KEYS, "at"])
 
     held = search.docs.mapInArrow(windows, "k1 long, k2 int, ref long, at int")
-    once = held.groupBy("k1", "k2").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in (*KEYS, "at")]).where("n = 1")
-    lone = materialize(once.groupBy(*KEYS).agg(F.collect_list("at").alias("lone")), "lone")
+    # Where a window occurs once, its place; else nothing but its key is needed.
+    first = [F.when(F.count("*") == 1, F.min(c)).alias(c) for c in (*KEYS, "at")]
+    counted = materialize(held.groupBy("k1", "k2").agg(*first), "windows")
     discard(shared)
-    # Texts with windows that only share an anchor meet the lists of these; most others stay where they are.
+    slots = F.explode(F.array("k1", F.expr("shiftrightunsigned(k1, 32)"), F.col("k2").cast("long")))
+    again = search.docs.sparkSession.sparkContext.broadcast(hash_bits(counted.where("at IS NULL").select(slots), bits))
+
+    def unsure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_passing(again.value, bits, column_or(batch, "k1"), column_or(batch, "k2")))).select([*KEYS, "at"])
+
+    lone = counted.where("at IS NOT NULL").mapInArrow(unsure, "ref long, at int")
+    lone = materialize(lone.groupBy(*KEYS).agg(F.collect_list("at").alias("lone")), "lone")
+    discard(counted)
+    # Only texts with a window that the bitmap of repeated ones lets pass by chance meet the list of these; most others stay where they are.
     refs = hash_filter(lone.select("ref"))
     met = search.joined(passing(search.docs, refs, F.col("ref")), lone)
     rest = passing(search.docs, refs, F.col("ref"), pass_=False).withColumn("lone", F.lit(None).cast("array<int>"))
@@ -198,7 +223,9 @@ def without_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id"
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, block in _blocks(batch):
-                at = np.setdiff1d(starts(rows, block), _positions(column_or(rows, "lone"), block), assume_unique=True)
+                at = starts(rows, block)
+                at = at[_passing(again.value, bits, *_keys(block, at, window))]
+                at = np.setdiff1d(at, _positions(column_or(rows, "lone"), block), assume_unique=True)
                 gone, kept = block.covered(at, window), []
                 for i, text in enumerate(column_or(rows, "text").to_pylist()):
                     shown, out = (text or "").encode().split(), gone[block.rows[i] : block.rows[i + 1]]
