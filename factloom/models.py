@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import collapse_space
 
-#: From a chunk's text to candidate facts (subject, predicate, value_text, unit, source_text, confidence).
+#: From a chunk's text to candidate facts (subject, predicate, value_text, unit, currency, period, scope, source_text, confidence).
 Extractor = Callable[[str], list[dict]]
 
-CANDIDATE = "document_id string, page_number int, chunk_id string, subject string, predicate string, value_text string, unit string, source_text string, confidence double"
+CANDIDATE = "document_id string, page_number int, chunk_id string, subject string, predicate string, value_text string, unit string, currency string, period string, scope string, source_text string, confidence double"
 FACT = "subject string, predicate string, value_text string, unit string, source_text string, confidence double"
 ISSUE = "issue_type string, message string, preview string"
 #: What a model is told whose reply was no JSON.

@@ -17,8 +17,8 @@ from factloom.models import embed
 from factloom.operators import chunking, documents, facts, grounding, pairs, reconcile, serving, stateful, vectors
 from factloom.plans import mirror as m
 from factloom.plans.inputs import CANDIDATES, ORDER_FACTS, REVENUE_FACTS, both
-from factloom.sources.tables import html_text, replaced_by_key, spread, stored, table, without_documents, without_facts
-from factloom.streaming import ingest, limits
+from factloom.sources.tables import html_text, replaced_by_key, scratch, spread, stored, table, without_documents, without_facts
+from factloom.streaming import ingest, limits, maintain
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -509,6 +509,48 @@ def reviewed_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reviewed(spark, sf_dir).select("fact_a", "fact_b", "adjudicated", "confidence", "relationship_type", "status")
 
 
+# Relationships kept up to date.
+
+_BALANCE = re.compile(r"(Client [0-9]+) (balance) in (FY[0-9]{4}) was (-?[0-9]+\.[0-9]{2}) (USD)")
+
+
+def balance_statements(text: str) -> list[dict]:
+    """What the made-up books of balances state."""
+    return [
+        {"subject": x[1], "predicate": x[2], "period": x[3], "value_text": x[4], "currency": x[5], "source_text": x[0], "confidence": 0.9}
+        for x in _BALANCE.finditer(text)
+    ]
+
+
+#: Three books with a document for each nation, in two deliveries: in the second, the second book of some nations is restated, of
+#: others withdrawn, and some get a third.
+_BOOKS = """SELECT book || '-' || CAST(c_nationkey AS STRING) AS document_id, 'team ' || CAST(c_nationkey % 2 AS STRING) AS owner, c_custkey,
+  CAST(c_custkey % 3 + 1 AS INT) AS page_number, delivery, c_nationkey % 5 AS kind,
+  CAST(c_acctbal + CASE WHEN book = 'b' AND delivery = 1 AND c_custkey % 3 = 0 THEN 100 ELSE 0 END AS DECIMAL(18,2)) AS amount,
+  CASE WHEN book = 'b' AND c_custkey % 7 = 0 THEN 'FY2023' ELSE 'FY2024' END AS period
+FROM customer JOIN (SELECT 'a' AS book, 1 AS delivery UNION ALL SELECT 'b', 1 UNION ALL SELECT 'b', 2 UNION ALL SELECT 'c', 2) AS books ON 1 = 1
+WHERE delivery = 1 OR (book = 'b' AND c_nationkey % 5 IN (1, 2)) OR (book = 'c' AND c_nationkey % 5 = 3)"""
+
+
+def _delivery(spark: SparkSession, sf_dir: str, number: int) -> DataFrame:
+    """Pages of one delivery; what is withdrawn has no text."""
+    rows = both(spark, sf_dir, _BOOKS).where(F.col("delivery") == number)
+    said = F.concat(F.lit("Client "), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit(" balance in "), "period", F.lit(" was "), F.col("amount").cast("string"), F.lit(" USD."))
+    pages = rows.groupBy("document_id", "owner", "page_number", "kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", said.alias("said")))), lambda x: x["said"]), " ").alias("text"))
+    return pages.select("document_id", "owner", "page_number", F.when(~((F.lit(number) == 2) & (F.col("kind") == 2)), F.col("text")).alias("text"))
+
+
+@query(f"""WITH f AS (SELECT * FROM ({_BOOKS}) WHERE NOT (document_id LIKE 'b-%' AND (kind = 2 OR (kind = 1 AND delivery = 1))))
+SELECT a.document_id AS document_a, b.document_id AS document_b, a.c_custkey AS client,
+  CASE WHEN a.period <> b.period THEN 'contextual_difference' WHEN abs(a.amount - b.amount)::DOUBLE / greatest(abs(a.amount), abs(b.amount), 1.0)::DOUBLE <= 0.01 THEN 'corroborated' ELSE 'contradiction' END AS relationship_type
+FROM f a JOIN f b ON a.c_custkey = b.c_custkey AND a.document_id < b.document_id""")
+def maintained_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships after two deliveries of pages, the second of which restates, withdraws and adds documents."""
+    state = maintain.followed(spark, scratch(spark, "maintained"), [lambda: _delivery(spark, sf_dir, 1), lambda: _delivery(spark, sf_dir, 2)], extractor=balance_statements)
+    client = F.regexp_extract("fact_group", "client ([0-9]+)", 1).cast("long")
+    return state.relationships().select(F.least("document_a", "document_b").alias("document_a"), F.greatest("document_a", "document_b").alias("document_b"), client.alias("client"), "relationship_type")
+
+
 # Serving.
 
 
