@@ -6,9 +6,9 @@ W - P + 1 words that start at cover positions (anchors) are hashed and counted;
 an anchor that does. Around the anchors that occur more than once whole windows are hashed and counted in turn, which
 extends each anchor in all the ways that a match may lie around it.
 
-Nothing is paired. After counting, a bitmap of fixed size tells documents which of their windows repeat. It lets some
-windows pass that occur once: there is one row of each such window, however hot a passage is, and these alone go
-back to their documents.
+Nothing is paired, and what is counted has no places, so it adds up where it is made. A bitmap of fixed size then tells
+texts which of their windows occur once. The few repeated windows that it takes for such by chance are found by a join,
+and these alone go back to their texts.
 """
 
 from __future__ import annotations
@@ -193,39 +193,40 @@ def without_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id"
     search.mark(shared, 1 << (bits - 2) if most_shared is None else most_shared)
     starts = search.starts()
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, block in _blocks(batch):
-                at = starts(rows, block)
-                own = [column_or(rows, c).take(pa.array(block.owner[at])) for c in KEYS]
-                yield pa.RecordBatch.from_arrays([*_keys(block, at, window), *own, pa.array(block.place[at].astype(np.int32))], names=["k1", "k2", *KEYS, "at"])
+                yield pa.RecordBatch.from_arrays([*_keys(block, starts(rows, block), window)], names=["k1", "k2"])
 
-    held = search.docs.mapInArrow(windows, "k1 long, k2 int, ref long, at int")
-    # Where a window occurs once, its place; else nothing but its key is needed.
-    first = [F.when(F.count("*") == 1, F.min(c)).alias(c) for c in (*KEYS, "at")]
-    counted = materialize(held.groupBy("k1", "k2").agg(*first), "windows")
+    counted = search.docs.mapInArrow(keys, "k1 long, k2 int").groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    once = materialize(counted.where("n = 1").select("k1", "k2"), "once")
     discard(shared)
     slots = F.explode(F.array("k1", F.expr("shiftrightunsigned(k1, 32)"), F.col("k2").cast("long")))
-    again = search.docs.sparkSession.sparkContext.broadcast(hash_bits(counted.where("at IS NULL").select(slots), bits))
+    single = search.docs.sparkSession.sparkContext.broadcast(hash_bits(once.select(slots), bits))
 
-    def unsure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_passing(again.value, bits, column_or(batch, "k1"), column_or(batch, "k2")))).select([*KEYS, "at"])
+            for rows, block in _blocks(batch):
+                at = starts(rows, block)
+                at = at[_passing(single.value, bits, *_keys(block, at, window))]
+                own = [column_or(rows, c).take(pa.array(block.owner[at])) for c in KEYS]
+                yield pa.RecordBatch.from_arrays([*_keys(block, at, window), *own, pa.array(block.place[at].astype(np.int32))], names=["k1", "k2", *KEYS, "at"])
 
-    lone = counted.where("at IS NOT NULL").mapInArrow(unsure, "ref long, at int")
-    lone = materialize(lone.groupBy(*KEYS).agg(F.collect_list("at").alias("lone")), "lone")
-    discard(counted)
-    # Only texts with a window that the bitmap of repeated ones lets pass by chance meet the list of these; most others stay where they are.
-    refs = hash_filter(lone.select("ref"))
-    met = search.joined(passing(search.docs, refs, F.col("ref")), lone)
-    rest = passing(search.docs, refs, F.col("ref"), pass_=False).withColumn("lone", F.lit(None).cast("array<int>"))
+    # Repeated windows that pass the bitmap of single ones by chance; each may have very many places.
+    chance = search.docs.mapInArrow(passed, "k1 long, k2 int, ref long, at int").join(once, ["k1", "k2"], "left_anti")
+    chance = materialize(chance.groupBy(*KEYS).agg(F.collect_set("at").alias("chance")), "chance")
+    discard(once)
+    # Only their texts meet lists of them; most others stay where they are.
+    refs = hash_filter(chance.select("ref"))
+    met = search.joined(passing(search.docs, refs, F.col("ref")), chance)
+    rest = passing(search.docs, refs, F.col("ref"), pass_=False).withColumn("chance", F.lit(None).cast("array<int>"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, block in _blocks(batch):
                 at = starts(rows, block)
-                at = at[_passing(again.value, bits, *_keys(block, at, window))]
-                at = np.setdiff1d(at, _positions(column_or(rows, "lone"), block), assume_unique=True)
+                again = ~_passing(single.value, bits, *_keys(block, at, window)) | np.isin(at, _positions(column_or(rows, "chance"), block))
+                at = at[again]
                 gone, kept = block.covered(at, window), []
                 for i, text in enumerate(column_or(rows, "text").to_pylist()):
                     shown, out = (text or "").encode().split(), gone[block.rows[i] : block.rows[i + 1]]
