@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import collapse_space
+from factloom.operators.facts import ISSUE_HANDLING
+from factloom.sources.tables import stored
 
 #: From a chunk's text to candidate facts (subject, predicate, value_text, unit, currency, period, scope, source_text, confidence).
 Extractor = Callable[[str], list[dict]]
@@ -109,6 +111,37 @@ def extraction_round(chunks: DataFrame, extract: Callable[[str], tuple[list[dict
     return due.mapInPandas(run, f"document_id string, page_number int, chunk_id string, status string, facts array<struct<{FACT}>>, issues array<struct<{ISSUE}>>")
 
 
+def judged(listing: DataFrame, judge: Callable[[str], str]) -> tuple[DataFrame, DataFrame]:
+    """Replies (document_id, request, reply) of a judge that is called once for each request of a ``listing``, and issues.
+
+    ``listing`` has document_id, request, place and line; the lines of a request (at most a batch) go to the judge in order. If the
+    call fails, or what comes back holds no verdicts, the reply is null and an ``adjudication_failed`` issue says why: its pairs
+    stay apart, all others go on.
+    """
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
+    asked = listing.groupBy("document_id", "request").agg(lines.alias("prompt"))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for d, r, prompt in zip(batch.document_id, batch.request, batch.prompt, strict=True):
+                try:
+                    reply, message = judge(prompt), None
+                    if not isinstance(json.loads(plain_json(reply)).get("verdicts"), list):
+                        raise ValueError("a reply must hold an array of verdicts")
+                except Exception as error:
+                    reply, message = None, str(error).split("\n")[0]
+                rows.append((d, r, reply, message))
+            yield pd.DataFrame(rows, columns=["document_id", "request", "reply", "message"])
+
+    schema = f"document_id {dict(listing.dtypes)['document_id']}, request int, reply string, message string"
+    found = stored(asked.mapInPandas(ask, schema), "replies")  # so that no request is sent twice
+    issues = found.where("message IS NOT NULL").select(
+        "document_id", "request", F.lit("adjudication_failed").alias("issue_type"), "message", F.lit(ISSUE_HANDLING["adjudication_failed"]).alias("handling")
+    )
+    return found.select("document_id", "request", "reply"), issues
+
+
 def after_round(chunks: DataFrame, found: DataFrame) -> DataFrame:
     """``chunks`` with the status that a round left; its n_facts is 0 where the round had none, as before where it did not look."""
     now = found.select("chunk_id", F.col("status").alias("_status"), F.size("facts").alias("_facts"))

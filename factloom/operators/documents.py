@@ -85,12 +85,12 @@ def replied_facts(replies: DataFrame) -> DataFrame:
     }).drop("_outer", "_inner")
 
 
-#: What is said beside a reply that is shown as it came.
+#: A fixed value: what is said beside a reply that is shown as it came.
 VERBATIM = "The model reply was not valid JSON; showing it verbatim."
 
 
 def parsed_answers(replies: DataFrame) -> DataFrame:
-    """``replies`` (reply, as the model wrote it) with answer, confidence, coverage, notes and cited (source ids).
+    """``replies`` (reply, as the model wrote it) with answer, confidence, coverage, notes and citations (source, quote).
 
     A reply that holds no JSON is the answer itself, with a confidence of 0.3.
     """
@@ -100,13 +100,13 @@ def parsed_answers(replies: DataFrame) -> DataFrame:
         return F.try_variant_get("_v", path, kind)
 
     given = F.col("_v").isNotNull()
-    cited = F.transform(part("$.citations", "array<struct<source string, quote string>>"), lambda x: x["source"])
+    kind = "array<struct<source string, quote string>>"
     rows = found.withColumns({
         "answer": F.when(given, part("$.answer", "string")).otherwise(F.col("reply")),
         "confidence": F.when(given, part("$.confidence", "double")).otherwise(0.3),
         "coverage": F.when(given, part("$.coverage", "string")).otherwise("partial"),
         "notes": F.when(given, part("$.notes", "array<string>")).otherwise(F.array(F.lit(VERBATIM))),
-        "cited": F.coalesce(cited, F.array().cast("array<string>")),
+        "citations": F.coalesce(part("$.citations", kind), F.array().cast(kind)),
     })
     return sanitized_answers(rows).drop("_v")
 

@@ -48,13 +48,16 @@ def numbered_sources(facts: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def resolved_citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """Citations of ``answers`` (answer_id, answer, cited array<string>) that name a source: listed ones, then tags in the text."""
-    listed = answers.select("answer_id", F.posexplode("cited").alias("n", "source_id")).withColumn("source_id", F.upper("source_id"))
+    """Citations of ``answers`` (answer_id, answer, citations array<struct<source, quote>>) that name a source: listed ones, then tags in the text.
+
+    A citation keeps the quote that came with it; where there is none, it has the source's.
+    """
+    listed = answers.select("answer_id", F.posexplode("citations").alias("n", "c")).select("answer_id", "n", F.upper("c.source").alias("source_id"), F.nullif("c.quote", F.lit("")).alias("given"))
     tags = answers.select("answer_id", F.posexplode(citation_tags(F.col("answer"))).alias("n", "tag"))
     tagged = tags.select("answer_id", "n", F.regexp_replace("tag", r"[\[\]]", "").alias("source_id"))
     added = tagged.join(listed.select("answer_id", "source_id").distinct(), ["answer_id", "source_id"], "left_anti")
-    both = listed.withColumn("listed", F.lit(True)).unionByName(added.withColumn("listed", F.lit(False)))
-    return both.join(sources, "source_id")
+    both = listed.withColumn("listed", F.lit(True)).unionByName(added.withColumns({"listed": F.lit(False), "given": F.lit(None).cast("string")}))
+    return both.join(sources, "source_id").withColumn("quote", F.coalesce("given", "quote")).drop("given")
 
 
 def case_rank() -> Column:
@@ -119,8 +122,14 @@ def answer_facts(retrieved: DataFrame, relationships: DataFrame) -> DataFrame:
     )
 
 
+def named_sources(sources: DataFrame, documents: DataFrame) -> DataFrame:
+    """``sources`` with document_name and primary_entity of ``documents`` (document_id, document_name, primary_entity)."""
+    named = sources.join(documents.select("document_id", "document_name", "primary_entity"), "document_id", "left")
+    return named.withColumn("document_name", F.coalesce("document_name", F.lit("Unknown document")))
+
+
 def relationship_notes(relationships: DataFrame, sources: DataFrame) -> DataFrame:
-    """``relationships`` with source_a and source_b, the ids of their facts' sources; those with an end that is no source are left out."""
+    """``relationships``, all columns, with source_a and source_b, the ids of their facts' sources; those with an end that is no source are left out."""
     ids = sources.where("fact_id IS NOT NULL").select("fact_id", "source_id")
     left, right = (ids.select(F.col("fact_id").alias(f"fact_{x}"), F.col("source_id").alias(f"source_{x}")) for x in ("a", "b"))
     return relationships.join(left, "fact_a").join(right, "fact_b")
@@ -132,9 +141,9 @@ def in_reading_order(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("place", F.row_number().over(order) - 1)
 
 
-def by_creation(rows: DataFrame, tie: str) -> DataFrame:
-    """``rows`` of one listing, oldest first."""
-    return rows.orderBy("created_at", tie)
+def by_creation(rows: DataFrame, listing: str, tie: str) -> DataFrame:
+    """``rows`` with ``place``, from 1: oldest first within their listing."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(listing).orderBy("created_at", tie)))
 
 
 def folded(totals: DataFrame, group: str, name: str, value: str = "n") -> DataFrame:
@@ -144,8 +153,8 @@ def folded(totals: DataFrame, group: str, name: str, value: str = "n") -> DataFr
 
 
 def chunk_counters(documents: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``documents`` (document_id) with their pages, chunks and the chunks that need no work (any more)."""
+    """``documents`` (document_id) with their pages, chunks and the chunks that a run went through, failed ones too."""
     n_pages = pages.groupBy("document_id").agg(F.count("*").alias("page_count"))
-    by = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"), F.count_if(F.col("status").isin("skipped", "done")).alias("processed_chunk_count"))
+    by = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"), F.count_if(F.col("status") != "pending").alias("processed_chunk_count"))
     rows = documents.join(n_pages, "document_id", "left").join(by, "document_id", "left")
     return rows.fillna(0, ["page_count", "chunk_count", "processed_chunk_count"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -452,7 +453,7 @@ _FIRST = f"""SELECT *, least(fact_id, candidate_id) AS fact_a, greatest(fact_id,
   QUALIFY row_number() OVER (PARTITION BY least(fact_id, candidate_id), greatest(fact_id, candidate_id) ORDER BY fact_id, rank) = 1"""
 _COMPARED = f"""SELECT m.*, a.s = b.s AS same_subject, a.p = b.p AS same_predicate, a.value_type IS NULL OR b.value_type IS NULL OR
     CASE a.value_type WHEN 'percentage' THEN 0 ELSE 1 END = CASE b.value_type WHEN 'percentage' THEN 0 ELSE 1 END AS same_type, a.period_label = b.period_label AS same_period, least(a.confidence, b.confidence) AS sure, a.told AS told_a, b.told AS told_b,
-    abs(a.v - b.v) / greatest(abs(a.v), abs(b.v), 1.0) AS apart
+    abs(a.v - b.v) / greatest(abs(a.v), abs(b.v), 1.0) AS apart, abs(a.v - b.v)::INTEGER AS step
   FROM ({_FIRST}) m JOIN ({VECTOR_FACTS}) a ON a.fact_id = m.fact_a JOIN ({VECTOR_FACTS}) b ON b.fact_id = m.fact_b"""
 _KEPT = "'; value type compatible; object compatible; unit compatible; currency compatible' || CASE WHEN same_period THEN '' ELSE '; period differs; preserved for later analysis' END"
 
@@ -488,7 +489,7 @@ def adjudicated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.adjudicated_pairs(pool, verdicts, NEAR).select("fact_a", "fact_b", "similarity", "matching_score", "reason")
 
 
-_REVIEWED = f"""SELECT fact_a, fact_b, adjudicated, least(sure, similarity) AS confidence,
+_REVIEWED = f"""SELECT fact_a, fact_b, adjudicated, least(sure, similarity) AS confidence, apart, step,
   CASE WHEN NOT same_period THEN 'contextual_difference' WHEN apart <= 0.01 THEN 'corroborated' ELSE 'contradiction' END AS relationship_type FROM (
   SELECT *, false AS adjudicated FROM ({m.filled(_COMPARED, NEAR.similarity_threshold)}) WHERE same_subject AND same_predicate AND same_type AND similarity >= {NEAR.match_confidence_threshold}
   UNION ALL BY NAME SELECT * EXCLUDE (encounter), true AS adjudicated FROM ({_POOL}) WHERE same_predicate AND same_type AND similarity * 0.9 >= {NEAR.match_confidence_threshold})"""
@@ -501,7 +502,8 @@ def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = stored(pairs.adjudication_pool(matches, rows, NEAR), "pool")
     verdicts = pool.select("pair_key", F.expr("a.normalized_predicate = b.normalized_predicate").alias("same"), F.lit("same metric").alias("reason"))
     found = pairs.united(pairs.candidate_pairs(matches, rows, NEAR), pairs.adjudicated_pairs(pool, verdicts, NEAR))
-    return stored(reconcile.reviewed(found).withColumn("adjudicated", F.coalesce("adjudicated_same", F.lit(False))), "reviewed")
+    rows = reconcile.explained(reconcile.reviewed(found)).withColumn("adjudicated", F.coalesce("adjudicated_same", F.lit(False)))
+    return stored(rows.select("fact_a", "fact_b", "adjudicated", "confidence", "relationship_type", "status", "reason", "context", "summary", "key_differences"), "reviewed")
 
 
 @query(f"SELECT fact_a, fact_b, adjudicated, confidence, relationship_type, 'reviewed' AS status FROM ({_REVIEWED})")
@@ -668,55 +670,96 @@ def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     them with the facts at their other ends, and the four passages nearest to a question."""
     rows = vector_facts(spark, sf_dir)
     near = stored(vectors.similar(rows.where("fact_id = 'v000000000'"), rows, serving.checked_k(8, 30)).select(F.col("candidate_id").alias("fact_id"), "rank", "similarity"), "near")
-    touching = stored(serving.surest_touching(_reviewed(spark, sf_dir).select("fact_a", "fact_b", "confidence", "relationship_type"), near), "touching")
+    touching = stored(serving.surest_touching(_reviewed(spark, sf_dir), near), "touching")
     chunks = _chunk_vectors(spark, sf_dir)
     asked = spark.range(1).select(F.lit("question").alias("fact_id"), F.lit("demo").alias("owner"), embed(F.lit(QUESTION)).alias("embedding"))
     passages = vectors.similar(asked, chunks.select("fact_id", "owner", "embedding"), max(3, min(6, -(-8 // 2)))).join(chunks.select(F.col("chunk_id").alias("candidate_id"), "document_id", "page_number", "text"), "candidate_id")
-    told = serving.answer_facts(near.select("fact_id", "rank"), touching).join(rows.select("fact_id", "document_id", "source_text"), "fact_id").join(near.select("fact_id", "similarity"), "fact_id", "left")
+    told = serving.answer_facts(near.select("fact_id", "rank"), touching).join(rows.select("fact_id", "document_id", "source_text", _vector_statement().alias("statement")), "fact_id").join(near.select("fact_id", "similarity"), "fact_id", "left")
     order = F.struct(F.lit(2).alias("k"), F.col("rank").cast("int").alias("rank"), F.col("candidate_id").alias("id"))
     sources = serving.numbered_sources(
-        told.select("fact_id", "order_in", "document_id", F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("statement"), F.col("source_text").alias("quote"), F.col("similarity").alias("score"), F.lit(None).cast("string").alias("chunk_id")),
+        told.select("fact_id", "order_in", "document_id", F.lit(None).cast("int").alias("page_number"), "statement", F.col("source_text").alias("quote"), F.col("similarity").alias("score"), F.lit(None).cast("string").alias("chunk_id")),
         passages.select(order.alias("order_in"), F.col("document_id").cast("string").alias("document_id"), "page_number", F.lit(None).cast("string").alias("statement"), F.substring("text", 1, 1200).alias("quote"), F.col("similarity").alias("score"), F.col("candidate_id").alias("chunk_id")),
     )
-    return stored(sources, "sources"), touching
+    return stored(serving.named_sources(sources, _asked_documents(spark, sf_dir)), "sources"), touching
 
 
-@query(f"WITH {_ASKED} SELECT source_id, kind, fact_id, chunk_id FROM sources")
+def _vector_statement() -> Column:
+    none = F.lit(None).cast("string")
+    value = t.stated_value(F.col("normalized_value"), none)
+    return t.describe_fact(F.col("subject"), F.col("predicate"), value, none, none, F.col("period"), F.col("scope"))
+
+
+_ENTITY_REPLIES = """SELECT DISTINCT 'd' || CAST(label AS STRING) AS document_id, ' Company ' || CAST(label % 7 AS STRING) || ' ' AS entity, CAST(label % 4 AS DOUBLE) / 4 AS confidence FROM embeddings"""
+_ENTITIES = f"SELECT document_id, CASE WHEN confidence >= 0.5 THEN trim(entity) END AS primary_entity FROM ({_ENTITY_REPLIES}) AS r"
+
+
+@query(_ENTITIES)
+def primary_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who a document is about, where a model's reply is sure enough of it."""
+    return documents.primary_entities(both(spark, sf_dir, _ENTITY_REPLIES))
+
+
+_NAMES = """SELECT DISTINCT 'd' || CAST(label AS STRING) AS document_id, 'Report ' || CAST(label AS STRING) AS document_name FROM embeddings WHERE label % 3 <> 2
+UNION ALL SELECT CAST(doc_id AS STRING), source || ' ' || lang FROM documents"""
+
+
+def _asked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of documents, some unknown, and their entities."""
+    return both(spark, sf_dir, _NAMES).join(primary_entities(spark, sf_dir), "document_id", "left")
+
+
+_TOLD = f"""SELECT vec_id, 'Company ' || (vec_id % 7) || ' Metric No. ' || (vec_id % 11) || ' = ' || (100 + vec_id % 4) || CASE WHEN vec_id % 3 > 0 THEN ' (fiscal ' || (2020 + vec_id % 3) || ')' ELSE '' END AS statement,
+  'As reported by vector ' || vec_id || repeat(' again', (vec_id % 60)::INT) AS quote, 'd' || label AS document_id FROM embeddings"""
+
+
+@query(f"""WITH {_ASKED}, e AS ({_ENTITIES}), n AS ({_NAMES}),
+f AS (SELECT s.*, t.document_id, NULL::INTEGER AS page_number, t.statement, t.quote, m.similarity AS score FROM sources s JOIN ({_TOLD}) t ON s.fact_id = 'v' || lpad(t.vec_id::VARCHAR, 9, '0')
+  LEFT JOIN (SELECT candidate_id, similarity FROM ({MATCHES}) WHERE fact_id = 'v000000000' AND rank <= 8) m ON m.candidate_id = s.fact_id),
+p AS (SELECT s.*, k.document_id::VARCHAR AS document_id, k.page_number, NULL AS statement, substr(k.text, 1, 1200) AS quote, q.similarity AS score FROM sources s JOIN ({_CHUNKS}) k USING (chunk_id)
+  JOIN ({m.filled(_PASSAGES, vectors_sql("question", "item_id", "text"))}) q USING (chunk_id))
+SELECT source_id, kind, fact_id, chunk_id, u.document_id, coalesce(document_name, 'Unknown document') AS document_name, primary_entity, page_number, statement, md5(quote) AS quote_md5, score
+FROM (FROM f UNION ALL FROM p) u LEFT JOIN n ON n.document_id = u.document_id LEFT JOIN e ON e.document_id = n.document_id""")
 def ask_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _asked(spark, sf_dir)[0].select("source_id", "kind", "fact_id", "chunk_id")
+    """All that an answer is told of its sources."""
+    columns = ["source_id", "kind", "fact_id", "chunk_id", "document_id", "document_name", "primary_entity", "page_number", "statement"]
+    return _asked(spark, sf_dir)[0].select(*columns, F.md5("quote").alias("quote_md5"), "score")
 
 
-@query(f"""WITH {_ASKED} SELECT t.fact_a, t.fact_b, t.relationship_type, t.confidence, a.source_id AS source_a, b.source_id AS source_b
+@query(f"""WITH {_ASKED} SELECT t.fact_a, t.fact_b, t.relationship_type, t.confidence, a.source_id AS source_a, b.source_id AS source_b, NULL::VARCHAR AS context,
+  CASE relationship_type WHEN 'corroborated' THEN {m.quoted(reconcile.REASONS['corroborated'])} ELSE {m.quoted(reconcile.REASONS['contradiction'])} END AS reason,
+  relationship_type || ': ' || {m.quoted(reconcile.NO_EVIDENCE)} AS summary,
+  CASE WHEN apart > 0.01 THEN 'Values differ by ' || step || ', a ' || printf('%.1f%%', apart * 100) || ' relative difference. ' ELSE '' END || 'Evidence is unavailable for one or both facts.' AS differ
 FROM touching t JOIN sources a ON a.fact_id = t.fact_a JOIN sources b ON b.fact_id = t.fact_b""")
 def ask_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an answer is told of how its facts agree, by the ids of their sources."""
     sources, touching = _asked(spark, sf_dir)
-    return serving.relationship_notes(touching, sources).select("fact_a", "fact_b", "relationship_type", "confidence", "source_a", "source_b")
+    notes = serving.relationship_notes(touching, sources).withColumn("differ", F.array_join("key_differences", " "))
+    return notes.select("fact_a", "fact_b", "relationship_type", "confidence", "source_a", "source_b", "context", "reason", "summary", "differ")
 
 
-_REPLIES = """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '```json\\n{"answer": " Revenue rose [S1]. ", "confidence": ' || CAST(turn AS STRING) || '.5, "coverage": "full", "notes": ["first", "second"], "citations": [{"source": "s2", "quote": "q"}]}\\n```'
+_REPLIES = """SELECT conv_id, turn, role, CASE turn % 4 WHEN 0 THEN '```json\\n{"answer": " Revenue rose [S1]. ", "confidence": ' || CAST(turn AS STRING) || '.5, "coverage": "full", "notes": ["first", "second"], "citations": [{"source": "s2", "quote": "q of ' || role || '"}]}\\n```'
   WHEN 1 THEN 'Plain words of ' || role WHEN 2 THEN '{"answer": "none", "coverage": "odd", "notes": "text"}' ELSE '{"answer": "low", "confidence": -3, "coverage": "none", "citations": []}' END AS reply FROM conversations"""
 
 
 @query(f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Revenue rose [S1].' WHEN 1 THEN trim(reply) WHEN 2 THEN 'none' ELSE 'low' END AS answer,
   CASE turn % 4 WHEN 0 THEN least(1.0, turn + 0.5) WHEN 1 THEN 0.3 ELSE 0.0 END::DOUBLE AS confidence, CASE turn % 4 WHEN 0 THEN 'full' WHEN 3 THEN 'none' ELSE 'partial' END AS coverage,
-  CASE turn % 4 WHEN 0 THEN 'first; second' WHEN 1 THEN {m.quoted(documents.VERBATIM)} ELSE '' END AS notes, CASE turn % 4 WHEN 0 THEN 's2' ELSE '' END AS cited FROM ({_REPLIES.replace(chr(92) + "n", " ")})""")
+  CASE turn % 4 WHEN 0 THEN 'first; second' WHEN 1 THEN {m.quoted(documents.VERBATIM)} ELSE '' END AS notes, CASE turn % 4 WHEN 0 THEN 's2: q of ' || role ELSE '' END AS cited FROM ({_REPLIES.replace(chr(92) + "n", " ")})""")
 def answer_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies of a model that answers, as JSON or not, made fit to show."""
     rows = documents.parsed_answers(both(spark, sf_dir, _REPLIES))
-    return rows.select("conv_id", "turn", "answer", "confidence", "coverage", F.array_join("notes", "; ").alias("notes"), F.array_join("cited", "; ").alias("cited"))
+    return rows.select("conv_id", "turn", "answer", "confidence", "coverage", F.array_join("notes", "; ").alias("notes"), F.array_join(F.transform("citations", lambda x: F.concat_ws(": ", x["source"], x["quote"])), "; ").alias("cited"))
 
 
 _ANSWERS = """SELECT o_orderkey AS answer_id, 'Revenue rose [S' || CAST(o_orderkey % 5 + 1 AS STRING) || '] and fell [S' || CAST(o_custkey % 7 + 1 AS STRING) || '] [S99].' AS answer,
-  's' || CAST(o_orderkey % 3 + 1 AS STRING) AS cited FROM orders"""
+  's' || CAST(o_orderkey % 3 + 1 AS STRING) AS cited, CASE o_orderkey % 4 WHEN 0 THEN 'as ordered by ' || o_orderpriority WHEN 1 THEN '' END AS given FROM orders"""
 _SOURCES = "SELECT 'S' || CAST(n_nationkey + 1 AS STRING) AS source_id, n_name AS quote FROM nation"
 
 
-@query(f"""WITH a AS ({_ANSWERS}), s AS ({_SOURCES}), l AS (SELECT answer_id, upper(cited) AS source_id, true AS listed FROM a),
-g AS (SELECT DISTINCT answer_id, replace(replace(unnest(regexp_extract_all(answer, '\\[S\\d+\\]')), '[', ''), ']', '') AS source_id, false AS listed FROM a)
-SELECT u.answer_id, u.source_id, u.listed, s.quote FROM (FROM l UNION ALL SELECT * FROM g ANTI JOIN l USING (answer_id, source_id)) u JOIN s USING (source_id)""")
+@query(f"""WITH a AS ({_ANSWERS}), s AS ({_SOURCES}), l AS (SELECT answer_id, upper(cited) AS source_id, true AS listed, given FROM a),
+g AS (SELECT DISTINCT answer_id, replace(replace(unnest(regexp_extract_all(answer, '\\[S\\d+\\]')), '[', ''), ']', '') AS source_id, false AS listed, NULL AS given FROM a)
+SELECT u.answer_id, u.source_id, u.listed, coalesce(nullif(given, ''), s.quote) AS quote FROM (FROM l UNION ALL SELECT * FROM g ANTI JOIN l USING (answer_id, source_id)) u JOIN s USING (source_id)""")
 def ask_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = both(spark, sf_dir, _ANSWERS).withColumn("cited", F.array("cited"))
+    answers = both(spark, sf_dir, _ANSWERS).withColumn("citations", F.array(F.struct(F.col("cited").alias("source"), F.col("given").alias("quote"))))
     return serving.resolved_citations(answers, both(spark, sf_dir, _SOURCES)).select("answer_id", "source_id", "listed", "quote")
 
 
@@ -764,6 +807,12 @@ def sanitized_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.md5("answer").alias("answer_md5"), "confidence", "coverage")
 
 
+@query(f"SELECT document_id, fact_id, row_number() OVER (PARTITION BY document_id ORDER BY created_at, fact_id)::INTEGER AS place FROM ({ORDER_FACTS})")
+def fact_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's facts, oldest first."""
+    return serving.by_creation(_order_facts(spark, sf_dir), "document_id", "fact_id").select("document_id", "fact_id", "place")
+
+
 @query(f"SELECT owner, count(*) AS n_facts, array_to_string(list_sort(list(DISTINCT document_id)), ',') AS documents FROM ({ORDER_FACTS}) GROUP BY owner")
 def workspace_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.workspace_totals(_order_facts(spark, sf_dir)).withColumn("documents", F.array_join("documents", ","))
@@ -775,8 +824,39 @@ def judge_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.judge_listing(_pool(spark, sf_dir), DEFAULTS.adjudication_batch)
 
 
-@query(f"""SELECT fact_a || ':' || fact_b AS pair_key, (encounter - 1) % 20 % 2 = 0 AS same, 'seen as ' || ((encounter - 1) % 20 + 1) AS reason FROM ({_POOL})
-WHERE ((encounter - 1) // 20) % 3 < 2""")
+_VERDICTS = f"""SELECT fact_a || ':' || fact_b AS pair_key, (encounter - 1) % 20 % 2 = 0 AS same, 'seen as ' || ((encounter - 1) % 20 + 1) AS reason FROM ({_POOL})
+WHERE ((encounter - 1) // 20) % 3 < 2"""
+
+
+def _odd_places(prompt: str) -> str:
+    """A stand-in for a judge that calls pairs in odd places the same, fails on some requests and babbles on others."""
+    number = int(prompt[prompt.rindex("#") + 1 :])
+    if number % 3 == 2:
+        if number % 2:
+            raise RuntimeError("no reply")
+        return "They look alike to me."
+    places = [int(x) for x in re.findall(r"^([0-9]+)\. A: ", prompt, re.MULTILINE)]
+    return "Sure: " + json.dumps({"verdicts": [{"pair": x, "same": x % 2 == 1, "reason": f"seen as {x}"} for x in places]})
+
+
+@query(_VERDICTS)
+def judged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge called once for each request: what it says of the pairs. One call in three comes to nothing, so its pairs get no verdict."""
+    listing = stored(documents.judge_listing(_pool(spark, sf_dir), DEFAULTS.adjudication_batch), "listing")
+    numbered = listing.withColumn("line", F.concat("line", F.lit(" #"), F.col("request").cast("string")))
+    replies, _ = models.judged(numbered, _odd_places)
+    return documents.verdicts_of(replies, listing)
+
+
+@query(f"""SELECT DISTINCT qd AS document_id, ((encounter - 1) // 20)::INTEGER AS request, 'adjudication_failed' AS issue_type, {m.quoted(facts.ISSUE_HANDLING["adjudication_failed"])} AS handling
+FROM ({_POOL}) WHERE ((encounter - 1) // 20) % 3 = 2""")
+def judge_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listing = documents.judge_listing(_pool(spark, sf_dir), DEFAULTS.adjudication_batch)
+    numbered = listing.withColumn("line", F.concat("line", F.lit(" #"), F.col("request").cast("string")))
+    return models.judged(numbered, _odd_places)[1].select("document_id", "request", "issue_type", "handling")
+
+
+@query(_VERDICTS)
 def judge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a judge's replies say of the listing; every third reply is no JSON, so its pairs get no verdict."""
     listing = stored(documents.judge_listing(_pool(spark, sf_dir), DEFAULTS.adjudication_batch), "listing")
@@ -908,7 +988,7 @@ def chunk_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT document_id::VARCHAR AS document_id, CASE WHEN tried > 0 AND failed = tried THEN 'failed' ELSE 'processed' END AS status,
   CASE WHEN tried > 0 AND failed = tried THEN 'Fact extraction failed for all ' || tried || ' pending chunks' WHEN failed > 0 THEN 'Fact extraction skipped ' || failed || ' of ' || total || ' chunks' END AS error,
-  total AS chunk_count, total - failed AS processed_chunk_count, 1 AS page_count
+  total AS chunk_count, total AS processed_chunk_count, 1 AS page_count
 FROM (SELECT document_id, count(*) AS total, count(*) FILTER (first_status <> 'skipped') AS tried, count(*) FILTER (first_status = 'failed') AS failed FROM ({_RUNS}) GROUP BY document_id)""")
 def document_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents after the first run: one fails only if all of its chunks did; and their counters."""

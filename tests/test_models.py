@@ -1,6 +1,9 @@
+import os
+
 import pytest
 
 from factloom import models
+from factloom.operators import documents
 from factloom.operators.chunking import chunks
 
 
@@ -81,3 +84,27 @@ def test_retries():
     with pytest.raises(ValueError):
         models.with_retries(lambda p: (_ for _ in ()).throw(ValueError("bad input")), sleep=waits.append)("x")
     assert models.delay_seconds(9) == 60
+
+
+def test_a_judge_is_called_once_for_each_request_and_failures_stay_apart(spark, tmp_path):
+    """Calls are counted by files, as they happen on the workers."""
+    folder = str(tmp_path)
+
+    def judge(prompt):
+        import os
+        import uuid
+
+        open(os.path.join(folder, uuid.uuid4().hex), "w").close()
+        if "fails" in prompt:
+            raise RuntimeError("status: 500\nmore")
+        return "no JSON" if "babbles" in prompt else '```json\n{"verdicts": [{"pair": 1, "same": true, "reason": "alike"}, {"pair": 9, "same": true}]}\n```'
+
+    n = 45
+    rows = [("d", i // 20, i % 20 + 1, f"k{i}", f"{i % 20 + 1}. {['fine', 'fails', 'babbles'][i // 20]}") for i in range(n)]
+    listing = spark.createDataFrame(rows, "document_id string, request int, place int, pair_key string, line string")
+    replies, issues = models.judged(listing, judge)
+    got = [(r.pair_key, r.same, r.reason) for r in documents.verdicts_of(replies, listing).collect()]
+    assert got == [("k0", True, "alike")]
+    assert [(r.request, r.issue_type, r.message) for r in issues.orderBy("request").collect()][0] == (1, "adjudication_failed", "status: 500")
+    assert issues.count() == 2 and len(os.listdir(folder)) == -(-n // 20)
+    assert all("different metrics" in r.handling for r in issues.collect())
