@@ -97,7 +97,7 @@ def test_a_judge_is_called_once_for_each_request_and_failures_stay_apart(spark,
         open(os.path.join(folder, uuid.uuid4().hex), "w").close()
         if "fails" in prompt:
             raise RuntimeError("status: 500\nmore")
-        return "no JSON" if "babbles" in prompt else '```json\n{"verdicts": [{"pair": 1, "same": true, "reason": "alike"}, {"pair": 9, "same": true}]}\n```'
+        return "no JSON" if "babbles" in prompt else '```json\n{"verdicts": [{"pair": 1, "same": true, "reason": "alike"}, {"pair": 99, "same": true}]}\n```'
 
     n = 45
     rows = [("d", i // 20, i % 20 + 1, f"k{i}", f"{i % 20 + 1}. {['fine', 'fails', 'babbles'][i // 20]}") for i in range(n)]
