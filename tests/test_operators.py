@@ -133,6 +133,18 @@ def test_short_evidence_by_force(spark):
     assert found == sorted(map(tuple, want)) and len(found) > 300
 
 
+def test_passages_with_one_opening_meet_few_documents(spark):
+    """200 passages that begin alike, and documents that all have that beginning: the rarest windows tell them apart."""
+    draw = random.Random(8)
+    opening = "According to the audited annual report of the company "
+    tails = [" ".join(draw.choice("abcdefghij") * 2 + str(draw.randrange(10**6)) for _ in range(6)) for _ in range(200)]
+    evidence = spark.createDataFrame([(i, opening + t) for i, t in enumerate(tails)], "item_id long, text string")
+    documents = spark.createDataFrame([(d, f"{opening} nothing. {opening}{tails[d]} and {opening}{tails[(7 * d) % 200]}") for d in range(150)], "doc_id long, text string")
+    want = {(d, d) for d in range(150)} | {((7 * d) % 200, d) for d in range(150)}
+    assert {(r.item_id, r.doc_id) for r in grounding.occurrences(evidence, documents).collect()} == want
+    assert grounding.likely_places(evidence, documents).count() <= 2 * len(want)
+
+
 def test_vectors_of_another_dimension_fail(spark):
     import pytest
 
