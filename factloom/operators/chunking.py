@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,33 +58,35 @@ def is_trivial(text: Column, config: Config = DEFAULTS) -> Column:
     return (F.length(text) < config.min_extraction_characters) & ~text.rlike("[0-9]")
 
 
-def fill_batches(costs: list[int], most_items: int, most_tokens: int) -> list[int]:
-    """The batch of each item in turn; a batch closes when it is full or the next item would burst it."""
-    out, batch, items, tokens = [], 0, 0, 0
-    for cost in costs:
-        if items and (items >= most_items or tokens + cost > most_tokens):
-            batch, items, tokens = batch + 1, 0, 0
-        out.append(batch)
-        items, tokens = items + 1, tokens + cost
+def fill_batches(costs: np.ndarray, most_items: int, most_tokens: int) -> np.ndarray:
+    """The batch of each item in turn; a batch closes when it is full or the next item would burst it. One step a batch, not an item."""
+    ends, out, start, batch = np.cumsum(costs), np.zeros(len(costs), dtype=np.int32), 0, 0
+    while start < len(costs):
+        before = int(ends[start - 1]) if start else 0
+        stop = min(start + most_items, int(np.searchsorted(ends, before + most_tokens, side="right")))
+        stop = max(stop, start + 1)  # an item that bursts any batch stands alone
+        out[start:stop] = batch
+        start, batch = stop, batch + 1
     return out
 
 
 def token_batches(pages: DataFrame, document: str, text: str, most: int, config: Config = DEFAULTS) -> DataFrame:
-    """Rows document_id, chunk_index, cost, batch: a document's chunks of ``most`` characters in batches for embedding."""
+    """Rows document_id, chunk_index, cost, batch: a document's chunks of ``most`` characters in batches for embedding.
 
-    @F.pandas_udf("array<struct<chunk_index int, cost long, batch int>>")
-    def batched(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(value: str | None) -> list[dict]:
-            costs = [-(-len(x) // 4) + 8 for x in cut_words(value or "", most)]
-            filled = fill_batches(costs, config.embedding_batch_size, config.embedding_batch_tokens)
-            return [{"chunk_index": k, "cost": c, "batch": b} for k, (c, b) in enumerate(zip(costs, filled, strict=True))]
+    Spark cuts the chunks and counts their tokens; only these numbers go to Python.
+    """
 
-        for part in texts:
-            yield part.map(one)
+    @F.pandas_udf("array<int>")
+    def filled(costs: pd.Series) -> pd.Series:
+        return costs.map(lambda x: fill_batches(np.asarray(x), config.embedding_batch_size, config.embedding_batch_tokens))
 
     tidy = collapse_space(F.coalesce(F.col(text), F.lit("")))
-    rows = pages.select(F.col(document).alias("document_id"), F.inline(batched(tidy)))
-    return rows
+    pieces = F.regexp_extract_all(tidy, F.lit(chunk_pattern(most)), F.lit(0))
+    rows = pages.select(F.col(document).alias("document_id"), F.transform(pieces, lambda x: (F.ceil(F.length(x) / 4) + 8).cast("long")).alias("costs"))
+    rows = rows.withColumn("batches", filled("costs"))
+    return rows.select("document_id", F.posexplode(F.arrays_zip("costs", "batches")).alias("chunk_index", "x")).select(
+        "document_id", "chunk_index", F.col("x.costs").alias("cost"), F.col("x.batches").alias("batch")
+    )
 
 
 def numbered_batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:

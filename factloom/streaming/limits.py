@@ -52,7 +52,9 @@ def limited_batch(target: str, key: str, at: str, tie: str, width_seconds: int,
     """What writes one micro-batch: its events with admitted, remaining and reset_us, and all keys' windows after it.
 
     Windows come from the folder of the micro-batch before, and a micro-batch repeated after a failure overwrites
-    its own. Spark sorts, and spills, the rows of a task; Python sees them in parts, however many a key has.
+    its own. Windows that closed before the earliest event of the micro-batch are left out, so what is kept has the keys
+    seen of late, not all that were ever seen. Spark sorts, and spills, the rows of a task; Python sees them in parts,
+    however many a key has.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -61,7 +63,10 @@ def limited_batch(target: str, key: str, at: str, tie: str, width_seconds: int,
         rows = rows.where(F.col(key).isNotNull() & F.col("_at").isNotNull())
         written = f"{key} {types[key]}, {tie} {types[tie]}, admitted boolean, remaining int, reset_us long, opened long, hits int, limit_part string"
         if number:
+            least = rows.agg(F.min("_at")).first()[0]
             before = batch.sparkSession.read.schema(written).parquet(f"{target}/limit_batch={number - 1}").where("limit_part = 'window'")
+            if least is not None:
+                before = before.where(F.col("opened") + width_seconds * 1_000_000 > least)
             rows = rows.unionByName(before.select(key, tie, F.lit(None).cast("long").alias("_at"), "opened", "hits"))
         rows = rows.repartition(F.col(key)).sortWithinPartitions(F.col(key), F.col("_at").asc_nulls_first(), F.col(tie))
         out = rows.mapInArrow(lambda batches: admitted_parts(batches, width_seconds * 1_000_000, most), written)

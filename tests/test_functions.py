@@ -1,5 +1,6 @@
 """Scalar rules, with expected values as tables."""
 
+import random
 import datetime
 
 import pytest
@@ -78,7 +79,17 @@ def test_grounding(spark):
 def test_cut_words_and_batches():
     assert cut_words("one two three four five six", 12) == ["one two", "three four", "five six"]
     assert cut_words("", 5) == [] and cut_words("abcdefgh ij", 5) == ["abcdefgh", "ij"]
-    assert fill_batches([5, 5, 5, 20, 1], 2, 10) == [0, 0, 1, 2, 3]
+    assert fill_batches([5, 5, 5, 20, 1], 2, 10).tolist() == [0, 0, 1, 2, 3]
+    draw = random.Random(1)
+    for _ in range(50):
+        costs, most_items, most_tokens = [draw.randrange(0, 30) for _ in range(draw.randrange(0, 60))], draw.randrange(1, 9), draw.randrange(1, 60)
+        want, batch, items, tokens = [], 0, 0, 0
+        for cost in costs:
+            if items and (items >= most_items or tokens + cost > most_tokens):
+                batch, items, tokens = batch + 1, 0, 0
+            want.append(batch)
+            items, tokens = items + 1, tokens + cost
+        assert fill_batches(costs, most_items, most_tokens).tolist() == want
 
 
 def test_fixed_window():

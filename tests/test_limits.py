@@ -71,3 +71,25 @@ def test_tokens_wait_for_room_and_oversize_for_an_empty_window():
     near = TokenWindow(60_000_000, 100, 250_000)
     near.reserve(0, 100)
     assert near.reserve(59_900_000, 1) == 60_150_000  # never waits for less than a quarter of a second
+
+
+def test_closed_windows_are_not_kept(spark, tmp_path):
+    """Keys that come once, and one that comes all the time: what is kept has the keys of late, and verdicts are those of one go."""
+    from factloom.streaming.limits import limited_batch
+
+    def events(hour):
+        rows = [(f"once-{hour}-{i}", 1000 * hour + i, hour * 3600 + i) for i in range(20)] + [("always", 1000 * hour + 500 + i, hour * 3600 + 2 * i) for i in range(30)]
+        return spark.createDataFrame(rows, "who string, n long, s long").selectExpr("who", "n", "timestamp_seconds(s) AS at")
+
+    parts, whole = (limited_batch(str(tmp_path / x), "who", "at", "n", 60, 10) for x in ("parts", "whole"))
+    for hour in range(3):
+        parts(events(hour), hour)
+    whole(events(0).unionByName(events(1)).unionByName(events(2)), 0)
+
+    def verdicts(folder):
+        found = spark.read.parquet(str(tmp_path / folder)).where("limit_part = 'event'")
+        return sorted((r.n, r.admitted, r.remaining, r.reset_us) for r in found.collect())
+
+    assert verdicts("parts") == verdicts("whole")
+    kept = spark.read.parquet(str(tmp_path / "parts" / "limit_batch=2")).where("limit_part = 'window'")
+    assert kept.count() == 21 and kept.where("who like 'once-0%'").count() == 0
