@@ -8,7 +8,7 @@ angle to the query's k-th best so far together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -105,14 +105,26 @@ def _steps(n: Column) -> Column:
 class Clusters:
     """The clusters of large workspaces: rows with their cluster, and each cluster's pivot, size and radius (an angle)."""
 
-    def __init__(self, rows: DataFrame, sizes: DataFrame) -> None:
+    def __init__(self, rows: DataFrame, pivots: DataFrame, held: DataFrame, candidates: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """``rows`` are queries (and candidates) with their cluster, ``held`` the clusters; ``candidates`` gives those of some clusters (owner, cluster)."""
+        self.rows, self.pivots, self.held = rows, pivots, held
+        self.candidates = candidates or (lambda _: rows.where("side = 1"))
+
+    @classmethod
+    def of(cls, rows: DataFrame, sizes: DataFrame) -> Clusters:
         n = F.least(F.ceil(F.col("candidates") / CLUSTER), F.lit(MOST_CLUSTERS))
         placed = rows.join(sizes.select("owner", "candidates", n.alias("clusters"), F.ceil((F.col("candidates") + F.col("queries")) / (4 * BLOCK)).alias("parts")), "owner")
         chosen = (F.col("side") == 1) & (F.pmod(F.xxhash64("fact_id", F.lit(2)), F.col("candidates")) < F.col("clusters"))
-        self.pivots = stored(placed.where(chosen).select("owner", "parts", "fact_id", "embedding"), "pivots")
-        self.rows = stored(self._by_part(placed.withColumn("beat", F.lit(None).cast("double")), self.pivots.withColumn("radius", F.lit(0.0)), self._assigned, "owner string, side int, fact_id string, embedding array<double>, cluster int, angle double"), "clustered")
-        held = self.rows.groupBy("owner", "cluster").agg(F.count_if(F.col("side") == 1).alias("candidates"), F.count_if(F.col("side") == 0).alias("queries"), F.max(F.when(F.col("side") == 1, F.col("angle"))).alias("radius"))
-        self.held = stored(held, "clusters")
+        pivots = stored(placed.where(chosen).select("owner", "parts", "fact_id", "embedding"), "pivots")
+        rows = stored(cls.assigned(placed, pivots), "clustered")
+        held = rows.groupBy("owner", "cluster").agg(F.count_if(F.col("side") == 1).alias("candidates"), F.max(F.when(F.col("side") == 1, F.col("angle"))).alias("radius"))
+        return cls(rows, pivots, stored(held, "clusters"))
+
+    @classmethod
+    def assigned(cls, rows: DataFrame, pivots: DataFrame) -> DataFrame:
+        """Rows (owner, parts, side, fact_id, embedding) with their nearest pivot's number and the angle to it."""
+        schema = "owner string, side int, fact_id string, embedding array<double>, cluster int, angle double"
+        return cls._by_part(rows.withColumn("beat", F.lit(None).cast("double")), pivots.withColumn("radius", F.lit(0.0)), cls._assigned, schema)
 
     @staticmethod
     def _by_part(rows: DataFrame, pivots: DataFrame, step: object, schema: str) -> DataFrame:
@@ -134,10 +146,17 @@ class Clusters:
                 angle[low : low + 1024] = np.arccos(np.clip(near.max(axis=1), -1, 1))
         return rows[["owner", "side", "fact_id", "embedding"]].assign(cluster=cluster, angle=angle)
 
+    def _met(self, queries: DataFrame, k: int) -> DataFrame:
+        """The k best of queries (owner, cluster, fact_id, embedding, beat), each in its cluster."""
+        counts = queries.groupBy("owner", "cluster").agg(F.count("*").alias("queries"))
+        held = self.held.where("candidates > 0").select("owner", "cluster", "candidates").join(counts, ["owner", "cluster"])
+        own = self.candidates(held.select("owner", "cluster")).select("owner", "cluster", F.lit(1).alias("side"), "fact_id", "embedding", F.lit(None).cast("double").alias("beat"))
+        both = own.unionByName(queries.withColumn("side", F.lit(0)).select(*own.columns)).join(held, ["owner", "cluster"])
+        return _search(_dealt(both, _steps(F.col("queries")), _steps(F.col("candidates")), "owner", "cluster"), ["owner", "cluster", "block", "tile"], k)
+
     def near(self, k: int) -> DataFrame:
         """The k best of each query within its own cluster."""
-        sized = self.rows.join(self.held.select("owner", "cluster", "candidates", "queries"), ["owner", "cluster"])
-        return _search(_dealt(sized, _steps(F.col("queries")), _steps(F.col("candidates")), "owner", "cluster"), ["owner", "cluster", "block", "tile"], k)
+        return self._met(self.rows.where("side = 0").withColumn("beat", F.lit(-2.0)), k)
 
     def visits(self, found: DataFrame, k: int) -> DataFrame:
         """Queries (owner, fact_id, embedding, beat) with the other clusters that may hold something at least as good as their k-th best of ``found``."""
@@ -168,11 +187,18 @@ class Clusters:
 
     def visited(self, visits: DataFrame, k: int) -> DataFrame:
         """The k best of each visit that reach its ``beat``."""
-        counts = visits.groupBy("owner", "cluster").agg(F.count("*").alias("queries"))
-        held = self.held.where("candidates > 0").select("owner", "cluster", "candidates").join(counts, ["owner", "cluster"])
-        own = self.rows.where("side = 1").select("owner", "cluster", F.lit(1).alias("side"), "fact_id", "embedding", F.lit(None).cast("double").alias("beat"))
-        both = own.unionByName(visits.withColumn("side", F.lit(0)).select(*own.columns)).join(held, ["owner", "cluster"])
-        return _search(_dealt(both, _steps(F.col("queries")), _steps(F.col("candidates")), "owner", "cluster"), ["owner", "cluster", "block", "tile"], k)
+        return self._met(visits, k)
+
+    def searched(self, k: int) -> DataFrame:
+        """owner, fact_id, candidate_id, similarity: the best of each query's own cluster and of those it visits; some may be more than its k best."""
+        near = stored(self.near(k), "near")
+        return near.unionByName(self.visited(stored(self.visits(near, k), "visits"), k))
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("owner", "fact_id").orderBy(F.desc("similarity"), "candidate_id")
+    rows = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return rows.select("fact_id", "candidate_id", "similarity", "rank")
 
 
 def similar(queries: DataFrame, candidates: DataFrame, k: int = DEFAULTS.match_top_k) -> DataFrame:
@@ -193,13 +219,8 @@ def similar(queries: DataFrame, candidates: DataFrame, k: int = DEFAULTS.match_t
     found = _search(_dealt(packed, _steps(F.col("queries")), _steps(F.col("candidates")), "pack"), ["pack", "block", "tile"], k)
     if (totals["most"] or 0) > WHOLE:
         large = sizes.where(F.col("candidates") > WHOLE)
-        clusters = Clusters(rows, large)
-        near = stored(clusters.near(k), "near")
-        far = clusters.visited(stored(clusters.visits(near, k), "visits"), k)
-        found = found.unionByName(near).unionByName(far)
-    order = Window.partitionBy("owner", "fact_id").orderBy(F.desc("similarity"), "candidate_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("fact_id", "candidate_id", "similarity", "rank")
+        found = found.unionByName(Clusters.of(rows, large).searched(k))
+    return ranked(found, k)
 
 
 def document_matches(facts: DataFrame, k: int = DEFAULTS.match_top_k) -> DataFrame:

@@ -18,6 +18,7 @@ from factloom.models import embed
 from factloom.operators import chunking, documents, facts, grounding, pairs, reconcile, serving, stateful, vectors
 from factloom.plans import mirror as m
 from factloom.plans.inputs import CANDIDATES, ORDER_FACTS, REVENUE_FACTS, both
+from factloom.sources import vector_table
 from factloom.sources.tables import html_text, replaced_by_key, scratch, spread, stored, table, without_documents, without_facts
 from factloom.streaming import ingest, limits, maintain
 
@@ -447,6 +448,23 @@ def knn_cross_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.document_matches(vector_facts(spark, sf_dir)).select("fact_id", "candidate_id", "similarity", "rank")
 
 
+@query("""WITH v AS (SELECT vec_id, 'w' || (vec_id % 3) AS owner, CASE WHEN vec_id % 7 = 0 THEN list_reverse(embedding::DOUBLE[]) ELSE embedding::DOUBLE[] END AS e FROM embeddings
+  WHERE vec_id % 11 <> 0 AND list_max([abs(x) FOR x IN embedding]) > 0)
+SELECT fact_id, candidate_id, similarity, rank FROM (
+  SELECT 'v' || lpad(q.vec_id::VARCHAR, 9, '0') AS fact_id, 'v' || lpad(c.vec_id::VARCHAR, 9, '0') AS candidate_id, round(list_cosine_similarity(q.e, c.e), 6) AS similarity,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.e, c.e), 6) DESC, c.vec_id)::INTEGER AS rank
+  FROM v q JOIN v c ON q.owner = c.owner) WHERE rank <= 10""")
+def kept_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each vector in a kept table after a first load, and a change that turns some vectors round, adds some and takes others out."""
+    rows = vector_facts(spark, sf_dir).select("fact_id", "owner", "embedding")
+    number = F.substring("fact_id", 2, 9).cast("long")
+    kept = vector_table.kept(spark, buckets=16)
+    kept.change(rows.where(number % 10 < 8), rows.select("fact_id").limit(0), 0)
+    turned = rows.withColumn("embedding", F.when(number % 7 == 0, F.reverse("embedding")).otherwise(F.col("embedding")))
+    kept.change(turned.where((number % 11 != 0) & ((number % 10 >= 8) | (number % 7 == 0))), rows.where(number % 11 == 0).select("fact_id"), 1)
+    return kept.search(turned.where(number % 11 != 0), 10)
+
+
 #: The vectors of the tables are far apart, so their thresholds are low.
 NEAR = DEFAULTS.__class__(similarity_threshold=0.2, adjudication_similarity=0.25, match_confidence_threshold=0.15)
 _FIRST = f"""SELECT *, least(fact_id, candidate_id) AS fact_a, greatest(fact_id, candidate_id) AS fact_b FROM ({MATCHES}) WHERE qd <> cd AND fact_id <> candidate_id AND similarity >= %s
@@ -548,7 +566,7 @@ SELECT a.document_id AS document_a, b.document_id AS document_b, a.c_custkey AS
 FROM f a JOIN f b ON a.c_custkey = b.c_custkey AND a.document_id < b.document_id""")
 def maintained_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relationships after two deliveries of pages, the second of which restates, withdraws and adds documents."""
-    state = maintain.followed(spark, scratch(spark, "maintained"), [lambda: _delivery(spark, sf_dir, 1), lambda: _delivery(spark, sf_dir, 2)], extractor=balance_statements)
+    state = maintain.followed(spark, scratch(spark, "maintained"), [lambda: _delivery(spark, sf_dir, 1), lambda: _delivery(spark, sf_dir, 2)], extractor=balance_statements, buckets=16)
     client = F.regexp_extract("fact_group", "client ([0-9]+)", 1).cast("long")
     return state.relationships().select(F.least("document_a", "document_b").alias("document_a"), F.greatest("document_a", "document_b").alias("document_b"), client.alias("client"), "relationship_type")
 

@@ -49,11 +49,11 @@ def test_pairs_compared_are_few_on_clustered_vectors(spark, monkeypatch):
     x = clustered(3000, 16, 40, 0.02)
     rows = vectors._unit(table(spark, x, ["w"] * 3000), 0).unionByName(vectors._unit(table(spark, x, ["w"] * 3000), 1))
     sizes = spark.createDataFrame([("w", 3000, 3000)], "owner string, candidates long, queries long")
-    held = vectors.Clusters(rows, sizes)
+    held = vectors.Clusters.of(rows, sizes)
     near = held.near(5)
     visits = held.visits(near, 5)
-    sizes = {r.cluster: (r.candidates, r.queries) for r in held.held.collect()}
-    compared = sum(n * m for n, m in sizes.values()) + sum(sizes[r.cluster][0] * r["count"] for r in visits.groupBy("cluster").count().collect())
+    sizes = {r.cluster: r.candidates for r in held.held.collect()}
+    compared = sum(n * n for n in sizes.values()) + sum(sizes[r.cluster] * r["count"] for r in visits.groupBy("cluster").count().collect())
     assert compared < 3000 * 3000 / 5
 
 
@@ -61,3 +61,31 @@ def test_no_rows_on_a_side(spark):
     rows = table(spark, np.eye(3), ["a", "a", "b"])
     assert vectors.similar(rows.limit(0), rows, 2).collect() == [] == vectors.similar(rows, rows.limit(0), 2).collect()
     assert vectors.similar(rows.where("owner = 'b'"), rows.where("owner = 'a'"), 2).collect() == []
+
+
+def test_a_kept_table_answers_like_a_fresh_one_and_reads_few_buckets(spark, tmp_path, monkeypatch):
+    """Vectors come, move to other clusters, change owners and go; searches are exact throughout."""
+    from factloom.sources.vector_table import VectorTable
+
+    monkeypatch.setattr(vectors, "CLUSTER", 25)
+    x = clustered(800, 16, 20, 0.02)
+    owners = ["large" if i % 8 else "small" for i in range(800)]
+    kept = VectorTable(spark, str(tmp_path / "kept"), buckets=16)
+    rows = table(spark, x, owners)
+    kept.change(rows.where("fact_id < 'f000600'"), rows.limit(0).select("fact_id"), 0)
+    moved = x.copy()
+    moved[100:140] = x[300:340]
+    later = table(spark, moved, ["small" if 200 <= i < 210 else o for i, o in enumerate(owners)])
+    change = later.where("fact_id >= 'f000600' OR fact_id BETWEEN 'f000100' AND 'f000139' OR fact_id BETWEEN 'f000200' AND 'f000209'")
+    gone = rows.where("fact_id LIKE '%7'").select("fact_id")
+    kept.change(change.where("fact_id NOT LIKE '%7'"), gone, 1)
+    kept.change(change.where("fact_id NOT LIKE '%7'"), gone, 1)  # a retry
+    final = later.where("fact_id NOT LIKE '%7'")
+    queries = later.where("fact_id LIKE '%3'")
+    want = sorted(map(tuple, vectors.similar(queries, final, 5).collect()))
+    assert sorted(map(tuple, kept.search(queries, 5).collect())) == want and len(want) == 400
+    assert kept.tables["rows"].read().count() == final.count() == kept.tables["places"].read().count()
+    assert sum(r.candidates for r in kept.tables["clusters"].read().collect()) == final.count()
+    one = queries.where("fact_id = 'f000003'")
+    assert sorted(map(tuple, kept.search(one, 5).collect())) == [w for w in want if w[0] == "f000003"]
+    assert len(kept.read) <= 4
