@@ -39,7 +39,7 @@ BATCH_BYTES = 8 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Holds the Arrow batches of the session to BATCH_BYTES, unless it has a lower bound of its own: workers copy a batch several times over."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, "-1b").rstrip("b")
+    now = spark.conf.get(name, "2147483646b").rstrip("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
