@@ -30,8 +30,8 @@ STRETCHES = 4000
 STRETCH = 256
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.3, 1e-5
 UNKNOWN = "und"
-#: Standard errors that are added to a text's mean evidence: few words prove little against a language.
-DOUBT = 2.0
+#: How many standard errors are added to a text's mean evidence: few words prove little against a language.
+DOUBT = 1.0
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
