@@ -16,7 +16,7 @@ from factloom.llm.queries import PACKING_TOKENIZER
 #: The least evidence of a document's words for its language, relative to documents learned. With one of the languages left
 #: out of the fit, nine in ten of its documents have less (three in ten where it is close to another); of documents of
 #: learned languages only such that repeat one word over and over have.
-LEAST_EVIDENCE = 0.5
+LEAST_EVIDENCE = 0.55
 #: Runs of training positions whose documents share sequences.
 WINDOWS = 8
 
