@@ -27,11 +27,12 @@ def spread(scan: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder that all executors share, under the session's spark.checkpoint.dir; a local session without it gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("factloom.scratch.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="factloom-")
+        spark.conf.set("factloom.scratch.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
