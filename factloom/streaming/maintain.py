@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.config import DEFAULTS, Config
-from factloom.functions.text import blank_to_null
+from factloom.functions.text import blank_to_null, normalize_evidence
 from factloom.models import Extractor, embed, extract_facts, rule_extractor
 from factloom.operators import chunking, facts, pairs, reconcile, vectors
 from factloom.sources.keyed import KeyedTable, exists, removed
@@ -43,12 +43,15 @@ SCHEMAS = {
 
 def page_facts(chunks: DataFrame, owners: DataFrame, extractor: Extractor = rule_extractor) -> DataFrame:
     """Valid, normalised facts of chunks with their group and vector; ``owners`` has each document's owner."""
-    found = extract_facts(chunks, extractor).withColumns({c: F.lit(None).cast("string") for c in ("object", "value_type", "page_id")})
+    # Chunks are few rows with much work each, so files alone would give too few tasks.
+    found = extract_facts(chunks.repartition(chunks.sparkSession.sparkContext.defaultParallelism), extractor).withColumns({c: F.lit(None).cast("string") for c in ("object", "value_type", "page_id")})
     found = found.withColumn("value_num", F.lit(None).cast("double"))
     place = F.concat_ws("\x1f", "chunk_id", "subject", "predicate", "value_text", "period", "scope", "source_text")
     found = found.withColumn("fact_id", F.concat(F.lit("fact-"), F.md5(place))).dropDuplicates(["fact_id"])
-    candidates = found.join(chunks.select("chunk_id", F.col("text").alias("chunk_text")), "chunk_id").join(owners, "document_id")
-    valid, _ = facts.split_candidates(candidates)
+    # A chunk is normalised once, not once for each of its facts.
+    texts = chunks.select("chunk_id", normalize_evidence(F.col("text")).alias("chunk_text"))
+    candidates = found.join(texts, "chunk_id").join(owners, "document_id")
+    valid, _ = facts.split_candidates(candidates, plain=True)
     rows = facts.normalize_facts(valid)
     named = blank_to_null(F.col("normalized_subject")).isNotNull() & blank_to_null(F.col("normalized_predicate")).isNotNull()
     group = F.when(named, F.concat_ws("\x1f", "owner", "normalized_subject", "normalized_predicate")).otherwise(F.concat(F.lit("\x1f"), "fact_id"))
