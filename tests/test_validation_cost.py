@@ -38,3 +38,9 @@ def test_fewer_steps_give_the_same_text(spark, text):
     plain = F.trim(F.regexp_replace(F.regexp_replace(plain, f"-{t.SPACE}+", ""), STEP, " "))
     got = row.select(t.normalize_evidence(F.col("x")), plain, t.is_blank(F.col("x")), t.collapse_space(F.coalesce("x", F.lit(""))) == "").first()
     assert got[0] == got[1] and got[2] == got[3]
+
+
+def test_document_counters_validate_once(spark):
+    rows = catalog.document_counters(spark, "/root/testdata/sf0.001")
+    assert STEP not in rows._jdf.queryExecution().optimizedPlan().toString()  # counts read what is stored
+    assert sum(r.facts_count + r.issues_count for r in rows.collect()) == 1500
