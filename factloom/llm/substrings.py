@@ -4,7 +4,9 @@ A window of W words that occurs twice, at positions i and j, holds for one of th
 positions i + s and j + s, whatever i and j are: that is what a difference cover modulo P does. So only the runs of
 W - P + 1 words that start at cover positions (anchors) are hashed and counted; a window that occurs twice holds
 an anchor that does. Around the anchors that occur more than once whole windows are hashed and counted in turn, which
-extends each anchor in all the ways that a match may lie around it.
+extends each anchor in all the ways that a match may lie around it. Long windows are told apart by a second, longer kind of
+anchor first, whose cover is denser: it is counted only where a window holds a shared anchor of the first kind, costs a hash and no place,
+and leaves out most windows that occur once.
 
 Nothing is paired. What is looked for after counting are the windows around shared anchors that occur only *once*:
 there is one row of each, however hot a passage is, and these alone go back to their documents.
@@ -44,6 +46,10 @@ def cover_of(window: int) -> tuple[int, list[int]]:
     return period, difference_cover(period)
 
 
+#: The period of the second kind of anchors, for windows whose first kind has a longer one.
+LONGER = 7
+
+
 class Block:
     """The words of some rows, end to end: their hashes, each one's place in its row, and the number of words of its row."""
 
@@ -98,20 +104,29 @@ class Search:
 
     def __init__(self, docs: DataFrame, window: int) -> None:
         self.docs, self.window = docs, window
-        self.period, self.cover = cover_of(window)
-        self.bits, self.hot = None, None
+        self.kinds = [cover_of(window)]
+        if self.kinds[0][0] > LONGER:
+            self.kinds.append((LONGER, difference_cover(LONGER)))
+        #: The bitmaps of the kinds of anchors known so far; None for one whose places are a column of the documents.
+        self.known, self.hot = [], None
         hot = crowded(docs.where("text <> ''"), KEYS)
         if hot.head(1):
             self.hot = hot
 
     def anchors(self, places: bool) -> DataFrame:
-        """``h`` of all anchors with ``n`` (equal ones of some rows counted together) or, with ``places``, ref and at."""
-        window, period, cover = self.window, self.period, self.cover
+        """``h`` of all anchors of the next kind with ``n`` (equal ones of some rows counted together) or, with ``places``, ref and at.
+
+        Those that lie in no window with a shared anchor of each kind known are left out.
+        """
+        window, (period, cover), first = self.window, self.kinds[len(self.known)], not self.known
+        starts = self.starts()
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for rows, block in _blocks(batch):
                     at = block.anchors(window, period, cover)
+                    if not first:
+                        at = at[block.covered(starts(rows, block), period)[at]]
                     keys = block.runs(at, window - period + 1)
                     if places:
                         own = [column_or(rows, c).take(pa.array(block.owner[at])) for c in KEYS]
@@ -130,28 +145,35 @@ class Search:
         return spread.join(copied(lists, self.hot, KEYS), [*KEYS, "_salt"], "left").drop("_salt")
 
     def mark(self, shared: DataFrame, most: int) -> None:
-        """From now on the anchors among the hashes ``shared`` are known: by a bitmap, or as a column of the documents."""
+        """From now on the anchors of the next kind among the hashes ``shared`` are known: by a bitmap, or as a column of the documents."""
         spark = self.docs.sparkSession
         if shared.count() <= most:
-            self.bits = spark.sparkContext.broadcast(hash_bits(shared, BITS))
+            self.known.append(spark.sparkContext.broadcast(hash_bits(shared, BITS)))
             return
+        column = f"shared{len(self.known)}"
         places = materialize(self.anchors(places=True), "anchors")
         hot = crowded(places, ["h"])
         kept = dealt(places, hot, ["h"], F.xxhash64(*KEYS, "at")).join(copied(shared, hot, ["h"]), ["h", "_salt"])
-        self.docs = materialize(self.joined(self.docs, kept.groupBy(*KEYS).agg(F.collect_set("at").alias("shared"))), "shared")
+        self.docs = materialize(self.joined(self.docs, kept.groupBy(*KEYS).agg(F.collect_set("at").alias(column))), "shared")
+        self.known.append(None)
         discard(places)
 
     def starts(self) -> object:
-        """A function of rows and their block that gives the words at which windows with a shared anchor begin."""
-        window, period, cover, bits = self.window, self.period, self.cover, self.bits
+        """A function of rows and their block that gives the words at which windows begin that hold a shared anchor of each kind known."""
+        window, known = self.window, list(zip(self.kinds, self.known))
 
         def of(rows: pa.RecordBatch, block: Block) -> np.ndarray:
-            if bits is None:
-                at = _positions(column_or(rows, "shared"), block)
-            else:
-                at = block.anchors(window, period, cover)
-                at = at[has_bits(bits.value, block.runs(at, window - period + 1), BITS)]
-            return block.around(at, window, period)
+            found = np.zeros(0, np.int64)
+            for k, ((period, cover), bits) in enumerate(known):
+                if bits is None:
+                    at = _positions(column_or(rows, f"shared{k}"), block)
+                else:
+                    at = block.anchors(window, period, cover)
+                    at = at if k == 0 else at[block.covered(found, period)[at]]
+                    at = at[has_bits(bits.value, block.runs(at, window - period + 1), BITS)]
+                around = block.around(at, window, period)
+                found = around if k == 0 else np.intersect1d(found, around, assume_unique=True)
+            return found
 
         return of
 
@@ -168,14 +190,16 @@ def without_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id"
     doc_id stays null, rows that share a doc_id are texts of their own, further columns are ignored, and an empty table gives
     an empty result. Windows are told apart by 96-bit hashes, texts by 64-bit hashes of doc_id and text.
 
-    Up to ``most_shared`` anchors that occur more than once are broadcast as a bitmap of fixed size; more are joined.
+    Up to ``most_shared`` anchors of a kind that occur more than once are broadcast as a bitmap of fixed size; more are joined.
     """
     if window < 1:
         raise ValueError("a window has at least one word")
     named = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     search = Search(named.withColumn("ref", F.xxhash64("doc_id", "text")), window)
-    shared = materialize(search.anchors(places=False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "shared")
-    search.mark(shared, most_shared)
+    while len(search.known) < len(search.kinds):
+        shared = materialize(search.anchors(places=False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "shared")
+        search.mark(shared, most_shared)
+        discard(shared)
     starts = search.starts()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +213,6 @@ def without_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id"
     held = search.docs.mapInArrow(windows, "k1 long, k2 int, ref long, at int")
     once = held.groupBy("k1", "k2").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in (*KEYS, "at")]).where("n = 1")
     lone = materialize(once.groupBy(*KEYS).agg(F.collect_list("at").alias("lone")), "lone")
-    discard(shared)
     # Texts with windows that only share an anchor meet the lists of these; most others stay where they are.
     refs = hash_filter(lone.select("ref"))
     met = search.joined(passing(search.docs, refs, F.col("ref")), lone)
